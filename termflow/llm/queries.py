@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from termflow.llm import bpe
+from termflow.llm import bpe, quality_rules, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op6_bpe": bpe.query}
+    return {"op5_url_filter": url_filter.query, "op6_bpe": bpe.query, "op7_quality_rules": quality_rules.query}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_url_filter": url_filter.SQL, "op7_quality_rules": quality_rules.SQL}
