@@ -64,8 +64,8 @@ def crc_mod(column: str, n: int) -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % n
 
 
-def bounded_sample(df: DataFrame, id_col: str, class_col: str, per_class: int, classes: int = 64) -> DataFrame:
-    """At most `per_class` rows of each class, the same ones on every run: those of least hash.
+def bounded_sample(df: DataFrame, id_col: str, class_col: str, per_class: int, classes: int = 64) -> tuple[DataFrame, dict]:
+    """At most `per_class` rows of each class, the same ones on every run (those of least hash), and the classes' counts.
 
     A first pass counts the classes (the `classes` most frequent are kept), a second keeps rows whose
     hash lies under a class's share, so only about twice the sample reaches the exact top-k.
@@ -79,4 +79,15 @@ def bounded_sample(df: DataFrame, id_col: str, class_col: str, per_class: int, c
     from pyspark.sql import Window
 
     order = Window.partitionBy(class_col).orderBy(at, id_col)
-    return df.filter(keep).withColumn("_nth", F.row_number().over(order)).filter(F.col("_nth") <= per_class).drop("_nth")
+    return df.filter(keep).withColumn("_nth", F.row_number().over(order)).filter(F.col("_nth") <= per_class).drop("_nth"), counts
+
+
+def labelled_texts(documents: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, per_class: int) -> tuple[DataFrame, dict]:
+    """doc_id, text and label of a bounded sample of the labelled documents outside the held-out fold, and the classes' counts.
+
+    A doc_id that is labelled twice counts once, by its larger label.
+    """
+    known = labels.select("doc_id", label).filter(F.col(label).isNotNull() & (crc_mod("doc_id", folds) != held_out))
+    chosen, counts = bounded_sample(known.groupBy("doc_id").agg(F.max(label).alias("label")), "doc_id", "label", per_class)
+    texts = documents.select("doc_id", text_of().alias("text"))
+    return texts.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]), counts  # per_class bounds the sample

@@ -66,7 +66,7 @@ def base_spans(text: Column) -> Column:
 
 def train(df: DataFrame) -> list[float]:
     """Log-likelihood ratio (random over ordinary) of each transition, row by row over ALPHABET; starts and ends don't count."""
-    sample = bounded_sample(df.select("doc_id", text_of().alias("text"), F.lit(1).alias("one")), "doc_id", "one", SAMPLE)
+    sample, _ = bounded_sample(df.select("doc_id", text_of().alias("text"), F.lit(1).alias("one")), "doc_id", "one", SAMPLE)
     spans = base_spans(F.col("text"))
     value = "|".join(FAST.get(kind, pattern) for kind, pattern, _, _ in KINDS)
     secret = F.transform(spans, lambda s: F.regexp_replace(F.substring(F.col("text"), s["start"] + 1, s["end"] - s["start"]), r"""^.*[:=]\x20*["']?(?=.)""", ""))
