@@ -7,6 +7,9 @@ needs first.
 
 from __future__ import annotations
 
+import os
+import shutil
+import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -42,6 +45,22 @@ def small_side(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFra
     return F.broadcast(df) if rows <= limit else df
 
 
+_shipped: dict[str, tempfile.TemporaryDirectory] = {}
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors' Python workers, once per application.
+
+    The archive is served from the driver's own temporary folder until the driver ends.
+    """
+    ctx = spark.sparkContext
+    if ctx.applicationId not in _shipped:
+        _shipped[ctx.applicationId] = folder = tempfile.TemporaryDirectory()
+        top = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+        shutil.copytree(f"{top}/termflow", f"{folder.name}/src/termflow", ignore=shutil.ignore_patterns("__pycache__"))
+        ctx.addPyFile(shutil.make_archive(f"{folder.name}/termflow_package", "zip", f"{folder.name}/src"))
+
+
 def mapped(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, rows: int = 512) -> DataFrame:
     """Apply `fn` to slices of at most `rows` rows, which bounds what a task holds at a time."""
 
@@ -51,6 +70,7 @@ def mapped(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None],
                 if (out := fn(batch.slice(at, rows))) is not None:
                     yield out
 
+    ship(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 
