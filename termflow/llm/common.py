@@ -12,6 +12,7 @@ import shutil
 import tempfile
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -74,6 +75,42 @@ def mapped(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None],
     return df.mapInArrow(run, schema)
 
 
+def grouped(df: DataFrame, key: str, fn: Callable[[pa.Table, np.ndarray], pa.RecordBatch | None], schema: str) -> DataFrame:
+    """Apply `fn` to whole groups of equal `key`, many at a time: a table sorted by key and the groups' bounds.
+
+    Groups are streamed off a sorted partition, so a task holds one Arrow batch and one group.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: list[pa.RecordBatch] = []
+        last = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            at = batch.schema.get_field_index(key)
+            keys = batch.column(at).to_numpy(zero_copy_only=False)
+            if rest and keys[-1] == last:
+                rest.append(batch)
+                continue
+            cut_at = int(np.argmax(keys == keys[-1]))
+            yield from whole([*rest, batch.slice(0, cut_at)], at)
+            rest, last = [batch.slice(cut_at)], keys[-1]
+        if rest:
+            yield from whole(rest, at)
+
+    def whole(parts: list[pa.RecordBatch], at: int) -> Iterator[pa.RecordBatch]:
+        parts = [p for p in parts if p.num_rows]
+        if parts:
+            got = pa.Table.from_batches(parts).combine_chunks()
+            keys = got.column(at).to_numpy(zero_copy_only=False)
+            bounds = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]])
+            if (out := fn(got, bounds)) is not None:
+                yield out
+
+    ship(df.sparkSession)
+    return df.repartition(key).sortWithinPartitions(key).mapInArrow(run, schema)
+
+
 def text_of(name: str = "text") -> Column:
     """The text, a null one empty."""
     return F.coalesce(F.col(name), F.lit(""))
