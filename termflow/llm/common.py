@@ -7,9 +7,11 @@ needs first.
 
 from __future__ import annotations
 
+import atexit
 import os
 import shutil
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -28,17 +30,45 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """Where intermediate tables go: the session's `spark.checkpoint.dir`; only where that is unset, as in tests, a folder in the warehouse."""
+    to = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    return f"{to or spark.conf.get('spark.sql.warehouse.dir') + '/_cut'}/termflow-{spark.sparkContext.applicationId}"
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise `df` in the shared checkpoint folder, so a lost executor costs no recomputation.
+    """`df` written as a table in the shared folder and read again, so a lost executor costs no recomputation.
 
-    The folder is the session's `spark.checkpoint.dir`; only where that is unset (a test session)
-    a folder next to the warehouse is used.
+    A table is compressed and written in one pass, unlike a checkpoint. `drop_cut` removes one that
+    is no longer needed; the rest goes when the application ends.
     """
-    ctx = df.sparkSession.sparkContext
-    if ctx.getCheckpointDir() is None:
-        to = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        ctx.setCheckpointDir(to or f"{df.sparkSession.conf.get('spark.sql.warehouse.dir')}/_checkpoints")
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    folder = shared_folder(spark)
+    if folder not in _folders:
+        _folders.add(folder)
+        atexit.register(_remove, spark, folder)
+    path = f"{folder}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
+
+
+_folders: set[str] = set()
+
+
+def drop_cut(df: DataFrame) -> None:
+    """Remove the table behind a result of `cut`."""
+    _remove(df.sparkSession, df._cut_path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        jvm = spark.sparkContext._jvm
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    except Exception:  # the session may be gone already
+        return
 
 
 def small_side(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:

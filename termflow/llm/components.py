@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termflow.llm.common import cut
+from termflow.llm.common import cut, drop_cut
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -13,14 +13,15 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
     Each round links every node to the least node it has seen: larger neighbours first, then smaller
     ones. The number of edges never grows, a round is two aggregations with map-side combine and two
-    joins, and each round's edges are checkpointed. It ends when a round changes nothing.
+    joins, and each round's edges are written to the shared folder. It ends when a round changes nothing.
     """
     now = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct())
     seen = _state(now)
     for _ in range(most_rounds):
         if not seen[0]:
             break
-        now = cut(_star(_star(now, True), False))
+        before, now = now, cut(_star(_star(now, True), False))
+        drop_cut(before)
         if (state := _state(now)) == seen:
             break
         seen = state

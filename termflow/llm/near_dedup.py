@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termflow.llm.common import cut, grouped, mapped, small_side, table, text_of
+from termflow.llm.common import cut, drop_cut, grouped, mapped, small_side, table, text_of
 from termflow.llm.components import components
 
 #: Words of a shingle, and the threshold: 100 * intersection >= PERCENT * union.
@@ -323,11 +323,11 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every document."""
     marks = cut(fingerprints(documents))
     classes = marks.filter("set_key IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.max("signature").alias("signature"), F.max("n_shingles").alias("n_shingles"))
-    step = COORDS * 4
     short = F.unhex(F.concat(*[F.substring(F.hex("signature"), 8 * c + 7, 2) for c in range(COORDS)]))
-    assert step == 256
     classes = cut(classes.select("set_key", "rep", "signature", "n_shingles", short.alias("short")))
-    links = cut(exact_links(documents, classes, candidate_links(classes)))
+    candidates = cut(candidate_links(classes))
+    links = cut(exact_links(documents, classes, candidates))
+    drop_cut(candidates)
     parts = components(links).withColumnsRenamed({"node": "_node"})
     of = classes.select(F.col("set_key").alias("_key"), "rep").join(parts, F.col("rep") == F.col("_node"), "left").select("_key", F.coalesce("component", "rep").alias("component"))
     df = marks.select("doc_id", "n_shingles", "set_key").join(of, F.col("set_key") == F.col("_key"), "left")
