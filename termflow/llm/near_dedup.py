@@ -243,7 +243,7 @@ def listed(posted: DataFrame) -> DataFrame:
 
 def candidate_links(classes: DataFrame) -> DataFrame:
     """a, b: links that join all classes that may be similar into components."""
-    # eight bits of each coordinate are enough to count agreements: one in 256 agrees by chance
+    # the low eight bits of each coordinate (the first byte) are enough to count agreements: one in 256 agrees by chance
     short = classes.select(F.col("rep").alias("_rep"), "short")
     lists = cut(listed(postings(classes)))
     few = lists.filter(f"n <= {LONG}").join(short, F.col("rep") == F.col("_rep")).select("key", "rep", F.col("short").alias("signature"))
@@ -323,7 +323,7 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every document."""
     marks = cut(fingerprints(documents))
     classes = marks.filter("set_key IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.max("signature").alias("signature"), F.max("n_shingles").alias("n_shingles"))
-    short = F.unhex(F.concat(*[F.substring(F.hex("signature"), 8 * c + 7, 2) for c in range(COORDS)]))
+    short = F.unhex(F.concat(*[F.substring(F.hex("signature"), 8 * c + 1, 2) for c in range(COORDS)]))
     classes = cut(classes.select("set_key", "rep", "signature", "n_shingles", short.alias("short")))
     candidates = cut(candidate_links(classes))
     links = cut(exact_links(documents, classes, candidates))
