@@ -15,7 +15,9 @@ import hashlib
 import heapq
 import json
 import unicodedata
+from array import array
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark import SparkFiles
@@ -40,7 +42,7 @@ def byte_alphabet() -> list[str]:
 
 
 class Words(dict):
-    """word -> (its ids joined by spaces, its vocabulary strings joined by spaces, how many)."""
+    """word -> (its ids joined by spaces, its vocabulary strings joined by spaces, how many, the ids as 32-bit numbers)."""
 
     def __init__(self, bpe: Bpe):
         super().__init__()
@@ -50,7 +52,7 @@ class Words(dict):
         ids = self.bpe.merge(word)
         if len(self) >= CACHE_WORDS:
             self.clear()
-        self[word] = out = (" ".join(map(str, ids)), " ".join([self.bpe.strings[i] for i in ids]), len(ids))
+        self[word] = out = (" ".join(map(str, ids)), " ".join([self.bpe.strings[i] for i in ids]), len(ids), array("i", ids).tobytes())
         return out
 
 
@@ -95,12 +97,12 @@ class Bpe:
                 heapq.heappush(queue, (r[0], h, r[1]))
         return [s for s in symbols if s >= 0]
 
-    def pieces(self, text: str) -> list[tuple[str, str, int]]:
+    def pieces(self, text: str) -> list[tuple[str, str, int, bytes]]:
         """What each word of a text became, in order."""
-        out: list[tuple[str, str, int]] = []
+        out: list[tuple[str, str, int, bytes]] = []
         for part in self.specials.split(text) if self.specials else [text]:
             if part in self.added:
-                out.append((str(self.added[part]), part, 1))
+                out.append((str(self.added[part]), part, 1, array("i", [self.added[part]]).tobytes()))
                 continue
             # lower() would choose a final sigma by its neighbours; the tokenizer lowers character by character
             part = self.white.sub(" ", unicodedata.normalize("NFC", part)).replace("Σ", "σ").lower()
@@ -159,12 +161,14 @@ def add_tokens(df: DataFrame, path: str) -> DataFrame:
 
     def encode(batch: pa.RecordBatch) -> pa.RecordBatch:
         bpe = load(SparkFiles.get(name))
-        ids, texts = [], []
+        ids, counts, texts = [], [0], []
         for text in batch.column(at).to_pylist():
             pieces = bpe.pieces(text or "")
-            ids.append([int(i) for p in pieces for i in p[0].split()])
+            ids += [p[3] for p in pieces]
+            counts.append(sum([p[2] for p in pieces]))
             texts.append(" ".join([p[1] for p in pieces]))
-        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32())), pa.array(texts, pa.string())], [*batch.schema.names, "token_ids", "decoded"])
+        lists = pa.ListArray.from_arrays(pa.array(np.cumsum(counts), pa.int32()), pa.array(np.frombuffer(b"".join(ids), np.int32)))
+        return pa.RecordBatch.from_arrays([*batch.columns, lists, pa.array(texts, pa.string())], [*batch.schema.names, "token_ids", "decoded"])
 
     return mapped(df, encode, spec, 64)
 
