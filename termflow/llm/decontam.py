@@ -26,13 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termflow.llm.common import cut, grouped, mapped, small_side, table, text_of
+from termflow.llm.common import cut, grouped, held, mapped, small_side, table, text_of
 
 WINDOW, LITERALS, SHORTEST = 8, 5, 4
 COVER, ENOUGH = 0.5, 24
 #: Size of the bitmap in bits; a fuller one only lets more windows reach the join.
 BITS = 1 << 23
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
 #: Words and signs that are units when they follow a number.
 UNITS = set("% ° °c °f $ € £ ¥ mm cm dm m km in inch inches ft foot feet yd yard yards mi mile miles mg g kg t ton tons tonne tonnes oz lb lbs pound pounds ml cl l liter liters litre litres s sec secs second seconds min mins minute minutes h hr hrs hour hours d day days week weeks month months year years am pm mph kmh km/h m/s hz khz mhz ghz kb mb gb tb w kw mw v a j kj cal kcal n pa k c f degree degrees percent cent cents dollar dollars euro euros times".split())
 NUMBER = re.compile(r"^[-+]?[$€£¥]?\d[\d.,:/]*(?:st|nd|rd|th)?$|^[-+]?[$€£¥]?\d[\d.,]*([^\W\d]{1,4}|%|°[cf]?)$", re.IGNORECASE)
@@ -50,39 +50,48 @@ class Canon:
 
     def reset(self) -> None:
         self.ids: dict[str, int] = {}
-        self.rows: list[tuple[int, int, int, bool, bool, str]] = []
-        self.table: list[np.ndarray] = []
+        self.rows: list[tuple[int, int, bool, bool]] = []  # of words that aren't in the tables yet
+        self.values: list[str] = [""]  # id 0 is no word
+        self.size = 1
+        self.tables = [np.zeros(CACHE_WORDS * 2, k) for k in (np.uint64, np.int8, bool, bool)]
 
     def look(self, word: str) -> int:
-        """Id of a word: its hash inside and at the start of a sentence, its slot type inside, whether it is a unit word, whether it ends a sentence."""
-        bare = EDGES.sub("", word)
+        """Id of a word; notes its hash, its slot type inside a sentence, whether it is a unit word and whether it ends a sentence."""
+        bare = word if word.isalpha() else word[:-1] if word[:-1].isalpha() and not word[-1].isalnum() and word[-1] not in "%°" else EDGES.sub("", word)
         low = bare.lower()
-        plain = int.from_bytes(hashlib.blake2b(low.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
-        kind = NUM if NUMBER.match(bare) else NAME if bare[:1].isupper() and bare[1:2].islower() else 0
-        self.ids[word] = i = len(self.rows)
-        self.rows.append((plain, kind, low in UNITS, word.rstrip("\"')]”’»")[-1:] in ".!?:;", low))
+        raw = low.encode("utf-8", "surrogatepass")
+        plain = int.from_bytes(raw if len(raw) <= 8 else hashlib.blake2b(raw, digest_size=8).digest(), "little")
+        kind = NAME if bare[:1].isupper() and bare[1:2].islower() else 0 if bare.isalpha() else NUM if NUMBER.match(bare) else 0
+        self.ids[word] = i = len(self.values)
+        self.values.append(low)
+        self.rows.append((plain, kind, low in UNITS, word.rstrip("\"')]”’»")[-1:] in ".!?:;"))
         return i
 
-    def read(self, text: str) -> tuple[np.ndarray, np.ndarray, list[str]] | None:
-        """Token hashes, slot types (0: literal) and values."""
+    def fill(self) -> None:
+        """Put the noted words into the tables."""
+        to = len(self.values)
+        for k, column in enumerate(zip(*self.rows, strict=True)):
+            if to > len(self.tables[k]):
+                self.tables[k] = np.concatenate([self.tables[k], np.zeros(to, self.tables[k].dtype)])
+            self.tables[k][self.size : to] = column
+        self.size, self.rows = to, []
+
+    def read(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+        """Token hashes, slot types (0: literal) and the words' ids."""
         words = text.split()
         if not words:
             return None
         if len(self.ids) > CACHE_WORDS:
             self.reset()
         get, look = self.ids.get, self.look
-        ids = np.array([i if (i := get(w)) is not None else look(w) for w in words], np.int64)
-        if not self.table or len(self.table[0]) < len(self.rows):
-            done = len(self.table[0]) if self.table else 0
-            new = self.rows[done:]
-            more = [np.array([r[0] for r in new], np.uint64), np.array([r[1] for r in new], np.int8), np.array([r[2] for r in new], bool), np.array([r[3] for r in new], bool)]
-            self.table = [np.concatenate([a, b]) for a, b in zip(self.table, more, strict=True)] if self.table else more
-        plain, kind, unit, ends = (t[ids] for t in self.table)
+        ids = np.array([get(w) or look(w) for w in words], np.int64)
+        if self.rows:
+            self.fill()
+        plain, kind, unit, ends = (t[ids] for t in self.tables)
         first = np.concatenate([[True], ends[:-1]])
         kind = np.where((kind == NAME) & first, 0, kind)
         kind = np.where(unit & np.concatenate([[False], kind[:-1] == NUM]) & (kind == 0), UNIT, kind)
-        rows = self.rows
-        return np.where(kind > 0, kind.astype(np.uint64), plain), kind, [rows[i][4] for i in ids] if (kind > 0).any() else []
+        return np.where(kind > 0, kind.astype(np.uint64), plain), kind, ids
 
 
 def windows(tokens: np.ndarray, kind: np.ndarray, n: int) -> np.ndarray:
@@ -101,9 +110,9 @@ def windows(tokens: np.ndarray, kind: np.ndarray, n: int) -> np.ndarray:
     return np.where(few, np.uint64(0), h | np.uint64(1))
 
 
-def slots(kind: np.ndarray, values: list[str], at: int, n: int) -> str:
+def slots(canon: Canon, kind: np.ndarray, ids: np.ndarray, at: int, n: int) -> str:
     """Values of the slots in a window, one to a line."""
-    return "\n".join([values[at + int(k)] for k in np.flatnonzero(kind[at : at + n])]) if values else ""
+    return "\n".join([canon.values[ids[at + k]] for k in np.flatnonzero(kind[at : at + n])])
 
 
 WINDOWS = "id long, hash long, pos int, slots string, length int"
@@ -111,24 +120,22 @@ WINDOWS = "id long, hash long, pos int, slots string, length int"
 
 def windowed(df: DataFrame, lengths: list[int], bitmap=None) -> DataFrame:
     """id, hash, pos, slots, length of the windows of (id, text); of those in the bitmap if one is given."""
-    canon: list[Canon] = []
-
     def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        if not canon:
-            canon.append(Canon())
+        canon = held("decontam", Canon)
+        bits = bitmap.value if bitmap is not None else None
         out: list[list] = [[], [], [], [], []]
         for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            if (got := canon[0].read(text)) is None:
+            if (got := canon.read(text)) is None:
                 continue
-            tokens, kind, values = got
+            tokens, kind, ids = got
             for n in [x for x in lengths if x <= len(tokens)] if bitmap is not None else [min(WINDOW, len(tokens))] * (len(tokens) >= SHORTEST):
                 h = windows(tokens, kind, n)
                 keep = h != 0
                 if bitmap is not None:
-                    at = (h >> np.uint64(20)).astype(np.int64) % BITS
-                    keep &= (bitmap.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+                    at = ((h >> np.uint64(20)) & np.uint64(BITS - 1)).astype(np.int64)
+                    keep &= (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
                 for p in np.flatnonzero(keep).tolist():
-                    for c, v in zip(out, (i, int(h[p].view(np.int64)), p, slots(kind, values, p, n), n), strict=True):
+                    for c, v in zip(out, (i, int(h[p].view(np.int64)), p, slots(canon, kind, ids, p, n), n), strict=True):
                         c.append(v)
         if not out[0]:
             return None
@@ -144,7 +151,7 @@ def bits_of(hashes: DataFrame) -> np.ndarray:
     def run(batches):
         own = np.zeros(BITS >> 3, np.uint8)
         for b in batches:
-            at = (b.column(0).to_numpy().view(np.uint64) >> np.uint64(20)).astype(np.int64) % BITS
+            at = ((b.column(0).to_numpy().view(np.uint64) >> np.uint64(20)) & np.uint64(BITS - 1)).astype(np.int64)
             np.bitwise_or.at(own, at >> 3, (1 << (at & 7)).astype(np.uint8))
         yield pa.RecordBatch.from_arrays([pa.array([own.tobytes()], pa.binary())], ["bits"])
 
