@@ -39,7 +39,7 @@ from termflow.llm.near_dedup import mixed, powers
 LENGTH, SEED = 50, 20
 WINDOW = LENGTH - SEED + 1
 #: Bytes of text of a chunk and of a bucket, on average; bytes hashed at a time; shards of a merge at most.
-CHUNK_BYTES, BUCKET_BYTES, BLOCK, SHARDS = 8 << 20, 8 << 20, 1 << 20, 8
+CHUNK_BYTES, BUCKET_BYTES, BLOCK, SHARDS = 8 << 20, 8 << 20, 1 << 20, 4
 KEY = np.uint64((1 << 39) - 1)
 ROLL = [np.uint64(pow(0x5851F42D4C957F2D, k, 1 << 64)) for k in range(SEED + 1)]
 
@@ -197,20 +197,24 @@ def send_runs(chunk: int, own: Chunk, answers: pa.Table, buckets: int) -> pa.Tab
     return rows(out, RUNS)
 
 
+#: Closes a shard's strings: no byte of UTF-8.
+END = np.uint8(255)
+
+
 def transform(text: np.ndarray) -> np.ndarray:
-    """Burrows-Wheeler transform of a shard (16-bit characters, strings closed by 0), its rotations sorted to LENGTH characters; with the order."""
-    n = len(text)
-    rank, reach = text.astype(np.int64), 1
+    """Order of a shard's rotations, sorted to LENGTH characters or more: ranks of seven characters, then of twice as many, and so on."""
+    n, reach = len(text), 7
+    key = np.zeros(n, np.int64)
+    for k in range(reach):
+        key = key << 8 | np.roll(text, -k)
     while True:
-        # ranks of `reach` characters become ranks of twice as many
-        pair = rank * (int(rank.max()) + 2) + np.roll(rank, -reach)
-        order = np.argsort(pair, kind="stable")
-        reach *= 2
+        order = np.argsort(key)
         if reach >= LENGTH:
             return order
-        changed = np.concatenate([[0], (pair[order][1:] != pair[order][:-1]).astype(np.int64)])
         rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(changed)
+        rank[order] = np.cumsum(np.concatenate([[0], key[order][1:] != key[order][:-1]]))
+        key = rank * (n + 1) + np.roll(rank, -reach)
+        reach *= 2
 
 
 def equal_windows(shards: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
@@ -220,19 +224,19 @@ def equal_windows(shards: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarra
     with the interleave: a new one starts where an interval's places have different characters before them.
     """
     orders = [transform(t) for t in shards]
-    before = [t[o - 1].astype(np.uint16) for t, o in zip(shards, orders, strict=True)]
+    before = np.concatenate([t[o - 1] for t, o in zip(shards, orders, strict=True)])
     which = np.repeat(np.arange(len(shards), dtype=np.uint8), [len(t) for t in shards])
-    interval = np.zeros(len(which), np.int64)
+    interval = np.zeros(len(which), np.int32)
+    merged, new = np.empty(len(which), np.uint8), np.ones(len(which), bool)
     for _ in range(LENGTH):
-        merged = np.empty(len(which), np.uint16)
-        for s, b in enumerate(before):
-            merged[which == s] = b
-        by = np.argsort(merged, kind="stable")  # radix sort: one counting pass for each byte
+        # the places of one shard, in merged order, hold its transform in its own order
+        merged[np.argsort(which, kind="stable")] = before
+        by = np.argsort(merged, kind="stable")  # bytes: one counting pass
         which = which[by]
         c, i = merged[by], interval[by]
-        new = np.ones(len(by), bool)
-        new[1:] = (c[1:] != c[:-1]) | (i[1:] != i[:-1])
-        interval = np.cumsum(new)
+        np.not_equal(c[1:], c[:-1], out=new[1:])
+        new[1:] |= i[1:] != i[:-1]
+        interval = np.cumsum(new, dtype=np.int32)
     return orders, which, interval
 
 
@@ -248,11 +252,11 @@ def first_documents(sizes: np.ndarray, data: np.ndarray, docs: np.ndarray, shard
         own = np.flatnonzero(shard == s)
         long = sizes[own] + 1
         ends = np.cumsum(long)
-        text = np.zeros(ends[-1], np.uint16)
+        text = np.full(ends[-1], END)
         place = np.full(ends[-1], -1, np.int64)  # window of each character, -1 where none starts
         inner = np.arange(ends[-1]) - np.repeat(ends - long, long)
         real = inner < np.repeat(sizes[own], long)
-        text[real] = data[np.repeat(at[own], long)[real] + inner[real]].astype(np.uint16) + 1
+        text[real] = data[np.repeat(at[own], long)[real] + inner[real]]
         starts = inner < np.repeat(counts[own], long)
         place[starts] = (np.repeat(bounds[own], long) + inner)[starts]
         texts.append(text)
