@@ -45,26 +45,35 @@ def clean_title(title: Column) -> Column:
 
 
 def media(filename: Column) -> Column:
-    """struct(kind, title, season, episode, year, source) of a media file's name: TV show, movie or generic."""
+    """struct(kind, title, season, episode, year, source) of a media file's name: TV show, movie or generic.
+
+    The raw parts are chosen first and cleaned once, behind a lambda variable, so the plan stays small.
+    """
     name = stem(filename)
     part = lambda pattern, k: F.regexp_extract(name, pattern, k)
-    null_int = F.lit(None).cast("int")
+    null_int, nothing = F.lit(None).cast("int"), F.lit("")
 
-    def row(kind, title, source, season=null_int, episode=null_int, year=null_int):
-        return F.struct(F.lit(kind).alias("kind"), clean_title(title).alias("title"), season.alias("season"), episode.alias("episode"), year.alias("year"), source.alias("source"))
+    def row(kind, title, tail, season=null_int, episode=null_int, year=null_int):
+        return F.struct(F.lit(kind).alias("kind"), title.alias("title"), season.alias("season"), episode.alias("episode"), year.alias("year"), tail.alias("tail"))
 
     number = part(BARE_NUMBER, 2)
-    tail = F.coalesce(F.nullif(part(BARE_NUMBER, 3), F.lit("")), part(BARE_NUMBER, 4))
+    tail = F.coalesce(F.nullif(part(BARE_NUMBER, 3), nothing), part(BARE_NUMBER, 4))
     size = F.contains(tail, F.lit("x")) & F.contains(tail, number)  # like 1920x1080
     bare = name.rlike(BARE_NUMBER) & (number.cast("int") <= LAST_BARE_EPISODE) & ~size
-    return (
-        F.when(name.rlike(SEASON_EPISODE), row("tv", part(SEASON_EPISODE, 1), F.coalesce(service(part(SEASON_EPISODE, 4)), service(name)), part(SEASON_EPISODE, 2).cast("int"), part(SEASON_EPISODE, 3).cast("int")))
-        .when(name.rlike(EPISODE), row("tv", part(EPISODE, 1), F.coalesce(service(part(EPISODE, 3)), service(name)), episode=part(EPISODE, 2).cast("int")))
-        .when(bare, row("tv", part(BARE_NUMBER, 1), F.coalesce(service(part(BARE_NUMBER, 4)), service(name)), episode=number.cast("int")))
-        .when(name.rlike(MOVIE), row("movie", part(MOVIE, 1), service(part(MOVIE, 3)), year=part(MOVIE, 2).cast("int")))
-        .otherwise(row("generic", name, service(name)))
+    raw = (
+        F.when(name.rlike(SEASON_EPISODE), row("tv", part(SEASON_EPISODE, 1), part(SEASON_EPISODE, 4), part(SEASON_EPISODE, 2).cast("int"), part(SEASON_EPISODE, 3).cast("int")))
+        .when(name.rlike(EPISODE), row("tv", part(EPISODE, 1), part(EPISODE, 3), episode=part(EPISODE, 2).cast("int")))
+        .when(bare, row("tv", part(BARE_NUMBER, 1), part(BARE_NUMBER, 4), episode=number.cast("int")))
+        .when(name.rlike(MOVIE), row("movie", part(MOVIE, 1), part(MOVIE, 3), year=part(MOVIE, 2).cast("int")))
+        .otherwise(row("generic", name, nothing))
     )
 
+    def clean(r: Column) -> Column:
+        source = F.coalesce(service(r["tail"]), F.when(r["kind"] != "movie", service(name)))
+        return F.struct(r["kind"].alias("kind"), clean_title(r["title"]).alias("title"), r["season"].alias("season"), r["episode"].alias("episode"), r["year"].alias("year"), source.alias("source"))
+
+    return F.transform(F.array(raw), clean)[0]
+
 
 def display_title(m: Column) -> Column:
     """Title with season and episode, or year."""

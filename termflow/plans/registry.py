@@ -183,15 +183,15 @@ def pair_frequency_fallback(spark, sf_dir):
     return pairs.join(found, "pair_id").select("word", "reading", "frequency")
 
 
-@query("frequency_lookup", """WITH f AS (SELECT o_orderpriority AS dict, o_custkey AS term, o_clerk AS reading, floor(o_totalprice)::BIGINT AS value, o_orderkey AS entry_ord FROM orders),
+@query("frequency_lookup", """WITH f AS (SELECT o_orderpriority AS dict, o_custkey AS term, o_orderstatus AS reading, floor(o_totalprice)::BIGINT AS value, o_orderkey AS entry_ord FROM orders),
     g AS (SELECT dict, term, CASE WHEN entry_ord % 4 = 0 THEN NULL ELSE reading END AS reading, value, entry_ord FROM f),
-    w AS (SELECT c_custkey AS word, (SELECT min(o_clerk) FROM orders WHERE o_custkey = c_custkey) AS reading FROM customer),
+    w AS (SELECT c_custkey AS word, (SELECT min(o_orderstatus) FROM orders WHERE o_custkey = c_custkey) AS reading FROM customer),
     m AS (SELECT word, dict, CASE WHEN g.reading = w.reading THEN 0 WHEN g.reading IS NULL THEN 1 END AS rk, CASE WHEN g.reading = w.reading THEN value ELSE entry_ord END AS wi, value, entry_ord FROM w JOIN g ON word = term)
     SELECT word_id, dict, value FROM (SELECT word AS word_id, dict, value, row_number() OVER (PARTITION BY word, dict ORDER BY rk, wi, entry_ord) AS rn FROM m WHERE rk IS NOT NULL) WHERE rn = 1""")
 def frequency_lookup(spark, sf_dir):
     orders = table(spark, sf_dir, "orders")
-    freq = orders.select(F.col("o_orderpriority").alias("dict"), F.col("o_custkey").alias("term"), F.when(F.col("o_orderkey") % 4 != 0, F.col("o_clerk")).alias("reading"), F.floor("o_totalprice").alias("value"), F.lit(False).alias("kana_marker"), F.col("o_orderkey").alias("entry_ord"))
-    readings = orders.groupBy("o_custkey").agg(F.min("o_clerk").alias("reading"))
+    freq = orders.select(F.col("o_orderpriority").alias("dict"), F.col("o_custkey").alias("term"), F.when(F.col("o_orderkey") % 4 != 0, F.col("o_orderstatus")).alias("reading"), F.floor("o_totalprice").alias("value"), F.lit(False).alias("kana_marker"), F.col("o_orderkey").alias("entry_ord"))
+    readings = orders.groupBy("o_custkey").agg(F.min("o_orderstatus").alias("reading"))
     words = table(spark, sf_dir, "customer").join(readings, F.col("c_custkey") == F.col("o_custkey"), "left").select(F.col("c_custkey").alias("word_id"), F.col("c_custkey").alias("word"), "reading", F.lit(False).alias("is_kana"))
     return frequency.lookup(words, freq)
 
@@ -238,13 +238,13 @@ EVENT_SECONDS = "epoch_us(ts::TIMESTAMP) // 1000000"
 
 @query("span_overlap_min", f"""WITH e AS (SELECT event_id, user_id, event_type, {EVENT_SECONDS} AS s FROM events),
     seg AS (SELECT event_id, user_id, s AS a, s + 600 AS b FROM e WHERE event_type = (SELECT min(event_type) FROM events)), sp AS (SELECT user_id, s AS a, s + 3600 AS b, (event_id % 4)::INT AS k FROM e WHERE event_type = (SELECT max(event_type) FROM events))
-    SELECT event_id AS seg_id, min(k) AS knowledge FROM seg LEFT JOIN sp ON seg.user_id = sp.user_id AND sp.a < seg.b AND sp.b > seg.a GROUP BY event_id""")
+    SELECT event_id AS seg_id, coalesce(min(k), -1)::INT AS knowledge FROM seg LEFT JOIN sp ON seg.user_id = sp.user_id AND sp.a < seg.b AND sp.b > seg.a GROUP BY event_id""")
 def span_overlap_min(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", F.expr("unix_seconds(cast(ts as timestamp))").alias("s"))
     ends = e.agg(F.min("event_type"), F.max("event_type")).first()
     seg = e.filter(F.col("event_type") == ends[0]).select("user_id", F.col("event_id").alias("seg_id"), F.col("s").alias("seg_start"), (F.col("s") + 600).alias("seg_end"))
     spans = e.filter(F.col("event_type") == ends[1]).select("user_id", F.col("s").alias("start"), (F.col("s") + 3600).alias("end"), (F.col("event_id") % 4).cast("int").alias("knowledge"))
-    return terms.span_knowledge(seg, spans, "user_id").select("seg_id", "knowledge")
+    return terms.span_knowledge(seg, spans, "user_id").select("seg_id", F.coalesce("knowledge", F.lit(-1)).alias("knowledge"))
 
 
 @query("occurrences_per_term", f"""WITH {TOKENS} SELECT token AS lemma, count(DISTINCT doc_id * 1000000 + ord) AS n_refs, min(doc_id * 1000000 + ord) AS first_ref FROM tok GROUP BY token""")
@@ -297,8 +297,8 @@ def status_change_events(spark, sf_dir):
 
 
 @query("ack_correlation", f"""WITH e AS (SELECT event_id, user_id, event_type, {EVENT_SECONDS} AS s FROM events), a AS (SELECT min(event_type) AS lo, max(event_type) AS hi FROM events),
-    r AS (SELECT user_id AS message_id, min(s) AS at FROM e, a WHERE event_type = lo GROUP BY user_id), k AS (SELECT user_id AS message_id, min(s) AS acked FROM e, a WHERE event_type = hi GROUP BY user_id)
-    SELECT r.message_id, CASE WHEN acked BETWEEN at AND at + 86400 THEN 'confirmed' ELSE 'expired' END AS status FROM r LEFT JOIN k ON r.message_id = k.message_id""")
+    r AS (SELECT user_id AS message_id, min(s) AS asked FROM e, a WHERE event_type = lo GROUP BY user_id), k AS (SELECT user_id AS message_id, min(s) AS acked FROM e, a WHERE event_type = hi GROUP BY user_id)
+    SELECT r.message_id, CASE WHEN acked BETWEEN asked AND asked + 86400 THEN 'confirmed' ELSE 'expired' END AS status FROM r LEFT JOIN k ON r.message_id = k.message_id""")
 def ack_correlation(spark, sf_dir):
     from termflow.streaming import events as E
 
