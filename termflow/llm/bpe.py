@@ -23,12 +23,12 @@ import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 
-from termflow.llm.common import mapped, table, text_of
+from termflow.llm.common import held, mapped, table, text_of
 
 #: Characters with the White_Space property.
 WHITE_SPACE = r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
 #: Words that a worker remembers at most.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
 
 
 def byte_alphabet() -> list[str]:
@@ -118,15 +118,10 @@ class Bpe:
         return " ".join([self.strings[i] for i in ids if i in self.strings])
 
 
-_loaded: dict[str, Bpe] = {}
-
-
 def load(path: str) -> Bpe:
-    """A tokenizer file, read once per process."""
-    if path not in _loaded:
-        with open(path, encoding="utf-8") as f:
-            _loaded[path] = Bpe(json.load(f))
-    return _loaded[path]
+    """Read a tokenizer file."""
+    with open(path, encoding="utf-8") as f:
+        return Bpe(json.load(f))
 
 
 def shipped(spark: SparkSession, path: str) -> str:
@@ -140,7 +135,7 @@ def digest_tokens(df: DataFrame, path: str) -> DataFrame:
     name = shipped(df.sparkSession, path)
 
     def encode(batch: pa.RecordBatch) -> pa.RecordBatch:
-        bpe = load(SparkFiles.get(name))
+        bpe = held(name, lambda: load(SparkFiles.get(name)))
         n, ids, texts = [], [], []
         for text in batch.column(1).to_pylist():
             pieces = bpe.pieces(text)
@@ -160,7 +155,7 @@ def add_tokens(df: DataFrame, path: str) -> DataFrame:
     spec = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", token_ids array<int>, decoded string"
 
     def encode(batch: pa.RecordBatch) -> pa.RecordBatch:
-        bpe = load(SparkFiles.get(name))
+        bpe = held(name, lambda: load(SparkFiles.get(name)))
         ids, counts, texts = [], [0], []
         for text in batch.column(at).to_pylist():
             pieces = bpe.pieces(text or "")

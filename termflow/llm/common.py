@@ -141,6 +141,17 @@ def grouped(df: DataFrame, key: str, fn: Callable[[pa.Table, np.ndarray], pa.Rec
     return df.repartition(key).sortWithinPartitions(key).mapInArrow(run, schema)
 
 
+_held: dict[str, object] = {}
+
+
+def held(owner: object, make: Callable[[], object]) -> object:
+    """What a Python worker keeps between tasks: one operator's value at a time, so caches of earlier stages don't add up."""
+    if _held.get("owner") != owner:
+        _held.clear()
+        _held.update(owner=owner, value=make())
+    return _held["value"]
+
+
 def text_of(name: str = "text") -> Column:
     """The text, a null one empty."""
     return F.coalesce(F.col(name), F.lit(""))

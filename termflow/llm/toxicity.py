@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termflow.llm.common import crc_mod, labelled_texts, mapped, ship, table, text_of
+from termflow.llm.common import crc_mod, held, labelled_texts, mapped, ship, table, text_of
 
 FOLDS, HELD_OUT, CUT = 5, 0, 0.5
 #: Labelled texts of each class, terms and trigrams that are learnt at most.
@@ -40,7 +41,7 @@ LOOKS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb",
 MASKS, SEPARATORS = "*#?%", ".-_~'`^/\\,:;"
 #: Costs (negative logs) of the channel: reading a look-alike, any letter for a mask, dropping a separator, a letter of a run of three or more, one of two, or an unread sign.
 SWAP, MASK, DROP, AGAIN, TWICE, LOST = 0.4, 2.5, 0.3, 0.1, 3.0, 12.0
-CACHE_WORDS, ROWS = 400_000, 128
+CACHE_WORDS, ROWS = 250_000, 128
 EDGE = ".,;:!?\"'()[]{}<>|*%&#$«»„“”‘’¿¡…-–—_/\\=+~`^"
 DISGUISED = re.compile(r"[^\W\d_][^\w\s]+[^\W\d_]|[^\W\d_][\d_@$!|+€£]|[\d_@$!|+€£][^\W\d_]|([^\W\d_])\1\1")
 SPACED = re.compile(r"(?:(?<=\s)|^)[^\s](?:\s[^\s]){3,}(?=\s|$)")
@@ -187,7 +188,7 @@ def learn(documents: DataFrame, labels: DataFrame) -> dict:
     texts, counts = labelled_texts(documents, labels, "toxic", FOLDS, HELD_OUT, PER_CLASS)
     no, yes = sum(n for k, n in counts.items() if k <= 0), sum(n for k, n in counts.items() if k > 0)
     if not no or not yes:
-        return {"weights": {}, "trigrams": {}, "curve": [0.0, 0.0, math.log((yes + 0.5) / (no + 0.5)) if no > yes else -0.05]}
+        return {"id": uuid.uuid4().hex, "weights": {}, "trigrams": {}, "curve": [0.0, 0.0, math.log((yes + 0.5) / (no + 0.5)) if no > yes else -0.05]}
     found = counted(texts).groupBy("term").pivot("label", [0, 1]).agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")).fillna(0).cache()
     size = {int(k): (r or 0) for k, r in zip("01", found.filter(F.col("term") == "\t#").select("0_n", "1_n").first() or (0, 0), strict=True)}
     taken = [min(PER_CLASS, no), min(PER_CLASS, yes)]
@@ -200,7 +201,7 @@ def learn(documents: DataFrame, labels: DataFrame) -> dict:
     strong = strong.filter((F.col("g") >= min(high, max(low, low + more * math.log(taken[1] / 45)))) & (F.col("rate") >= LEAST_RATE) & (d1 * q > d0 * p)).orderBy(F.desc("g"), "term").limit(TERMS)
     weights = {r["term"]: r["rate"] for r in strong.select("term", "rate").collect()}
     tri = found.filter(F.col("term").startswith("\t") & (F.length("term") == 4)).select("term", (F.col("0_n") + F.col("1_n")).alias("n")).orderBy(F.desc("n"), "term").limit(TRIGRAMS)
-    model = {"weights": weights, "trigrams": {r["term"][1:]: r["n"] for r in tri.collect()}, "curve": [0.0, 0.0, 0.0]}
+    model = {"id": uuid.uuid4().hex, "weights": weights, "trigrams": {r["term"][1:]: r["n"] for r in tri.collect()}, "curve": [0.0, 0.0, 0.0]}
     found.unpersist()
     rows = featured(texts.select("doc_id", "text", "label"), model).orderBy("doc_id").collect()  # three numbers of PER_CLASS texts each
     y = np.array([float(r["label"] > 0) for r in rows])
@@ -209,16 +210,9 @@ def learn(documents: DataFrame, labels: DataFrame) -> dict:
     return model
 
 
-_scorers: dict[int, tuple[dict, Scorer]] = {}
-
-
 def scorer(sent) -> Scorer:
-    """This worker's scorer of a broadcast model; only the last one is kept."""
-    model = sent.value
-    if id(model) not in _scorers:
-        _scorers.clear()
-        _scorers[id(model)] = (model, Scorer(model["weights"], Channel(model["trigrams"])))
-    return _scorers[id(model)][1]
+    """This worker's scorer of a broadcast model."""
+    return held(sent.value["id"], lambda: Scorer(sent.value["weights"], Channel(sent.value["trigrams"])))
 
 
 def featured(df: DataFrame, model: dict) -> DataFrame:
