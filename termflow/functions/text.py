@@ -42,7 +42,7 @@ def collapse(text: Column) -> Column:
 def character(code: Column) -> Column:
     """The character of a code point; null if it is no scalar value."""
     valid = code.between(0, 0xD7FF) | code.between(0xE000, 0x10FFFF)
-    return F.when(valid, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32BE"))
+    return F.when(valid, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
 
 
 def decode_entities(text: Column) -> Column:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from termflow.functions import text as T
+from termflow.operators.frequency import pair_frequency
+from termflow.sources.staging import staged
 
 # Fixed values.
 NO_ENDPOINT = ["Postposition", "Copula", "Symbol"]
@@ -77,8 +79,6 @@ def promote_phrases(words: DataFrame, entries: DataFrame, longest: int = 6) -> D
     lemma_reading:string, pos:string, freq:bigint>). Each run is looked up with its reading and the voiced
     variants of it, then with its last word in citation form. Runs are of base words only.
     """
-    from termflow.operators.frequency import pair_frequency
-
     g = ngrams(words, longest)
     part = lambda i: F.element_at("parts", i)
     g = g.filter(~part(1)["pos"].isin(NO_ENDPOINT) & ~part(-1)["pos"].isin(NO_ENDPOINT))
@@ -88,11 +88,12 @@ def promote_phrases(words: DataFrame, entries: DataFrame, longest: int = 6) -> D
     cites = part(-1)["pos"].isin(CONJUGABLE) & (part(-1)["lemma"] != "") & (part(-1)["lemma"] != part(-1)["full"])
     g = g.withColumns({"form": joined("full"), "plain": joined("reading"), "offsets": offsets, "citation": F.when(cites, citation)})
     g = g.withColumn("c_form", joined("full", F.col("citation"))).withColumn("c_plain", joined("reading", F.col("citation")))
+    g = staged(g)
     row = lambda k, form, reading: F.transform(reading, lambda r, i: F.struct(F.lit(k).alias("kind"), i.alias("nth"), form.alias("form"), r.alias("reading")))
     tries = F.concat(row(0, F.col("form"), rendaku(F.col("plain"), F.col("offsets"))), F.coalesce(row(1, F.col("c_form"), rendaku(F.col("c_plain"), F.col("offsets"))), F.array().cast("array<struct<kind:int,nth:int,form:string,reading:string>>")))
     t = g.select("sentence_id", "start", "size", F.explode(tries).alias("t")).select("sentence_id", "start", "size", "t.*")
     t = t.withColumns({"word": T.fold_long_vowels(F.col("form")), "key": T.fold_long_vowels(F.col("reading"))}).withColumn("pair_id", F.concat_ws("\x1f", "word", "key"))
-    found = pair_frequency(t.select("pair_id", "word", F.col("key").alias("reading")).distinct(), entries)
+    found = staged(pair_frequency(staged(t.select("pair_id", "word", F.col("key").alias("reading")).distinct()), entries))
     best = t.join(found, "pair_id").groupBy("sentence_id", "start", "size").agg(F.min_by(F.struct("kind", "form", "reading", "frequency"), F.struct("kind", "nth")).alias("b"))
     df = g.join(best, ["sentence_id", "start", "size"])
     lemma = F.when(F.col("b.kind") == 0, F.col("form")).otherwise(F.col("b.form"))

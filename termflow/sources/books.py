@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termflow.functions import text as T
+from termflow.sources.staging import ship
 
 # Fixed values.
 PART_CHARS, LEAST_CHARS = 10_000, 10
@@ -81,6 +82,7 @@ def read_books(spark: SparkSession, path: str) -> DataFrame:
             for p, c in zip(b["path"], b["content"], strict=True):
                 yield pd.DataFrame(open_book(p, c), columns=["path", "title", "spine_pos", "href", "toc_label", "toc_pos", "xhtml"]).astype({"toc_pos": "Int32", "spine_pos": "int32"})
 
+    ship(spark)
     return files.mapInPandas(rows, SPINE)
 
 

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
+from termflow.sources.staging import ship
+
 #: Weight of the newest value.
 ALPHA = 0.3
 #: Confirmed seeks: past so many, only the newest half stays.
@@ -50,6 +52,7 @@ class ChangeProcessor(StatefulProcessor):
 
 def stream_changes(events: DataFrame) -> DataFrame:
     """`changes` of a stream (key, ord, value)."""
+    ship(events.sparkSession)
     schema = StructType([events.schema["key"], StructField("ord", LongType()), StructField("value", StringType())])
     return events.groupBy("key").transformWithStateInPandas(ChangeProcessor(), schema, "Append", "None")
 
@@ -184,6 +187,7 @@ class FollowProcessor(StatefulProcessor):
 
 def stream_follow(log: DataFrame) -> DataFrame:
     """session, tick, action, media_id of a stream (session, tick, command, snapshot)."""
+    ship(log.sparkSession)
     return log.groupBy("session").transformWithStateInPandas(FollowProcessor(), "session string, tick long, action string, media_id string", "Append", "None")
 
 
