@@ -28,7 +28,7 @@ from termflow.llm.common import held, mapped, table, text_of
 #: Characters with the White_Space property.
 WHITE_SPACE = r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
 #: Words that a worker remembers at most.
-CACHE_WORDS = 250_000
+CACHE_WORDS = 180_000
 
 
 def byte_alphabet() -> list[str]:

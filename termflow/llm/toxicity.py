@@ -41,7 +41,7 @@ LOOKS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb",
 MASKS, SEPARATORS = "*#?%", ".-_~'`^/\\,:;"
 #: Costs (negative logs) of the channel: reading a look-alike, any letter for a mask, dropping a separator, a letter of a run of three or more, one of two, or an unread sign.
 SWAP, MASK, DROP, AGAIN, TWICE, LOST = 0.4, 2.5, 0.3, 0.1, 3.0, 12.0
-CACHE_WORDS, ROWS = 250_000, 128
+CACHE_WORDS, ROWS = 150_000, 128
 EDGE = ".,;:!?\"'()[]{}<>|*%&#$«»„“”‘’¿¡…-–—_/\\=+~`^"
 DISGUISED = re.compile(r"[^\W\d_][^\w\s]+[^\W\d_]|[^\W\d_][\d_@$!|+€£]|[\d_@$!|+€£][^\W\d_]|([^\W\d_])\1\1")
 SPACED = re.compile(r"(?:(?<=\s)|^)[^\s](?:\s[^\s]){3,}(?=\s|$)")
