@@ -57,7 +57,7 @@ def number_reading(digits: Column) -> Column:
     for k in reversed(range(4)):
         read = F.concat(*[F.get(places[p], digit(4 * k + p)) for p in (3, 2, 1, 0)])
         groups.append(F.when(read != "", F.concat(read, F.lit(MYRIADS[k]))).otherwise(""))
-    each = F.array_join(F.transform(F.split(digits, "(?!^)"), lambda d: F.get(table(["ゼロ", *DIGITS[1:]]), d.cast("int"))), "")
+    each = F.array_join(F.transform(F.split(digits, "(?<!^)(?!$)"), lambda d: F.get(table(["ゼロ", *DIGITS[1:]]), d.cast("int"))), "")
     number = F.concat(*groups)
     return F.when(~digits.rlike("^[0-9]{1,16}$"), None).when((F.length(digits) > 1) & digits.startswith("0"), each).otherwise(F.when(number == "", "ゼロ").otherwise(number))
 

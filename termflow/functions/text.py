@@ -89,7 +89,7 @@ def split_sentences(line: Column) -> Column:
 def valid_filter(spark: SparkSession, pattern: str, replacement: str = "") -> bool:
     """Whether the JVM compiles a custom pattern, checked on one row."""
     try:
-        spark.range(1).select(F.regexp_replace(F.lit("x"), pattern, replacement)).collect()
+        spark.range(1).select(F.regexp_replace(F.lit("x"), f"(?:{pattern})|(?s:.)", replacement)).collect()  # the second branch uses the replacement
     except Exception:
         return False
     return True
