@@ -23,12 +23,12 @@ import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 
-from termflow.llm.common import held, mapped, table, text_of
+from termflow.llm.common import Recent, held, mapped, table, text_of
 
 #: Characters with the White_Space property.
 WHITE_SPACE = r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
-#: Words that a worker remembers at most.
-CACHE_WORDS = 180_000
+#: Words that a worker remembers at most, twice.
+CACHE_WORDS = 120_000
 
 
 def byte_alphabet() -> list[str]:
@@ -41,21 +41,6 @@ def byte_alphabet() -> list[str]:
     return out
 
 
-class Words(dict):
-    """word -> (its ids joined by spaces, its vocabulary strings joined by spaces, how many, the ids as 32-bit numbers)."""
-
-    def __init__(self, bpe: Bpe):
-        super().__init__()
-        self.bpe = bpe
-
-    def __missing__(self, word: str):
-        ids = self.bpe.merge(word)
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        self[word] = out = (" ".join(map(str, ids)), " ".join([self.bpe.strings[i] for i in ids]), len(ids), array("i", ids).tobytes())
-        return out
-
-
 class Bpe:
     """One tokenizer file, ready to encode."""
 
@@ -72,7 +57,7 @@ class Bpe:
         self.words = regex.compile(pattern)
         self.white = regex.compile(WHITE_SPACE)
         self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
-        self.known = Words(self)
+        self.known = Recent(self.word, CACHE_WORDS)
 
     def merge(self, word: str) -> list[int]:
         """Ids of one word: the queue yields the lowest rank, leftmost first; entries whose symbols have changed since are stale."""
@@ -97,6 +82,11 @@ class Bpe:
                 heapq.heappush(queue, (r[0], h, r[1]))
         return [s for s in symbols if s >= 0]
 
+    def word(self, word: str) -> tuple[str, str, int, bytes]:
+        """A word's ids joined by spaces, its vocabulary strings joined by spaces, how many, and the ids as 32-bit numbers."""
+        ids = self.merge(word)
+        return " ".join(map(str, ids)), " ".join([self.strings[i] for i in ids]), len(ids), array("i", ids).tobytes()
+
     def pieces(self, text: str) -> list[tuple[str, str, int, bytes]]:
         """What each word of a text became, in order."""
         out: list[tuple[str, str, int, bytes]] = []

@@ -124,6 +124,28 @@ def grouped(df: DataFrame, key: str, fn: Callable[[pa.Table, np.ndarray], pa.Rec
     return df.repartition(key).sortWithinPartitions(key).mapInArrow(run, schema)
 
 
+class Recent(dict):
+    """A bounded dictionary that makes what it lacks: two generations of `limit` entries each.
+
+    When the young one is full it becomes the old one, whose entries move back as they are asked for, so
+    frequent keys stay.
+    """
+
+    def __init__(self, make: Callable, limit: int):
+        super().__init__()
+        self.make, self.limit, self.old = make, limit, {}
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= self.limit:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
 _held: dict[str, object] = {}
 
 

@@ -11,7 +11,7 @@ contaminated by an item if COVER of the item's windows, or ENOUGH of them, fit.
 
 Items shorter than a window count as one window of their own length. Defined results: null and empty
 texts or items match nothing; identical items count once, under their least item_id; repeated rows of a
-document are one; texts are read whole; empty tables give an empty result; further columns are ignored
+document are one and rows without doc_id are not looked at; texts are read whole; empty tables give an empty result; further columns are ignored
 by the query and kept by `drop_contaminated`.
 """
 
@@ -200,7 +200,7 @@ def contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     ours = ours.join(of, "id").select(F.col("id").alias("item_id"), "hash", F.col("pos").alias("at"), F.col("slots").alias("ours"), F.col("length").alias("_length"), "of")
     stats = ours.agg(F.count("*"), F.sort_array(F.collect_set("_length"))).first()  # lengths are WINDOW at most
     bitmap = spark.sparkContext.broadcast(bits_of(ours))
-    theirs = windowed(documents.select(F.col("doc_id").alias("id"), text_of().alias("text")), list(stats[1]), bitmap)
+    theirs = windowed(documents.filter("doc_id IS NOT NULL").select(F.col("doc_id").alias("id"), text_of().alias("text")), list(stats[1]), bitmap)
     theirs = theirs.select(F.col("id").alias("doc_id"), "hash", "pos", F.col("slots").alias("theirs"), "length")
     both = theirs.join(small_side(ours, stats[0]), "hash").filter("length = _length")
     key = F.concat_ws(":", "doc_id", "item_id")

@@ -14,7 +14,8 @@
    size, each pair of blocks is one task, and there all sets are intersected exactly (64-bit shingle
    hashes). Links that hold give the components that are returned. No step emits all pairs.
 
-Defined results: documents without words have no shingles, are linked with nothing and are kept; a text
+Defined results: documents without words have no shingles, are linked with nothing and are kept; so is a
+row without doc_id, with a null component; a text
 with fewer than five words is one shingle; repeated rows of a doc_id are one document; an empty table
 gives an empty result; further columns are ignored by the query and kept by `drop_near_duplicates`.
 """
@@ -322,7 +323,7 @@ def similar(sets: list[np.ndarray]) -> np.ndarray:
 def near_duplicates(documents: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every document."""
     marks = cut(fingerprints(documents))
-    classes = marks.filter("set_key IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.max("signature").alias("signature"), F.max("n_shingles").alias("n_shingles"))
+    classes = marks.filter("set_key IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.max("signature").alias("signature"), F.max("n_shingles").alias("n_shingles"))
     short = F.unhex(F.concat(*[F.substring(F.hex("signature"), 8 * c + 1, 2) for c in range(COORDS)]))
     classes = cut(classes.select("set_key", "rep", "signature", "n_shingles", short.alias("short")))
     candidates = cut(candidate_links(classes))
@@ -331,8 +332,8 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     parts = components(links).withColumnsRenamed({"node": "_node"})
     of = classes.select(F.col("set_key").alias("_key"), "rep").join(parts, F.col("rep") == F.col("_node"), "left").select("_key", F.coalesce("component", "rep").alias("component"))
     df = marks.select("doc_id", "n_shingles", "set_key").join(of, F.col("set_key") == F.col("_key"), "left")
-    df = df.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
-    return df.select("*", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+    df = df.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
+    return df.select("*", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def drop_near_duplicates(df: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ chunks of bounded size, one exchange that all passes reuse.
 4. Each chunk marks covered bytes and hashes what is left.
 
 Defined results: a null text counts as empty (nothing removed, the empty string's hash); rows of equal
-doc_id count as one document for "smaller"; texts shorter than LENGTH bytes lose nothing; texts are read
+doc_id count as one document for "smaller"; a row without doc_id loses nothing and gives nothing; texts shorter than LENGTH bytes lose nothing; texts are read
 whole; an empty table gives an empty result; further columns are ignored.
 """
 
@@ -376,6 +376,9 @@ def ddl(schema: pa.Schema) -> str:
 
 def deduplicate(documents: DataFrame, chunk_bytes: int = CHUNK_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document."""
+    nameless = documents.filter("doc_id IS NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.encode(text_of(), "UTF-8").alias("b"))
+    nameless = nameless.select("doc_id", F.octet_length("b").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2("b", 256).alias("kept_sha256"))
+    documents = documents.filter("doc_id IS NOT NULL")
     total = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunks, buckets = max(1, math.ceil(total / chunk_bytes)), max(1, math.ceil(total / bucket_bytes))
     ship(documents.sparkSession)
@@ -387,7 +390,8 @@ def deduplicate(documents: DataFrame, chunk_bytes: int = CHUNK_BYTES, bucket_byt
     empty = lambda s: s.empty_table()
     runs = docs.groupBy("chunk").cogroup(asked.groupBy("chunk")).applyInArrow(lambda t, a: send_runs(number(t), Chunk(t), a, buckets) if t.num_rows else empty(RUNS), ddl(RUNS))
     told = runs.groupBy("bucket").applyInArrow(answer_runs, ddl(FIRSTS))
-    return docs.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(lambda t, a: finish(Chunk(t), a) if t.num_rows else empty(RESULT), ddl(RESULT))
+    done = docs.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(lambda t, a: finish(Chunk(t), a) if t.num_rows else empty(RESULT), ddl(RESULT))
+    return done.unionByName(nameless)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

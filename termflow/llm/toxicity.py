@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termflow.llm.common import crc_mod, held, labelled_texts, mapped, ship, table, text_of
+from termflow.llm.common import Recent, crc_mod, held, labelled_texts, mapped, ship, table, text_of
 
 FOLDS, HELD_OUT, CUT = 5, 0, 0.5
 #: Labelled texts of each class, terms and trigrams that are learnt at most.
@@ -41,7 +41,7 @@ LOOKS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb",
 MASKS, SEPARATORS = "*#?%", ".-_~'`^/\\,:;"
 #: Costs (negative logs) of the channel: reading a look-alike, any letter for a mask, dropping a separator, a letter of a run of three or more, one of two, or an unread sign.
 SWAP, MASK, DROP, AGAIN, TWICE, LOST = 0.4, 2.5, 0.3, 0.1, 3.0, 12.0
-CACHE_WORDS, ROWS = 150_000, 128
+CACHE_WORDS, ROWS = 120_000, 128
 EDGE = ".,;:!?\"'()[]{}<>|*%&#$«»„“”‘’¿¡…-–—_/\\=+~`^"
 DISGUISED = re.compile(r"[^\W\d_][^\w\s]+[^\W\d_]|[^\W\d_][\d_@$!|+€£]|[\d_@$!|+€£][^\W\d_]|([^\W\d_])\1\1")
 SPACED = re.compile(r"(?:(?<=\s)|^)[^\s](?:\s[^\s]){3,}(?=\s|$)")
@@ -118,29 +118,26 @@ def terms(word: str) -> list[str]:
     return [word + "$", *(word[:k] for k in range(SHORTEST, min(LONGEST, len(word)) + 1))] if len(word) >= 2 else []
 
 
-class Scorer(dict):
-    """raw word -> weight of its restored form's strongest term (0 for most)."""
+class Scorer:
+    """Weights of raw words: that of the restored form's strongest term (0 for most)."""
 
     def __init__(self, weights: dict[str, float], channel: Channel):
-        super().__init__()
-        self.weights, self.channel = weights, channel
+        self.weights, self.channel, self.known = weights, channel, Recent(self.raw, CACHE_WORDS)
 
     def of(self, word: str) -> float:
         return max([self.weights.get(t, 0.0) for t in terms(word)], default=0.0)
 
-    def __missing__(self, word: str) -> float:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
+    def raw(self, word: str) -> float:
         value = self.of(restored(word, self.channel))
         if not value and any(c in LOOKS for c in word[:1] + word[-1:]) and any(c.isalpha() for c in word):
             value = self.of(self.channel.decode(word))
-        self[word] = value
         return value
 
     def features(self, text: str) -> tuple[float, float]:
         """Summed weight and weight per hundred words, as logs."""
         words, spaced = readings(text)
-        total = sum([self[w] for w in words]) + sum([self[s.replace(" ", "")] for s in spaced])
+        known = self.known
+        total = sum([known[w] for w in words]) + sum([known[s.replace(" ", "")] for s in spaced])
         return math.log1p(total), math.log1p(100 * total / max(1, len(words)))
 
 
