@@ -1,0 +1,320 @@
+"""The training-data operators against brute force, the tokenizers library, SQL or held-out labels; and their edge cases."""
+
+import collections
+import hashlib
+import random
+import re
+
+import numpy as np
+import pytest
+from conftest import DATA
+from oracle import same
+from pyspark.sql import functions as F
+
+from termflow.llm import bpe, components, decontam, language_id, near_dedup, quality_rules, queries, rule_ensemble, secrets, suffix_dedup, toxicity, url_filter
+
+SMALL = "/root/testdata/sf0.01"
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, score string, kept string, component string, key string, n_words string, words string, template string"
+LABELS = "doc_id long, quality int, toxic int"
+WORD = "[^ \t-\r]+"
+
+
+@pytest.fixture(scope="module")
+def documents(spark):
+    return spark.read.parquet(f"{DATA}/documents.parquet")
+
+
+@pytest.fixture(scope="module")
+def texts(documents):
+    return {r["doc_id"]: r["text"] for r in documents.collect()}
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Nulls in every column, empty and very long texts, ties, repeated rows, clashing further columns."""
+    long = " ".join(f"word{i % 977} and" for i in range(20_000))
+    rows = [(1, None, None, None), (2, "", "en", "a"), (3, long, None, "a"), (4, long, "en", None), (None, "some text of nobody in particular here", "en", "a"), (5, "the same row twice, with password=hunter2222", "en", "b"), (5, "the same row twice, with password=hunter2222", "en", "b"), (6, " \n\t ", "de", "b"), (7, "\U0001f600 é\x00", "fr", "b"), (8, "one", "en", "b"), (9, "ONE", "en", "b")]
+    return spark.createDataFrame([(*r, 0, "s", "k", "c", "x", "n", "w", "t") for r in rows], DOCS)
+
+
+@pytest.fixture(scope="module")
+def labels(spark):
+    return spark.createDataFrame([(1, 1, 0), (2, 0, 1), (3, 1, 0), (None, 1, 1), (4, None, None), (8, 0, 1), (8, 1, 0)], LABELS)
+
+
+@pytest.fixture(scope="module")
+def nothing(odd):
+    return odd.limit(0)
+
+
+def frame(df, tmp, name):
+    """A table as the queries read it."""
+    df.coalesce(1).write.mode("overwrite").parquet(f"{tmp}/{name}.parquet")
+
+
+@pytest.mark.parametrize("name", ["op1_secrets", "op2_language_id", "op3_near_dedup", "op4_quality", "op6_bpe", "op7_quality_rules", "op8_toxicity", "op9_suffix_dedup"])
+@pytest.mark.parametrize("empty", [False, True])
+def test_edge_cases(spark, odd, nothing, labels, tmp_path, name, empty):
+    frame(nothing if empty else odd, tmp_path, "documents")
+    frame(labels.limit(0) if empty else labels, tmp_path, "labels")
+    rows = queries.queries()[name](spark, str(tmp_path)).collect()
+    assert len(rows) == (0 if empty else odd.count())
+    for r in rows:
+        d = r.asDict()
+        if "score" in d:
+            assert 0 <= d["score"] <= 1
+    if name == "op3_near_dedup" and not empty:
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in rows}
+        assert got[1] == (0, 1, True) and got[4][1:] == (3, False) and got[None][1:] == (None, True) and got[9] == (1, 8, False)
+    if name == "op9_suffix_dedup" and not empty:
+        got = {r["doc_id"]: r for r in rows}
+        assert got[4]["n_removed"] == got[4]["n_bytes"] > 0 and got[5]["n_removed"] == 0 and got[4]["kept_sha256"] == hashlib.sha256(b"").hexdigest()
+
+
+def test_edge_cases_of_leaks(spark, odd, nothing):
+    items = spark.createDataFrame([(1, None), (2, ""), (3, "too short"), (None, "an item of nobody"), (4, "the same row twice, with password=hunter2222"), (5, "the same row twice, with password=hunter2222")], "item_id long, text string")
+    assert [(r["doc_id"], r["item_id"]) for r in decontam.leaks(odd, items).collect()] == [(5, 4)]
+    assert decontam.leaks(nothing, items).count() == 0 and decontam.leaks(odd, items.limit(0)).count() == 0
+    assert decontam.drop_contaminated(odd, items).count() == odd.count() - 2
+
+
+def test_edge_cases_of_urls(spark, labels):
+    urls = [None, "", "no scheme", "http://", "HTTP://A.Example.COM", "x://h/a/b/c/d/e/f?q#f", "x://example.com/en/70", "x://sub.com/en/1", "x://com/en/", "x://example.net/de/8", "x://a.net/de/7", "x://org/es/1", "x://notcom/en/1", "x://a.com?/en/", "x://b/é#"]
+    pages = spark.createDataFrame([(i, u, None, "t") for i, u in enumerate(urls)] + [(None, urls[5], None, "t")] * 2, "page_id long, url string, html string, host string")
+    got = {r["page_id"]: r for r in url_filter.judge(pages, labels).collect()}
+    assert [(got[i]["host"], got[i]["path"]) for i in (0, 2, 3, 4, 13)] == [("", ""), ("", ""), ("", ""), ("a.example.com", ""), ("a.com", "")]
+    assert [(got[i]["rule"], got[i]["verdict"]) for i in (6, 7, 8, 9, 10, 11, 12)] == [("example.com/en/7", "allow"), ("com/en/", "block"), ("com/en/", "block"), ("example.net/de/8", "block"), ("net/de/", "allow"), ("org/es/", "block"), (None, "allow")]
+    assert got[5]["template"] == "/*/*/*/*/**" and url_filter.judge(pages, labels).count() == len(urls) + 2
+    assert url_filter.judge(pages.limit(0), labels).count() == 0
+
+
+def test_url_templates_are_learnt(spark):
+    pages = [(i, f"x://h.example/{'bad' if i % 2 else 'good'}/{i}") for i in range(400)]
+    df = spark.createDataFrame(pages, "page_id long, url string")
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i in range(300)], "doc_id long, quality int")
+    got = {(r["template"], r["verdict"]) for r in url_filter.judge(df, labels).collect()}
+    assert got == {("/bad/*", "block"), ("/good/*", "allow")}
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_sql(spark, name):
+    same(queries.queries()[name](spark, DATA), queries.oracle_sql()[name], DATA)
+
+
+def test_bpe_equals_the_library(texts):
+    from tokenizers import Tokenizer
+
+    own, lib = bpe.load(bpe.tokenizer_path()), Tokenizer.from_file(bpe.tokenizer_path())
+    rng = random.Random(5)
+    more = ["", "<|endoftext|>a <|startoftext|>", "ΑΣ İI ﬁ e\u0301 it's 12½", "\x85 x\u3000y"] + ["".join(chr(rng.choice([rng.randrange(9, 127), rng.randrange(0xA0, 0x250)])) for _ in range(40)) for _ in range(300)]
+    for t in [*list(texts.values())[:120], *more]:
+        ids = lib.encode(t, add_special_tokens=False).ids
+        assert own.encode(t) == ids and own.decode(ids) == lib.decode(ids, skip_special_tokens=False)
+
+
+def test_bpe_columns(spark, documents, texts):
+    rows = bpe.add_tokens(documents, bpe.tokenizer_path()).limit(20).collect()
+    own = bpe.load(bpe.tokenizer_path())
+    assert all(r["token_ids"] == own.encode(texts[r["doc_id"]]) and r["decoded"] == own.decode(r["token_ids"]) for r in rows)
+
+
+def test_secrets_against_brute_force(documents, texts):
+    keyword = "|".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token", "api_?key"))
+    kinds = [("assign", rf"""({keyword})["']? *[:=] *["']?([A-Za-z0-9+/_.=-]+)""", 2, 6), ("access", "(AKIA[A-Z0-9]+)", 1, 20), ("hex", "([0-9a-f]+)", 1, 24)]
+    for r in secrets.digest_spans(documents).collect():
+        spans = sorted((m.start(), k, m.end()) for k, (_, p, g, n) in enumerate(kinds) for m in re.finditer(p, texts[r["doc_id"]]) if len(m[g]) >= n)
+        named = ",".join(f"{kinds[k][0]}:{a}:{b}" for a, k, b in spans)
+        assert r["base_sha256"] == hashlib.sha256(named.encode()).hexdigest()
+        assert set(named.split(",")) <= set(r["spans"].split(","))
+        assert [r["n_assign"], r["n_access"], r["n_hex"]] == [sum(s[1] == k for s in spans) for k in range(3)]
+
+
+def test_markov_finds_random_strings(spark, documents):
+    rng = random.Random(3)
+    made = ["".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(32)) for _ in range(60)]
+    plain = [t for t in ("theinandreationstheringer", "under_the_standard_license_header")]
+    df = documents.unionByName(spark.createDataFrame([(10_000 + i, f"see {w} there", "en", "x", 1) for i, w in enumerate(made + plain)], documents.schema))
+    got = {r["doc_id"]: r for r in secrets.digest_spans(df).filter("doc_id >= 10000").collect()}
+    assert sum(got[10_000 + i]["n_markov"] == 1 and f"markov:4:{4 + 32}" in got[10_000 + i]["spans"] for i in range(60)) >= 58
+    assert all(got[10_060 + i]["n_markov"] == 0 for i in range(len(plain)))
+    text = secrets.redact(df).filter("doc_id = 10000").first()
+    assert text["text"] == "see <secret> there" and text["n_chars"] == 18
+
+
+def test_language(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    r = language_id.query(spark, SMALL).join(docs.select("doc_id", "lang"), "doc_id").filter("held_out")
+    assert r.filter("lang = lang_pred").count() >= 0.97 * r.count()
+
+
+@pytest.mark.parametrize(("module", "label", "least"), [(rule_ensemble, "quality", 0.97), (toxicity, "toxic", 0.95)])
+def test_held_out_labels(spark, module, label, least):
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    r = module.query(spark, "/root/testdata/sf0.1").join(labels, "doc_id").filter("held_out")
+    assert r.filter(F.col("predicted") == F.col(label)).count() >= least * r.count()
+
+
+def test_deobfuscation(texts):
+    tri = collections.Counter()
+    for t in texts.values():
+        for w in toxicity.readings(t)[0]:
+            if (w := toxicity.restored(w, None)).isalpha():
+                tri.update("".join(x) for x in zip("^^" + w, "^" + w + "$", w + "$", strict=False))
+    s = toxicity.Scorer({"idiot$": 5.0, "moron$": 5.0, "scum$": 5.0}, toxicity.Channel(tri))
+    for w in ("1d10t", "id!ot", "idiooot", "i.d.i.o.t", "m0r0n", "m-o-r-o-n", "idiot!!", "sssscum", "“idiot”"):
+        assert s.known[w] == 5.0, w
+    assert s.known["thing***"] == 0 and s.features("clean words") == (0.0, 0.0)
+    assert s.features("an i d i o t and m o r o n")[0] == pytest.approx(np.log1p(10))
+
+
+def brute_components(texts):
+    sets = {}
+    for i, t in texts.items():
+        w = re.findall(WORD, t.translate({c: c + 32 for c in range(65, 91)}))
+        if w:
+            sets[i] = frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4)))
+    best = {i: i for i in texts}
+    ids = sorted(sets)
+    edges = [(a, b) for x, a in enumerate(ids) for b in ids[x + 1 :] if 100 * (n := len(sets[a] & sets[b])) >= 85 * (len(sets[a]) + len(sets[b]) - n)]
+    for _ in ids:
+        before = dict(best)
+        for a, b in edges:
+            best[a] = best[b] = min(best[a], best[b])
+        if best == before:
+            break
+    return {i: (len(sets.get(i, ())), best[i]) for i in texts}
+
+
+def variants(texts, n=260):
+    """Copies of one text with a few words changed: similarities on both sides of the threshold."""
+    rng, base = random.Random(1), max(texts.values(), key=len).split()[:120]
+    out = {}
+    for k in range(n):
+        w = [*base]
+        for _ in range(rng.randrange(4)):
+            w[rng.randrange(len(w))] = f"new{rng.randrange(1000)}"
+        out[5000 + k] = " ".join(w)
+    return out
+
+
+def test_near_duplicates_against_brute_force(spark, documents, texts):
+    every = texts | variants(texts)
+    df = spark.createDataFrame(list(every.items()), "doc_id long, text string")
+    want = brute_components(every)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.near_duplicates(df).collect()}
+    assert got == want
+    assert near_dedup.drop_near_duplicates(df).count() == sum(c == i for i, (_, c) in want.items())
+
+
+def test_long_lists_and_blocks(spark, texts, monkeypatch):
+    """The ways for long lists and large components give the same result."""
+    every = variants(texts, 90) | {i: t for i, t in list(texts.items())[:40]}
+    df = spark.createDataFrame(list(every.items()), "doc_id long, text string")
+    monkeypatch.setattr(near_dedup, "LONG", 6)
+    monkeypatch.setattr(near_dedup, "BLOCK", 16)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.near_duplicates(df).collect()} == brute_components(every)
+
+
+def test_components(spark):
+    rng = random.Random(2)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(400, 440)]
+    best = {x: x for e in edges for x in e if e[0] != e[1]}
+    for _ in range(60):
+        for a, b in edges:
+            if a != b:
+                best[a] = best[b] = min(best[a], best[b])
+    got = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == best
+
+
+def brute_repeats(texts):
+    first = {}
+    data = {i: (t or "").encode() for i, t in texts.items()}
+    for i, b in data.items():
+        for p in range(len(b) - 49):
+            w = b[p : p + 50]
+            first[w] = min(i, first.get(w, i))
+    out = {}
+    for i, b in data.items():
+        gone = np.zeros(len(b), bool)
+        for p in range(len(b) - 49):
+            if first[b[p : p + 50]] < i:
+                gone[p : p + 50] = True
+        spans = int((gone & ~np.concatenate([[False], gone[:-1]])).sum()) if len(b) else 0
+        out[i] = (len(b), int(gone.sum()), spans, hashlib.sha256(np.frombuffer(b, np.uint8)[~gone].tobytes()).hexdigest())
+    return out
+
+
+@pytest.mark.parametrize("size", [1 << 23, 60_000])
+def test_repeats_against_brute_force(spark, texts, size):
+    rng = random.Random(4)
+    every = dict(list(texts.items())[:110])
+    passage = "".join(rng.choice("abcdefgh é") for _ in range(140))
+    for k in range(60):
+        a, b = sorted(rng.randrange(141) for _ in range(2))
+        every[900 - k] = "x" * rng.randrange(9) + passage[a:b] + "é" * rng.randrange(70) + passage[:50]
+    df = spark.createDataFrame(list(every.items()), "doc_id long, text string")
+    got = {r[0]: tuple(r)[1:] for r in suffix_dedup.deduplicate(df, size, size).collect()}
+    assert got == brute_repeats(every)
+
+
+def test_interleave():
+    """Merged intervals are those of sorting all windows together."""
+    rng = np.random.default_rng(1)
+    base = rng.integers(97, 100, 400).astype(np.uint8)
+    strings = [base[a : a + 60 + int(k)] for a, k in zip(rng.integers(0, 300, 30), rng.integers(0, 40, 30), strict=True)]
+    sizes = np.array([len(s) for s in strings])
+    docs, shard = rng.permutation(30), np.arange(30) % 3
+    low, bounds = suffix_dedup.first_documents(sizes, np.concatenate(strings), docs, shard)
+    best = {}
+    for s, d in zip(strings, docs, strict=True):
+        for p in range(len(s) - 49):
+            w = s[p : p + 50].tobytes()
+            best[w] = min(d, best.get(w, d))
+    for k, s in enumerate(strings):
+        assert [best[s[p : p + 50].tobytes()] for p in range(len(s) - 49)] == low[bounds[k] : bounds[k + 1]].tolist()
+
+
+def test_leaks(spark, documents):
+    items = spark.read.parquet(f"{SMALL}/benchmark.parquet")
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    passages = {r["item_id"]: r["text"] for r in items.collect()}
+    want = {r["doc_id"] for r in docs.collect() if any(p in r["text"] for p in passages.values())}
+    assert {r["doc_id"] for r in decontam.leaks(docs, items).collect()} == want
+
+
+def test_reparameterised_leaks(spark):
+    ask = "So {} has {} apples and gives {} {} of the red ones to every child before they all drive {} to school together, and how many apples does {} keep at the end of the day."
+    items = spark.createDataFrame([(1, ask.format("Tom", 5, "Mary", 3, "40 miles", "Tom"))], "item_id long, text string")
+    docs = [(1, ask.format("Bob", 9, "Ann", 2, "70 km", "Bob")), (2, "Text before. " + ask.format("Tom", 5, "Mary", 3, "40 miles", "Tom") + " And after."), (3, "So nobody has apples and the children walk to school."), (4, ask.format("Bob", 9, "Ann", 2, "70 km", "Zoe"))]
+    got = {r["doc_id"]: r for r in decontam.leaks(spark.createDataFrame(docs, "doc_id long, text string"), items).collect()}
+    assert {1, 2} <= set(got) and 3 not in got and got[1]["n_changed"] == 6 and got[2]["n_changed"] == 0
+
+
+def test_pipeline(spark, tmp_path):
+    import corpus_pipeline as p
+
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    out = p.run(spark, SMALL)
+    assert set(docs.columns) < set(out.columns) and [n for n, _ in p.STAGES] == ["toxicity", "near_dedup", "decontamination", "secrets", "tokens"]
+    toxic = toxicity.query(spark, SMALL).filter("predicted = 1").select("doc_id")
+    clean = docs.join(toxic, "doc_id", "left_anti")
+    single = near_dedup.near_duplicates(clean).filter("kept").select("doc_id")
+    leaked = decontam.leaks(clean.join(single, "doc_id"), spark.read.parquet(f"{SMALL}/benchmark.parquet")).select("doc_id")
+    want = {r[0] for r in single.join(leaked, "doc_id", "left_anti").collect()}
+    rows = out.select("doc_id", "text").collect()
+    assert {r["doc_id"] for r in rows} == want and len(rows) == len(want)
+    assert not any(re.search("[0-9a-f]{24}", r["text"]) for r in rows)
+
+
+def test_quality_thresholds_follow_the_group(spark):
+    rows = [(i, " ".join(f"w{j}" for j in range(30)) + " #" * (i % 7), "en", "a" if i < 400 else "b") for i in range(600)] + [(9999, "# " * 40 + " ".join(f"w{j}" for j in range(30)), "en", "a")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    m = quality_rules.measures(df)
+    r = {x["doc_id"]: x for x in quality_rules.judge(m, quality_rules.thresholds(m)).collect()}
+    assert not r[9999]["kept"] and r[0]["kept"]
+
+
+@pytest.fixture(scope="module", autouse=True)
+def _quiet(spark):
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
