@@ -356,3 +356,7 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)
+
+
+# registers its queries on import
+from termflow.plans import more as _more  # noqa: E402, F401
