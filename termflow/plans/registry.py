@@ -204,8 +204,8 @@ def frequency_lookup(spark, sf_dir):
 def known_vocab_best_match(spark, sf_dir):
     customer = table(spark, sf_dir, "customer")
     vocab = customer.select(F.col("c_custkey").alias("vocab_idx"), F.col("c_mktsegment").alias("term"), F.concat(F.lower("c_mktsegment"), (F.col("c_custkey") % 7).cast("string")).alias("reading"), (F.col("c_custkey") % 40).cast("double").alias("interval"))
-    segments = customer.select(F.col("c_mktsegment").alias("word")).distinct()
-    forms = table(spark, sf_dir, "supplier").select("s_suppkey").join(F.broadcast(segments))  # five segments
+    segments = [r[0] for r in customer.select("c_mktsegment").distinct().orderBy("c_mktsegment").limit(10).collect()]  # the schema has five
+    forms = table(spark, sf_dir, "supplier").select("s_suppkey", F.explode(F.array(*map(F.lit, segments))).alias("word"))
     forms = forms.select(F.struct("s_suppkey", "word").alias("form_id"), "word", F.concat(F.lower("word"), (F.col("s_suppkey") % 9).cast("string")).alias("reading"), F.lit("Noun").alias("pos"))
     return vocabulary.best_match(forms, vocab).select(F.col("form_id.s_suppkey").alias("form_id"), F.col("form_id.word").alias("word"), "score", "vocab_idx")
 
@@ -227,7 +227,9 @@ def comprehension_by_group(spark, sf_dir):
     SELECT band, total::BIGINT AS total, least(coalesce(n / total, 0), 1.0)::DOUBLE AS coverage, floor(least(coalesce(c / total, 0), 1) * 1000000 + 0.5)::BIGINT AS comprehension_millionths FROM s""")
 def frequency_bands(spark, sf_dir):
     counts = tokens(spark, sf_dir).groupBy("token").agg(F.count("*").alias("n"))
-    ranked = counts.select("token", "n", F.row_number().over(Window.orderBy(F.desc("n"), "token")).alias("rank"))  # after the aggregation, one row per term
+    # ranks beyond the last band don't count, so only a top-k is ever numbered
+    top = counts.orderBy(F.desc("n"), "token").limit(summary.BANDS[-1][1])
+    ranked = top.select("token", "n", F.row_number().over(Window.orderBy(F.desc("n"), "token")).alias("rank"))
     known = ranked.filter("n > 2").select("rank", F.col("n").alias("interval"))
     df = summary.rank_bands(known, counts.count())
     return df.select("band", "total", "coverage", F.floor(F.col("comprehension") * 1000000 + 0.5).alias("comprehension_millionths"))
