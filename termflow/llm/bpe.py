@@ -15,7 +15,6 @@ import hashlib
 import heapq
 import json
 import unicodedata
-from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +24,6 @@ from pyspark.sql import DataFrame, SparkSession
 
 from termflow.llm.common import Recent, held, mapped, table, text_of
 
-#: Characters with the White_Space property.
-WHITE_SPACE = r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
 #: Words that a worker remembers at most, twice.
 CACHE_WORDS = 120_000
 
@@ -51,51 +48,55 @@ class Bpe:
         self.added = {x["content"]: x["id"] for x in spec.get("added_tokens", ())}
         self.strings = {i: s for s, i in self.vocab.items()} | {i: s for s, i in self.added.items()}
         pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
-        self.ranks = {(self.vocab[a], self.vocab[b]): (rank, self.vocab[a + b]) for rank, (a, b) in enumerate(pairs)}
-        self.bytes = byte_alphabet()
+        # a pair's key is one number, as every id is under 2**20
+        self.ranks = {self.vocab[a] << 20 | self.vocab[b]: (rank, self.vocab[a + b]) for rank, (a, b) in enumerate(pairs)}
+        alphabet = byte_alphabet()
+        self.first = [self.vocab[c] for c in alphabet]
+        self.last = [self.vocab[c + self.suffix] for c in alphabet]
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.words = regex.compile(pattern)
-        self.white = regex.compile(WHITE_SPACE)
         self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.known = Recent(self.word, CACHE_WORDS)
 
     def merge(self, word: str) -> list[int]:
         """Ids of one word: the queue yields the lowest rank, leftmost first; entries whose symbols have changed since are stale."""
-        chars = [self.bytes[b] for b in word.encode()]
-        symbols = [self.vocab[c] for c in chars[:-1]] + [self.vocab[chars[-1] + self.suffix]]
-        n, ranks = len(symbols), self.ranks
+        data, first = word.encode(), self.first
+        symbols = [first[b] for b in data]
+        symbols[-1] = self.last[data[-1]]
+        n, rank_of = len(symbols), self.ranks.get
         before, after = list(range(-1, n - 1)), [*range(1, n), -1]
-        queue = [(r[0], i, r[1]) for i in range(n - 1) if (r := ranks.get((symbols[i], symbols[i + 1])))]
+        queue = [(r[0], i, r[1]) for i in range(n - 1) if (r := rank_of(symbols[i] << 20 | symbols[i + 1]))]
         heapq.heapify(queue)
         while queue:
             _, i, merged = heapq.heappop(queue)
             j = after[i]
-            if symbols[i] < 0 or j < 0 or (now := ranks.get((symbols[i], symbols[j]))) is None or now[1] != merged:
+            if symbols[i] < 0 or j < 0 or (now := rank_of(symbols[i] << 20 | symbols[j])) is None or now[1] != merged:
                 continue
             symbols[i], symbols[j] = merged, -1
             after[i] = k = after[j]
             if k >= 0:
                 before[k] = i
-                if r := ranks.get((merged, symbols[k])):
+                if r := rank_of(merged << 20 | symbols[k]):
                     heapq.heappush(queue, (r[0], i, r[1]))
-            if (h := before[i]) >= 0 and (r := ranks.get((symbols[h], merged))):
+            if (h := before[i]) >= 0 and (r := rank_of(symbols[h] << 20 | merged)):
                 heapq.heappush(queue, (r[0], h, r[1]))
         return [s for s in symbols if s >= 0]
 
-    def word(self, word: str) -> tuple[str, str, int, bytes]:
-        """A word's ids joined by spaces, its vocabulary strings joined by spaces, how many, and the ids as 32-bit numbers."""
+    def word(self, word: str) -> tuple[str, str]:
+        """A word's ids and its vocabulary strings, each joined by spaces."""
         ids = self.merge(word)
-        return " ".join(map(str, ids)), " ".join([self.strings[i] for i in ids]), len(ids), array("i", ids).tobytes()
+        return " ".join(map(str, ids)), " ".join([self.strings[i] for i in ids])
 
-    def pieces(self, text: str) -> list[tuple[str, str, int, bytes]]:
+    def pieces(self, text: str) -> list[tuple[str, str]]:
         """What each word of a text became, in order."""
-        out: list[tuple[str, str, int, bytes]] = []
+        out: list[tuple[str, str]] = []
         for part in self.specials.split(text) if self.specials else [text]:
             if part in self.added:
-                out.append((str(self.added[part]), part, 1, array("i", [self.added[part]]).tobytes()))
+                out.append((str(self.added[part]), part))
                 continue
             # lower() would choose a final sigma by its neighbours; the tokenizer lowers character by character
-            part = self.white.sub(" ", unicodedata.normalize("NFC", part)).replace("Σ", "σ").lower()
+            # (white space needn't be made one space: no word holds any)
+            part = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
             known = self.known
             out += [known[w] for w in self.words.findall(part)]
         return out
@@ -129,8 +130,9 @@ def digest_tokens(df: DataFrame, path: str) -> DataFrame:
         n, ids, texts = [], [], []
         for text in batch.column(1).to_pylist():
             pieces = bpe.pieces(text)
-            n.append(sum([p[2] for p in pieces]))
-            ids.append(hashlib.sha256(" ".join([p[0] for p in pieces]).encode()).hexdigest())
+            own = " ".join([p[0] for p in pieces])
+            n.append(own.count(" ") + 1 if own else 0)
+            ids.append(hashlib.sha256(own.encode()).hexdigest())
             texts.append(hashlib.sha256(" ".join([p[1] for p in pieces]).encode()).hexdigest())
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(texts, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
@@ -149,10 +151,11 @@ def add_tokens(df: DataFrame, path: str) -> DataFrame:
         ids, counts, texts = [], [0], []
         for text in batch.column(at).to_pylist():
             pieces = bpe.pieces(text or "")
-            ids += [p[3] for p in pieces]
-            counts.append(sum([p[2] for p in pieces]))
+            own = np.array(" ".join([p[0] for p in pieces]).split(), np.int32)
+            ids.append(own)
+            counts.append(len(own))
             texts.append(" ".join([p[1] for p in pieces]))
-        lists = pa.ListArray.from_arrays(pa.array(np.cumsum(counts), pa.int32()), pa.array(np.frombuffer(b"".join(ids), np.int32)))
+        lists = pa.ListArray.from_arrays(pa.array(np.cumsum(counts), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *ids])))
         return pa.RecordBatch.from_arrays([*batch.columns, lists, pa.array(texts, pa.string())], [*batch.schema.names, "token_ids", "decoded"])
 
     return mapped(df, encode, spec, 64)

@@ -8,6 +8,9 @@ needs first.
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -79,6 +82,7 @@ def mapped(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None],
     """Apply `fn` to slices of at most `rows` rows, which bounds what a task holds at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release(fn.__module__)
         for batch in batches:
             for at in range(0, batch.num_rows, rows):
                 if (out := fn(batch.slice(at, rows))) is not None:
@@ -95,6 +99,7 @@ def grouped(df: DataFrame, key: str, fn: Callable[[pa.Table, np.ndarray], pa.Rec
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release(fn.__module__)
         rest: list[pa.RecordBatch] = []
         last = None
         for batch in batches:
@@ -152,11 +157,21 @@ _held: dict[str, object] = {}
 def held(owner: object, make: Callable[[], object]) -> object:
     """What a Python worker keeps between tasks: one operator's value at a time, so caches of earlier stages don't add up."""
     if _held.get("owner") != owner:
-        _held.clear()
-        _held.update(owner=owner, value=make())
+        release("")
+        _held.update(owner=owner, value=make(), module=getattr(make, "__module__", ""))
     return _held["value"]
 
 
+def release(module: str) -> None:
+    """Give back what another module's operator keeps in this worker."""
+    if _held and _held.get("module") != module:
+        _held.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # a C library without it keeps its free lists
+            ctypes.CDLL(None).malloc_trim(0)
+
+
 def text_of(name: str = "text") -> Column:
     """The text, a null one empty."""
     return F.coalesce(F.col(name), F.lit(""))

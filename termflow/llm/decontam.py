@@ -121,7 +121,7 @@ WINDOWS = "id long, hash long, pos int, slots string, length int"
 def windowed(df: DataFrame, lengths: list[int], bitmap=None) -> DataFrame:
     """id, hash, pos, slots, length of the windows of (id, text); of those in the bitmap if one is given."""
     def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        canon = held("decontam", Canon)
+        canon = held("decontam", lambda: Canon())
         bits = bitmap.value if bitmap is not None else None
         out: list[list] = [[], [], [], [], []]
         for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):

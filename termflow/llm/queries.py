@@ -14,4 +14,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_url_filter": url_filter.SQL, "op7_quality_rules": quality_rules.SQL}
+    return {"op3_near_dedup": near_dedup.SQL, "op5_url_filter": url_filter.SQL, "op7_quality_rules": quality_rules.SQL, "op9_suffix_dedup": suffix_dedup.SQL}

@@ -396,3 +396,18 @@ def deduplicate(documents: DataFrame, chunk_bytes: int = CHUNK_BYTES, bucket_byt
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deduplicate(table(spark, sf_dir, "documents"))
+
+
+SQL = f"""
+WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, p, substr(h, 2 * p + 1, {2 * LENGTH}) AS win FROM (SELECT doc_id, h, unnest(range(length(h) // 2 - {LENGTH - 1})) AS p FROM h WHERE length(h) >= {2 * LENGTH})),
+f AS (SELECT win, min(doc_id) AS first FROM w GROUP BY win),
+hit AS (SELECT w.doc_id, p FROM w JOIN f ON w.win = f.win WHERE first < w.doc_id),
+island AS (SELECT doc_id, p, sum(CASE WHEN p <= before + {LENGTH} THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY p) AS k FROM (SELECT *, coalesce(lag(p) OVER (PARTITION BY doc_id ORDER BY p), -999) AS before FROM hit)),
+gone AS (SELECT doc_id, min(p) AS a, max(p) + {LENGTH} AS b FROM island GROUP BY doc_id, k),
+cuts AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS since FROM (SELECT doc_id, a, b FROM gone UNION ALL SELECT doc_id, length(h) // 2, length(h) // 2 FROM h)),
+kept AS (SELECT c.doc_id, string_agg(substr(h, 2 * since + 1, 2 * (a - since)), '' ORDER BY a) AS kept FROM cuts c JOIN h ON c.doc_id = h.doc_id GROUP BY c.doc_id),
+n AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans FROM gone GROUP BY doc_id)
+SELECT h.doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(kept)) AS kept_sha256
+FROM h JOIN kept ON h.doc_id = kept.doc_id LEFT JOIN n ON h.doc_id = n.doc_id
+"""

@@ -17,8 +17,6 @@ DEPTH share the tail `**`; an empty table gives an empty result; further columns
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
