@@ -185,7 +185,7 @@ def brute_components(texts):
     return {i: (len(sets.get(i, ())), best[i]) for i in texts}
 
 
-def variants(texts, n=260):
+def variants(texts, n=150):
     """Copies of one text with a few words changed: similarities on both sides of the threshold."""
     rng, base = random.Random(1), max(texts.values(), key=len).split()[:120]
     out = {}
