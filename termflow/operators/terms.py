@@ -39,7 +39,7 @@ def unique_terms(terms: DataFrame) -> DataFrame:
 def rendaku(reading: Column, offsets: Column) -> Column:
     """Candidate readings of a compound: as it is, then with one inner component's first kana voiced at a time."""
     table = F.create_map(*[F.lit(x) for k, v in VOICED.items() for x in (k, v)])
-    at = lambda o: F.split(F.coalesce(F.element_at(table, F.substring(reading, o + 1, F.lit(1))), F.lit("")), "(?!^)")
+    at = lambda o: F.split(F.coalesce(F.element_at(table, F.substring(reading, o + 1, F.lit(1))), F.lit("")), "(?<!^)(?!$)")
     voiced = F.transform(offsets, lambda o: F.transform(F.filter(at(o), lambda v: v != ""), lambda v: F.concat(F.substring(reading, F.lit(1), o), v, F.substring(reading, o + 2, F.length(reading)))))
     return F.concat(F.array(reading), F.flatten(voiced))
 

@@ -54,7 +54,7 @@ def with_level(terms: DataFrame, jlpt: DataFrame) -> DataFrame:
 
 def okurigana_variants(a: Column, b: Column) -> Column:
     """Whether two non-kana words differ only where one side has kanji and the other kana."""
-    letters = lambda x: F.split(x, "(?!^)")
+    letters = lambda x: F.split(x, "(?<!^)(?!$)")
     common = lambda x, y, most: F.aggregate(F.sequence(F.lit(1), F.greatest(most, F.lit(1))), F.lit(0), lambda n, i: F.when((n == i - 1) & (i <= most) & (F.get(x, i - 1) == F.get(y, i - 1)), i).otherwise(n))
     x, y = letters(a), letters(b)
     head = common(x, y, F.least(F.size(x), F.size(y)))
