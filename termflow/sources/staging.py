@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
 import shutil
 import tempfile
@@ -15,11 +17,25 @@ def staged(df: DataFrame) -> DataFrame:
     """`df` as a written table under `spark.checkpoint.dir`, or in the warehouse where that is unset, as in tests."""
     spark = df.sparkSession
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/_staged"
-    path = f"{folder}/staged-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    own = f"{folder}/staged-{spark.sparkContext.applicationId}"
+    if own not in _folders:
+        _folders.add(own)
+        atexit.register(_remove, spark, own)
+    path = f"{own}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_folders: set[str] = set()
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    """Drop the application's tables when it ends; a session that has stopped before leaves them to the folder's owner."""
+    with contextlib.suppress(Exception):
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 _shipped: dict[str, tempfile.TemporaryDirectory] = {}
 
 
