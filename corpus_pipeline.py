@@ -13,6 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from termflow.llm import bpe, decontam, near_dedup, secrets, toxicity
 from termflow.llm.common import cut, table
 
+#: Similarity of near duplicates in percent: the query's, which test_pipeline asks of the stage.
+NEAR_PERCENT = near_dedup.PERCENT
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model, learnt from the labelled ones among them, doesn't reject."""
@@ -21,7 +24,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, that of least doc_id."""
-    return near_dedup.drop_near_duplicates(docs)
+    return near_dedup.drop_near_duplicates(docs, NEAR_PERCENT)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

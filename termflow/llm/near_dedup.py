@@ -2,10 +2,10 @@
 
 1. Whole texts become sets of hashed five-word shingles and signatures of COORDS minima. Documents with
    the same set share one class, whose representative is its least doc_id.
-2. Representatives are posted under (coordinate, value) for the first PREFIX coordinates: two signatures
-   that agree in MATCHES or more of COORDS agree in at least one of any COORDS - MATCHES + 1. Lists
+2. Representatives are posted under (coordinate, value) for the first coordinates: two signatures
+   that agree in m or more of COORDS agree in at least one of any COORDS - m + 1 (m: `matches_of`). Lists
    with one entry vanish in an aggregate of counts; in lists of up to LONG the collisions over all
-   coordinates are counted, and members that agree in MATCHES or more are linked.
+   coordinates are counted, and members that agree in m or more are linked.
 3. Longer lists (a line that many documents share) are skipped, as every representative is also posted
    under BANDS keys of WIDTH coordinates each, which two documents at the threshold share at least once
    but for a chance of 1e-4. Long lists of those are posted again under pairs of keys; what is
@@ -22,6 +22,8 @@ gives an empty result; further columns are ignored by the query and kept by `dro
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -30,11 +32,10 @@ from pyspark.sql import functions as F
 from termflow.llm.common import cut, drop_cut, grouped, mapped, small_side, table, text_of
 from termflow.llm.components import components
 
-#: Words of a shingle, and the threshold: 100 * intersection >= PERCENT * union.
+#: Words of a shingle, and the query's threshold: 100 * intersection >= PERCENT * union.
 WORDS, PERCENT = 5, 85
-#: Signature length, agreements of a candidate, single coordinates that are posted.
-COORDS, MATCHES = 64, 40
-PREFIX = COORDS - MATCHES + 1
+#: Signature length, and the chance at most that a pair at the threshold has fewer agreements than a candidate needs.
+COORDS, MISS = 64, 3e-6
 BANDS, WIDTH = 10, 3
 #: Entries of a list within which all members are compared by signature.
 LONG = 256
@@ -53,6 +54,14 @@ TURN = _odd(COORDS, np.uint32)
 BAND = np.array([_rng.permutation(COORDS)[:WIDTH] for _ in range(BANDS)])
 
 
+def matches_of(percent: int) -> int:
+    """Agreements of a candidate: the most that a pair at the threshold misses with a chance of MISS or less (40 at 85 %, 35 at 80 %)."""
+    p, below, m = percent / 100, 0.0, 0
+    while (below := below + math.comb(COORDS, m) * p**m * (1 - p) ** (COORDS - m)) <= MISS:
+        m += 1
+    return m
+
+
 def mixed(x: np.ndarray, k: int = 0) -> np.ndarray:
     """Spread 64-bit values."""
     x = (x ^ (x >> np.uint64(31))) * MIX[k]
@@ -165,14 +174,15 @@ def matrix(column: pa.ChunkedArray | pa.Array, kind) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), -1)
 
 
-def postings(classes: DataFrame) -> DataFrame:
-    """key, band (-1 for a single coordinate), rep: PREFIX + BANDS rows a class."""
+def postings(classes: DataFrame, percent: int) -> DataFrame:
+    """key, band (-1 for a single coordinate), rep: one row a class for each of COORDS - matches + 1 coordinates and of BANDS bands."""
+    prefix = COORDS - matches_of(percent) + 1
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         sign = matrix(batch.column(1), np.uint32)
-        keys = [key_of(sign[:, [c]], c) for c in range(PREFIX)] + [key_of(sign[:, b], COORDS + k) for k, b in enumerate(BAND)]
-        band = np.repeat(np.array([-1] * PREFIX + list(range(BANDS)), np.int8), len(sign))
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(band), pa.array(np.tile(batch.column(0).to_numpy(), PREFIX + BANDS))], ["key", "band", "rep"])
+        keys = [key_of(sign[:, [c]], c) for c in range(prefix)] + [key_of(sign[:, b], COORDS + k) for k, b in enumerate(BAND)]
+        band = np.repeat(np.array([-1] * prefix + list(range(BANDS)), np.int8), len(sign))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(band), pa.array(np.tile(batch.column(0).to_numpy(), prefix + BANDS))], ["key", "band", "rep"])
 
     return mapped(classes.select("rep", "signature"), run, "key long, band byte, rep long", 4096)
 
@@ -208,8 +218,8 @@ def stars(agree: np.ndarray) -> np.ndarray:
         label = new
 
 
-def counted_links(lists: DataFrame) -> DataFrame:
-    """From lists (key, rep, signature) of at most LONG members: links of members that agree in MATCHES coordinates or more, as stars."""
+def counted_links(lists: DataFrame, matches: int) -> DataFrame:
+    """From lists (key, rep, signature) of at most LONG members: links of members that agree in `matches` coordinates or more, as stars."""
     short = lists.select("key", "rep", "signature")
 
     def run(got: pa.Table, bounds: np.ndarray) -> pa.RecordBatch | None:
@@ -217,7 +227,7 @@ def counted_links(lists: DataFrame) -> DataFrame:
         sizes, a, b = np.diff(bounds), [], []
         two = bounds[:-1][sizes == 2]
         if len(two):
-            yes = two[(sign[two] == sign[two + 1]).sum(1) >= MATCHES]
+            yes = two[(sign[two] == sign[two + 1]).sum(1) >= matches]
             a.append(rep[yes])
             b.append(rep[yes + 1])
         for k in np.flatnonzero(sizes > 2):
@@ -225,7 +235,7 @@ def counted_links(lists: DataFrame) -> DataFrame:
             agree = np.zeros((len(own), len(own)), np.uint8)
             for c in range(COORDS):
                 agree += own[:, c, None] == own[None, :, c]
-            least = stars(agree >= MATCHES)
+            least = stars(agree >= matches)
             far = least != np.arange(len(ids))
             a.append(ids[far])
             b.append(ids[least[far]])
@@ -242,23 +252,23 @@ def listed(posted: DataFrame) -> DataFrame:
     return posted.join(sizes, "key")
 
 
-def candidate_links(classes: DataFrame) -> DataFrame:
+def candidate_links(classes: DataFrame, percent: int) -> DataFrame:
     """a, b: links that join all classes that may be similar into components."""
     # the low eight bits of each coordinate (the first byte) are enough to count agreements: one in 256 agrees by chance
     short = classes.select(F.col("rep").alias("_rep"), "short")
-    lists = cut(listed(postings(classes)))
+    lists = cut(listed(postings(classes, percent)))
     few = lists.filter(f"n <= {LONG}").join(short, F.col("rep") == F.col("_rep")).select("key", "rep", F.col("short").alias("signature"))
-    out = counted_links(few)
+    out = counted_links(few, matches_of(percent))
     long = lists.filter(f"n > {LONG} AND band >= 0").select("band", "rep")
     if long.isEmpty():
         return out
     pairs = paired_postings(long.join(classes.select(F.col("rep").alias("_rep"), "signature"), F.col("rep") == F.col("_rep")))
     pairs = cut(listed(pairs.distinct()))
     few = pairs.filter(f"n <= {LONG}").join(short, F.col("rep") == F.col("_rep")).select("key", "rep", F.col("short").alias("signature"))
-    return out.unionByName(counted_links(few)).unionByName(pairs.filter(f"n > {LONG} AND rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")))
+    return out.unionByName(counted_links(few, matches_of(percent))).unionByName(pairs.filter(f"n > {LONG} AND rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")))
 
 
-def exact_links(documents: DataFrame, classes: DataFrame, candidates: DataFrame) -> DataFrame:
+def exact_links(documents: DataFrame, classes: DataFrame, candidates: DataFrame, percent: int) -> DataFrame:
     """a, b: links over the threshold, as stars inside each pair of blocks of each component of the candidates."""
     members = components(candidates).join(classes.select(F.col("rep").alias("node"), "n_shingles"), "node")
     sizes = members.groupBy("component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("weight"))
@@ -275,10 +285,10 @@ def exact_links(documents: DataFrame, classes: DataFrame, candidates: DataFrame)
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     dealt = with_sets.select("component", "block", "doc_id", "shingles", other.alias("_o"))
     key = F.concat_ws(":", "component", F.least("block", "_o"), F.greatest("block", "_o"))
-    return grouped(dealt.select(key.alias("key"), "doc_id", "shingles"), "key", verified, "a long, b long")
+    return grouped(dealt.select(key.alias("key"), "doc_id", "shingles"), "key", lambda got, bounds: verified(got, bounds, percent), "a long, b long")
 
 
-def verified(got: pa.Table, bounds: np.ndarray) -> pa.RecordBatch | None:
+def verified(got: pa.Table, bounds: np.ndarray, percent: int) -> pa.RecordBatch | None:
     """Stars of the links over the threshold in each group (key, doc_id, shingles)."""
     ids, blobs, a, b = got.column(1).to_numpy(), got.column(2), [], []
     for x, y in zip(bounds[:-1], bounds[1:], strict=True):
@@ -286,7 +296,7 @@ def verified(got: pa.Table, bounds: np.ndarray) -> pa.RecordBatch | None:
         if len(own) < 2:
             continue
         sets = [np.frombuffer(blobs[x + int(i)].as_buffer(), np.uint64) for i in first]
-        least = stars(similar(sets))
+        least = stars(similar(sets, percent))
         far = least != np.arange(len(own))
         a.append(own[far])
         b.append(own[least[far]])
@@ -295,12 +305,12 @@ def verified(got: pa.Table, bounds: np.ndarray) -> pa.RecordBatch | None:
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
 
 
-def similar(sets: list[np.ndarray]) -> np.ndarray:
+def similar(sets: list[np.ndarray], percent: int) -> np.ndarray:
     """Which pairs of sets reach the threshold: shared members are counted by products of presence matrices."""
     sizes = np.array([len(s) for s in sets], np.int64)
     if len(sets) == 2:
         n = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
-        yes = 100 * n >= PERCENT * (sizes.sum() - n)
+        yes = 100 * n >= percent * (sizes.sum() - n)
         return np.array([[True, yes], [yes, True]])
     every = np.concatenate(sets)
     _, at, often = np.unique(every, return_inverse=True, return_counts=True)
@@ -317,17 +327,17 @@ def similar(sets: list[np.ndarray]) -> np.ndarray:
         has = np.zeros((len(sets), min(width, len(shared) - start)), np.float32)
         has[row[lo:hi], column[lo:hi] - start] = 1
         both += (has @ has.T).astype(np.int64)  # counts stay under 2**24, so float32 is exact
-    return 100 * both >= PERCENT * (sizes[:, None] + sizes[None, :] - both)
+    return 100 * both >= percent * (sizes[:, None] + sizes[None, :] - both)
 
 
-def near_duplicates(documents: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every document."""
+def near_duplicates(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of every document, linked where 100 * intersection >= percent * union."""
     marks = cut(fingerprints(documents))
     classes = marks.filter("set_key IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.max("signature").alias("signature"), F.max("n_shingles").alias("n_shingles"))
     short = F.unhex(F.concat(*[F.substring(F.hex("signature"), 8 * c + 1, 2) for c in range(COORDS)]))
     classes = cut(classes.select("set_key", "rep", "signature", "n_shingles", short.alias("short")))
-    candidates = cut(candidate_links(classes))
-    links = cut(exact_links(documents, classes, candidates))
+    candidates = cut(candidate_links(classes, percent))
+    links = cut(exact_links(documents, classes, candidates, percent))
     drop_cut(candidates)
     parts = components(links).withColumnsRenamed({"node": "_node"})
     of = classes.select(F.col("set_key").alias("_key"), "rep").join(parts, F.col("rep") == F.col("_node"), "left").select("_key", F.coalesce("component", "rep").alias("component"))
@@ -336,14 +346,14 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     return df.select("*", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
-def drop_near_duplicates(df: DataFrame) -> DataFrame:
+def drop_near_duplicates(df: DataFrame, percent: int = PERCENT) -> DataFrame:
     """`df` with one document of each component, the one of least doc_id."""
-    gone = cut(near_duplicates(df).filter("NOT kept").select(F.col("doc_id").alias("_gone")).distinct())
+    gone = cut(near_duplicates(df, percent).filter("NOT kept").select(F.col("doc_id").alias("_gone")).distinct())
     return df.join(small_side(gone, gone.count()), F.col("doc_id") == F.col("_gone"), "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents"), PERCENT)
 
 
 SQL = rf"""

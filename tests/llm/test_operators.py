@@ -216,6 +216,19 @@ def test_long_lists_and_blocks(spark, texts, monkeypatch):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.near_duplicates(df).collect()} == brute_components(every)
 
 
+@pytest.mark.parametrize("percent", [80, 85])
+def test_near_duplicate_threshold_is_a_parameter(spark, percent):
+    """Pairs of 185 shingles each: similarity 0.85 with 170 in common, 0.80 to 0.85 with 165 (0.805), under 0.8 with 160."""
+    rng, rows = random.Random(6), []
+    for k, changed in enumerate([15, 20, 25] * 20):
+        w = [f"w{rng.randrange(10**6)}" for _ in range(189)]
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(w[: 189 - changed] + [f"v{rng.randrange(10**6)}" for _ in range(changed)]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    gone = {r["doc_id"] for r in near_dedup.near_duplicates(df, percent).filter("NOT kept").collect()}
+    assert gone == {2 * k + 1 for k in range(60) if k % 3 == 0 or k % 3 == 1 and percent == 80}
+    assert near_dedup.drop_near_duplicates(df, percent).count() == 120 - len(gone)
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(400, 440)]
