@@ -7,9 +7,11 @@
    with one entry vanish in an aggregate of counts; in lists of up to LONG the collisions over all
    coordinates are counted, and members that agree in m or more are linked.
 3. Longer lists (a line that many documents share) are skipped, as every representative is also posted
-   under BANDS keys of WIDTH coordinates each, which two documents at the threshold share at least once
-   but for a chance of 1e-4. Long lists of those are posted again under pairs of keys; what is
-   still long there agrees in 2 * WIDTH coordinates and is linked to its least member: one row each.
+   under BANDS keys of WIDTH coordinates each. Long lists of those are posted again under pairs of keys;
+   what is still long there agrees in 2 * WIDTH coordinates and is linked to its least member: one row
+   each. Bands have no coordinate in common, so a pair at the threshold shares none with a chance of 2e-9
+   at 85 % (3e-7 at 80 %) and just one with 7e-8 (6e-6): what a pair whose lists are all long can be
+   missed by, besides MISS.
 4. Links so far only say who is to be compared. Components of them are dealt into blocks of bounded
    size, each pair of blocks is one task, and there all sets are intersected exactly (64-bit shingle
    hashes). Links that hold give the components that are returned. No step emits all pairs.
@@ -36,7 +38,8 @@ from termflow.llm.components import components
 WORDS, PERCENT = 5, 85
 #: Signature length, and the chance at most that a pair at the threshold has fewer agreements than a candidate needs.
 COORDS, MISS = 64, 3e-6
-BANDS, WIDTH = 10, 3
+#: Bands, and coordinates of each; no coordinate is in two bands.
+BANDS, WIDTH = 21, 3
 #: Entries of a list within which all members are compared by signature.
 LONG = 256
 #: Members and shingles of a block of a component.
@@ -51,7 +54,7 @@ PLACE, MIX = _odd(WORDS, np.uint64), _odd(2, np.uint64)
 FLIP, TIMES = _rng.integers(0, 1 << 32, COORDS, dtype=np.uint32), _odd(COORDS, np.uint32)
 TURN = _odd(COORDS, np.uint32)
 #: Coordinates of each band.
-BAND = np.array([_rng.permutation(COORDS)[:WIDTH] for _ in range(BANDS)])
+BAND = _rng.permutation(COORDS)[: BANDS * WIDTH].reshape(BANDS, WIDTH)
 
 
 def matches_of(percent: int) -> int:

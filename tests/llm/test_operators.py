@@ -229,6 +229,17 @@ def test_near_duplicate_threshold_is_a_parameter(spark, percent):
     assert near_dedup.drop_near_duplicates(df, percent).count() == 120 - len(gone)
 
 
+def test_pairs_whose_lists_are_all_long(spark, monkeypatch):
+    """Pairs at the threshold are found by the ways for long lists alone."""
+    monkeypatch.setattr(near_dedup, "LONG", 1)
+    rng, rows = random.Random(8), []
+    for k in range(2500):
+        w = [f"w{rng.randrange(10**6)}" for _ in range(189)]
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(w[:174] + [f"v{rng.randrange(10**6)}" for _ in range(15)]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert near_dedup.near_duplicates(df).filter("NOT kept").count() == 2500
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(400, 440)]
