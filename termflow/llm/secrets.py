@@ -2,9 +2,9 @@
 
 DataFrame functions only. `base_spans` finds the contract's kinds with their places: a text is split by
 the pattern it was matched with, so a match starts where the pieces and matches before it end. `train`
-counts character transitions inside labelled samples - values of base spans are random strings, all
-other words ordinary identifiers - over SAMPLE documents (those of least hash, the same on every run)
-and adds a uniform prior to the random strings. `markov_spans` scores every other word-like run of LEAST
+counts character transitions - values of base spans are random strings, all other words ordinary
+identifiers - over all documents, aggregated before the shuffle (at most two counts for each pair of
+characters reach the driver), and adds a uniform prior to both, which larger inputs outweigh. `markov_spans` scores every other word-like run of LEAST
 characters or more in all texts by the models' log-likelihood ratio and adds those over the limits.
 
 Defined results: a null text counts as empty, and an empty text has no spans (base_sha256 is that of the
@@ -19,7 +19,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termflow.llm.common import bounded_sample, table, text_of
+from termflow.llm.common import table, text_of
 from termflow.llm.quality_rules import let
 
 #: Fixed values of the contract: kind, pattern, the group whose length counts, its least length.
@@ -33,8 +33,8 @@ FAST = {"hex": r"((?<![0-9a-f])[0-9a-f]{24,}+)", "access": r"(AKIA[A-Z0-9]{16,}+
 #: The method's kind: word-like runs of LEAST characters, and the limits of their ratio.
 MARKOV, RUN, LEAST = "markov", r"[A-Za-z0-9+/_=-]+", 20
 MIN_TOTAL, MIN_MEAN = 14.0, 0.55
-#: Documents to train from, and pseudo-counts of each transition.
-SAMPLE, PRIOR_RANDOM, PRIOR_ORDINARY = 1000, 2.0, 0.2
+#: Pseudo-counts of each transition.
+PRIOR_RANDOM, PRIOR_ORDINARY = 2.0, 0.2
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 SPAN = "array<struct<start:int,kind:int,end:int>>"
 
@@ -66,12 +66,11 @@ def base_spans(text: Column) -> Column:
 
 def train(df: DataFrame) -> list[float]:
     """Log-likelihood ratio (random over ordinary) of each transition, row by row over ALPHABET; starts and ends don't count."""
-    sample, _ = bounded_sample(df.select("doc_id", text_of().alias("text"), F.lit(1).alias("one")), "doc_id", "one", SAMPLE)
     spans = base_spans(F.col("text"))
     value = "|".join(FAST.get(kind, pattern) for kind, pattern, _, _ in KINDS)
     secret = F.transform(spans, lambda s: F.regexp_replace(F.substring(F.col("text"), s["start"] + 1, s["end"] - s["start"]), r"""^.*[:=]\x20*["']?(?=.)""", ""))
     ordinary = F.regexp_extract_all(F.regexp_replace("text", value, " "), F.lit(RUN), F.lit(0))
-    words = sample.select(F.posexplode(F.array(secret, ordinary)).alias("ordinary", "words")).select("ordinary", F.explode("words").alias("word"))
+    words = df.select(text_of().alias("text")).select(F.posexplode(F.array(secret, ordinary)).alias("ordinary", "words")).select("ordinary", F.explode("words").alias("word"))
     steps = words.filter(F.length("word") > 1).select("ordinary", F.explode(F.transform(F.sequence(F.lit(1), F.length("word") - 1), lambda i: F.substring(F.col("word"), i, F.lit(2)))).alias("two"))
     size = len(ALPHABET)
     counts = [[PRIOR_RANDOM] * size * size, [PRIOR_ORDINARY] * size * size]

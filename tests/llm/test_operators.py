@@ -141,6 +141,14 @@ def test_markov_finds_random_strings(spark, documents):
     assert text["text"] == "see <secret> there" and text["n_chars"] == 18
 
 
+def test_markov_models_count_every_document(spark):
+    df = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("plain password=Zq9Zq9 word").alias("text"))
+    at = lambda two: secrets.ALPHABET.index(two[0]) * len(secrets.ALPHABET) + secrets.ALPHABET.index(two[1])
+    got, size = secrets.train(df), len(secrets.ALPHABET)
+    assert got[at("Zq")] == pytest.approx(np.log((6000 + secrets.PRIOR_RANDOM) / (6000 + size * secrets.PRIOR_RANDOM)) + np.log(size))
+    assert got[at("pl")] == pytest.approx(-np.log(size) - np.log((3000 + secrets.PRIOR_ORDINARY) / (3000 + size * secrets.PRIOR_ORDINARY)))
+
+
 def test_language(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     r = language_id.query(spark, SMALL).join(docs.select("doc_id", "lang"), "doc_id").filter("held_out")
