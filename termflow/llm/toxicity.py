@@ -8,8 +8,9 @@ scored: terms (whole words and word beginnings) whose rate differs significantly
 other labelled texts have a log-rate weight, and a logistic curve over a text's summed weight and its
 density gives the score.
 
-Models come from a bounded sample (PER_CLASS labelled texts of each class outside the held-out fold):
-workers count, only counts are merged, and the driver gets at most TERMS terms and TRIGRAMS trigrams.
+The character model counts all texts outside the held-out fold, labelled or not. Term weights and the
+curve come from a bounded sample (PER_CLASS labelled texts of each class outside that fold). Workers count,
+only counts are merged, and the driver gets at most TERMS terms and the TRIGRAMS most frequent trigrams.
 
 Defined results: a null text counts as empty and gets the score of a text without toxic terms; without
 labels of both classes every score is the larger class's share, at most 0.49; repeated rows get equal
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 from termflow.llm.common import Recent, crc_mod, held, labelled_texts, mapped, ship, table, text_of
 
 FOLDS, HELD_OUT, CUT = 5, 0, 0.5
-#: Labelled texts of each class, terms and trigrams that are learnt at most.
+#: Labelled texts of each class, terms and trigrams that are kept at most.
 PER_CLASS, TERMS, TRIGRAMS = 4000, 20_000, 60_000
 #: Beginnings that are terms, least significance (G-squared: from, more per e-fold of toxic texts over 45 as more terms compete, to) and log rate, and pseudo-counts.
 SHORTEST, LONGEST, SIGNIFICANT, LEAST_RATE, PRIOR = 4, 8, (10.0, 4.1, 24.0), 1.5, 0.5
@@ -142,7 +143,7 @@ class Scorer:
 
 
 def counted(texts: DataFrame) -> DataFrame:
-    """term, label, n (occurrences), docs; trigrams are terms after a tab."""
+    """term, label, n (occurrences), docs; all words are the term of a tab and #."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n: dict[int, Counter] = {0: Counter(), 1: Counter()}
@@ -155,9 +156,6 @@ def counted(texts: DataFrame) -> DataFrame:
                     for t in terms(w):
                         own[t] += k
                     own["\t#"] += k
-                    if w.isalpha():
-                        for t in zip("^^" + w, "^" + w + "$", w + "$", strict=False):
-                            own["\t" + "".join(t)] += k
                 n[label].update(own)
                 docs[label].update(own.keys())
         rows = [(t, label, n[label][t], docs[label][t]) for label in (0, 1) for t in n[label]]
@@ -170,6 +168,32 @@ def counted(texts: DataFrame) -> DataFrame:
     return each.groupBy("term", "label").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
+def spelled(texts: DataFrame) -> DataFrame:
+    """trigram, n of all texts: each task counts words, then the characters of the distinct ones, CACHE_WORDS words at a time."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words: Counter = Counter()
+
+        def flush() -> pa.RecordBatch:
+            n: Counter = Counter()
+            for raw, k in words.items():
+                if (w := restored(raw, None)).isalpha():
+                    for t in zip("^^" + w, "^" + w + "$", w + "$", strict=False):
+                        n["".join(t)] += k
+            words.clear()
+            return pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], ["trigram", "n"])
+
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                words.update(text.lower().split())
+                if len(words) > CACHE_WORDS:
+                    yield flush()
+        yield flush()
+
+    ship(texts.sparkSession)
+    return texts.mapInArrow(count, "trigram string, n long").groupBy("trigram").agg(F.sum("n").alias("n"))
+
+
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.01) -> np.ndarray:
     """Weights and intercept by Newton steps."""
     a = np.hstack([x, np.ones((len(x), 1))])
@@ -197,8 +221,9 @@ def learn(documents: DataFrame, labels: DataFrame) -> dict:
     low, more, high = SIGNIFICANT
     strong = strong.filter((F.col("g") >= min(high, max(low, low + more * math.log(taken[1] / 45)))) & (F.col("rate") >= LEAST_RATE) & (d1 * q > d0 * p)).orderBy(F.desc("g"), "term").limit(TERMS)
     weights = {r["term"]: r["rate"] for r in strong.select("term", "rate").collect()}
-    tri = found.filter(F.col("term").startswith("\t") & (F.length("term") == 4)).select("term", (F.col("0_n") + F.col("1_n")).alias("n")).orderBy(F.desc("n"), "term").limit(TRIGRAMS)
-    model = {"id": uuid.uuid4().hex, "weights": weights, "trigrams": {r["term"][1:]: r["n"] for r in tri.collect()}, "curve": [0.0, 0.0, 0.0]}
+    own = documents.filter(F.coalesce(crc_mod("doc_id", FOLDS) != HELD_OUT, F.lit(True))).select(text_of().alias("text"))
+    tri = spelled(own).orderBy(F.desc("n"), "trigram").limit(TRIGRAMS)
+    model = {"id": uuid.uuid4().hex, "weights": weights, "trigrams": {r["trigram"]: r["n"] for r in tri.collect()}, "curve": [0.0, 0.0, 0.0]}
     found.unpersist()
     rows = featured(texts.select("doc_id", "text", "label"), model).orderBy("doc_id").collect()  # three numbers of PER_CLASS texts each
     y = np.array([float(r["label"] > 0) for r in rows])

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -176,6 +177,14 @@ def test_deobfuscation(texts):
     assert s.features("an i d i o t and m o r o n")[0] == pytest.approx(np.log1p(10))
 
 
+def test_character_model_counts_unlabelled_texts(spark):
+    rows = [(i, "some vile words" if i % 2 else "some plain words") for i in range(100)] + [(1000 + i, "zqx") for i in range(50)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(100)], "doc_id long, toxic int")
+    got = toxicity.learn(spark.createDataFrame(rows, "doc_id long, text string"), labels)["trigrams"]
+    train = [t for i, t in rows if zlib.crc32(str(i).encode()) % toxicity.FOLDS != toxicity.HELD_OUT]
+    assert got["zqx"] == got["^^z"] == train.count("zqx") > 0 and got["vil"] == train.count("some vile words")
+
+
 def brute_components(texts):
     sets = {}
     for i, t in texts.items():
