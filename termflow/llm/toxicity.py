@@ -35,8 +35,8 @@ from termflow.llm.common import Recent, crc_mod, held, labelled_texts, mapped, s
 FOLDS, HELD_OUT, CUT = 5, 0, 0.5
 #: Labelled texts of each class, terms and trigrams that are kept at most.
 PER_CLASS, TERMS, TRIGRAMS = 4000, 20_000, 60_000
-#: Beginnings that are terms, least significance (G-squared: from, more per e-fold of toxic texts over 45 as more terms compete, to) and log rate, and pseudo-counts.
-SHORTEST, LONGEST, SIGNIFICANT, LEAST_RATE, PRIOR = 4, 8, (10.0, 4.1, 24.0), 1.5, 0.5
+#: Beginnings that are terms, share of false ones among the significant terms, least log rate, and pseudo-counts.
+SHORTEST, LONGEST, FALSE_SHARE, LEAST_RATE, PRIOR = 4, 8, 0.01, 1.5, 0.5
 #: Letters that a sign or digit is written for.
 LOOKS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "€": "e", "£": "l", "(": "c", "<": "c", "¡": "i", "ø": "o"}
 MASKS, SEPARATORS = "*#?%", ".-_~'`^/\\,:;"
@@ -204,6 +204,16 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.
     return w
 
 
+def significance(tenths: dict[int, int], tested: int) -> float:
+    """The G-squared that keeps the false discovery rate (Benjamini-Hochberg, one-sided) at FALSE_SHARE, from counts of terms by tenths of it."""
+    reached, least = 0, math.inf
+    for k in sorted(tenths, reverse=True):
+        reached += tenths[k]
+        if tested * math.erfc(math.sqrt(max(k, 0) / 20)) / 2 <= FALSE_SHARE * reached:
+            least = k / 10
+    return least
+
+
 def learn(documents: DataFrame, labels: DataFrame) -> dict:
     """Term weights, trigrams and the logistic curve."""
     texts, counts = labelled_texts(documents, labels, "toxic", FOLDS, HELD_OUT, PER_CLASS)
@@ -217,9 +227,10 @@ def learn(documents: DataFrame, labels: DataFrame) -> dict:
     rate = F.log(a / (size[1] + 1.0)) - F.log(b / (size[0] + 1.0))
     d1, d0 = F.col("1_docs"), F.col("0_docs")
     part = lambda d, share: F.when(d > 0, d * F.log(d / ((d1 + d0) * share))).otherwise(0.0)
-    strong = found.filter(~F.col("term").startswith("\t") & (d1 >= 3)).withColumns({"rate": rate, "g": 2 * (part(d1, p) + part(d0, q))})
-    low, more, high = SIGNIFICANT
-    strong = strong.filter((F.col("g") >= min(high, max(low, low + more * math.log(taken[1] / 45)))) & (F.col("rate") >= LEAST_RATE) & (d1 * q > d0 * p)).orderBy(F.desc("g"), "term").limit(TERMS)
+    strong = found.filter(~F.col("term").startswith("\t") & (d1 >= 3)).withColumns({"rate": rate, "g": 2 * (part(d1, p) + part(d0, q)), "more": d1 * q > d0 * p})
+    tenths = strong.groupBy("more", F.floor(10 * F.least("g", F.lit(200.0))).alias("tenth")).count().collect()  # 2001 counts of each at most
+    least = significance({r["tenth"]: r["count"] for r in tenths if r["more"]}, sum(r["count"] for r in tenths))
+    strong = strong.filter((F.col("g") >= least) & (F.col("rate") >= LEAST_RATE) & F.col("more")).orderBy(F.desc("g"), "term").limit(TERMS)
     weights = {r["term"]: r["rate"] for r in strong.select("term", "rate").collect()}
     own = documents.filter(F.coalesce(crc_mod("doc_id", FOLDS) != HELD_OUT, F.lit(True))).select(text_of().alias("text"))
     tri = spelled(own).orderBy(F.desc("n"), "trigram").limit(TRIGRAMS)

@@ -185,6 +185,14 @@ def test_character_model_counts_unlabelled_texts(spark):
     assert got["zqx"] == got["^^z"] == train.count("zqx") > 0 and got["vil"] == train.count("some vile words")
 
 
+@pytest.mark.parametrize("size", [100, 1200])
+def test_rare_toxic_terms_are_learnt_at_every_size(spark, size):
+    """A word of 16 toxic texts and no other is a term, however many texts are labelled."""
+    rows = [(i, f"some {'vile' if i % 2 else 'plain'} words" + " scumbag" * (i % 2 and i < 32)) for i in range(size)]
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, toxic int")
+    assert "scumbag$" in toxicity.learn(spark.createDataFrame(rows, "doc_id long, text string"), labels)["weights"]
+
+
 def brute_components(texts):
     sets = {}
     for i, t in texts.items():
