@@ -197,16 +197,21 @@ def send_runs(chunk: int, own: Chunk, answers: pa.Table, buckets: int) -> pa.Tab
     return rows(out, RUNS)
 
 
-#: Closes a shard's strings: no byte of UTF-8.
-END = np.uint8(255)
+#: Closes a shard's strings: no byte of UTF-8. Characters that the first interleave compares.
+END, HEAD = np.uint8(255), 7
 
 
-def transform(text: np.ndarray) -> np.ndarray:
-    """Order of a shard's rotations, sorted to LENGTH characters or more: ranks of seven characters, then of twice as many, and so on."""
-    n, reach = len(text), 7
-    key = np.zeros(n, np.int64)
-    for k in range(reach):
+def heads(text: np.ndarray) -> np.ndarray:
+    """The HEAD characters from each place of a shard as one number."""
+    key = np.zeros(len(text), np.int64)
+    for k in range(HEAD):
         key = key << 8 | np.roll(text, -k)
+    return key
+
+
+def transform(key: np.ndarray) -> np.ndarray:
+    """Order of a shard's rotations, sorted to LENGTH characters or more: from its heads, ranks of twice as many characters, and so on."""
+    n, reach = len(key), HEAD
     while True:
         order = np.argsort(key)
         if reach >= LENGTH:
@@ -220,26 +225,47 @@ def transform(text: np.ndarray) -> np.ndarray:
 def equal_windows(shards: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     """Merge the shards' transforms: (order of each shard, interleave, interval number of each merged place).
 
-    Places of one interval start with the same LENGTH characters. `interval` numbers are refined along
-    with the interleave: a new one starts where an interval's places have different characters before them.
+    Places of one interval start with the same LENGTH characters. The first interleave merges the shards'
+    places by their heads. A refinement takes for each place the block of characters before it: their number
+    among all blocks of that length, which an earlier interleave gives, so blocks of several characters cost one
+    round. `interval` numbers are refined along with the interleave: a new one starts where an interval's
+    places have different blocks before them.
     """
-    orders = [transform(t) for t in shards]
-    before = np.concatenate([t[o - 1] for t, o in zip(shards, orders, strict=True)])
-    which = np.repeat(np.arange(len(shards), dtype=np.uint8), [len(t) for t in shards])
-    interval = np.zeros(len(which), np.int32)
-    merged, new = np.empty(len(which), np.uint8), np.ones(len(which), bool)
-    for _ in range(LENGTH):
-        # the places of one shard, in merged order, hold its transform in its own order
-        merged[np.argsort(which, kind="stable")] = before
-        by = np.argsort(merged, kind="stable")  # bytes: one counting pass
-        which = which[by]
-        c, i = merged[by], interval[by]
-        np.not_equal(c[1:], c[:-1], out=new[1:])
-        new[1:] |= i[1:] != i[:-1]
-        interval = np.cumsum(new, dtype=np.int32)
+    keys = [heads(t) for t in shards]
+    orders = [transform(k) for k in keys]
+    starts = np.cumsum([0, *map(len, shards)])
+    place = np.concatenate([o + a for o, a in zip(orders, starts, strict=False)])  # of all texts, in each shard's order
+    which = np.repeat(np.arange(len(shards), dtype=np.uint8), np.diff(starts))
+    merged = np.concatenate([k[o] for k, o in zip(keys, orders, strict=True)])
+    by = np.argsort(merged, kind="stable")  # sorted runs: a merge
+    which, interval = which[by], numbered(merged[by])
+    numbers, depth = {1: np.concatenate(shards).astype(np.int32)}, HEAD
+    while depth < LENGTH:
+        home = np.argsort(which, kind="stable")  # where the places of each shard are, in its own order
+        if depth <= LENGTH - depth:  # long blocks that a later round can use
+            numbers[depth] = np.empty(len(which), np.int32)
+            numbers[depth][place] = interval[home]
+        step = max(d for d in numbers if d <= LENGTH - depth)
+        block = np.concatenate([np.roll(numbers[step][a:b], step)[o] for a, b, o in zip(starts[:-1], starts[1:], orders, strict=True)])
+        merged = np.empty(len(which), np.uint64)
+        merged[home] = block.astype(np.uint64) << np.uint64(32)
+        merged |= np.arange(len(which), dtype=np.uint64)  # makes the sort stable
+        merged.sort()
+        by = (merged & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        which, interval = which[by], numbered(merged >> np.uint64(32), interval[by])
+        depth += step
     return orders, which, interval
 
 
+def numbered(first: np.ndarray, second: np.ndarray | None = None) -> np.ndarray:
+    """Numbers of the runs of equal values, or of equal pairs."""
+    new = np.zeros(len(first), bool)
+    np.not_equal(first[1:], first[:-1], out=new[1:])
+    if second is not None:
+        new[1:] |= second[1:] != second[:-1]
+    return np.cumsum(new, dtype=np.int32)
+
+
 def first_documents(sizes: np.ndarray, data: np.ndarray, docs: np.ndarray, shard: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Least doc_id of every window of the strings (one after another), and the bounds of the strings' windows."""
     counts = sizes - LENGTH + 1
