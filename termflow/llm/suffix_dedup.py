@@ -5,8 +5,10 @@ A byte goes if a LENGTH-byte string that covers it also starts in a document wit
 Finding what can repeat. All windows of LENGTH bytes whose least SEED-byte hash is the same and which
 follow each other form a run; equal windows always lie in runs of equal hash. Documents are dealt into
 chunks of bounded size, one exchange that all passes reuse.
-1. Each chunk sends its hashes (39 bits within a bucket, one bit "in two documents here") to buckets of
-   hashes; a bucket answers every chunk which of its hashes occur in two documents anywhere.
+1. Each chunk sends its hashes (KEY_BITS within a bucket, one bit "in two documents here", the logarithm of
+   its distinct strings) to buckets of hashes; a bucket answers every chunk which of its hashes occur in two
+   documents anywhere, and which are hot: too many strings for one bucket. The windows of hot hashes go on
+   as single runs under a hash of all their bytes, so equal ones meet and one hash has one string.
 2. For those each chunk sends its distinct runs: bytes and least doc_id. So a passage that a chunk holds
    a thousand times is sent once, and no step ever lists the documents that share something.
 3. A bucket groups runs by hash. Where one byte string is all there is, its least doc_id holds for all
@@ -40,7 +42,13 @@ LENGTH, SEED = 50, 20
 WINDOW = LENGTH - SEED + 1
 #: Bytes of text of a chunk and of a bucket, on average; bytes hashed at a time; shards of a merge at most.
 CHUNK_BYTES, BUCKET_BYTES, BLOCK, SHARDS = 8 << 20, 8 << 20, 1 << 20, 4
-KEY = np.uint64((1 << 39) - 1)
+#: Distinct strings of one hash, counted by chunk, from which its windows are dealt by hashes of their own: a bucket's worth.
+HOT = 1 << 17
+#: Partitions of the exchange of texts at most; beyond them a partition holds several chunks, one after another.
+PARTITIONS = 20_000
+#: Bits of a hash within its bucket, and bits of the logarithm of a count.
+KEY_BITS, COUNT_BITS = 35, 4
+KEY = np.uint64((1 << KEY_BITS) - 1)
 ROLL = [np.uint64(pow(0x5851F42D4C957F2D, k, 1 << 64)) for k in range(SEED + 1)]
 
 
@@ -107,11 +115,57 @@ class Chunk:
         string = mixed(mixed((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64)), 1)
         return mixed(low[start]), string, start + self.at[i], count, self.ids[of[start]]
 
+    def split(self, hot: np.ndarray, buckets: int) -> None:
+        """Put single windows, each under a hash of all its bytes, in place of the runs whose hash is hot; they come last."""
+        runs = found(hot, code_of(self.value, buckets))
+        rest = np.setdiff1d(np.arange(len(self.value)), runs)
+        count = self.count[runs]
+        start = np.repeat(self.start[runs] - np.cumsum(count) + count, count) + np.arange(count.sum())
+        up, _ = powers(LENGTH)
+        value, string = np.zeros(len(start), np.uint64), np.zeros(len(start), np.uint64)
+        for k in range(LENGTH):
+            byte = self.data[start + k].astype(np.uint64) + np.uint64(1)
+            value = value * ROLL[1] + byte
+            string += byte * up[k]
+        parts = (mixed(value), mixed(mixed(string + np.uint64(LENGTH)), 1), start, np.ones(len(start), np.int64), np.repeat(self.doc[runs], count))
+        self.value, self.string, self.start, self.count, self.doc = (np.concatenate([a[rest], b]) for a, b in zip((self.value, self.string, self.start, self.count, self.doc), parts, strict=True))
+
 
 def bucket_of(value: np.ndarray, buckets: int) -> np.ndarray:
     return ((value >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
 
 
+def code_of(value: np.ndarray, buckets: int) -> np.ndarray:
+    """Bucket and hash within it as one number."""
+    return (bucket_of(value, buckets).astype(np.uint64) << np.uint64(KEY_BITS)) | (value & KEY)
+
+
+def labels(n: int) -> list[int]:
+    """Integers that Spark's hash partitioning puts into partitions 0 to n - 1, so that groups are dealt evenly.
+
+    The inverse of Murmur3 on one 32-bit number with seed 42.
+    """
+    odd = lambda k: pow(k, -1, 1 << 32)
+    turn = lambda x, k: (x >> k | x << 32 - k) & 0xFFFFFFFF
+    out = []
+    for h in range(n):
+        h ^= h >> 16
+        h = h * odd(0xC2B2AE35) & 0xFFFFFFFF
+        h ^= h >> 13 ^ h >> 26
+        h = h * odd(0x85EBCA6B) & 0xFFFFFFFF
+        h ^= h >> 16 ^ 4
+        h = turn((h - 0xE6546B64) * odd(5) & 0xFFFFFFFF, 13) ^ 42
+        h = turn(h * odd(0x1B873593) & 0xFFFFFFFF, 15) * odd(0xCC9E2D51) & 0xFFFFFFFF
+        out.append(h - (h >> 31 << 32))
+    return out
+
+
+def found(sorted_keys: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Places of `keys` that are among the sorted ones."""
+    at = np.searchsorted(sorted_keys, keys).clip(max=max(0, len(sorted_keys) - 1))
+    return np.flatnonzero(sorted_keys[at] == keys) if len(sorted_keys) else np.zeros(0, np.int64)
+
+
 def groups(sorted_keys: np.ndarray) -> np.ndarray:
     """Bounds of the groups of equal keys."""
     return np.concatenate([[0], np.flatnonzero(sorted_keys[1:] != sorted_keys[:-1]) + 1, [len(sorted_keys)]]) if len(sorted_keys) else np.zeros(1, np.int64)
@@ -132,56 +186,69 @@ def rows(columns: dict[str, list], schema: pa.Schema) -> pa.Table:
     return pa.table({f.name: pa.array(columns[f.name], f.type) for f in schema}, schema)
 
 
-KEYS = pa.schema([("bucket", pa.int64()), ("chunk", pa.int64()), ("keys", pa.binary())])
-RUNS = pa.schema([("bucket", pa.int64()), ("chunk", pa.int64()), ("keys", pa.binary()), ("strings", pa.binary()), ("docs", pa.binary()), ("sizes", pa.binary()), ("bytes", pa.binary())])
-FIRSTS = pa.schema([("chunk", pa.int64()), ("strings", pa.binary()), ("parts", pa.binary()), ("from", pa.binary()), ("docs", pa.binary())])
+KEYS = pa.schema([("bucket", pa.int32()), ("chunk", pa.int32()), ("keys", pa.binary())])
+RUNS = pa.schema([("bucket", pa.int32()), ("chunk", pa.int32()), ("hot", pa.binary()), *((n, pa.binary()) for n in ("keys", "strings", "docs", "sizes", "bytes"))])
+FIRSTS = pa.schema([("chunk", pa.int32()), ("hot", pa.binary()), *((n, pa.binary()) for n in ("strings", "parts", "from", "docs"))])
 RESULT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
 
 
-def send_keys(chunk: int, own: Chunk, buckets: int) -> pa.Table:
-    """Pass 1: the chunk's hashes for each bucket, sorted, with the bit that says "two documents"."""
+def send_keys(chunk: int, own: Chunk, names: list[int]) -> pa.Table:
+    """Pass 1: the chunk's hashes for each bucket, sorted, with a bit that says "two documents" and the logarithm of their distinct strings."""
     out: dict[str, list] = {f.name: [] for f in KEYS}
-    bucket, key = bucket_of(own.value, buckets), own.value & KEY
-    by = np.lexsort((own.doc, key, bucket))
-    code = (bucket[by].astype(np.uint64) << np.uint64(39)) | key[by]
-    g, doc = groups(code), own.doc[by]
+    code = code_of(own.value, len(names))
+    by = np.lexsort((own.string, code))
+    code, string, doc = code[by], own.string[by], own.doc[by]
+    g = groups(code)
     first = g[:-1]
-    twice = doc[first] != doc[g[1:] - 1] if len(first) else np.zeros(0, bool)
-    packed, where = (key[by][first] << np.uint64(1)) | twice.astype(np.uint64), bucket[by][first]
-    bounds = groups(where)
-    for x, y in zip(bounds[:-1], bounds[1:], strict=True):
-        for c, v in (("bucket", int(where[x])), ("chunk", chunk), ("keys", five(packed[x:y]))):
-            out[c].append(v)
+    if len(first):
+        twice = np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first)
+        new = np.ones(len(by), np.int64)
+        new[1:] = (string[1:] != string[:-1]) | (code[1:] != code[:-1])
+        many = np.log2(np.add.reduceat(new, first)).astype(np.uint64).clip(max=(1 << COUNT_BITS) - 1)
+        packed = ((code[first] & KEY) << np.uint64(COUNT_BITS + 1)) | (many << np.uint64(1)) | twice.astype(np.uint64)
+        where = (code[first] >> np.uint64(KEY_BITS)).astype(np.int64)
+        bounds = groups(where)
+        for x, y in zip(bounds[:-1], bounds[1:], strict=True):
+            for c, v in (("bucket", names[where[x]]), ("chunk", chunk), ("keys", five(packed[x:y]))):
+                out[c].append(v)
     return rows(out, KEYS)
 
 
-def answer_keys(got: pa.Table) -> pa.Table:
-    """Bucket: for every chunk those of its hashes that two documents have."""
+def answer_keys(got: pa.Table, hot: int) -> pa.Table:
+    """Bucket: for every chunk those of its hashes that two documents have, with a bit that says "hot"."""
     sent = [unfive(b) for b in got.column("keys").to_pylist()]
-    key = np.concatenate([s >> np.uint64(1) for s in sent])
-    twice = np.concatenate([s & np.uint64(1) for s in sent])
-    values, at, often = np.unique(key, return_inverse=True, return_counts=True)
+    all_ = np.concatenate(sent)
+    values, at, often = np.unique(all_ >> np.uint64(COUNT_BITS + 1), return_inverse=True, return_counts=True)
     many = often > 1
-    many[at[twice > 0]] = True
+    many[at[(all_ & np.uint64(1)) > 0]] = True
+    strings = np.bincount(at, np.exp2(((all_ >> np.uint64(1)) & np.uint64((1 << COUNT_BITS) - 1)).astype(np.float64)))
     out: dict[str, list] = {f.name: [] for f in KEYS}
     keep, bounds = many[at], np.cumsum([0, *map(len, sent)])
+    reply = (values << np.uint64(1) | (strings >= hot).astype(np.uint64))[at]
     for i, (b, c) in enumerate(zip(got.column("bucket").to_pylist(), got.column("chunk").to_pylist(), strict=True)):
-        own = key[bounds[i] : bounds[i + 1]][keep[bounds[i] : bounds[i + 1]]]
+        own = reply[bounds[i] : bounds[i + 1]][keep[bounds[i] : bounds[i + 1]]]
         if len(own):
             for n, v in (("bucket", b), ("chunk", c), ("keys", five(own))):
                 out[n].append(v)
     return rows(out, KEYS)
 
 
-def send_runs(chunk: int, own: Chunk, answers: pa.Table, buckets: int) -> pa.Table:
-    """Pass 2: the chunk's distinct runs with a hash that repeats, by bucket: hash, string, least doc_id, size and bytes."""
+def send_runs(chunk: int, own: Chunk, answers: pa.Table, names: list[int]) -> pa.Table:
+    """Pass 2: the chunk's distinct runs with a hash that repeats, by bucket: hash, string, least doc_id, size and bytes; once also the hot hashes."""
     out: dict[str, list] = {f.name: [] for f in RUNS}
     if answers.num_rows and len(own.value):
-        asked = np.sort(np.concatenate([(np.uint64(b) << np.uint64(39)) | unfive(k) for b, k in zip(answers.column("bucket").to_pylist(), answers.column("keys").to_pylist(), strict=True)]))
-        bucket = bucket_of(own.value, buckets)
-        code = (bucket.astype(np.uint64) << np.uint64(39)) | (own.value & KEY)
-        at = np.searchsorted(asked, code).clip(max=len(asked) - 1)
-        use = np.flatnonzero(asked[at] == code)
+        number = {b: i for i, b in enumerate(names)}
+        told = [(np.uint64(number[b]) << np.uint64(KEY_BITS), unfive(k)) for b, k in zip(answers.column("bucket").to_pylist(), answers.column("keys").to_pylist(), strict=True)]
+        asked = np.sort(np.concatenate([b | k >> np.uint64(1) for b, k in told]))
+        hot = np.sort(np.concatenate([(b | k >> np.uint64(1))[k & np.uint64(1) > 0] for b, k in told]))
+        code = code_of(own.value, len(names))
+        use = found(asked, code)
+        if len(hot):
+            before = len(own.value) - len(found(hot, code))
+            use = found(asked, code[np.setdiff1d(np.arange(len(code)), found(hot, code))])
+            own.split(hot, len(names))
+            use = np.concatenate([use, np.arange(before, len(own.value))])  # the single windows are at the end
+        bucket = bucket_of(own.value, len(names))
         use = use[np.lexsort((own.doc[use], own.string[use], bucket[use]))]
         new = np.ones(len(use), bool)
         new[1:] = (own.string[use][1:] != own.string[use][:-1]) | (bucket[use][1:] != bucket[use][:-1])
@@ -191,7 +258,7 @@ def send_runs(chunk: int, own: Chunk, answers: pa.Table, buckets: int) -> pa.Tab
             r = use[x:y]
             size = own.count[r] + LENGTH - 1
             place = np.repeat(own.start[r] - np.cumsum(size) + size, size) + np.arange(size.sum())
-            row = {"bucket": int(bucket[r[0]]), "chunk": chunk, "keys": five(own.value[r] & KEY), "strings": own.string[r].tobytes(), "docs": own.doc[r].tobytes(), "sizes": size.astype(np.uint32).tobytes(), "bytes": own.data[place].tobytes()}
+            row = {"bucket": names[bucket[r[0]]], "chunk": chunk, "hot": hot.tobytes() if not x else b"", "keys": five(own.value[r] & KEY), "strings": own.string[r].tobytes(), "docs": own.doc[r].tobytes(), "sizes": size.astype(np.uint32).tobytes(), "bytes": own.data[place].tobytes()}
             for n, v in row.items():
                 out[n].append(v)
     return rows(out, RUNS)
@@ -334,6 +401,10 @@ def answer_runs(got: pa.Table) -> pa.Table:
     # a chunk needs an answer if some window starts earlier than the chunk's own first document of the string
     need = np.flatnonzero(low[number] < doc[by])
     out: dict[str, list] = {f.name: [] for f in FIRSTS}
+    for c, h in zip(got.column("chunk").to_pylist(), got.column("hot").to_pylist(), strict=True):
+        if h:
+            for n, v in {"chunk": c, "hot": h, "strings": b"", "parts": b"", "from": b"", "docs": b""}.items():
+                out[n].append(v)
     need = need[np.argsort(row[by[need]], kind="stable")]
     g = groups(row[by[need]])
     for x, y in zip(g[:-1], g[1:], strict=True):
@@ -348,14 +419,16 @@ def answer_runs(got: pa.Table) -> pa.Table:
             pick = np.repeat(first - np.cumsum(kk) + kk, kk) + np.arange(kk.sum())
             start[inside] = begin[pick] - np.repeat(bounds[r], kk)
             docs[inside] = firsts[begin[pick]]
-        values = {"chunk": int(chunk[row[by[need[x]]]]), "strings": string[by[need[x:y]]].tobytes(), "parts": k.astype(np.uint32).tobytes(), "from": start.astype(np.uint32).tobytes(), "docs": docs.tobytes()}
+        values = {"chunk": int(chunk[row[by[need[x]]]]), "hot": b"", "strings": string[by[need[x:y]]].tobytes(), "parts": k.astype(np.uint32).tobytes(), "from": start.astype(np.uint32).tobytes(), "docs": docs.tobytes()}
         for n, v in values.items():
             out[n].append(v)
     return rows(out, FIRSTS)
 
 
-def finish(own: Chunk, answers: pa.Table) -> pa.Table:
+def finish(own: Chunk, answers: pa.Table, buckets: int) -> pa.Table:
     """Pass 3: what each document of the chunk loses."""
+    if hot := b"".join(answers.column("hot").to_pylist()):
+        own.split(np.frombuffer(hot, np.uint64), buckets)
     cover = np.zeros(len(own.data) + 1, np.int32)
     if len(own.string):
         # inside the chunk the first document of a string is known
@@ -370,11 +443,11 @@ def finish(own: Chunk, answers: pa.Table) -> pa.Table:
             at = np.cumsum(parts) - parts
             order = np.argsort(string)
             string, parts, at = string[order], parts[order], at[order]
-            place = np.searchsorted(string, own.string).clip(max=len(string) - 1)
-            told = np.flatnonzero(string[place] == own.string)
+            told = found(string, own.string)
             simple[told] = False
-            k = parts[place[told]]
-            pick = np.repeat(at[place[told]] - np.cumsum(k) + k, k) + np.arange(k.sum())
+            place = np.searchsorted(string, own.string[told])
+            k = parts[place]
+            pick = np.repeat(at[place] - np.cumsum(k) + k, k) + np.arange(k.sum())
             run = np.repeat(told, k)
             final = np.zeros(len(pick), bool)
             final[np.cumsum(k) - 1] = True
@@ -396,27 +469,28 @@ def finish(own: Chunk, answers: pa.Table) -> pa.Table:
 
 def ddl(schema: pa.Schema) -> str:
     """The schema for Spark."""
-    kinds = {pa.int64(): "long", pa.binary(): "binary", pa.string(): "string"}
+    kinds = {pa.int64(): "long", pa.int32(): "int", pa.binary(): "binary", pa.string(): "string"}
     return ", ".join(f"`{f.name}` {kinds[f.type]}" for f in schema)
 
 
-def deduplicate(documents: DataFrame, chunk_bytes: int = CHUNK_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+def deduplicate(documents: DataFrame, chunk_bytes: int = CHUNK_BYTES, bucket_bytes: int = BUCKET_BYTES, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document."""
     nameless = documents.filter("doc_id IS NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.encode(text_of(), "UTF-8").alias("b"))
     nameless = nameless.select("doc_id", F.octet_length("b").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2("b", 256).alias("kept_sha256"))
     documents = documents.filter("doc_id IS NOT NULL")
     total = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    chunks, buckets = max(1, math.ceil(total / chunk_bytes)), max(1, math.ceil(total / bucket_bytes))
+    chunks, names = max(1, math.ceil(total / chunk_bytes)), labels(max(1, math.ceil(total / bucket_bytes)))
     ship(documents.sparkSession)
-    docs = documents.select(F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).alias("chunk"), F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    docs = docs.repartition(chunks, "chunk")  # the one exchange of texts: all three passes reuse it
+    nth = F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).cast("int")
+    docs = documents.select(F.get(F.lit(labels(chunks)), nth).alias("chunk"), F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
+    docs = docs.repartition(min(chunks, PARTITIONS), "chunk")  # the one exchange of texts: all three passes reuse it
     number = lambda t: t.column("chunk")[0].as_py()
-    keys = docs.groupBy("chunk").applyInArrow(lambda t: send_keys(number(t), Chunk(t), buckets), ddl(KEYS))
-    asked = keys.groupBy("bucket").applyInArrow(answer_keys, ddl(KEYS))
+    keys = docs.groupBy("chunk").applyInArrow(lambda t: send_keys(number(t), Chunk(t), names), ddl(KEYS))
+    asked = keys.groupBy("bucket").applyInArrow(lambda t: answer_keys(t, hot), ddl(KEYS))
     empty = lambda s: s.empty_table()
-    runs = docs.groupBy("chunk").cogroup(asked.groupBy("chunk")).applyInArrow(lambda t, a: send_runs(number(t), Chunk(t), a, buckets) if t.num_rows else empty(RUNS), ddl(RUNS))
+    runs = docs.groupBy("chunk").cogroup(asked.groupBy("chunk")).applyInArrow(lambda t, a: send_runs(number(t), Chunk(t), a, names) if t.num_rows else empty(RUNS), ddl(RUNS))
     told = runs.groupBy("bucket").applyInArrow(answer_runs, ddl(FIRSTS))
-    done = docs.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(lambda t, a: finish(Chunk(t), a) if t.num_rows else empty(RESULT), ddl(RESULT))
+    done = docs.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(lambda t, a: finish(Chunk(t), a, len(names)) if t.num_rows else empty(RESULT), ddl(RESULT))
     return done.unionByName(nameless)
 
 
