@@ -23,8 +23,8 @@ from termflow.sources.staging import ship
 
 #: The word separators of every contract here: space and U+0009 to U+000D.
 SPACES = " \t-\r"
-#: Rows a side may have at most before it is broadcast; beyond it the join shuffles.
-BROADCAST_ROWS = 2_000_000
+#: Bytes that a side may have at most, as its values and ROW_BYTES for each row, to be broadcast; beyond it the join shuffles.
+BROADCAST_BYTES, ROW_BYTES = 32 << 20, 32
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,9 +73,29 @@ def _remove(spark: SparkSession, path: str) -> None:
         return
 
 
-def small_side(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """`df` with a broadcast hint if its counted `rows` are within `limit`, else as it is."""
-    return F.broadcast(df) if rows <= limit else df
+def small_side(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """`df` with a broadcast hint if its values, which are measured, are within `most` bytes, else as it is.
+
+    What is given should be the result of `cut` or cheap to make, as it is read once more.
+    """
+    width = F.lit(ROW_BYTES)
+    for f in df.schema:
+        width = width + (F.coalesce(F.octet_length(f"`{f.name}`"), F.lit(0)) if f.dataType.typeName() in ("string", "binary") else F.lit(8))
+    return F.broadcast(df) if (df.agg(F.sum(width.cast("long"))).first()[0] or 0) <= most else df
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that `df` doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def without(df: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of `df` whose doc_id isn't among `ids` (distinct); all columns stay, whatever their names, and so do rows without doc_id."""
+    name = fresh(df, "_gone")
+    return df.join(small_side(cut(ids.select(F.col("doc_id").alias(name)))), F.col("doc_id") == F.col(name), "left_anti")
 
 
 def mapped(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, rows: int = 512) -> DataFrame:
@@ -178,10 +198,15 @@ def text_of(name: str = "text") -> Column:
 
 
 def crc_mod(column: str, n: int) -> Column:
-    """crc32 of the value's decimal text, modulo n: the fold of a row."""
+    """crc32 of the value's decimal text, modulo n: the fold of a row. A null has none."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % n
 
 
+def held_out(folds: int, fold: int) -> Column:
+    """Whether a document is of the held-out fold; one without doc_id is of no fold: not held out, and no label of it is learnt."""
+    return F.coalesce(crc_mod("doc_id", folds) == fold, F.lit(False)).alias("held_out")
+
+
 def bounded_sample(df: DataFrame, id_col: str, class_col: str, per_class: int, classes: int = 64) -> tuple[DataFrame, dict]:
     """At most `per_class` rows of each class, the same ones on every run (those of least hash), and the classes' counts.
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termflow.llm.common import bounded_sample, crc_mod, mapped, table, text_of
+from termflow.llm.common import bounded_sample, crc_mod, held_out, mapped, table, text_of
 
 FOLDS, HELD_OUT = 4, 2
 #: Labelled texts of each language that are learnt from at most, and languages at most.
@@ -134,4 +134,4 @@ def predict(df: DataFrame, model: tuple | None) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
-    return predict(documents, learn(documents)).select("doc_id", (crc_mod("doc_id", FOLDS) == HELD_OUT).alias("held_out"), "lang_pred", "score")
+    return predict(documents, learn(documents)).select("doc_id", held_out(FOLDS, HELD_OUT), "lang_pred", "score")

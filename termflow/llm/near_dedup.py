@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termflow.llm.common import cut, drop_cut, grouped, mapped, small_side, table, text_of
+from termflow.llm.common import cut, drop_cut, grouped, mapped, small_side, table, text_of, without
 from termflow.llm.components import components
 
 #: Words of a shingle, and the query's threshold: 100 * intersection >= PERCENT * union.
@@ -277,7 +277,7 @@ def exact_links(documents: DataFrame, classes: DataFrame, candidates: DataFrame,
     sizes = members.groupBy("component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("weight"))
     blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("weight") / BLOCK_SHINGLES)).cast("int")
     members = cut(members.join(sizes, "component").select(F.col("node").alias("_node"), "component", blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block")))
-    texts = documents.select("doc_id", text_of().alias("text")).join(small_side(members, members.count()), F.col("doc_id") == F.col("_node"))
+    texts = documents.select("doc_id", text_of().alias("text")).join(small_side(members), F.col("doc_id") == F.col("_node"))
     texts = texts.select("component", "blocks", "block", "doc_id", "text")
 
     def sets(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -351,8 +351,7 @@ def near_duplicates(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 def drop_near_duplicates(df: DataFrame, percent: int = PERCENT) -> DataFrame:
     """`df` with one document of each component, the one of least doc_id."""
-    gone = cut(near_duplicates(df, percent).filter("NOT kept").select(F.col("doc_id").alias("_gone")).distinct())
-    return df.join(small_side(gone, gone.count()), F.col("doc_id") == F.col("_gone"), "left_anti")
+    return without(df, near_duplicates(df, percent).filter("NOT kept").select("doc_id").distinct())
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -137,7 +137,7 @@ def judge(measured: DataFrame, limits: DataFrame) -> DataFrame:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     measured = cut(measures(table(spark, sf_dir, "documents")))
     limits = cut(thresholds(measured))
-    return judge(measured, small_side(limits, limits.count(), 50_000))
+    return judge(measured, small_side(limits))
 
 
 def _sql() -> str:

@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termflow.llm.common import crc_mod, labelled_texts, table, text_of
+from termflow.llm.common import held_out, labelled_texts, table, text_of
 from termflow.llm.quality_rules import repeated_words
 
 #: Labelled rows of each class that are learnt from at most.
@@ -141,4 +141,4 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     model = learn(documents, table(spark, sf_dir, "labels"))
     scored = statistics(documents.select("doc_id", "text")).select("doc_id", compiled(model).alias("score"))
-    return scored.select("doc_id", (crc_mod("doc_id", FOLDS) == HELD_OUT).alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))
+    return scored.select("doc_id", held_out(FOLDS, HELD_OUT), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))

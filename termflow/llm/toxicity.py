@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termflow.llm.common import Recent, crc_mod, held, labelled_texts, mapped, ship, table, text_of
+from termflow.llm.common import Recent, crc_mod, held, held_out, labelled_texts, mapped, ship, table, text_of
 
 FOLDS, HELD_OUT, CUT = 5, 0, 0.5
 #: Labelled texts of each class, terms and trigrams that are kept at most.
@@ -287,4 +287,4 @@ def keep_clean(df: DataFrame, model: dict) -> DataFrame:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     out = scored(documents, learn(documents, table(spark, sf_dir, "labels")))
-    return out.select("doc_id", (crc_mod("doc_id", FOLDS) == HELD_OUT).alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))
+    return out.select("doc_id", held_out(FOLDS, HELD_OUT), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))

@@ -55,7 +55,7 @@ def grow(pages: DataFrame) -> DataFrame:
         total = n.groupBy("host", "template").agg(F.sum("n").alias("total"))
         literal = n.filter(F.col("n") >= SUPPORT).join(total, ["host", "template"]).filter(F.col("n") * SHARE >= F.col("total"))
         literal = cut(literal.select(F.col("host").alias("_h"), F.col("template").alias("_t"), F.col("_seg").alias("_s")))
-        df = df.join(small_side(literal, literal.count()), (F.col("host") == F.col("_h")) & (F.col("template") == F.col("_t")) & (F.col("_seg") == F.col("_s")), "left")
+        df = df.join(small_side(literal), (F.col("host") == F.col("_h")) & (F.col("template") == F.col("_t")) & (F.col("_seg") == F.col("_s")), "left")
         df = df.withColumn("template", F.when(F.col("_seg").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), F.coalesce("_s", F.lit("*"))))).drop("_h", "_t", "_s", "_seg")
     return df.withColumn("template", F.when(F.size("_segs") > DEPTH, F.concat("template", F.lit("/**"))).otherwise(F.col("template"))).drop("_segs")
 
@@ -87,7 +87,7 @@ def judge(pages: DataFrame, labels: DataFrame) -> DataFrame:
     bad = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg((1 - F.min("quality")).alias("bad"))
     templates = judged_templates(df.join(bad, df["_made_from"] == bad["doc_id"], "left").select("host", "template", "bad"))
     templates = cut(templates.select(F.col("host").alias("_h"), F.col("template").alias("_t"), "branch", "bad_share", "rejected"))
-    df = df.join(small_side(templates, templates.count()), (F.col("host") == F.col("_h")) & (F.col("template") == F.col("_t")), "left")
+    df = df.join(small_side(templates), (F.col("host") == F.col("_h")) & (F.col("template") == F.col("_t")), "left")
     own = F.when(F.col("rejected"), "block").otherwise("allow")
     return df.select("page_id", "host", "path", "rule", F.coalesce("_verdict", own).alias("verdict"), "template", "branch")
 
