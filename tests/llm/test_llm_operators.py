@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -336,9 +337,114 @@ def test_leaks(spark, documents):
 def test_reparameterised_leaks(spark):
     ask = "So {} has {} apples and gives {} {} of the red ones to every child before they all drive {} to school together, and how many apples does {} keep at the end of the day."
     items = spark.createDataFrame([(1, ask.format("Tom", 5, "Mary", 3, "40 miles", "Tom"))], "item_id long, text string")
-    docs = [(1, ask.format("Bob", 9, "Ann", 2, "70 km", "Bob")), (2, "Text before. " + ask.format("Tom", 5, "Mary", 3, "40 miles", "Tom") + " And after."), (3, "So nobody has apples and the children walk to school."), (4, ask.format("Bob", 9, "Ann", 2, "70 km", "Zoe"))]
+    docs = [(1, ask.format("Bob", 9, "Ann", 2, "70 km", "Bob")), (2, "Text before. " + ask.format("Tom", 5, "Mary", 3, "40 miles", "Tom") + " And after."), (3, "So nobody has apples and the children walk to school."), (4, ask.format("Bob", 9, "Ann", 2, "70 km", "Zoe")), (5, ask.format("Bob", 9, "Bob", 2, "70 km", "Bob")), (6, ask.format("Bob", 9, "Ann", 9, "9 km", "Bob")), (7, "and " + ask.format("Tom", 5, "Mary", 3, "40 miles", "Zoe"))]
     got = {r["doc_id"]: r for r in decontam.leaks(spark.createDataFrame(docs, "doc_id long, text string"), items).collect()}
-    assert {1, 2} <= set(got) and 3 not in got and got[1]["n_changed"] == 6 and got[2]["n_changed"] == 0
+    # 4: one name became two; 5: two names became one; 6: numbers may coincide; 7: a copy but for one name
+    assert set(got) == {1, 2, 6, 7} and got[1]["n_changed"] == 6 and got[2]["n_changed"] == 0 and got[2]["coverage"] == got[1]["coverage"] == 1
+    assert got[1]["n_conflicts"] == 0 < got[7]["n_conflicts"] and got[7]["n_changed"] == 0 and got[7]["coverage"] < 1
+
+
+DENSE = ["Solve 12 x 7 + 3 for Anna and 5 kg of 8 mg", "What is 12 times 7?", "What is the capital city of France?", "Anna Bert Carl Dora Emil 5 kg 6 kg 7 kg Frida Gustav Hans Ida 8 mg 9 mg Jan 1 2 3 4 5 6 7 of Karl", "one two", "Paris", "7 8 9", "12 + 5 = 17", "Table 3: 4.5% 5.1% 6.0% 7.2% 8.8% 9.1% 10.4% in May"]
+
+
+def test_slot_dense_and_short_items_are_found(spark):
+    """Verbatim copies of items of any kind, in the middle of a text and at its edges; not what only looks like them."""
+    items = spark.createDataFrame(list(enumerate(DENSE)), "item_id long, text string")
+    docs = [(10 * i + k, t) for i, x in enumerate(DENSE) for k, t in enumerate((x, f"see here {x} so there", f"heading\n{x}", f"It ended. {x} Then more 3 4 5"))]
+    other = [(1000, "Solve it at once for me"), (1001, "What is 13 times 9?"), (1002, "Berta 4 kg 7 kg"), (1003, "the 1 of 2 is 3 and 4"), (1004, "9 8 7")]
+    found = decontam.contaminated(spark.createDataFrame(docs + other, "doc_id long, text string"), items).collect()
+    pairs = {(r["doc_id"], r["item_id"]) for r in found}
+    assert {(10 * i + k, i) for i in range(len(DENSE)) for k in range(4)} <= pairs
+    assert not any(d >= 1000 for d, _ in pairs)
+
+
+def template(text):
+    """Template tokens: (type, value) of every word, by the operator's word table only."""
+    canon, out = decontam.Canon(), []
+    for w in text.split():
+        _, kind, unit = canon.rows[-1] if canon.ids.get(w) is None and canon.look(w) else canon.rows[canon.ids[w] - 1]
+        out.append((decontam.UNIT if unit and not kind and out and out[-1][0] == decontam.NUM else kind, canon.values[canon.ids[w]]))
+    return out
+
+
+def brute_leaks(docs, items):
+    """(document, item) -> item places that count, over every alignment of every document and item."""
+    said = lambda x: x[1] if not x[0] else x[0]
+    found = {}
+    for (d, text), (i, item) in itertools.product(docs.items(), items.items()):
+        a, b, fit, places = template(text), template(item), set(), set()
+        spans = []  # (place, length, by words)
+        for p in range(len(b)):
+            literal = [q for q in range(p, len(b)) if not b[q][0]]
+            if p + 8 <= len(b):
+                if len(literal) >= 5:
+                    spans.append((p, max(8, literal[4] + 1 - p), False))
+                else:
+                    spans.append((p, 8, True))
+        if 0 < len(b) < 8:
+            spans.append((0, len(b), sum(not x[0] for x in b) < min(5, len(b) - 1) or len(b) < 4))
+        places = {p for p, _, _ in spans}
+        for shift in range(-len(b), len(a)):
+            same = []
+            for p, n, words in spans:
+                if p + shift >= 0 and p + shift + n <= len(a):
+                    x, y = b[p : p + n], a[p + shift : p + shift + n]
+                    if [t[1] for t in x] == [t[1] for t in y] if words else list(map(said, x)) == list(map(said, y)):
+                        same.append((p, [] if words else [(p + k, s[0], s[1], t[1]) for k, (s, t) in enumerate(zip(x, y, strict=True)) if s[0]]))
+            every = {s for _, own in same for s in own}
+            there, back = collections.defaultdict(collections.Counter), collections.defaultdict(collections.Counter)
+            for _, kind, ours, theirs in every:
+                there[kind, ours][theirs] += 1
+                if kind == decontam.NAME:
+                    back[theirs][ours] += 1
+            bad = sum(sum(c.values()) - max(c.values()) for c in [*there.values(), *back.values()])
+            fit |= {p for p, own in same if bad <= decontam.TOLERANCE * len(every) or all(s[2] == s[3] for s in own)}
+        if places and (len(fit) >= decontam.COVER * len(places) or len(fit) >= decontam.ENOUGH):
+            found[d, i] = (len(fit), len(places))
+    return found
+
+
+def asked(rng):
+    """A question with names, numbers and units, and a copy whose values are others throughout."""
+    words = [f"{rng.choice('bcdfgl')}{rng.choice('aeiou')}{rng.choice('mnrst')}{rng.choice(['', 'e', 'ing'])}" for _ in range(rng.randrange(12, 40))]
+    names = rng.sample(["Tom", "Mary", "Bob", "Ann", "Zoe", "Carl", "Dora", "Emil"], 6)
+    one, two = dict(zip("abc", names[:3], strict=True)), dict(zip("abc", names[3:], strict=True))
+    for k in "defg":
+        one[k], two[k] = (f"{rng.randrange(2, 90)}" for _ in range(2))
+    ours, theirs = [], []
+    for w in words:
+        if rng.random() < 0.25:
+            k = rng.choice("abcdefg")
+            w = (one[k], two[k])
+            if k in "defg" and rng.random() < 0.5:
+                w = (w[0] + " kg", w[1] + " miles")
+        else:
+            w = (w, w)
+        ours.append(w[0])
+        theirs.append(w[1])
+    end = lambda x: x[:1].upper() + x[1:] + "."
+    return end(" ".join(ours)), end(" ".join(theirs))
+
+
+def test_leaks_against_brute_force(spark):
+    """Items and documents of the tables, dense and short ones, and re-parameterised copies of which some are inconsistent."""
+    rng = random.Random(12)
+    pairs = [asked(rng) for _ in range(60)]
+    items = dict(enumerate([*DENSE, *(p[0] for p in pairs)]))
+    docs = {}
+    for k, (ours, theirs) in enumerate(pairs):
+        docs[3 * k], docs[3 * k + 1] = f"some words here. {theirs} and more", f"so {ours[: rng.randrange(len(ours))]} stops"
+        w = theirs.split()
+        for at in [p for p, x in enumerate(w) if x[:1].isupper() or x[:1].isdigit()][: rng.randrange(4)]:
+            w[at] = rng.choice(["Ann", "Tom", "17"]) if w[at][0].isupper() else str(rng.randrange(99))
+        docs[3 * k + 2] = " ".join(w)
+    docs |= {1000 + i: f"see {x} there" for i, x in enumerate(DENSE)}
+    got = decontam.contaminated(spark.createDataFrame(list(docs.items()), "doc_id long, text string"), spark.createDataFrame(list(items.items()), "item_id long, text string")).collect()
+    want = brute_leaks(docs, items)
+    assert {(r["doc_id"], r["item_id"]): (r["n_windows"], r["of_windows"]) for r in got} == want
+    caught = {(r["doc_id"], r["item_id"]) for r in got}
+    recall = sum((3 * k, len(DENSE) + k) in caught for k in range(60)) / 60
+    assert recall >= 0.9, recall
 
 
 def test_pipeline(spark, tmp_path):
