@@ -9,13 +9,14 @@ from pyspark.sql import functions as F
 
 from termflow.functions.text import trim
 
-# Fixed values.
+# Streaming services, patterns of media file names, and the last episode that a bare number may be.
 SERVICES = ["Netflix", "Crunchyroll", "Funimation", "Amazon", "Hulu", "Disney", "HBO", "Paramount", "Apple", "Peacock", "MAX"]
+SEASON_EPISODE = r"(?i)(.+?)[\.\s\-\_\[\]]*[Ss](\d{1,2})[Ee](\d{1,3})(?:[\.\s\-\_]*(.+))?"
+EPISODE = r"(?i)(.+?)[\.\s\-\_\[\]]*(?:episode|ep|e)[\.\s\-\_]*(\d{1,3})(?:[\.\s\-\_]*(.+))?"
+BARE_NUMBER = r"(?i)(.+?)[\s\-]+(\d{1,3})(?:\s+\((.+?)\)|\s+(.+?))?$"
+MOVIE = r"(?i)(.+?)[\s\.\-\_]*\((\d{4})\)(?:[\s\.\-\_]*(.+))?"
+BRACKETED = r"[\[\(][^\]\)]*[\]\)]"
 LANGUAGE_SUFFIX = r"\.(?:ja|en|es|fr|de|it|pt|ru|ko|zh)(?:\[cc\])?$"
-SEASON_EPISODE = r"(?i)^(.+?)[.\s_\[\]-]*S(\d{1,2})E(\d{1,3})(?:[.\s_-]*(.+))?"
-EPISODE = r"(?i)^(.+?)[.\s_\[\]-]*(?:episode|ep|e)[.\s_-]*(\d{1,3})(?:[.\s_-]*(.+))?"
-BARE_NUMBER = r"(?i)^(.+?)[\s-]+(\d{1,3})(?:\s+\((.+?)\)|\s+(.+?))?$"
-MOVIE = r"(?i)^(.+?)[\s._-]*\((\d{4})\)(?:[\s._-]*(.+))?"
 LAST_BARE_EPISODE = 200
 
 
@@ -37,7 +38,7 @@ def service(text: Column) -> Column:
 
 def clean_title(title: Column) -> Column:
     """Without bracketed text and language suffix, separators as spaces; words are capitalised only if all letters have one case."""
-    bare = F.regexp_replace(F.regexp_replace(title, r"[\[(][^\])]*[\])]", ""), LANGUAGE_SUFFIX, "")
+    bare = F.regexp_replace(F.regexp_replace(title, BRACKETED, ""), LANGUAGE_SUFFIX, "")
     bare = trim(F.regexp_replace(F.translate(bare, "._-", "   "), r"(?U)\s+", " "))
     letters = F.regexp_replace(bare, r"[^\p{L}]", "")
     one_case = (letters != "") & (~letters.rlike(r"[^\p{Lu}]") | ~letters.rlike(r"[^\p{Ll}]"))

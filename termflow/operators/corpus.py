@@ -7,9 +7,31 @@ from pyspark.sql import functions as F
 
 from termflow.functions import text as T
 
-# Fixed values.
+# Parts of speech that aren't counted, and signs that are no terms.
 SKIPPED_POS = ["Onomatopoeia", "Number"]
-PUNCTUATION = list("。、・…「」『』（）()！？!?.,:;：；~〜ー-―—_/\\|'\"“”‘’[]【】《》〈〉＜＞<>♪☆★→←↑↓=＝+＋*＊#＃%％&＆@＠ ")
+PUNCTUATION = [
+    "。", "｡", "、", "！", "？", "‼", "⁉",
+    "・", "･", "…", "～", "〜", "ー",
+    "「", "」", "『", "』", "【", "】",
+    "（", "）", "｟", "｠", "《", "》",
+    "(", ")", "[", "]", "{", "}",
+    ",", ".", "!", "?", ";", ":",
+    '"', "'", "`", "´", "“", "”",
+    "-", "–", "—", "―", "_", "＿",
+    "/", "\\", "|", "｜",
+    "*", "＊", "※", "☆", "★",
+    "♪", "♬", "♫", "♩",
+    "→", "←", "↑", "↓", "➡", "⇒",
+    "○", "●", "◯", "◎", "□", "■",
+    "◆", "◇", "△", "▲", "▽", "▼",
+    "　",
+    "＃", "#", "&", "＆", "@", "＠",
+    "+", "＋", "=", "＝", "<", ">",
+    "＜", "＞", "≪", "≫",
+    "%", "％", "$", "￥", "¥",
+    "°", "℃", "℉",
+    "〒", "§",
+]
 TRIM_TENTHS, PREVIEW = 1, 250
 HAPAX = 1
 

@@ -12,7 +12,7 @@ from pyspark.sql.types import StructType
 #: Entries of the recents list at most.
 RECENTS = 50
 # Terms that a new ignore list holds.
-DEFAULT_IGNORED = "は が を に で と も の へ や か ね よ な だ です ます する いる ある".split()
+DEFAULT_IGNORED = ["の", "は", "に", "へ", "を", "て", "が", "だ", "た", "と", "から", "も", "で", "か", "です", "ね", "な", "ん", "し", "お"]
 
 IGNORE = "term string, origin string, enabled boolean"
 VOCAB = "term string, reading string, card_id bigint, interval double"

@@ -86,6 +86,15 @@ def test_merge_rules():
     assert len(segmentation.DEFAULT_RULES) == 26
 
 
+def test_excluded_tokens(spark):
+    """Signs that count as Japanese are listed one by one; what isn't Japanese is excluded anyway."""
+    signs = list("。｡、！？‼⁉・･…～〜ー「」『』【】（）｟｠《》()[]{},.!?;:\"'`´“”-–—―_＿/\\|｜*＊※☆★♪♬♫♩→←↑↓➡⇒○●◯◎□■◆◇△▲▽▼　＃#&＆@＠+＋=＝<>＜＞≪≫%％$￥¥°℃℉〒§")
+    assert len(signs) == len(corpus.PUNCTUATION) == 107 and set(signs) == set(corpus.PUNCTUATION)
+    df = spark.createDataFrame([(x,) for x in [*signs, "abc", "", " ", "犬", "いぬ", "イヌー", "ーー"]], "t string").select("t", corpus.excluded_token(F.col("t")).alias("out"))
+    got = {r["t"]: r["out"] for r in df.collect()}
+    assert all(got[x] for x in [*signs, "abc", "", " "]) and not any(got[x] for x in ("犬", "いぬ", "イヌー", "ーー"))
+
+
 def test_rescue():
     bad = [token("負け", 0, pos1="名詞", pos2="普通名詞"), token("じと", 6, pos1="名詞", pos2="普通名詞")]
     good = [token("負けじ", 0, pos1="名詞", pos2="普通名詞"), token("と", 9, pos1="助詞")]
