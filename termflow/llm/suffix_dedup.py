@@ -44,7 +44,7 @@ WINDOW = LENGTH - SEED + 1
 CHUNK_BYTES, BUCKET_BYTES, BLOCK, SHARDS = 8 << 20, 8 << 20, 1 << 20, 4
 #: Distinct strings of one hash, counted by chunk, from which its windows are dealt by hashes of their own: a bucket's worth.
 HOT = 1 << 17
-#: Partitions of the exchange of texts at most; beyond them a partition holds several chunks, one after another.
+#: Partitions of an exchange at most; beyond them a partition holds several chunks or buckets, one after another.
 PARTITIONS = 20_000
 #: Bits of a hash within its bucket, and bits of the logarithm of a count.
 KEY_BITS, COUNT_BITS = 35, 4
@@ -486,10 +486,11 @@ def deduplicate(documents: DataFrame, chunk_bytes: int = CHUNK_BYTES, bucket_byt
     docs = docs.repartition(min(chunks, PARTITIONS), "chunk")  # the one exchange of texts: all three passes reuse it
     number = lambda t: t.column("chunk")[0].as_py()
     keys = docs.groupBy("chunk").applyInArrow(lambda t: send_keys(number(t), Chunk(t), names), ddl(KEYS))
-    asked = keys.groupBy("bucket").applyInArrow(lambda t: answer_keys(t, hot), ddl(KEYS))
+    buckets = min(len(names), PARTITIONS)
+    asked = keys.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(lambda t: answer_keys(t, hot), ddl(KEYS))
     empty = lambda s: s.empty_table()
     runs = docs.groupBy("chunk").cogroup(asked.groupBy("chunk")).applyInArrow(lambda t, a: send_runs(number(t), Chunk(t), a, names) if t.num_rows else empty(RUNS), ddl(RUNS))
-    told = runs.groupBy("bucket").applyInArrow(answer_runs, ddl(FIRSTS))
+    told = runs.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(answer_runs, ddl(FIRSTS))
     done = docs.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(lambda t, a: finish(Chunk(t), a, len(names)) if t.num_rows else empty(RESULT), ddl(RESULT))
     return done.unionByName(nameless)
 
