@@ -153,14 +153,18 @@ class Recent(dict):
     """A bounded dictionary that makes what it lacks: two generations of `limit` entries each.
 
     When the young one is full it becomes the old one, whose entries move back as they are asked for, so
-    frequent keys stay.
+    frequent keys stay. What is made of a key over LONGEST_KEY characters isn't kept, which bounds the bytes.
     """
 
+    LONGEST_KEY = 64
+
     def __init__(self, make: Callable, limit: int):
         super().__init__()
         self.make, self.limit, self.old = make, limit, {}
 
     def __missing__(self, key):
+        if len(key) > self.LONGEST_KEY:
+            return self.make(key)
         value = self.old.get(key)
         if value is None:
             value = self.make(key)

@@ -3,10 +3,11 @@
 A word that may be disguised (signs or digits among its letters, a letter three times or more, letters
 spaced out) becomes a lattice of characters: a sign or digit may stand for letters it resembles, a mask
 for any letter, a repeated letter or a separator for nothing. Viterbi decoding under a character
-trigram model picks the likeliest reading; other words are their own reading. The restored words are
-scored: terms (whole words and word beginnings) whose rate differs significantly between toxic and
-other labelled texts have a log-rate weight, and a logistic curve over a text's summed weight and its
-density gives the score.
+trigram model picks the likeliest reading; other words are their own reading. Words over LONG characters
+are addresses or keys: the parts between their signs are words (not decoded if still over LONG), and
+spaced-out letters are read LONG at a time. The restored words are scored: terms (whole words and word
+beginnings) whose rate differs significantly between toxic and other labelled texts have a log-rate
+weight, and a logistic curve over a text's summed weight and its density gives the score.
 
 The character model counts all texts outside the held-out fold, labelled or not. Term weights and the
 curve come from a bounded sample (PER_CLASS labelled texts of each class outside that fold). Workers count,
@@ -14,7 +15,8 @@ only counts are merged, and the driver gets at most TERMS terms and the TRIGRAMS
 
 Defined results: a null text counts as empty and gets the score of a text without toxic terms; without
 labels of both classes every score is the larger class's share, at most 0.49; repeated rows get equal
-scores; texts are read whole; an empty table gives an empty result; further columns are no input.
+scores; of readings of equal cost the option listed first wins; a row without doc_id is scored, never learnt
+from and not held out; texts are read whole; an empty table gives an empty result; further columns are no input.
 """
 
 from __future__ import annotations
@@ -45,6 +47,10 @@ SWAP, MASK, DROP, AGAIN, TWICE, LOST = 0.4, 2.5, 0.3, 0.1, 3.0, 12.0
 CACHE_WORDS, ROWS = 120_000, 128
 EDGE = ".,;:!?\"'()[]{}<>|*%&#$«»„“”‘’¿¡…-–—_/\\=+~`^"
 DISGUISED = re.compile(r"[^\W\d_][^\w\s]+[^\W\d_]|[^\W\d_][\d_@$!|+€£]|[\d_@$!|+€£][^\W\d_]|([^\W\d_])\1\1")
+#: Characters of a word at most that may be disguised: of longer ones (addresses, keys) the parts between signs are words.
+LONG, PARTS = 40, re.compile(r"[^\W_]+")
+#: Stands for every character that the model has no count of: no letter of any text.
+OTHER = "\ufffe"
 SPACED = re.compile(r"(?:(?<=\s)|^)[^\s](?:\s[^\s]){3,}(?=\s|$)")
 
 
@@ -59,6 +65,10 @@ class Channel:
         self.pairs, self.singles, self.total = pairs, singles, sum(singles.values()) + 1.0
         self.letters = [c for c, _ in singles.most_common(40) if c.isalpha()]
         self.cost: dict[str, float] = {}
+        #: Characters of the model; the last one stands for all others, which it knows nothing of.
+        self.symbols = ["^", *sorted({c for t in trigrams for c in t} - {"^", "$"}), OTHER]
+        self.number = {c: i for i, c in enumerate(self.symbols)}
+        self._table: np.ndarray | None = None
 
     def letter(self, context: str, c: str) -> float:
         """-log P(c | two characters before), interpolated with the single character's share."""
@@ -69,6 +79,20 @@ class Channel:
             self.cost[key] = -math.log((self.tri.get(key, 0) + 2.0 * one) / (n + 2.0))
         return self.cost[key]
 
+    @property
+    def table(self) -> np.ndarray:
+        """`letter` of all symbols: [first, second, next], the end of a word as the last `next`."""
+        if self._table is None:
+            k, to = len(self.symbols), [*self.symbols, "$"]
+            one = np.array([(self.singles.get(c, 0) + 0.1) / (self.total + 10) for c in to])
+            counts, at = np.zeros((k, k, k + 1)), {c: i for i, c in enumerate(to)}
+            for t, n in self.tri.items():
+                if t[0] in self.number and t[1] in self.number:
+                    counts[self.number[t[0]], self.number[t[1]], at[t[2]]] += n
+            n = np.array([[self.pairs.get(a + b, 0) for b in self.symbols] for a in self.symbols], float)
+            self._table = -np.log((counts + 2.0 * one) / (n[:, :, None] + 2.0))
+        return self._table
+
     def options(self, word: str, i: int) -> list[tuple[str, float]]:
         """Readings of one character ('' drops it) with the channel's cost."""
         c = word[i]
@@ -83,7 +107,9 @@ class Channel:
         return [*out, ("", DROP if c in SEPARATORS or c.isspace() else LOST)]
 
     def decode(self, word: str) -> str:
-        """The likeliest reading; a state is the two last letters read."""
+        """The likeliest reading; a state is the two last letters read. Of equal costs the option listed first wins."""
+        if any(c in MASKS for c in word):
+            return self.decode_masked(word)
         best: dict[str, tuple[float, str]] = {"^^": (0.0, "")}
         for i in range(len(word)):
             after: dict[str, tuple[float, str]] = {}
@@ -98,17 +124,55 @@ class Channel:
             best = after or best
         return min((cost + self.letter(s, "$"), read) for s, (cost, read) in best.items())[1]
 
+    def decode_masked(self, word: str) -> str:
+        """`decode` with all states in one matrix [last but one, last], as a mask leads to every pair of letters."""
+        k, other = len(self.symbols), len(self.symbols) - 1
+        number = lambda c: self.number.get(c, other)
+        cost = np.full((k, k), np.inf)
+        cost[0, 0] = 0.0
+        steps = []  # by place: the option that led to each state, and the letter before its two
+        for i in range(len(word)):
+            after, option, before = np.full((k, k), np.inf), np.zeros((k, k), np.int16), np.zeros((k, k), np.int16)
+            options = self.options(word, i)
+            for o, (c, extra) in enumerate(options):
+                if c:
+                    x = number(c)
+                    step = cost + self.table[:, :, x] + extra
+                    first = step.argmin(0)
+                    low = step[first, np.arange(k)]
+                    better = low < after[:, x]
+                    after[better, x], option[better, x], before[better, x] = low[better], o, first[better]
+                else:
+                    step = cost + extra
+                    if word[i].isalpha() and word[i] not in LOOKS:
+                        step = np.where(np.arange(k) == number(word[i]), step, np.inf)
+                    better = step < after
+                    after[better], option[better] = step[better], o
+            steps.append((options, option, before))
+            cost = after
+        a, b = np.unravel_index(int((cost + self.table[:, :, k]).argmin()), cost.shape)
+        read = []
+        for options, option, before in reversed(steps):
+            if c := options[option[a, b]][0]:
+                read.append(c)
+                a, b = before[a, b], a
+        return "".join(reversed(read))
+
 
 def readings(text: str) -> tuple[list[str], list[str]]:
-    """The words of a text, lower-cased; and what spaced-out letters make up."""
+    """The words of a text, lower-cased, long ones cut into their parts; and what spaced-out letters make up."""
     low = text.lower()
-    return low.split(), SPACED.findall(low)
+    words = low.split()
+    if any(len(w) > LONG for w in words):
+        words = [p for w in words for p in ([w] if len(w) <= LONG else PARTS.findall(w))]
+    spaced = ["".join(x.split()) for x in SPACED.findall(low)]
+    return words, [s[at : at + LONG] for s in spaced for at in range(0, len(s), LONG)]
 
 
 def restored(word: str, channel: Channel | None) -> str:
     """A word without its edges, decoded if it may be disguised."""
     bare = word.strip(EDGE)
-    if channel is None or bare.isalpha() and not DISGUISED.search(bare):
+    if channel is None or len(bare) > LONG or bare.isalpha() and not DISGUISED.search(bare):
         return bare
     # signs at an edge may stand for letters: then the word with them is decoded too, if it is a known term (see Scorer)
     return channel.decode(bare) if any(c.isalpha() for c in bare) and DISGUISED.search(bare) else bare
@@ -130,7 +194,7 @@ class Scorer:
 
     def raw(self, word: str) -> float:
         value = self.of(restored(word, self.channel))
-        if not value and any(c in LOOKS for c in word[:1] + word[-1:]) and any(c.isalpha() for c in word):
+        if not value and len(word) <= LONG and any(c in LOOKS for c in word[:1] + word[-1:]) and any(c.isalpha() for c in word):
             value = self.of(self.channel.decode(word))
         return value
 
@@ -138,7 +202,7 @@ class Scorer:
         """Summed weight and weight per hundred words, as logs."""
         words, spaced = readings(text)
         known = self.known
-        total = sum([known[w] for w in words]) + sum([known[s.replace(" ", "")] for s in spaced])
+        total = sum([known[w] for w in words]) + sum([known[s] for s in spaced])
         return math.log1p(total), math.log1p(100 * total / max(1, len(words)))
 
 
@@ -185,7 +249,7 @@ def spelled(texts: DataFrame) -> DataFrame:
 
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                words.update(text.lower().split())
+                words.update(readings(text)[0])
                 if len(words) > CACHE_WORDS:
                     yield flush()
         yield flush()

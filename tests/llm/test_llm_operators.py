@@ -5,6 +5,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -166,16 +167,51 @@ def test_held_out_labels(spark, module, label, least):
 
 
 def test_deobfuscation(texts):
+    s = toxicity.Scorer({"idiot$": 5.0, "moron$": 5.0, "scum$": 5.0}, character_model(texts))
+    for w in ("1d10t", "id!ot", "idiooot", "i.d.i.o.t", "m0r0n", "m-o-r-o-n", "idiot!!", "sssscum", "“idiot”"):
+        assert s.known[w] == 5.0, w
+    assert s.known["thing***"] == 0 and s.features("clean words") == (0.0, 0.0)
+    assert s.features("an i d i o t and m o r o n")[0] == pytest.approx(np.log1p(10))
+
+
+def character_model(texts):
     tri = collections.Counter()
     for t in texts.values():
         for w in toxicity.readings(t)[0]:
             if (w := toxicity.restored(w, None)).isalpha():
                 tri.update("".join(x) for x in zip("^^" + w, "^" + w + "$", w + "$", strict=False))
-    s = toxicity.Scorer({"idiot$": 5.0, "moron$": 5.0, "scum$": 5.0}, toxicity.Channel(tri))
-    for w in ("1d10t", "id!ot", "idiooot", "i.d.i.o.t", "m0r0n", "m-o-r-o-n", "idiot!!", "sssscum", "“idiot”"):
-        assert s.known[w] == 5.0, w
-    assert s.known["thing***"] == 0 and s.features("clean words") == (0.0, 0.0)
-    assert s.features("an i d i o t and m o r o n")[0] == pytest.approx(np.log1p(10))
+    return toxicity.Channel(dict(tri))
+
+
+def test_viterbi_against_all_paths(texts):
+    """The decoder, with and without masks, finds the cheapest of all paths through short lattices."""
+    channel, rng = character_model(texts), random.Random(1)
+
+    def paths(word, i, state, cost, read):
+        if i == len(word):
+            yield cost + channel.letter(state, "$"), read
+            return
+        for c, extra in channel.options(word, i):
+            if c:
+                yield from paths(word, i + 1, state[1] + c, cost + extra + channel.letter(state, c), read + c)
+            elif not (word[i].isalpha() and word[i] not in toxicity.LOOKS) or state[1] == word[i]:
+                yield from paths(word, i + 1, state, cost + extra, read)
+
+    for _ in range(300):
+        word = "".join(rng.choice("abeilostun1034@$!.-éß") for _ in range(rng.randrange(1, 7)))
+        if rng.random() < 0.5:
+            at = rng.randrange(len(word) + 1)
+            word = word[:at] + rng.choice(toxicity.MASKS) + word[at:]
+        assert channel.decode(word) == min(paths(word, 0, "^^", 0.0, ""))[1], word
+
+
+@pytest.mark.parametrize("word", ["http://x/" + "%e3%81%82" * 2200, "a1" * 10_000, "*#?%" * 5000, "x" * 20_000, "i " * 10_000, "a1-" * 7000, "f**k" * 5000])
+def test_long_words_cost_no_more_than_their_length(texts, word):
+    scorer = toxicity.Scorer({"idiot$": 5.0}, character_model(texts))
+    began = time.process_time()
+    scorer.features(word)
+    assert time.process_time() - began < 1
+    assert scorer.features("see " + "-".join(["1d10t"] * 100) + " there")[0] > 0
 
 
 def test_character_model_counts_unlabelled_texts(spark):
