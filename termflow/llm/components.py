@@ -7,26 +7,28 @@ from pyspark.sql import functions as F
 
 from termflow.llm.common import cut, drop_cut
 
+#: Edges of a node from which its part of a join is dealt out, and share of all edges from which at least; so hubs are few.
+HUB, HUB_SHARE = 1024, 100_000
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+
+def components(edges: DataFrame) -> DataFrame:
     """node, component (the least node reachable) of every node of `edges` (a, b), by alternating star contraction.
 
     Each round links every node to the least node it has seen: larger neighbours first, then smaller
     ones. The number of edges never grows, a round is two aggregations with map-side combine and two
-    joins, and each round's edges are written to the shared folder. It ends when a round changes nothing.
+    joins, and each round's edges are written to the shared folder. It ends when a round changes nothing,
+    after a number of rounds that grows with the logarithm of the longest chain. Nulls have no edges.
     """
     now = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct())
     seen = _state(now)
-    for _ in range(most_rounds):
-        if not seen[0]:
-            break
-        before, now = now, cut(_star(_star(now, True), False))
+    while seen[0]:
+        half = cut(_star(now, True, seen[0]))
+        before, now = now, cut(_star(half, False, seen[0]))
         drop_cut(before)
+        drop_cut(half)
         if (state := _state(now)) == seen:
             break
         seen = state
-    else:
-        raise RuntimeError("components didn't settle")
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct()
 
 
@@ -35,11 +37,15 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """One star step over edges (a > b)."""
+def _star(edges: DataFrame, large: bool, size: int) -> DataFrame:
+    """One star step over edges (a > b), of which there are about `size`. A hub's edges are dealt over several keys, and so is its least neighbour."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
-    df = both.join(least, F.col("a") == F.col("u"))
+    most = max(HUB, size // HUB_SHARE)
+    least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"), F.ceil(F.col("n") / most).alias("parts"))
+    hubs = least.filter("parts > 1").select(F.col("u").alias("h"), "parts")  # 2 * HUB_SHARE rows at most
+    dealt = both.join(F.broadcast(hubs), F.col("a") == F.col("h"), "left").select("a", "b", F.coalesce(F.pmod(F.xxhash64("b"), "parts"), F.lit(0)).alias("part"))
+    every = least.select("u", "m", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("p"))
+    df = dealt.join(every, (F.col("a") == F.col("u")) & (F.col("part") == F.col("p")))
     if large:  # larger neighbours of u go to the least node u knows
         out = df.filter(F.col("b") > F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:  # u and its smaller neighbours go to the least of them

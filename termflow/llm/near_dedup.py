@@ -18,8 +18,9 @@
 
 Defined results: documents without words have no shingles, are linked with nothing and are kept; so is a
 row without doc_id, with a null component; a text
-with fewer than five words is one shingle; repeated rows of a doc_id are one document; an empty table
-gives an empty result; further columns are ignored by the query and kept by `drop_near_duplicates`.
+with fewer than five words is one shingle; repeated rows of a doc_id are one document (with different texts
+it is linked by each of them); of a component the least doc_id is kept, whatever the similarities; an empty
+table gives an empty result; further columns are ignored by the query and kept by `drop_near_duplicates`.
 """
 
 from __future__ import annotations
@@ -28,14 +29,14 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from termflow.llm.common import cut, drop_cut, grouped, mapped, small_side, table, text_of, without
+from termflow.llm.common import cut, drop_cut, fresh, grouped, mapped, small_side, table, text_of, without
 from termflow.llm.components import components
 
-#: Words of a shingle, and the query's threshold: 100 * intersection >= PERCENT * union.
-WORDS, PERCENT = 5, 85
+#: Words of a shingle; the query's similarity in percent, which its contract fixes (100 * intersection >= percent * union), and that of pipeline stages.
+WORDS, PERCENT, SIMILAR = 5, 85, 80
 #: Signature length, and the chance at most that a pair at the threshold has fewer agreements than a candidate needs.
 COORDS, MISS = 64, 3e-6
 #: Bands, and coordinates of each; no coordinate is in two bands.
@@ -350,8 +351,17 @@ def near_duplicates(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 
 def drop_near_duplicates(df: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """`df` with one document of each component, the one of least doc_id."""
-    return without(df, near_duplicates(df, percent).filter("NOT kept").select("doc_id").distinct())
+    """`df` with one row of each component: the document of least doc_id, and of several rows of that the one whose text sorts first (a null text before all)."""
+    gone = near_duplicates(df, percent).filter("NOT kept").select("doc_id").distinct()
+    left = without(df, gone)
+    twice = cut(left.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"))
+    if twice.isEmpty():
+        return left
+    name = fresh(df, "_twice")
+    of = small_side(twice.select(F.col("doc_id").alias(name)))
+    nth = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_first())
+    first = left.join(of, F.col("doc_id") == F.col(name), "left_semi").withColumn(name, F.row_number().over(nth)).filter(F.col(name) == 1).drop(name)
+    return left.join(of, F.col("doc_id") == F.col(name), "left_anti").unionByName(first)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

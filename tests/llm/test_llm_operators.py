@@ -302,18 +302,33 @@ def test_pairs_whose_lists_are_all_long(spark, monkeypatch):
     assert near_dedup.near_duplicates(df).filter("NOT kept").count() == 2500
 
 
-def test_components(spark):
+@pytest.mark.parametrize("hub", [2, components.HUB])
+def test_components(spark, monkeypatch, hub):
+    """Random edges, a long chain and hubs, whose edges are dealt over several keys."""
+    monkeypatch.setattr(components, "HUB", hub)
     rng = random.Random(2)
-    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(400, 440)]
-    best = {x: x for e in edges for x in e if e[0] != e[1]}
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(400, 440)] + [(600, i) for i in range(601, 640)] + [(i, 700) for i in range(650, 690)] + [(None, 5), (5, None), (7, 7)]
+    pairs = [e for e in edges if None not in e and e[0] != e[1]]
+    best = {x: x for e in pairs for x in e}
     for _ in range(60):
-        for a, b in edges:
-            if a != b:
-                best[a] = best[b] = min(best[a], best[b])
+        for a, b in pairs:
+            best[a] = best[b] = min(best[a], best[b])
     got = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == best
 
 
+def test_rows_of_one_document(spark):
+    """Of several rows with a doc_id one stays, and columns of any name are kept as they are."""
+    text = " ".join(f"w{i}" for i in range(30))
+    rows = [(1, text, "x", "y"), (2, text, "x", "y"), (3, "b other words of its own here", "1", "y"), (3, "a other words of its own here", "2", "y"), (4, None, "x", "y"), (4, "later", "x", "y"), (None, text, "x", "y"), (None, text, "x", "y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _gone string, _twice string")
+    got = near_dedup.drop_near_duplicates(df)
+    assert got.columns == df.columns
+    assert sorted(((r["doc_id"], r["text"], r["_gone"]) for r in got.collect()), key=str) == sorted([(1, text, "x"), (3, "a other words of its own here", "2"), (4, None, "x"), (None, text, "x"), (None, text, "x")], key=str)
+    items = spark.createDataFrame([(1, text)], "item_id long, text string")
+    assert [r["doc_id"] for r in decontam.drop_contaminated(df, items).orderBy("doc_id", "text").collect()] == [None, None, 3, 3, 4, 4]
+
+
 def brute_repeats(texts):
     first = {}
     data = {i: (t or "").encode() for i, t in texts.items()}
