@@ -8,8 +8,9 @@ characters reach the driver), and adds a uniform prior to both, which larger inp
 characters or more in all texts by the models' log-likelihood ratio and adds those over the limits.
 
 Defined results: a null text counts as empty, and an empty text has no spans (base_sha256 is that of the
-empty string); repeated rows give repeated results; texts are scanned whole; an empty table gives an
-empty result and only the prior is learnt; further columns are ignored by the query, kept by `redact`.
+empty string); repeated rows give repeated results and so do rows without doc_id; spans that start alike are
+ordered by kind, as KINDS lists them; texts are scanned whole; an empty table gives an empty result and only
+the prior is learnt; further columns are ignored by the query, kept by `redact`.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termflow.llm.common import table, text_of
+from termflow.llm.common import fresh, table, text_of
 from termflow.llm.quality_rules import let
 
 #: Fixed values of the contract: kind, pattern, the group whose length counts, its least length.
@@ -133,23 +134,23 @@ def digest_spans(df: DataFrame) -> DataFrame:
 
 
 def redact(df: DataFrame) -> DataFrame:
-    """`df` with every span of its text replaced by `<secret>` (overlapping spans by one); a null text stays null."""
+    """`df` with every span of its text replaced by `<secret>` (overlapping spans by one), and n_chars, if there, counted anew for those rows; a null text stays null, and all other columns stay, whatever their names."""
     ratios = train(df)
     keep = df.columns
-    base = base_spans(F.coalesce("text", F.lit("")))
-    df = df.withColumn("_base", base)
-    df = df.withColumn("_spans", F.array_sort(F.concat("_base", markov_spans(F.coalesce("text", F.lit("")), F.col("_base"), ratios))))
+    base, spans = fresh(df, "_base"), fresh(df, "_spans")
+    df = df.withColumn(base, base_spans(F.coalesce("text", F.lit(""))))
+    df = df.withColumn(spans, F.array_sort(F.concat(base, markov_spans(F.coalesce("text", F.lit("")), F.col(base), ratios))))
     state = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
     def step(s: Column, x: Column) -> Column:
         piece = F.when(x["start"] >= s["at"], F.concat(s["out"], F.array(F.substring(F.col("text"), s["at"] + 1, x["start"] - s["at"]), F.lit("<secret>")))).otherwise(s["out"])
         return F.struct(F.greatest(s["at"], x["end"]).alias("at"), piece.alias("out"))
 
-    done = F.aggregate("_spans", state, step, lambda s: F.concat(F.array_join(s["out"], ""), F.substring(F.col("text"), s["at"] + 1, F.length("text"))))
-    df = df.withColumn("text", F.when(F.size("_spans") > 0, done).otherwise(F.col("text")))
+    done = F.aggregate(spans, state, step, lambda s: F.concat(F.array_join(s["out"], ""), F.substring(F.col("text"), s["at"] + 1, F.length("text"))))
+    df = df.withColumn("text", F.when(F.size(spans) > 0, done).otherwise(F.col("text")))
     if "n_chars" in keep:
-        df = df.withColumn("n_chars", F.when(F.size("_spans") > 0, F.length("text").cast(df.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return df.select(*keep)
+        df = df.withColumn("n_chars", F.when(F.size(spans) > 0, F.length("text").cast(df.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return df.select(*[f"`{c}`" for c in keep])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,8 +13,8 @@ The character model counts all texts outside the held-out fold, labelled or not.
 curve come from a bounded sample (PER_CLASS labelled texts of each class outside that fold). Workers count,
 only counts are merged, and the driver gets at most TERMS terms and the TRIGRAMS most frequent trigrams.
 
-Defined results: a null text counts as empty and gets the score of a text without toxic terms; without
-labels of both classes every score is the larger class's share, at most 0.49; repeated rows get equal
+Defined results: a null text counts as empty and gets the score of a text without toxic terms, which is under
+0.49 however the labels fall; without labels of both classes every score is the toxic share, under 0.49 too; repeated rows get equal
 scores; of readings of equal cost the option listed first wins; a row without doc_id is scored, never learnt
 from and not held out; texts are read whole; an empty table gives an empty result; further columns are no input.
 """
@@ -44,6 +44,8 @@ LOOKS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb",
 MASKS, SEPARATORS = "*#?%", ".-_~'`^/\\,:;"
 #: Costs (negative logs) of the channel: reading a look-alike, any letter for a mask, dropping a separator, a letter of a run of three or more, one of two, or an unread sign.
 SWAP, MASK, DROP, AGAIN, TWICE, LOST = 0.4, 2.5, 0.3, 0.1, 3.0, 12.0
+#: Log-odds at most of a text without toxic terms: it is never predicted toxic.
+NO_TERMS = -0.05
 CACHE_WORDS, ROWS = 120_000, 128
 EDGE = ".,;:!?\"'()[]{}<>|*%&#$«»„“”‘’¿¡…-–—_/\\=+~`^"
 DISGUISED = re.compile(r"[^\W\d_][^\w\s]+[^\W\d_]|[^\W\d_][\d_@$!|+€£]|[\d_@$!|+€£][^\W\d_]|([^\W\d_])\1\1")
@@ -283,7 +285,7 @@ def learn(documents: DataFrame, labels: DataFrame) -> dict:
     texts, counts = labelled_texts(documents, labels, "toxic", FOLDS, HELD_OUT, PER_CLASS)
     no, yes = sum(n for k, n in counts.items() if k <= 0), sum(n for k, n in counts.items() if k > 0)
     if not no or not yes:
-        return {"id": uuid.uuid4().hex, "weights": {}, "trigrams": {}, "curve": [0.0, 0.0, math.log((yes + 0.5) / (no + 0.5)) if no > yes else -0.05]}
+        return {"id": uuid.uuid4().hex, "weights": {}, "trigrams": {}, "curve": [0.0, 0.0, min(math.log((yes + 0.5) / (no + 0.5)), NO_TERMS)]}
     found = counted(texts).groupBy("term").pivot("label", [0, 1]).agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")).fillna(0).cache()
     size = {int(k): (r or 0) for k, r in zip("01", found.filter(F.col("term") == "\t#").select("0_n", "1_n").first() or (0, 0), strict=True)}
     taken = [min(PER_CLASS, no), min(PER_CLASS, yes)]
@@ -303,7 +305,8 @@ def learn(documents: DataFrame, labels: DataFrame) -> dict:
     rows = featured(texts.select("doc_id", "text", "label"), model).orderBy("doc_id").collect()  # three numbers of PER_CLASS texts each
     y = np.array([float(r["label"] > 0) for r in rows])
     weight = np.where(y > 0, yes / taken[1], no / taken[0])
-    model["curve"] = logistic(np.array([[r["total"], r["density"]] for r in rows]), y, weight).tolist()
+    a, b, c = logistic(np.array([[r["total"], r["density"]] for r in rows]), y, weight).tolist()
+    model["curve"] = [a, b, min(c, NO_TERMS)]
     return model
 
 
