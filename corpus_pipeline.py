@@ -2,6 +2,13 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; what it returns is written as Parquet
 and read again as the next stage's docs. All but the last return the columns of `documents`.
+
+Defined results, in every stage: a null text counts as an empty one and stays null; empty texts are neither
+toxic nor near duplicates nor leaks, hold no secrets and have no tokens; texts are read whole, whatever their
+length; rows without doc_id pass all stages, as nothing can name them (the toxicity stage judges them by their
+text); an empty table stays empty; without labels of both classes nothing is toxic, without benchmark items
+nothing is a leak; further columns are kept whatever their names, but for `token_ids` and `decoded`, which the
+last stage makes.
 """
 
 from __future__ import annotations
@@ -13,27 +20,27 @@ from pyspark.sql import DataFrame, SparkSession
 from termflow.llm import bpe, decontam, near_dedup, secrets, toxicity
 from termflow.llm.common import cut, table
 
-#: Similarity of near duplicates in percent: the query's, which test_pipeline asks of the stage.
-NEAR_PERCENT = near_dedup.PERCENT
+#: Similarity of near duplicates in percent: that of stages on word shingles; the 85 of `op3_near_dedup` is its query's contract.
+NEAR_PERCENT = near_dedup.SIMILAR
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model, learnt from the labelled ones among them, doesn't reject."""
+    """Documents that the toxicity model, learnt from the labelled ones among them, doesn't reject; a score at the limit rejects, and repeated rows go or stay together."""
     return toxicity.keep_clean(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, that of least doc_id."""
+    """One document of each group of near duplicates, that of least doc_id; of several rows of that the one whose text sorts first."""
     return near_dedup.drop_near_duplicates(docs, NEAR_PERCENT)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item, re-parameterised ones included."""
+    """Documents that hold no benchmark item, re-parameterised ones included; rows of one doc_id go together."""
     return decontam.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, their secrets replaced."""
+    """All documents, their secrets replaced; n_chars follows the text."""
     return secrets.redact(docs)
 
 
