@@ -16,7 +16,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from termflow.sources.staging import ship
@@ -211,22 +211,18 @@ def held_out(folds: int, fold: int) -> Column:
     return F.coalesce(crc_mod("doc_id", folds) == fold, F.lit(False)).alias("held_out")
 
 
-def bounded_sample(df: DataFrame, id_col: str, class_col: str, per_class: int, classes: int = 64) -> tuple[DataFrame, dict]:
-    """At most `per_class` rows of each class, the same ones on every run (those of least hash), and the classes' counts.
+def bounded_sample(df: DataFrame, id_col: str, class_col: str, per_class: int) -> tuple[DataFrame, dict]:
+    """At most `per_class` rows of each class, the same ones on every run (those of least hash) with their rank `nth`, and the classes' counts.
 
-    A first pass counts the classes (the `classes` most frequent are kept), a second keeps rows whose
-    hash lies under a class's share, so only about twice the sample reaches the exact top-k.
+    A first pass counts the classes, all of which are kept; a second keeps rows whose hash lies under a
+    class's share, so only about twice the sample reaches the exact top-k.
     """
-    counts = {r[0]: r[1] for r in df.filter(F.col(class_col).isNotNull()).groupBy(class_col).count().orderBy(F.desc("count"), class_col).limit(classes).collect()}
+    counts = {r[0]: r[1] for r in df.filter(F.col(class_col).isNotNull()).groupBy(class_col).count().collect()}
     at = F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1 << 30))
-    keep = F.lit(False)
-    for value, n in counts.items():
-        share = min(1 << 30, int((2 * per_class + 64) / n * (1 << 30)) + 1)
-        keep = keep | ((F.col(class_col) == F.lit(value)) & (at < share))
-    from pyspark.sql import Window
-
-    order = Window.partitionBy(class_col).orderBy(at, id_col)
-    return df.filter(keep).withColumn("_nth", F.row_number().over(order)).filter(F.col("_nth") <= per_class).drop("_nth"), counts
+    rows = [(value, min(1 << 30, int((2 * per_class + 64) / n * (1 << 30)) + 1)) for value, n in counts.items()]
+    share = df.sparkSession.createDataFrame(rows, f"_class {df.schema[class_col].dataType.simpleString()}, _share long")  # a row for each class
+    keep = df.join(F.broadcast(share), F.col(class_col) == F.col("_class")).filter(at < F.col("_share")).select(*df.columns)
+    return keep.withColumn("nth", F.row_number().over(Window.partitionBy(class_col).orderBy(at, id_col))).filter(F.col("nth") <= per_class), counts
 
 
 def labelled_texts(documents: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, per_class: int) -> tuple[DataFrame, dict]:
@@ -236,5 +232,6 @@ def labelled_texts(documents: DataFrame, labels: DataFrame, label: str, folds: i
     """
     known = labels.select("doc_id", label).filter(F.col(label).isNotNull() & (crc_mod("doc_id", folds) != held_out))
     chosen, counts = bounded_sample(known.groupBy("doc_id").agg(F.max(label).alias("label")), "doc_id", "label", per_class)
+    chosen = chosen.drop("nth")
     texts = documents.select("doc_id", text_of().alias("text"))
     return texts.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]), counts  # per_class bounds the sample

@@ -1,57 +1,66 @@
 """Language identification with blended-spectrum string kernels.
 
-A text's features are the character n-grams (one to three long) that occur in it, letters folded to 63
-codes and everything else one boundary code. The kernel of two texts counts the n-grams both have, over
-the geometric mean of how many each has. LANDMARKS texts of a bounded labelled sample span a Nyström
-space, and one-versus-rest kernel ridge regression is solved in it on the driver. Workers score batches
-of whole texts by matrix products: presence x landmarks, then x weights.
+A text's features are the character n-grams (one to three long) that occur in it: letters lower-cased,
+runs of everything else one boundary, each n-gram hashed to BITS bits of its length. The kernel of two
+texts counts the n-grams both have, over the geometric mean of how many each has. Texts of a bounded
+labelled sample, as many of each language, span a Nyström space, and one-versus-rest kernel ridge
+regression is solved in it: workers project the sample on the landmarks and send sums of products, the
+driver solves for the weights. Workers score batches of whole texts by matrix products: presence x
+landmarks, then x weights.
 
 Defined results: `und` with score 0 for a null text or one without a letter, and for every text if no
-language could be learnt; repeated rows get equal results; texts are read whole; an empty table gives
-an empty result; further columns (lang and source among them) are no input of a prediction.
+language could be learnt; every value of lang is a language, however rare; of languages with equal scores
+the first in order is predicted; repeated rows get equal results; rows without doc_id are predicted, but
+never learnt from and not held out; texts are read whole; an empty table gives an empty result; further
+columns (lang and source among them) are no input of a prediction.
 """
 
 from __future__ import annotations
 
+import unicodedata
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termflow.llm.common import bounded_sample, crc_mod, held_out, mapped, table, text_of
+from termflow.llm.common import bounded_sample, crc_mod, held_out, mapped, release, ship, table, text_of
 
 FOLDS, HELD_OUT = 4, 2
-#: Labelled texts of each language that are learnt from at most, and languages at most.
-PER_LANGUAGE, LANGUAGES = 200, 32
-LANDMARKS, RIDGE, TEMPERATURE, ROWS = 64, 1e-3, 0.15, 128
-CODES = 64
-SPACE = CODES + CODES**2 + CODES**3
+#: Labelled texts of each language that are learnt from at most; landmarks in all, but one of each language at least.
+PER_LANGUAGE, LANDMARKS = 200, 64
+RIDGE, TEMPERATURE, ROWS = 1e-3, 0.15, 128
+#: Bits of the hash of an n-gram; each length has its own numbers.
+BITS = 18
+SPACE = 3 << BITS
+_TIMES = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)
 
-_fold: list[np.ndarray] = []
+_letters: list[np.ndarray] = []
 
 
-def fold_table() -> np.ndarray:
-    """Code of every code point: a to z 1 to 26, other letters 27 to 63 by a hash, the rest 0."""
-    if not _fold:
-        t = np.zeros(0x110000, np.uint8)
-        letters = np.array([c for c in range(0x110000) if chr(c).isalpha()], np.int64)
-        t[letters] = 27 + (letters * 2654435761 >> 12) % 37
-        t[ord("a") : ord("z") + 1] = np.arange(1, 27)
-        _fold.append(t)
-    return _fold[0]
+def letters() -> np.ndarray:
+    """Which code points are letters (2), marks that belong to one (1) or neither (0)."""
+    if not _letters:
+        _letters.append(np.array([2 if chr(c).isalpha() else unicodedata.category(chr(c))[0] == "M" for c in range(0x110000)], np.uint8))
+    return _letters[0]
 
 
 def grams(text: str) -> np.ndarray:
     """Ids of the text's n-grams, with repetitions; empty if it has no letter."""
     points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    a = fold_table()[points].astype(np.int32)
-    if not a.any():
-        return a[:0]
+    kind = letters()[points]
+    if not (kind == 2).any():
+        return np.zeros(0, np.int64)
+    a = np.where(kind > 0, points, np.uint32(0))
     keep = np.ones(len(a), bool)
     keep[1:] = (a[1:] != 0) | (a[:-1] != 0)  # runs of other characters are one boundary
-    a = np.concatenate([[0], a[keep], [0]]).astype(np.int32)
-    two = a[:-1] * CODES + a[1:]
-    return np.concatenate([a, two + CODES, two[:-1] * CODES + a[2:] + CODES + CODES**2])
+    a = np.concatenate([np.zeros(1, np.uint32), a[keep], np.zeros(1, np.uint32)])
+    one = a * _TIMES[0]
+    two = (one[:-1] ^ (one[:-1] >> np.uint32(15))) * _TIMES[1] + a[1:] * _TIMES[2]
+    three = (two[:-1] ^ (two[:-1] >> np.uint32(15))) * _TIMES[1] + a[2:] * _TIMES[2]
+    ids = [((x ^ (x >> np.uint32(14))) * _TIMES[0] >> np.uint32(32 - BITS)).astype(np.int64) + (k << BITS) for k, x in enumerate((one, two, three))]
+    return np.concatenate(ids)
 
 
 class Presence:
@@ -72,56 +81,91 @@ class Presence:
         return out, sizes
 
 
-def learn(documents: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray] | None:
-    """Languages, vocabulary, landmark matrix (vocabulary x landmarks, each column over the root of its size) and weights (landmarks x languages)."""
+class Space:
+    """The landmarks: vocabulary, and a matrix (vocabulary x landmarks) of presence over the root of each one's size."""
+
+    def __init__(self, marks: list[np.ndarray]):
+        self.vocabulary = np.unique(np.concatenate(marks))
+        self.own = np.zeros((len(self.vocabulary), len(marks)), np.float32)
+        for j, x in enumerate(marks):
+            self.own[np.searchsorted(self.vocabulary, x), j] = 1 / np.sqrt(len(x))
+
+    def kernel(self, texts: list[str], presence: Presence) -> tuple[np.ndarray, np.ndarray]:
+        """Kernel of texts and landmarks, and the texts' sizes."""
+        has, sizes = presence.rows(texts)
+        return (has @ self.own) / np.sqrt(np.maximum(sizes, 1))[:, None], sizes
+
+
+def products(sample: DataFrame, space: Space, languages: list[str], weights: dict[str, float]) -> tuple[np.ndarray, np.ndarray]:
+    """Weighted sums over the sample (text, lang) of kernel rows' products with themselves and with the languages; a task sends one of each."""
+    sent = sample.sparkSession.sparkContext.broadcast(space)
+    m, order = space.own.shape[1] + 1, {g: i for i, g in enumerate(languages)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release(__name__)
+        square, cross, presence = np.zeros((m, m)), np.zeros((m, len(languages))), Presence(sent.value.vocabulary)
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                k, sizes = sent.value.kernel(part.column(0).to_pylist(), presence)
+                phi = np.hstack([k, np.ones((len(k), 1))])[sizes > 0].astype(np.float64)
+                of = [g for g, n in zip(part.column(1).to_pylist(), sizes, strict=True) if n]
+                share = np.array([weights[g] for g in of])
+                square += phi.T @ (phi * share[:, None])
+                np.add.at(cross.T, [order[g] for g in of], phi * share[:, None])
+        yield pa.RecordBatch.from_arrays([pa.array([square.tobytes()], pa.binary()), pa.array([cross.tobytes()], pa.binary())], ["a", "b"])
+
+    ship(sample.sparkSession)
+    square, cross = np.zeros((m, m)), np.zeros((m, len(languages)))
+    for r in sample.select("text", "lang").repartition(8).mapInArrow(run, "a binary, b binary").toLocalIterator():
+        square += np.frombuffer(r["a"]).reshape(m, m)
+        cross += np.frombuffer(r["b"]).reshape(m, -1)
+    return square, cross
+
+
+def learn(documents: DataFrame) -> tuple[list[str], Space, np.ndarray] | None:
+    """Languages, landmarks and weights (landmarks and a constant x languages)."""
     known = documents.select("doc_id", "text", "lang").filter(F.col("text").isNotNull() & (crc_mod("doc_id", FOLDS) != HELD_OUT))
-    sample, counts = bounded_sample(known.select("doc_id", "lang"), "doc_id", "lang", PER_LANGUAGE, LANGUAGES)
+    lettered = known.filter(F.col("text").rlike(r"\p{L}"))
+    sample, counts = bounded_sample(lettered.select("doc_id", "lang"), "doc_id", "lang", PER_LANGUAGE)
     if not counts:
         return None
+    languages = sorted(counts)
+    each = -(-LANDMARKS // len(languages))
+    chosen = known.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "text", "lang", "nth")  # bounded by PER_LANGUAGE of each language
 
     def distinct(batch: pa.RecordBatch) -> pa.RecordBatch:
         ids = [np.unique(grams(t)).astype(np.int32).tobytes() for t in batch.column(1).to_pylist()]
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), batch.column(2)], ["doc_id", "ids", "lang"])
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["lang", "ids"])
 
-    chosen = known.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "text", "lang")  # bounded by PER_LANGUAGE x LANGUAGES
-    got = mapped(chosen, distinct, f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, ids binary, lang string").collect()
-    rows = sorted(((r["lang"], r["doc_id"], np.frombuffer(r["ids"], np.int32)) for r in got if r["ids"]), key=lambda r: r[:2])
-    languages = sorted({r[0] for r in rows})
-    if not languages:
+    got = mapped(chosen.filter(F.col("nth") <= each).select("lang", "text"), distinct, "lang string, ids binary").collect()  # the landmarks
+    marks = sorted((r["lang"], r["ids"]) for r in got if r["ids"])
+    if not marks:
         return None
-    each = -(-LANDMARKS // len(languages))
-    by = {g: [r[2] for r in rows if r[0] == g] for g in languages}
-    marks = [x for g in languages for x in by[g][:: max(1, len(by[g]) // each)][:each]]
-    vocabulary = np.unique(np.concatenate(marks))
-    own = np.zeros((len(vocabulary), len(marks)), np.float32)
-    for j, x in enumerate(marks):
-        own[np.searchsorted(vocabulary, x), j] = 1 / np.sqrt(len(x))
-    has = np.zeros((len(rows), len(vocabulary)), np.float32)
-    for i, r in enumerate(rows):
-        at = np.searchsorted(vocabulary, r[2]).clip(max=len(vocabulary) - 1)
-        has[i, at[vocabulary[at] == r[2]]] = 1 / np.sqrt(len(r[2]))
-    value, vector = np.linalg.eigh((own.T @ own).astype(np.float64))
+    space = Space([np.frombuffer(ids, np.int32) for _, ids in marks])
+    taken = {g: 1.0 / min(PER_LANGUAGE, n) for g, n in counts.items()}
+    square, cross = products(chosen, space, languages, taken)
+    value, vector = np.linalg.eigh((space.own.T @ space.own).astype(np.float64))
     good = value > 1e-6
-    root = vector[:, good] / np.sqrt(value[good])  # to the inverse square root
-    phi = np.hstack([(has @ own).astype(np.float64) @ root, np.ones((len(rows), 1))])
-    y = np.array([[float(r[0] == g) for g in languages] for r in rows])
-    share = 1 / y.sum(0)[y.argmax(1)]
-    w = np.linalg.solve(phi.T @ (phi * share[:, None]) + RIDGE * np.eye(phi.shape[1]), phi.T @ (y * share[:, None]))
-    return languages, vocabulary, own, np.vstack([root @ w[:-1], w[-1:]]).astype(np.float32)
+    root = np.zeros((len(value) + 1, good.sum() + 1))
+    root[:-1, :-1], root[-1, -1] = vector[:, good] / np.sqrt(value[good]), 1  # to the inverse square root, and the constant
+    w = np.linalg.solve(root.T @ square @ root + RIDGE * np.eye(root.shape[1]), root.T @ cross)
+    return languages, space, (root @ w).astype(np.float32)
 
 
 def predict(df: DataFrame, model: tuple | None) -> DataFrame:
     """doc_id, lang_pred, score of every text."""
-    sent = df.sparkSession.sparkContext.broadcast(model)  # LANDMARKS texts' n-grams: bounded by LANDMARKS x SPACE
+    sent = df.sparkSession.sparkContext.broadcast(model)  # the landmarks' n-grams: bounded by their number x SPACE
     state: dict[str, Presence] = {}
 
     def score(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = batch.column(1).to_pylist()
         lang, best = np.array(["und"] * len(texts), object), np.zeros(len(texts))
         if sent.value is not None:
-            languages, vocabulary, own, weights = sent.value
-            has, sizes = state.setdefault("presence", Presence(vocabulary)).rows(texts)
-            kernel = (has @ own) / np.sqrt(np.maximum(sizes, 1))[:, None]
+            languages, space, weights = sent.value
+            if "presence" not in state:
+                state["presence"] = Presence(space.vocabulary)
+            kernel, sizes = space.kernel(texts, state["presence"])
             z = (kernel @ weights[:-1] + weights[-1]) / TEMPERATURE
             p = np.exp(z - z.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)

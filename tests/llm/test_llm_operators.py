@@ -159,6 +159,59 @@ def test_language(spark):
     assert sum(x[0] == x[1] for x in rows) >= 0.97 * len(rows)
 
 
+def test_language_scores_against_kernels(spark, documents, texts):
+    """Scores are those of kernel ridge regression on sets of n-grams, computed one pair of texts at a time."""
+
+    def spectrum(text):
+        a = re.sub(r"[\W\d_]+", " ", f" {text.lower()} ")
+        return {a[i : i + n] for n in (1, 2, 3) for i in range(len(a) - n + 1)}
+
+    rows = documents.filter("text IS NOT NULL").limit(60)
+    langs = ["en", "日本", "ру", "한국"]
+    alphabet = {"日本": "日月火水木金土人口山川田", "ру": "абвгдежзик", "한국": "가나다라마바사"}
+    rng = random.Random(9)
+    made = [(5000 + i, "".join(rng.choice(alphabet[g]) + " " * (rng.random() < 0.2) for _ in range(60)), g) for i in range(160) for g in (langs[1 + i % 3],)]
+    df = rows.select("doc_id", "text", F.lit("en").alias("lang")).unionByName(spark.createDataFrame(made, "doc_id long, text string, lang string"))
+    model = language_id.learn(df)
+    languages, space, weights = model
+    assert languages == sorted(langs)
+    got = {r["doc_id"]: r for r in language_id.predict(df, model).collect()}
+    all_rows = {r["doc_id"]: (r["text"], r["lang"]) for r in df.collect()}
+    assert all(got[i]["lang_pred"] == g for i, (t, g) in all_rows.items() if re.search(r"[^\W\d_]", t))
+    for i in list(all_rows)[::9]:
+        own = spectrum(all_rows[i][0])
+        ids = np.unique(language_id.grams(all_rows[i][0]))
+        assert abs(len(ids) - len(own)) <= 0.02 * len(own) + 1  # but for hash collisions
+        k = [len(np.intersect1d(ids, space.vocabulary[space.own[:, j] > 0])) / np.sqrt(len(ids) * (space.own[:, j] > 0).sum()) for j in range(space.own.shape[1])]
+        z = (np.array(k) @ weights[:-1] + weights[-1]) / language_id.TEMPERATURE
+        p = np.exp(z - z.max())
+        assert got[i]["score"] == pytest.approx((p / p.sum()).max(), abs=1e-3)
+
+
+def test_language_weights_against_the_normal_equations(spark, documents):
+    """The sums that workers send are those over the whole sample."""
+    df = documents.filter("text IS NOT NULL AND lang IS NOT NULL").limit(80)
+    languages, space, _ = language_id.learn(df)
+    rows = [(r["text"], r["lang"]) for r in df.collect()]
+    weights = {g: 0.5 + i for i, g in enumerate(languages)}
+    square, cross = language_id.products(df, space, languages, weights)
+    k, sizes = space.kernel([t for t, _ in rows], language_id.Presence(space.vocabulary))
+    phi = np.hstack([k, np.ones((len(k), 1))]).astype(float)[sizes > 0]
+    of = [g for (_, g), n in zip(rows, sizes, strict=True) if n]
+    share = np.array([weights[g] for g in of])
+    assert np.allclose(square, phi.T @ (phi * share[:, None])) and np.allclose(cross, phi.T @ np.array([[share[i] * (g == h) for h in languages] for i, g in enumerate(of)]))
+
+
+def test_every_language_is_learnt(spark):
+    """A hundred languages, each with letters of its own."""
+    rows = [(100 * g + i, " ".join(chr(0x4E00 + 40 * g + (7 * i + k) % 30) * 2 for k in range(30)), f"l{g:03}") for g in range(100) for i in range(6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.learn(df)
+    assert len(model[0]) == 100
+    got = language_id.predict(df, model).join(df.select("doc_id", "lang"), "doc_id").select(F.col("lang") == F.col("lang_pred")).collect()
+    assert sum(r[0] for r in got) >= 0.97 * len(rows)
+
+
 @pytest.mark.parametrize(("module", "label", "least"), [(rule_ensemble, "quality", 0.97), (toxicity, "toxic", 0.93)])
 def test_held_out_labels(spark, module, label, least):
     labels = spark.read.parquet(f"{SMALL}/labels.parquet")
