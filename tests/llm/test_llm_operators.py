@@ -87,7 +87,7 @@ def test_edge_cases_of_urls(spark, labels):
     got = {r["page_id"]: r for r in url_filter.judge(pages, labels).collect()}
     assert [(got[i]["host"], got[i]["path"]) for i in (0, 2, 3, 4, 13)] == [("", ""), ("", ""), ("", ""), ("a.example.com", ""), ("a.com", "")]
     assert [(got[i]["rule"], got[i]["verdict"]) for i in (6, 7, 8, 9, 10, 11, 12)] == [("example.com/en/7", "allow"), ("com/en/", "block"), ("com/en/", "block"), ("example.net/de/8", "block"), ("net/de/", "allow"), ("org/es/", "block"), (None, "allow")]
-    assert got[5]["template"] == "/*/*/*/*/**" and url_filter.judge(pages, labels).count() == len(urls) + 2
+    assert got[5]["template"] == "/*/*/*/*/*/*" and url_filter.judge(pages, labels).count() == len(urls) + 2
     assert url_filter.judge(pages.limit(0), labels).count() == 0
 
 
@@ -99,6 +99,37 @@ def test_url_templates_are_learnt(spark):
     assert got == {("/bad/*", "block"), ("/good/*", "allow")}
 
 
+def test_url_sections_are_judged_however_many_and_deep(spark):
+    """A bad section among sixty clean ones, and paths that differ only in their sixth segment."""
+    urls = [(f"x://big/{'bad' if k == 0 else f's{k}'}/{i}", int(k > 0)) for k in range(60) for i in range(25)]
+    urls += [(f"x://deep/a/{i}/c/d/e/{'bad' if i % 2 else 'good'}/{i}", 1 - i % 2) for i in range(60)]
+    pages = spark.createDataFrame([(i, f"{u.rsplit('/', 1)[0]}/{i}") for i, (u, _) in enumerate(urls)], "page_id long, url string")
+    labels = spark.createDataFrame([(i, q) for i, (_, q) in enumerate(urls)], "doc_id long, quality int")
+    got = url_filter.judge(pages, labels).collect()
+    assert all((r["verdict"] == "allow") == bool(urls[r["page_id"]][1]) for r in got)
+    branches = {r["branch"] for r in got}
+    assert branches == {"/bad/*", "/=/*", "/=/*/=/=/=/bad/*", "/=/*/=/=/=/good/*"}
+
+
+def brute_templates(paths, support):
+    """Template of every path of one host, grown by counting prefixes again and again."""
+    segs = [[x for x in p.split("/") if x] for p in paths]
+    made = [[] for _ in paths]
+    for level in range(max(map(len, segs), default=0)):
+        seen = collections.Counter((tuple(m), s[level]) for m, s in zip(made, segs, strict=True) if len(s) > level)
+        for k, s in enumerate(segs):
+            if len(s) > level:
+                made[k] = [*made[k], s[level] if seen[tuple(made[k]), s[level]] >= support else "*"]
+    return ["".join("/" + x for x in m) for m in made]
+
+
+def test_url_tree_against_brute_force(spark):
+    rng = random.Random(13)
+    paths = ["/" + "/".join(rng.choice(["a", "b", "c", f"n{rng.randrange(60)}"]) for _ in range(rng.randrange(9))) for _ in range(1500)]
+    got = {r["page_id"]: r["template"] for r in url_filter.grow(spark.createDataFrame([(i, "h", p) for i, p in enumerate(paths)], "page_id long, host string, path string")).collect()}
+    assert [got[i] for i in range(len(paths))] == brute_templates(paths, url_filter.SUPPORT)
+
+
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_sql(spark, name):
     same(queries.queries()[name](spark, DATA), queries.oracle_sql()[name], DATA)
