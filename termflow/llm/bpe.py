@@ -5,8 +5,9 @@ splitting pattern, its byte alphabet and its word-end suffix are followed as the
 Every word is merged once per worker: a bounded dictionary keeps what it became.
 
 Defined results: a null text counts as empty, and an empty text has no tokens and decodes to an empty
-text; texts of any length are taken whole; repeated rows give repeated results; an empty table gives
-none; further columns are ignored by the query and kept by `add_tokens`.
+text; texts of any length are taken whole; repeated rows and rows without doc_id give a result each; of
+equal merges the leftmost comes first; an empty table gives none; further columns are ignored by the query
+and kept by `add_tokens`, which replaces `token_ids` and `decoded`.
 """
 
 from __future__ import annotations

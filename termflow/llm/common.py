@@ -33,8 +33,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Where intermediate tables go: the session's `spark.checkpoint.dir`; only where that is unset, as in tests, a folder in the warehouse."""
+    """Where intermediate tables go: the session's `spark.checkpoint.dir`; only where that is unset and all executors are on this machine, as in tests, a folder in the warehouse."""
     to = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if not to and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return f"{to or spark.conf.get('spark.sql.warehouse.dir') + '/_cut'}/termflow-{spark.sparkContext.applicationId}"
 
 

@@ -13,7 +13,8 @@ median) + a slack, so a uniform group doesn't reject its ordinary documents.
 
 Defined results: a null text has no words, an empty one neither, and both fail the base (fewer than ten
 words); null lang or source are groups of their own; repeated rows are judged alike; an empty table
-gives an empty result; texts are measured whole, whatever their length; further columns are ignored.
+gives an empty result; texts are measured whole, whatever their length; a rate at its limit passes; rows without
+doc_id are judged like others; further columns are ignored.
 """
 
 from __future__ import annotations

@@ -66,12 +66,72 @@ def test_edge_cases(spark, odd, nothing, labels, tmp_path, name, empty):
         d = r.asDict()
         if "score" in d:
             assert 0 <= d["score"] <= 1
-    if name == "op3_near_dedup" and not empty:
-        got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in rows}
-        assert got[1] == (0, 1, True) and got[4][1:] == (3, False) and got[None][1:] == (None, True) and got[9] == (1, 8, False)
-    if name == "op9_suffix_dedup" and not empty:
-        got = {r["doc_id"]: r for r in rows}
-        assert got[4]["n_removed"] == got[4]["n_bytes"] > 0 and got[5]["n_removed"] == 0 and got[4]["kept_sha256"] == hashlib.sha256(b"").hexdigest()
+    if not empty:
+        EDGE[name](collections.defaultdict(list) | {k: [r for r in rows if r["doc_id"] == k] for k in {r["doc_id"] for r in rows}})
+
+
+def sha(text):
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+def edge_secrets(got):
+    for i in (1, 2, 6, 8):  # null, empty, blank, one word
+        assert got[i][0].asDict() | {"doc_id": 0} == {"doc_id": 0, "n_assign": 0, "n_access": 0, "n_hex": 0, "n_markov": 0, "base_sha256": sha(""), "spans": ""}
+    assert got[5][0] == got[5][1] and got[5][0]["spans"] == "assign:25:44" and got[5][0]["base_sha256"] == sha("assign:25:44")
+    assert got[3][0]["spans"] == got[4][0]["spans"] == ""
+
+
+def edge_languages(got):
+    assert [(got[i][0]["lang_pred"], got[i][0]["score"]) for i in (1, 2, 6)] == [("und", 0.0)] * 3
+    assert got[5][0] == got[5][1] and got[None][0]["held_out"] is False and got[None][0]["lang_pred"] in {"en", "de", "fr"}
+    assert all(r["held_out"] == (zlib.crc32(str(i).encode()) % 4 == 2) for i, rows in got.items() if i is not None for r in rows)
+
+
+def edge_duplicates(got):
+    assert all(tuple(got[i][0])[1:] == (0, i, True) for i in (1, 2, 6))
+    n = got[3][0]["n_shingles"]
+    assert n > 900 and tuple(got[4][0])[1:] == (n, 3, False) and tuple(got[3][0])[1:] == (n, 3, True)
+    assert tuple(got[None][0])[1:] == (3, None, True) and tuple(got[9][0])[1:] == (1, 8, False) and got[5][0] == got[5][1] and got[7][0]["n_shingles"] == 1
+
+
+def edge_scores(got):
+    assert got[1][0]["score"] == got[2][0]["score"] and got[5][0] == got[5][1] and got[3][0]["score"] == got[4][0]["score"]
+    assert got[None][0]["held_out"] is False and all(r["held_out"] == (zlib.crc32(str(i).encode()) % 5 == 0) for i, rows in got.items() if i is not None for r in rows)
+    assert {type(r["predicted"]) for rows in got.values() for r in rows} == {int}
+
+
+def edge_toxicity(got):
+    edge_scores(got)
+    assert all(r["predicted"] == 0 and r["score"] < 0.49 for i in (1, 2, 6) for r in got[i])
+
+
+def edge_tokens(got):
+    assert all(tuple(got[i][0])[1:] == (0, sha(""), sha("")) for i in (1, 2, 6))
+    own = bpe.load(bpe.tokenizer_path())
+    for i, text in ((5, "the same row twice, with password=hunter2222"), (7, "\U0001f600 é\x00"), (8, "one"), (None, "some text of nobody in particular here")):
+        ids = own.encode(text)
+        assert all(tuple(r)[1:] == (len(ids), sha(" ".join(map(str, ids))), sha(own.decode(ids))) for r in got[i])
+    assert got[3][0]["n_tokens"] >= 40_000 and got[8][0]["ids_sha256"] == got[9][0]["ids_sha256"]
+
+
+def edge_rules(got):
+    zero = {"n_words": 0, "word_chars": 0, "n_symbols": 0, "n_dup_lines": 0, "n_repeat_words": 0, "base_failed": True, "kept": False, "failed_rule": "base"}
+    assert all(got[i][0].asDict() | zero == got[i][0].asDict() for i in (1, 2, 6))
+    assert got[3][0]["n_words"] == 40_000 and got[3][0]["n_repeat_words"] == 40_000 and got[3][0]["base_failed"]
+    assert got[5][0] == got[5][1] and got[5][0]["n_words"] == 6 and got[5][0]["word_chars"] == 39
+
+
+def edge_repeats(got):
+    assert all(tuple(got[i][0])[1:] == (0, 0, 0, sha("")) for i in (1, 2))
+    assert tuple(got[6][0])[1:] == (4, 0, 0, sha(" \n\t ")) and got[None][0]["n_removed"] == 0 and got[5][0] == got[5][1] and got[5][0]["n_removed"] == 0
+    assert got[4][0]["n_removed"] == got[4][0]["n_bytes"] > 0 and got[4][0]["n_spans"] == 1 and got[4][0]["kept_sha256"] == sha("") and got[3][0]["n_removed"] == 0
+    assert got[7][0]["n_bytes"] == len("\U0001f600 é\x00".encode())
+
+
+EDGE = {
+    "op1_secrets": edge_secrets, "op2_language_id": edge_languages, "op3_near_dedup": edge_duplicates, "op4_quality": edge_scores, "op6_bpe": edge_tokens, "op7_quality_rules": edge_rules,
+    "op8_toxicity": edge_toxicity, "op9_suffix_dedup": edge_repeats,
+}
 
 
 def test_edge_cases_of_leaks(spark, odd, nothing):
@@ -175,6 +235,42 @@ def test_markov_finds_random_strings(spark, documents):
     assert text["text"] == "see <secret> there" and text["n_chars"] == 18
 
 
+def test_markov_spans_against_brute_force(spark, documents, texts):
+    """Transitions counted and runs scored character by character."""
+    rng, alphabet = random.Random(4), secrets.ALPHABET
+    made = {20_000 + i: f"id {''.join(rng.choice(alphabet[: rng.choice([20, 62, 67])]) for _ in range(rng.randrange(15, 45)))} password=\"{'x' * (i % 9)}Ab9\" end {i:08x}{i * 7919:024x}" for i in range(80)}
+    every = texts | made
+    df = spark.createDataFrame(list(every.items()), "doc_id long, text string")
+    base = {}
+    keyword = "|".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token", "api_?key"))
+    kinds = [(rf"""({keyword})["']? *[:=] *["']?([A-Za-z0-9+/_.=-]+)""", 2, 6), ("(AKIA[A-Z0-9]+)", 1, 20), ("([0-9a-f]+)", 1, 24)]
+    counts = np.zeros((2, len(alphabet), len(alphabet)))
+    for i, t in every.items():
+        base[i] = sorted((m.start(), k, m.end()) for k, (p, g, n) in enumerate(kinds) for m in re.finditer(p, t or "") if len(m[g]) >= n)
+        found = [re.sub(r"""^.*[:=] *["']?(?=.)""", "", t[a:b]) for a, _, b in base[i]]
+        rest = re.sub("|".join([kinds[0][0], "AKIA[A-Z0-9]{16,}", "(?<![0-9a-f])[0-9a-f]{24,}"]), " ", t or "")
+        for which, words in enumerate((found, re.findall(r"[A-Za-z0-9+/_=-]+", rest))):
+            for w in words:
+                for x, y in zip(w, w[1:], strict=False):
+                    if x in alphabet and y in alphabet:
+                        counts[which, alphabet.index(x), alphabet.index(y)] += 1
+    counts += np.array([secrets.PRIOR_RANDOM, secrets.PRIOR_ORDINARY])[:, None, None]
+    p = np.log(counts / counts.sum(2, keepdims=True))
+    ratio = p[0] - p[1]
+    assert np.allclose(np.array(secrets.train(df)).reshape(ratio.shape), ratio)
+    seen = 0
+    for r in secrets.digest_spans(df).collect():
+        want = []
+        for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", every[r["doc_id"]] or ""):
+            if not any(a < m.end() and m.start() < b for a, _, b in base[r["doc_id"]]):
+                score = sum(ratio[alphabet.index(x), alphabet.index(y)] for x, y in zip(m[0], m[0][1:], strict=False))
+                if score > secrets.MIN_TOTAL and score > secrets.MIN_MEAN * len(m[0]):
+                    want.append(f"markov:{m.start()}:{m.end()}")
+        assert [x for x in r["spans"].split(",") if x.startswith("markov")] == want
+        seen += len(want)
+    assert seen >= 20
+
+
 def test_markov_models_count_every_document(spark):
     df = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("plain password=Zq9Zq9 word").alias("text"))
     at = lambda two: secrets.ALPHABET.index(two[0]) * len(secrets.ALPHABET) + secrets.ALPHABET.index(two[1])
@@ -250,6 +346,26 @@ def test_held_out_labels(spark, module, label, least):
     assert sum(r[0] for r in rows) >= least * len(rows)
 
 
+def test_rules_against_rows(spark, documents, texts):
+    """Statistics counted in plain Python, and every score as the sum of the rules that hold."""
+    labels = spark.read.parquet(f"{DATA}/labels.parquet")
+    intercept, rules = model = rule_ensemble.learn(documents, labels)
+    rows = {r["doc_id"]: r for r in rule_ensemble.statistics(documents.select("doc_id", "text")).withColumn("score", rule_ensemble.compiled(model)).collect()}
+    assert rules and len(rows) == len(texts)
+    for i, t in texts.items():
+        words, lines = re.findall(WORD, t or ""), [x for x in (t or "").split("\n") if re.search(WORD, x)]
+        n, m, all_ = max(1, len(words)), max(1, len(lines)), "".join(words)
+        share = lambda test, s=all_: sum(map(test, s)) / max(1, len(s))
+        grams = [tuple(words[k : k + 5]) for k in range(len(words) - 4)]
+        often = collections.Counter(grams)
+        covered = {k + j for k, g in enumerate(grams) if often[g] > 1 for j in range(5)}
+        want = [len(words), len(all_) / n, share(lambda c: c in "#*$%&|<>"), share(str.isupper), share(lambda c: c in "0123456789"), share(lambda c: c in ".,;:?"), share(lambda c: c == "!"), share(lambda c: c == "|"), share(lambda c: c > "\x7f"), len(set(words)) / n, len(covered) / n, len(words) / m, (len(lines) - len(set(lines))) / m]
+        r = rows[i]
+        assert [r[s] for s in rule_ensemble.STATISTICS] == pytest.approx(want), i
+        margin = intercept + sum(w for rule, w in rules.items() if all((r[s] <= at) == at_most for s, at_most, at in rule))
+        assert r["score"] == pytest.approx(1 / (1 + np.exp(-margin)))
+
+
 def test_deobfuscation(texts):
     s = toxicity.Scorer({"idiot$": 5.0, "moron$": 5.0, "scum$": 5.0}, character_model(texts))
     for w in ("1d10t", "id!ot", "idiooot", "i.d.i.o.t", "m0r0n", "m-o-r-o-n", "idiot!!", "sssscum", "“idiot”"):
