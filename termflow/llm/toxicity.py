@@ -49,10 +49,13 @@ NO_TERMS = -0.05
 CACHE_WORDS, ROWS = 120_000, 128
 EDGE = ".,;:!?\"'()[]{}<>|*%&#$«»„“”‘’¿¡…-–—_/\\=+~`^"
 DISGUISED = re.compile(r"[^\W\d_][^\w\s]+[^\W\d_]|[^\W\d_][\d_@$!|+€£]|[\d_@$!|+€£][^\W\d_]|([^\W\d_])\1\1")
+#: What of DISGUISED a word of letters only can have.
+THRICE = re.compile(r"(.)\1\1")
 #: Characters of a word at most that may be disguised: of longer ones (addresses, keys) the parts between signs are words.
 LONG, PARTS = 40, re.compile(r"[^\W_]+")
 #: Stands for every character that the model has no count of: no letter of any text.
 OTHER = "\ufffe"
+FOUR_LETTERS = bytes([1, 1, 1, 1])
 SPACED = re.compile(r"(?:(?<=\s)|^)[^\s](?:\s[^\s]){3,}(?=\s|$)")
 
 
@@ -165,16 +168,21 @@ def readings(text: str) -> tuple[list[str], list[str]]:
     """The words of a text, lower-cased, long ones cut into their parts; and what spaced-out letters make up."""
     low = text.lower()
     words = low.split()
-    if any(len(w) > LONG for w in words):
+    if not words:
+        return [], []
+    sizes = [len(w) for w in words]
+    longest, spaced = max(sizes), []
+    if FOUR_LETTERS in bytes(sizes if longest < 256 else [min(n, 255) for n in sizes]):  # else no four single letters follow each other
+        spaced = ["".join(x.split()) for x in SPACED.findall(low)]
+    if longest > LONG:
         words = [p for w in words for p in ([w] if len(w) <= LONG else PARTS.findall(w))]
-    spaced = ["".join(x.split()) for x in SPACED.findall(low)]
     return words, [s[at : at + LONG] for s in spaced for at in range(0, len(s), LONG)]
 
 
 def restored(word: str, channel: Channel | None) -> str:
     """A word without its edges, decoded if it may be disguised."""
-    bare = word.strip(EDGE)
-    if channel is None or len(bare) > LONG or bare.isalpha() and not DISGUISED.search(bare):
+    bare = word if word.isalpha() else word.strip(EDGE)
+    if channel is None or len(bare) > LONG or bare.isalpha() and not THRICE.search(bare):
         return bare
     # signs at an edge may stand for letters: then the word with them is decoded too, if it is a known term (see Scorer)
     return channel.decode(bare) if any(c.isalpha() for c in bare) and DISGUISED.search(bare) else bare
@@ -190,13 +198,16 @@ class Scorer:
 
     def __init__(self, weights: dict[str, float], channel: Channel):
         self.weights, self.channel, self.known = weights, channel, Recent(self.raw, CACHE_WORDS)
+        self.starts = {t[:SHORTEST] for t in weights}  # how the words that have a term begin
 
     def of(self, word: str) -> float:
+        if (word + "$")[:SHORTEST] not in self.starts:
+            return 0.0
         return max([self.weights.get(t, 0.0) for t in terms(word)], default=0.0)
 
     def raw(self, word: str) -> float:
         value = self.of(restored(word, self.channel))
-        if not value and len(word) <= LONG and any(c in LOOKS for c in word[:1] + word[-1:]) and any(c.isalpha() for c in word):
+        if not value and (word[:1] in LOOKS or word[-1:] in LOOKS) and len(word) <= LONG and any(c.isalpha() for c in word):
             value = self.of(self.channel.decode(word))
         return value
 
@@ -234,6 +245,21 @@ def counted(texts: DataFrame) -> DataFrame:
     return each.groupBy("term", "label").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
+def trigrams_of(words: list[tuple[str, int]]) -> tuple[list[str], list[int]]:
+    """Trigrams of words with their counts; ^^ begins a word and $ ends it."""
+    if not words:
+        return [], []
+    points = np.frombuffer("".join([f"^^{w}$" for w, _ in words]).encode("utf-32-le", "surrogatepass"), np.uint32)
+    letters, number = np.unique(points, return_inverse=True)
+    sizes, times = np.array([len(w) + 1 for w, _ in words]), np.array([k for _, k in words])
+    last = np.repeat(np.cumsum(sizes + 2) - sizes, sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    code = (number[last - 2] * len(letters) + number[last - 1]) * len(letters) + number[last]
+    found, at = np.unique(code, return_inverse=True)
+    n = np.bincount(at, np.repeat(times, sizes)).astype(np.int64)
+    three = [letters[found // len(letters) ** 2], letters[found // len(letters) % len(letters)], letters[found % len(letters)]]
+    return ["".join(map(chr, t)) for t in zip(*(x.tolist() for x in three), strict=True)], n.tolist()
+
+
 def spelled(texts: DataFrame) -> DataFrame:
     """trigram, n of all texts: each task counts words, then the characters of the distinct ones, CACHE_WORDS words at a time."""
 
@@ -241,13 +267,9 @@ def spelled(texts: DataFrame) -> DataFrame:
         words: Counter = Counter()
 
         def flush() -> pa.RecordBatch:
-            n: Counter = Counter()
-            for raw, k in words.items():
-                if (w := restored(raw, None)).isalpha():
-                    for t in zip("^^" + w, "^" + w + "$", w + "$", strict=False):
-                        n["".join(t)] += k
+            trigrams, n = trigrams_of([(w, k) for raw, k in words.items() if (w := restored(raw, None)).isalpha()])
             words.clear()
-            return pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], ["trigram", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(trigrams, pa.string()), pa.array(n, pa.int64())], ["trigram", "n"])
 
         for batch in batches:
             for text in batch.column(0).to_pylist():
