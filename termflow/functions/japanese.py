@@ -28,6 +28,25 @@ AFTER_ICHIDAN = ["ない", "なかった", "なくて", "なければ", "ず", "
 AFTER_ADJECTIVE = ["く", "くて", "くない", "くなかった", "かった", "ければ", "さ", "そう", "すぎる", "くなる"]
 
 
+#: Hiragana of each consonant's syllables, in the order of the vowels.
+ROWS = {"": "あいうえお", "k": "かきくけこ", "s": "さしすせそ", "t": "たちつてと", "n": "なにぬねの", "h": "はひふへほ", "m": "まみむめも", "r": "らりるれろ", "g": "がぎぐげご", "z": "ざじずぜぞ", "d": "だぢづでど", "b": "ばびぶべぼ", "p": "ぱぴぷぺぽ"}
+#: Consonant signs before small ya, yu, yo: the kana they begin with, and other spellings.
+GLIDES = {"ky": "き", "sy": "し", "sh": "し", "ty": "ち", "ch": "ち", "ny": "に", "hy": "ひ", "my": "み", "ry": "り", "gy": "ぎ", "zy": "じ", "j": "じ", "jy": "じ", "by": "び", "py": "ぴ"}
+
+
+def _syllables() -> dict[str, str]:
+    """Spelling -> hiragana."""
+    out = {c + v: kana for c, row in ROWS.items() for v, kana in zip("aiueo", row, strict=True)}
+    out |= {c + v: first + small for c, first in GLIDES.items() for v, small in (("a", "ゃ"), ("u", "ゅ"), ("o", "ょ"))}
+    return out | {"shi": "し", "she": "しぇ", "chi": "ち", "che": "ちぇ", "tsu": "つ", "fu": "ふ", "ji": "じ", "je": "じぇ", "fa": "ふぁ", "fi": "ふぃ", "fe": "ふぇ", "fo": "ふぉ", "ya": "や", "yu": "ゆ", "yo": "よ", "wa": "わ", "wo": "を", "vu": "ゔ", "n'": "ん", "-": "ー"}
+
+
+SYLLABLES = _syllables()
+#: The vowel that a long mark after a katakana of these rows stands for.
+LONG_MARKS = {"あ": "ァアカガサザタダナハバパマャヤラヮワヵ", "い": "ィイキギシジチヂニヒビピミリヰ", "う": "ゥウクグスズツヅヌフブプムュユルヴォオコゴソゾトドノホボポモョヨロヲ", "え": "ェエケゲセゼテデネヘベペメレヱヶ"}
+VOWEL = {c: v for v, row in LONG_MARKS.items() for c in row}
+
+
 def small_number(n: int) -> str:
     """Reading of 1 to 9999."""
     t, h, z, e = n // 1000, n // 100 % 10, n // 10 % 10, n % 10
@@ -66,6 +85,38 @@ def fold_katakana(text: str) -> str:
     return "".join(chr(ord(c) - 0x60) if "ァ" <= c <= "ヶ" else c for c in text)
 
 
+def to_hiragana(text: str) -> str:
+    """Katakana as hiragana, long marks after them as vowels; a mark after anything else stays."""
+    out, vowel = "", ""
+    for c in text:
+        if c == "ー" and vowel:
+            out += vowel
+            continue
+        vowel = VOWEL.get(c, "")
+        out += fold_katakana(c)
+    return out
+
+
+def romaji_to_hiragana(text: str) -> str:
+    """Lower-case Latin letters read as kana, longest syllables first; what is no syllable stays."""
+    out, at = "", 0
+    while at < len(text):
+        c, after = text[at], text[at + 1 : at + 2]
+        if c == after and c in "kstcpgzdbfhjmryw":
+            out, at = out + "っ", at + 1
+            continue
+        for n in (4, 3, 2, 1):
+            if text[at : at + n] in SYLLABLES:
+                out, at = out + SYLLABLES[text[at : at + n]], at + n
+                break
+        else:
+            if c == "n":  # before a consonant or the end
+                out, at = out + "ん", at + 1
+            else:
+                out, at = out + c, at + 1
+    return out
+
+
 def to_katakana(text: str) -> str:
     return "".join(chr(ord(c) + 0x60) if "ぁ" <= c <= "ゖ" else c for c in text)
 
@@ -76,7 +127,7 @@ def fold_long_vowels(text: str) -> str:
 
 def reading_key(surface: str, reading: str) -> str:
     """A reading in the script of its surface."""
-    return to_katakana(reading) if KATAKANA.match(surface) else fold_long_vowels(fold_katakana(reading))
+    return to_katakana(reading) if KATAKANA.match(surface) else fold_long_vowels(to_hiragana(reading))
 
 
 def _table() -> dict[str, list[str]]:

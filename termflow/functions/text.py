@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from termflow.functions.japanese import LONG_MARKS, romaji_to_hiragana
+
 # Patterns and code points that results depend on.
 #: Code points that the script extension property of Hiragana covers.
 HIRAGANA_EXTENDED = "、-〃〈-】〓-〟〰-〵〷〼〽ぁ-ゖ゙-゠・ー﹅﹆｡-･ｰﾞﾟ\U0001b001-\U0001b11f\U0001b123\U0001b132\U0001b150-\U0001b152\U0001f200"
@@ -86,19 +88,10 @@ def split_sentences(line: Column) -> Column:
     return F.filter(parts, lambda p: p != "")
 
 
-def valid_filter(spark: SparkSession, pattern: str, replacement: str = "") -> bool:
-    """Whether the JVM compiles a custom pattern, checked on one row."""
-    try:
-        spark.range(1).select(F.regexp_replace(F.lit("x"), f"(?:{pattern})|(?s:.)", replacement)).collect()  # the second branch uses the replacement
-    except Exception:
-        return False
-    return True
-
-
 def compile_filters(spark: SparkSession, presets: Sequence[str] = (), rules: Sequence[tuple[str, str, bool]] = ()) -> list[tuple[str, str]]:
     """(pattern, replacement) of the enabled presets in table order, then of the enabled custom rules (pattern, replacement, enabled) that compile."""
     out = [(pattern, "") for name, pattern in FILTER_PRESETS.items() if name in presets]
-    return out + [(p, r) for p, r, on in rules if on and valid_filter(spark, p, r)]
+    return out + [(p, r) for p, r, on in rules if on and filter_error(spark, p, r) is None]
 
 
 def apply_filters(text: Column, filters: Sequence[tuple[str, str]]) -> Column:
@@ -146,6 +139,12 @@ def to_katakana(text: Column) -> Column:
     return F.translate(text, HIRAGANA, KATAKANA)
 
 
+def to_hiragana(text: Column) -> Column:
+    """Katakana as hiragana, long marks after them as vowels; a mark after anything else stays."""
+    marked = reduce(lambda c, kv: F.regexp_replace(c, f"(?<=[{kv[1]}]ー{{0,20}})ー", kv[0]), LONG_MARKS.items(), text)
+    return fold_katakana(F.when(F.contains(text, F.lit("ー")), marked).otherwise(text))
+
+
 def fold_long_vowels(text: Column) -> Column:
     """お after an o-row kana becomes う and え after an e-row kana い, in texts of hiragana only."""
     return F.when(is_hiragana(text), F.regexp_replace(F.regexp_replace(text, f"([{O_ROW}])お", "$1う"), f"([{E_ROW}])え", "$1い")).otherwise(text)
@@ -153,7 +152,7 @@ def fold_long_vowels(text: Column) -> Column:
 
 def comparison_key(text: Column) -> Column:
     """Hiragana with folded long vowels: how readings are compared."""
-    return fold_long_vowels(fold_katakana(text))
+    return fold_long_vowels(to_hiragana(text))
 
 
 def reading_key(surface: Column, reading: Column) -> Column:
@@ -176,6 +175,30 @@ def text_matches(text: Column, query: Column) -> Column:
     return (query == "") | F.contains(comparison_key(text), comparison_key(query)) | F.contains(F.lower(text), F.lower(query))
 
 
+def search(text: Column, query: str) -> Column:
+    """`text_matches` of a query as it was typed, in Latin letters too: those are read as kana as well."""
+    found = text_matches(text, F.lit(query))
+    kana = romaji_to_hiragana(query.lower())
+    return found | F.contains(comparison_key(text), comparison_key(F.lit(kana))) if kana != query.lower() else found
+
+
+def filter_error(spark: SparkSession, pattern: str, replacement: str = "") -> str | None:
+    """What the JVM says of a custom pattern that it can't compile, on one row; None if it can."""
+    try:
+        spark.range(1).select(F.regexp_replace(F.lit("x"), f"(?:{pattern})|(?s:.)", replacement)).collect()  # the second branch uses the replacement
+    except Exception as e:
+        return str(e).splitlines()[0]
+    return None
+
+
+def try_filters(spark: SparkSession, presets: Sequence[str], rules: Sequence[tuple[str, str, bool]], sample: str) -> str:
+    """A sample text under presets and custom rules; an enabled rule that doesn't compile is an error here, not skipped."""
+    for pattern, replacement, on in rules:
+        if on and (error := filter_error(spark, pattern, replacement)) is not None:
+            raise ValueError(f'invalid pattern "{pattern}": {error}')
+    return spark.range(1).select(apply_filters(F.lit(sample), compile_filters(spark, presets, rules)).alias("text")).first()["text"]
+
+
 def byte_slice(text: Column, start: Column, end: Column) -> Column:
     """Text between two UTF-8 byte places."""
     return F.decode(F.substring(F.encode(text, "UTF-8"), start + 1, end - start), "UTF-8")

@@ -45,18 +45,25 @@ def rendaku(reading: Column, offsets: Column) -> Column:
 
 
 def ngrams(words: DataFrame, longest: int) -> DataFrame:
-    """sentence_id, start, size, parts (array of structs) of all runs of two to `longest` words of a sentence.
+    """sentence_id, start, size, parts (array of structs) of all runs of two words or more of a sentence whose words but the last have fewer than `longest` characters.
 
     `words` has (sentence_id, pos_in_sentence, word struct); a sentence's words are gathered once and
-    sliced, so nothing is joined with itself.
+    sliced, so nothing is joined with itself. A term of `longest` characters can't be longer than such a run.
     """
     rows = words.groupBy("sentence_id").agg(F.array_sort(F.collect_list(F.struct("pos_in_sentence", "word"))).alias("w"))
     rows = rows.select("sentence_id", F.transform("w", lambda x: x["word"]).alias("w"))
-    spans = F.flatten(F.transform(F.sequence(F.lit(0), F.size("w") - 1), lambda s: F.transform(F.sequence(F.lit(1), F.lit(longest)), lambda n: F.struct(s.alias("start"), n.alias("size")))))
-    df = rows.select("sentence_id", "w", F.explode(F.filter(spans, lambda x: (x["size"] > 1) & (x["start"] + x["size"] <= F.size("w")))).alias("s"))
+    head = lambda s, n: F.aggregate(F.slice("w", s + 1, n - 1), F.lit(0), lambda a, x: a + F.length(x["full"]))
+    sizes = lambda s: F.sequence(F.lit(1), F.least(F.lit(longest + 1), F.size("w") - s))
+    spans = F.flatten(F.transform(F.sequence(F.lit(0), F.size("w") - 1), lambda s: F.transform(F.filter(sizes(s), lambda n: (n > 1) & (head(s, n) < longest)), lambda n: F.struct(s.alias("start"), n.alias("size")))))
+    df = rows.select("sentence_id", "w", F.explode(spans).alias("s"))
     return df.select("sentence_id", F.col("s.start").alias("start"), F.col("s.size").alias("size"), F.slice("w", F.col("s.start") + 1, F.col("s.size")).alias("parts"))
 
 
+def long_enough(length: Column, kanji_noun: Column) -> Column:
+    """Whether a phrase has the least length of its kind."""
+    return length >= F.when(kanji_noun, LEAST_KANJI_LENGTH).otherwise(LEAST_LENGTH)
+
+
 def phrase_gates(frequency: Column, parts: Column, length: Column, kanji_noun: Column) -> Column:
     """Whether a run of words with this joint frequency is a phrase; parts' `freq` are their own (UNKNOWN without).
 
@@ -67,18 +74,21 @@ def phrase_gates(frequency: Column, parts: Column, length: Column, kanji_noun: C
     product = F.aggregate(parts, F.lit(1.0), lambda a, p: a * p["freq"])
     ratio = F.array_max(F.transform(parts, lambda p: frequency / p["freq"].cast("double")))
     unknown = F.exists(parts, lambda p: p["freq"] == UNKNOWN)
-    enough = length >= F.when(kanji_noun, LEAST_KANJI_LENGTH).otherwise(LEAST_LENGTH)
+    enough = long_enough(length, kanji_noun)
     common = ~kanji_noun & ~unknown & (frequency > FREQUENT) & (ratio < OVERRIDE_RATIO)
     return enough & ~common & (kanji_noun | (F.pow(frequency.cast("double"), k) / product <= SCORE_MOST) | (ratio >= RATIO_LEAST))
 
 
-def promote_phrases(words: DataFrame, entries: DataFrame, longest: int = 6) -> DataFrame:
+def promote_phrases(words: DataFrame, entries: DataFrame, corpus: bool = False) -> DataFrame:
     """sentence_id, start, size, form, reading, lemma, lemma_reading, frequency, pos, suppresses: the longest accepted phrase at each place.
 
     `words` has (sentence_id, pos_in_sentence, word struct<full:string, reading:string, lemma:string,
     lemma_reading:string, pos:string, freq:bigint>). Each run is looked up with its reading and the voiced
-    variants of it, then with its last word in citation form. Runs are of base words only.
+    variants of it, then with its last word in citation form. Runs are of base words only; they are as long
+    as the dictionaries' longest term allows. For `corpus` counts a dictionary's word is enough: no voiced
+    variants are tried and only the length is judged.
     """
+    longest = entries.agg(F.max(F.length("term"))).first()[0] or 0
     g = ngrams(words, longest)
     part = lambda i: F.element_at("parts", i)
     g = g.filter(~part(1)["pos"].isin(NO_ENDPOINT) & ~part(-1)["pos"].isin(NO_ENDPOINT))
@@ -90,7 +100,8 @@ def promote_phrases(words: DataFrame, entries: DataFrame, longest: int = 6) -> D
     g = g.withColumn("c_form", joined("full", F.col("citation"))).withColumn("c_plain", joined("reading", F.col("citation")))
     g = staged(g)
     row = lambda k, form, reading: F.transform(reading, lambda r, i: F.struct(F.lit(k).alias("kind"), i.alias("nth"), form.alias("form"), r.alias("reading")))
-    tries = F.concat(row(0, F.col("form"), rendaku(F.col("plain"), F.col("offsets"))), F.coalesce(row(1, F.col("c_form"), rendaku(F.col("c_plain"), F.col("offsets"))), F.array().cast("array<struct<kind:int,nth:int,form:string,reading:string>>")))
+    readings = lambda plain: F.array(plain) if corpus else rendaku(F.col(plain), F.col("offsets"))
+    tries = F.concat(row(0, F.col("form"), readings("plain")), F.coalesce(F.when(F.col("citation").isNotNull(), row(1, F.col("c_form"), readings("c_plain"))), F.array().cast("array<struct<kind:int,nth:int,form:string,reading:string>>")))
     t = g.select("sentence_id", "start", "size", F.explode(tries).alias("t")).select("sentence_id", "start", "size", "t.*")
     t = t.withColumns({"word": T.fold_long_vowels(F.col("form")), "key": T.fold_long_vowels(F.col("reading"))}).withColumn("pair_id", F.concat_ws("\x1f", "word", "key"))
     found = staged(pair_frequency(staged(t.select("pair_id", "word", F.col("key").alias("reading")).distinct()), entries))
@@ -99,7 +110,7 @@ def promote_phrases(words: DataFrame, entries: DataFrame, longest: int = 6) -> D
     lemma = F.when(F.col("b.kind") == 0, F.col("form")).otherwise(F.col("b.form"))
     nouns = F.forall("parts", lambda p: p["pos"].isin(NOUNS))
     kanji = nouns & T.all_kanji(lemma)
-    df = df.filter(phrase_gates(F.col("b.frequency"), F.col("parts"), F.length(lemma), kanji))
+    df = df.filter(long_enough(F.length(lemma), kanji) if corpus else phrase_gates(F.col("b.frequency"), F.col("parts"), F.length(lemma), kanji))
     content = F.forall("parts", lambda p: ~p["pos"].isin(NO_ENDPOINT))
     df = df.select(
         "sentence_id", "start", "size", "form", F.when(F.col("b.kind") == 0, F.col("b.reading")).otherwise(F.col("plain")).alias("reading"), lemma.alias("lemma"), F.col("b.reading").alias("lemma_reading"),
@@ -121,6 +132,14 @@ def span_knowledge(segments: DataFrame, spans: DataFrame, key: str = "sentence_i
     return df.groupBy(*segments.columns).agg(F.min("knowledge").alias("knowledge"))
 
 
+def display_text(occurrences: DataFrame, segments: DataFrame, key: str = "sentence_id") -> DataFrame:
+    """`occurrences` (occ_id, key, start, end) with text: the segments (key, seg_start, seg_end, surface) that overlap the span, joined in order; empty without any."""
+    s = segments.select(F.col(key).alias("_key"), "seg_start", "seg_end", F.col("surface").alias("_s"))
+    df = occurrences.join(s, (F.col(key) == F.col("_key")) & (F.col("seg_start") < F.col("end")) & (F.col("seg_end") > F.col("start")), "left")
+    parts = F.array_sort(F.collect_list(F.when(F.col("_key").isNotNull(), F.struct("seg_start", "_s"))))  # bounded by a sentence
+    return df.groupBy(*occurrences.columns).agg(F.array_join(F.transform(parts, lambda p: p["_s"]), "").alias("text"))
+
+
 def covering_term(segments: DataFrame, spans: DataFrame, key: str = "sentence_id") -> DataFrame:
     """`segments` with the first term (least term_ord) whose span overlaps them."""
     s = spans.select(F.col(key).alias("_key"), "start", "end", "term_id", "term_ord")

@@ -103,13 +103,16 @@ def _keys(word: str, reading: str) -> Column:
 def best_match(forms: DataFrame, vocab: DataFrame, confidences: DataFrame | None = None) -> DataFrame:
     """form_id, score, vocab_idx, interval: each form's best card among those that share a key.
 
-    `forms` has (form_id, word, reading, pos), `vocab` (vocab_idx, term, reading, interval). Candidates are
-    deduplicated before they are scored, to their earliest key; ties go to key order, then vocabulary order.
-    Forms without a positive score are left out.
+    `forms` has (form_id, word, reading, pos), `vocab` (vocab_idx, term, reading, interval). A score depends
+    on word, reading, part of speech and the card's spelling alone, so distinct forms meet distinct cards (each
+    its first entry) and the result is joined back; candidates are reduced to their earliest key before they
+    are scored. Ties go to key order, then vocabulary order. Forms without a positive score are left out.
     """
-    left = forms.select("form_id", "word", "reading", "pos", _keys("word", "reading"))
-    right = vocab.select("vocab_idx", F.col("term").alias("card"), F.col("reading").alias("card_reading"), "interval", F.explode(F.array_distinct(F.array("reading", "term", T.comparison_key(F.col("reading")), T.comparison_key(F.col("term"))))).alias("key"))
-    both = left.join(right, "key").groupBy("form_id", "word", "reading", "pos", "vocab_idx", "card", "card_reading", "interval").agg(F.min("key_rank").alias("key_rank"))
+    asked = forms.select("word", "reading", "pos").distinct()
+    left = asked.select("word", "reading", "pos", _keys("word", "reading"))
+    cards = vocab.groupBy(F.col("term").alias("card"), F.col("reading").alias("card_reading")).agg(F.min("vocab_idx").alias("vocab_idx"), F.min_by("interval", "vocab_idx").alias("interval"))
+    right = cards.select("card", "card_reading", "vocab_idx", "interval", F.explode(F.array_distinct(F.array("card_reading", "card", T.comparison_key(F.col("card_reading")), T.comparison_key(F.col("card"))))).alias("key"))
+    both = left.join(right, "key").groupBy("word", "reading", "pos", "vocab_idx", "card", "card_reading", "interval").agg(F.min("key_rank").alias("key_rank"))
     readings = None
     if confidences is not None:
         both = both.withColumn("_kanji", F.when(T.is_kana(F.col("word")), F.col("card")).otherwise(F.col("word")))
@@ -118,7 +121,9 @@ def best_match(forms: DataFrame, vocab: DataFrame, confidences: DataFrame | None
     score = inclusivity(F.col("word"), F.col("reading"), F.col("card"), F.col("card_reading"), F.col("pos"), readings)
     both = both.withColumn("score", score).filter("score > 0")
     best = F.min_by(F.struct("score", "vocab_idx", "interval"), F.struct(-F.col("score"), "key_rank", "vocab_idx")).alias("b")
-    return both.groupBy("form_id").agg(best).select("form_id", "b.score", "b.vocab_idx", "b.interval")
+    found = both.groupBy(F.col("word").alias("_w"), F.col("reading").alias("_r"), F.col("pos").alias("_p")).agg(best)
+    same = F.col("word").eqNullSafe(F.col("_w")) & F.col("reading").eqNullSafe(F.col("_r")) & F.col("pos").eqNullSafe(F.col("_p"))
+    return forms.select("form_id", "word", "reading", "pos").join(found, same).select("form_id", "b.score", "b.vocab_idx", "b.interval")
 
 
 def match_terms(terms: DataFrame, vocab: DataFrame, confidences: DataFrame | None = None, known: int = KNOWN_INTERVAL) -> DataFrame:

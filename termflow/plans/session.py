@@ -83,12 +83,18 @@ class Engine:
         return table, vocabulary.sentence_comprehension(sentences, occurs)
 
     def analyze(self, sentences: DataFrame) -> DataFrame:
-        """Corpus counts by lemma: lemma, reading, n."""
-        words = staged(segmentation.term_rows(segmentation.segment(sentences, self.tokenizer, self.entries)))
+        """Corpus counts by lemma: lemma, reading, n. Phrases that a dictionary has count besides their words."""
+        words = staged(segmentation.term_rows(segmentation.segment(sentences, self.tokenizer, self.entries)).filter(T.trim(F.col("surface")) != ""))
+        part = F.struct(F.col("full_segment").alias("full"), F.col("full_reading").alias("reading"), F.col("surface").alias("lemma"), F.col("surface_reading").alias("lemma_reading"), "pos", F.lit(frequency.NO_DATA).alias("freq"))
+        phrases = terms.promote_phrases(words.select("sentence_id", F.col("ord").alias("pos_in_sentence"), part.alias("word")), self.entries, corpus=True)
+        form, reading = F.col("form"), F.col("reading")
+        counted = ["surface", "surface_reading", "full_segment", "full_reading", "pos", "lemma", "lemma_reading"]
+        more = phrases.select(form.alias("surface"), reading.alias("surface_reading"), form.alias("full_segment"), reading.alias("full_reading"), "pos", form.alias("lemma"), reading.alias("lemma_reading"))
+        words = staged(words.select(*counted).unionByName(more))
         counts = corpus.count_surfaces(words)
         pos = words.groupBy("surface", "surface_reading").agg(F.min("pos").alias("pos"), F.min("lemma").alias("lemma"), F.min("lemma_reading").alias("lemma_reading"))
         pos = pos.withColumn("word_id", F.struct("surface", "surface_reading"))
-        lemmas = frequency.choose_lemma(segmentation.lemma_candidates(pos), self.entries, prefer=False)
+        lemmas = frequency.choose_lemma(segmentation.lemma_candidates(pos, corpus=True), self.entries, prefer=False)
         lemmas = lemmas.select(F.col("word_id.surface").alias("surface"), F.col("word_id.surface_reading").alias("reading"), "lemma", "lemma_reading")
         return corpus.merge_lemmas(counts, lemmas)
 
