@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from termflow.functions.text import trim
@@ -98,9 +98,19 @@ def human_time(ms: Column) -> Column:
     return F.rpad(F.when(h > 0, F.format_string("%dh %dm %ds", h, m, s)).when(m > 0, F.format_string("%dm %ds", m, s)).otherwise(F.format_string("%ds", s)), 11, " ")
 
 
+def opened_label(at: Column) -> Column:
+    """When a file was opened, to the minute, in the session's time zone."""
+    return F.date_format(at, "yyyy-MM-dd HH:mm")
+
+
+def terms_label(n: Column) -> Column:
+    """A number of terms in words; `Unknown terms` for null."""
+    return F.when(n.isNull(), "Unknown terms").when(n == 1, "1 term").otherwise(F.format_string("%d terms", n))
+
+
 def size_label(n: Column) -> Column:
-    """Bytes as B, KB or MB."""
-    return F.when(n < 1024, F.format_string("%d B", n)).when(n < 1 << 20, F.format_string("%.1f KB", n / 1024.0)).otherwise(F.format_string("%.1f MB", n / float(1 << 20)))
+    """Bytes as B, KB or MB; `Unknown` for null."""
+    return F.when(n.isNull(), "Unknown").when(n < 1024, F.format_string("%d B", n)).when(n < 1 << 20, F.format_string("%.1f KB", n / 1024.0)).otherwise(F.format_string("%.1f MB", n / float(1 << 20)))
 
 
 def is_newer(version: Column, current: Column) -> Column:
@@ -113,9 +123,40 @@ def is_newer(version: Column, current: Column) -> Column:
     return F.when(bad, F.lit(False)).otherwise(pad(a) > pad(b))
 
 
-def safe_stem(name: Column, longest: int = 80) -> Column:
-    """A name that every file system takes."""
-    return F.substring(F.regexp_replace(name, r'[<>:"/\\|?*\x00-\x1f]', "_"), 1, longest)
+def safe_stem(name: Column, longest: int = 80, default: str = "video") -> Column:
+    """A name that every file system takes; a default for a blank one."""
+    bare = trim(F.substring(F.regexp_replace(name, r'[<>:"/\\|?*\x00-\x1f]', "_"), 1, longest))
+    return F.when(F.coalesce(bare, F.lit("")) == "", default).otherwise(bare)
+
+
+def source_file(path: Column, book_title: Column | None = None, label: Column | None = None) -> Column:
+    """struct(file_type, title, creator, original_file, label) of a file: a book has its own title, if any, and the label of what was picked from it; all others are named by their media name, and the service is the creator."""
+    name = F.regexp_extract(path, r"([^/\\]*)$", 1)
+    m, kind = media(name), file_type(path)
+    own = display_title(m)
+    nothing = F.lit(None).cast("string")
+    title = F.when((kind == "EPUB") & (F.coalesce(book_title, F.lit("")) != ""), book_title).otherwise(own) if book_title is not None else own
+    picked = F.when((kind == "EPUB") & (trim(label) != ""), trim(label)) if label is not None else nothing
+    return F.struct(kind.alias("file_type"), title.alias("title"), m["source"].alias("creator"), path.alias("original_file"), picked.alias("label"))
+
+
+def file_tree(files: DataFrame) -> DataFrame:
+    """depth, prefix, parent, name, path, n_files of the nested tree over files (path): folders that all share are left out, a file keeps its name, folders have a null path; rows of one parent sort by folder first, then name.
+
+    The shared folders are found by an aggregate over the paths' prefixes, not on the driver.
+    """
+    df = files.select("path", F.filter(F.split("path", r"[/\\]"), lambda p: p != "").alias("_p")).distinct()
+    n, shortest = F.count("*").alias("_n"), F.min(F.size("_p") - 1).alias("_least")
+    total = df.agg(n, shortest)
+    upto = df.select(F.posexplode(F.transform(F.sequence(F.lit(1), F.greatest(F.size("_p") - 1, F.lit(1))), lambda k: F.array_join(F.slice("_p", F.lit(1), k), "/"))).alias("_k", "_prefix"))
+    shared = upto.groupBy("_k", "_prefix").agg(F.count("*").alias("_same")).crossJoin(F.broadcast(total)).filter((F.col("_same") == F.col("_n")) & (F.col("_k") < F.col("_least")))  # total is one row
+    skip = shared.agg(F.coalesce(F.max("_k") + 1, F.lit(0)).alias("_skip"))
+    df = df.crossJoin(F.broadcast(skip)).select("path", F.slice("_p", F.col("_skip") + 1, F.size("_p")).alias("_p"))  # skip is one row
+    rows = df.select("path", "_p", F.explode(F.sequence(F.lit(1), F.size("_p"))).alias("depth"))
+    at = lambda k: F.array_join(F.slice("_p", F.lit(1), k), "/")
+    leaf = F.col("depth") == F.size("_p")
+    rows = rows.select("depth", at(F.col("depth")).alias("prefix"), at(F.col("depth") - 1).alias("parent"), F.get("_p", F.col("depth") - 1).alias("name"), F.when(leaf, F.col("path")).alias("path"))
+    return rows.groupBy("depth", "prefix", "parent", "name", "path").agg(F.count("*").alias("n_files"))
 
 
 def prefixes(path: Column) -> Column:

@@ -29,6 +29,7 @@ O_ROW, E_ROW = "おこそとのほもよろごぞどぼぽ", "けせてねへめ
 KATAKANA = "".join(map(chr, range(0x30A1, 0x30F7)))
 HIRAGANA = "".join(chr(c - 0x60) for c in range(0x30A1, 0x30F7))
 KANJI = "㐀-䶿一-鿿々"
+JAPANESE = f"[぀-ヿ{KANJI}ｦ-ﾟ０-９Ａ-Ｚａ-ｚ！-／：-＠［-｀｛-･　-〿]"
 
 
 def trim(text: Column) -> Column:
@@ -119,7 +120,7 @@ def is_all_kana(text: Column) -> Column:
 
 def is_japanese(text: Column) -> Column:
     """Only kana, kanji, full-width forms and CJK punctuation, at least one."""
-    return text.rlike(f"^[぀-ヿ{KANJI}ｦ-ﾟ０-９Ａ-Ｚａ-ｚ！-／：-＠［-｀｛-･　-〿]+$")
+    return text.rlike(f"^{JAPANESE}+$")
 
 
 def has_kanji(text: Column) -> Column:

@@ -47,12 +47,13 @@ def tokens_of(documents: DataFrame, text: str = "text") -> DataFrame:
     return documents.select("doc_id", "lang", "source", F.posexplode(words).alias("ord", "token"))
 
 
-def count_surfaces(terms: DataFrame) -> DataFrame:
+def count_surfaces(terms: DataFrame, any_script: bool = False) -> DataFrame:
     """surface, reading, n over all files; a full segment that differs from the surface counts as well, under its own reading.
 
-    `terms` has (surface, surface_reading, full_segment, full_reading, pos).
+    `terms` has (surface, surface_reading, full_segment, full_reading, pos). With `any_script` words needn't be Japanese.
     """
-    keep = terms.filter(~F.col("pos").isin(SKIPPED_POS) & ~excluded_token(F.col("surface")))
+    excluded = (T.trim(F.col("surface")) == "") | F.col("surface").isin(PUNCTUATION) if any_script else excluded_token(F.col("surface"))
+    keep = terms.filter(~F.col("pos").isin(SKIPPED_POS) & ~excluded)
     main = F.struct(F.col("surface").alias("surface"), F.col("surface_reading").alias("reading"), F.lit(1).alias("main"))
     full = F.struct(F.col("full_segment").alias("surface"), F.col("full_reading").alias("reading"), F.lit(0).alias("main"))
     both = F.when((F.col("full_segment") != "") & (F.col("full_segment") != F.col("surface")), F.array(main, full)).otherwise(F.array(main))

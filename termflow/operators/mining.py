@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -53,9 +55,15 @@ def with_intervals(vocab: DataFrame, cards: DataFrame) -> DataFrame:
 
 
 def conflict_groups(items: DataFrame, key: Column | None = None) -> DataFrame:
-    """key, n, items: batch items (item_id, sentence) that share a sentence key, two or more; a blank key is no conflict."""
+    """key, n, first_item, last_item: sentence keys that two or more batch items (item_id, sentence) share; a blank key is no conflict. The members are `conflict_items`: no list of them is gathered."""
+    k = T.sentence_key(F.col("sentence")) if key is None else key
+    return items.select(k.alias("key"), "item_id").filter("key <> ''").groupBy("key").agg(F.count("*").alias("n"), F.min("item_id").alias("first_item"), F.max("item_id").alias("last_item")).filter("n >= 2")
+
+
+def conflict_items(items: DataFrame, key: Column | None = None) -> DataFrame:
+    """key, item_id: one row for each batch item whose sentence key another one shares."""
     k = T.sentence_key(F.col("sentence")) if key is None else key
-    return items.select(k.alias("key"), "item_id").filter("key <> ''").groupBy("key").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("item_id")).alias("items")).filter("n >= 2")
+    return items.select(k.alias("key"), "item_id").join(conflict_groups(items, key).select("key"), "key", "left_semi")
 
 
 def keepers(items: DataFrame) -> DataFrame:
@@ -77,9 +85,51 @@ def assemble(notes: DataFrame, formats: DataFrame) -> DataFrame:
     return both.select("note_id", "model", "deck", F.map_filter(filled, lambda _, v: T.trim(v) != "").alias("fields"))
 
 
-def guess_field(names: Column, pattern: str, avoid: str = "^$") -> Column:
-    """The first field whose name fits a pattern and isn't excluded; null without one."""
-    return F.get(F.filter(names, lambda n: n.rlike(f"(?i){pattern}") & ~n.rlike(f"(?i){avoid}")), F.lit(0))
+# What a field's name says that it is no sentence itself, and words for a sentence's surroundings.
+NOT_A_SENTENCE = ["audio", "furigana", "meaning", "reading", "translation", "english", "picture", "image", "screenshot", "hint", "card", "kana", "notes"]
+SURROUNDINGS = ["context", "例文"]
+LEAST_SENTENCE, LONG_SENTENCE = 8, 14
+
+
+def first_field(names: Column, fits: Callable[[Column], Column]) -> Column:
+    """The first of the names for which a condition holds; null without one."""
+    return F.get(F.filter(names, fits), F.lit(0))
+
+
+def guess_sentence_field(names: Column, sample: Column) -> Column:
+    """The field that holds a note's sentence, from the fields' names (array) and a sample note (map): by an exact name, then the shortest name with "sentence" that isn't about something else, then surroundings, then content that reads like a Japanese sentence."""
+    plain = lambda n: F.regexp_replace(F.lower(n), "[ _-]", "")
+    about = lambda n: F.exists(F.array(*map(F.lit, NOT_A_SENTENCE)), lambda x: F.contains(plain(n), x))
+    named = F.filter(names, lambda n: F.contains(plain(n), F.lit("sentence")) & ~about(n))
+    shortest = F.array_min(F.transform(named, lambda n, i: F.struct(F.length(n).alias("size"), i.alias("at"), n.alias("name"))))["name"]
+    around = first_field(names, lambda n: F.exists(F.array(*map(F.lit, SURROUNDINGS)), lambda x: F.contains(plain(n), x)) & ~about(n))
+    return F.coalesce(first_field(names, lambda n: plain(n) == "sentence"), shortest, around, first_field(names, lambda n: F.coalesce(reads_like_sentence(F.element_at(sample, n)), F.lit(False))))
+
+
+def reads_like_sentence(value: Column) -> Column:
+    """Eight characters or more with a Japanese one, and a sentence end or fourteen."""
+    bare = T.trim(F.regexp_replace(F.regexp_replace(value, "<[^>]*(?:>|$)", ""), "&nbsp;", " "))
+    return (F.length(bare) >= LEAST_SENTENCE) & bare.rlike(T.JAPANESE) & (bare.rlike("[。！？]") | (F.length(bare) >= LONG_SENTENCE))
+
+
+def guess_term_fields(names: Column, sample: Column) -> Column:
+    """struct(term, reading): the first Japanese field with a kanji (else the first Japanese one), and the first kana field after it (else the first one)."""
+    value = lambda n: F.coalesce(T.trim(F.element_at(sample, n)), F.lit(""))
+    japanese = lambda n: value(n).rlike(f"(?U)^(?:{T.JAPANESE}|\\s)+$")
+    term = F.coalesce(first_field(names, lambda n: japanese(n) & T.has_kanji(value(n))), first_field(names, japanese))
+    kana = F.filter(names, lambda n: value(n).rlike(r"(?U)^[ぁ-ゖゝゞァ-ヺー・ヽヾ\s]+$"))
+    after = first_field(kana, lambda n: F.array_position(names, n) > F.coalesce(F.array_position(names, term), F.lit(0)))
+    return F.struct(term.alias("term"), F.coalesce(after, F.get(kana, F.lit(0))).alias("reading"))
+
+
+def recently_added(notes: DataFrame, mapping: DataFrame, now: Column, days: int = 1) -> DataFrame:
+    """note_id, term, sentence of notes (note_id, model, fields, added) that were added within the last days; a blank term or sentence is null, notes with neither are left out."""
+    m = mapping.withColumnRenamed("model", "_model")
+    get = lambda f: F.element_at("fields", F.col(f))
+    recent = notes.filter(F.col("added") >= now - F.expr(f"INTERVAL {days} DAYS")).join(m, F.col("model") == F.col("_model"))
+    bare = T.trim(F.regexp_replace(F.regexp_replace(get("term_field"), "<[^>]*(?:>|$)", ""), "&nbsp;", " "))
+    some = lambda c: F.when(c != "", c)
+    return recent.select("note_id", some(bare).alias("term"), some(T.sentence_key(get("sentence_field"))).alias("sentence")).filter("term IS NOT NULL OR sentence IS NOT NULL")
 
 
 def existing(entries: DataFrame, listing: DataFrame) -> DataFrame:

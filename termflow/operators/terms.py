@@ -20,8 +20,13 @@ VOICED = {"か": "が", "き": "ぎ", "く": "ぐ", "け": "げ", "こ": "ご",
 
 
 def occurrences(terms: DataFrame) -> DataFrame:
-    """lemma, reading, refs: the distinct (ord, start) places of a term, sorted."""
-    return terms.groupBy("lemma", "reading").agg(F.array_sort(F.collect_set(F.struct("ord", "start"))).alias("refs"))
+    """lemma, reading, ord, start: the distinct places of terms, a row each (a frequent word's places don't fit one row)."""
+    return terms.select("lemma", "reading", "ord", "start").distinct()
+
+
+def occurrence_counts(places: DataFrame) -> DataFrame:
+    """lemma, reading, n_refs, first_ref: how many places a term has, and the first."""
+    return places.groupBy("lemma", "reading").agg(F.count("*").alias("n_refs"), F.min(F.struct("ord", "start")).alias("first_ref"))
 
 
 def first_of_key(terms: DataFrame, keys: list[Column], order: list[str]) -> DataFrame:
@@ -44,19 +49,45 @@ def rendaku(reading: Column, offsets: Column) -> Column:
     return F.concat(F.array(reading), F.flatten(voiced))
 
 
-def ngrams(words: DataFrame, longest: int) -> DataFrame:
-    """sentence_id, start, size, parts (array of structs) of all runs of two words or more of a sentence whose words but the last have fewer than `longest` characters.
+def sentence_words(words: DataFrame) -> DataFrame:
+    """sentence_id, w: the words (sentence_id, pos_in_sentence, word struct) of each sentence in order."""
+    rows = words.groupBy("sentence_id").agg(F.array_sort(F.collect_list(F.struct("pos_in_sentence", "word"))).alias("w"))  # bounded by a sentence
+    return rows.select("sentence_id", F.transform("w", lambda x: x["word"]).alias("w"))
+
 
-    `words` has (sentence_id, pos_in_sentence, word struct); a sentence's words are gathered once and
-    sliced, so nothing is joined with itself. A term of `longest` characters can't be longer than such a run.
+def ngrams(rows: DataFrame, longest: int) -> DataFrame:
+    """sentence_id, start, size, form, c_form of all runs of two words or more in `sentence_words` that begin and end with content and whose words but the last have fewer than `longest` characters; c_form, with the last word in citation form, is null where that is no other.
+
+    Forms are cut from the sentence by the words' places in it. A term of `longest` characters can't be
+    longer than such a run.
     """
-    rows = words.groupBy("sentence_id").agg(F.array_sort(F.collect_list(F.struct("pos_in_sentence", "word"))).alias("w"))
-    rows = rows.select("sentence_id", F.transform("w", lambda x: x["word"]).alias("w"))
-    head = lambda s, n: F.aggregate(F.slice("w", s + 1, n - 1), F.lit(0), lambda a, x: a + F.length(x["full"]))
-    sizes = lambda s: F.sequence(F.lit(1), F.least(F.lit(longest + 1), F.size("w") - s))
-    spans = F.flatten(F.transform(F.sequence(F.lit(0), F.size("w") - 1), lambda s: F.transform(F.filter(sizes(s), lambda n: (n > 1) & (head(s, n) < longest)), lambda n: F.struct(s.alias("start"), n.alias("size")))))
-    df = rows.select("sentence_id", "w", F.explode(spans).alias("s"))
-    return df.select("sentence_id", F.col("s.start").alias("start"), F.col("s.size").alias("size"), F.slice("w", F.col("s.start") + 1, F.col("s.size")).alias("parts"))
+    start = F.struct(F.lit(0).alias("at"), F.array(F.lit(0)).alias("all"))
+    step = lambda s, x: F.struct((s["at"] + F.length(x["full"])).alias("at"), F.concat(s["all"], F.array(s["at"] + F.length(x["full"]))).alias("all"))
+    rows = rows.withColumns({"_at": F.aggregate("w", start, step, lambda s: s["all"]), "_text": F.array_join(F.transform("w", lambda x: x["full"]), "")})
+    at = lambda k: F.get("_at", k)
+    content = lambda k: ~F.get("w", k)["pos"].isin(NO_ENDPOINT)
+    cut = lambda a, b: F.substring("_text", at(a) + 1, at(b) - at(a))
+
+    def runs(s: Column) -> Column:
+        sizes = F.sequence(F.lit(1), F.least(F.lit(longest + 1), F.size("w") - s))
+        good = F.filter(sizes, lambda n: (n > 1) & (at(s + n - 1) - at(s) < longest) & content(s) & content(s + n - 1))
+
+        def run(n: Column) -> Column:
+            last = F.get("w", s + n - 1)
+            cites = last["pos"].isin(CONJUGABLE) & (last["lemma"] != "") & (last["lemma"] != last["full"])
+            return F.struct(s.alias("start"), n.alias("size"), cut(s, s + n).alias("form"), F.when(cites, F.concat(cut(s, s + n - 1), last["lemma"])).alias("c_form"))
+
+        return F.transform(good, run)
+
+    return rows.select("sentence_id", F.explode(F.flatten(F.transform(F.sequence(F.lit(0), F.size("w") - 1), runs))).alias("r")).select("sentence_id", "r.*")
+
+
+def in_dictionary(runs: DataFrame, entries: DataFrame) -> DataFrame:
+    """sentence_id, start, size of the runs of which some dictionary has a form, as it is written or with katakana folded."""
+    long = lambda c: T.fold_long_vowels(F.col(c))
+    forms = F.array_distinct(F.array_compact(F.array(long("form"), T.fold_katakana(long("form")), long("c_form"), T.fold_katakana(long("c_form")))))
+    listed = entries.select(F.col("term").alias("_f")).distinct()
+    return runs.select("sentence_id", "start", "size", F.explode(forms).alias("_f")).join(listed, "_f", "left_semi").select("sentence_id", "start", "size").distinct()
 
 
 def long_enough(length: Column, kanji_noun: Column) -> Column:
@@ -89,9 +120,9 @@ def promote_phrases(words: DataFrame, entries: DataFrame, corpus: bool = False)
     variants are tried and only the length is judged.
     """
     longest = entries.agg(F.max(F.length("term"))).first()[0] or 0
-    g = ngrams(words, longest)
+    rows = staged(sentence_words(words))
+    g = staged(in_dictionary(ngrams(rows, longest), entries)).join(rows, "sentence_id").select("sentence_id", "start", "size", F.slice("w", F.col("start") + 1, F.col("size")).alias("parts"))
     part = lambda i: F.element_at("parts", i)
-    g = g.filter(~part(1)["pos"].isin(NO_ENDPOINT) & ~part(-1)["pos"].isin(NO_ENDPOINT))
     joined = lambda field, parts="parts": F.array_join(F.transform(parts, lambda p: p[field]), "")
     offsets = F.transform(F.sequence(F.lit(1), F.size("parts") - 1), lambda i: F.aggregate(F.slice("parts", F.lit(1), i), F.lit(0), lambda a, p: a + F.length(p["reading"])))
     citation = F.concat(F.slice("parts", F.lit(1), F.size("parts") - 1), F.array(F.struct(part(-1)["lemma"].alias("full"), part(-1)["lemma_reading"].alias("reading"), part(-1)["lemma"].alias("lemma"), part(-1)["lemma_reading"].alias("lemma_reading"), part(-1)["pos"].alias("pos"), part(-1)["freq"].alias("freq"))))

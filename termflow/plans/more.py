@@ -8,7 +8,7 @@ from termflow.functions import naming as N
 from termflow.functions import text as T
 from termflow.operators import corpus, frequency, mining, terms, vocabulary
 from termflow.plans.registry import EVENT_SECONDS, SENTENCES, TOKENS, query, sentences, table, tokens
-from termflow.sources import appdata, books
+from termflow.sources import appdata, books, subtitles
 from termflow.streaming import events as E
 
 
@@ -27,10 +27,8 @@ def cue_times(spark, sf_dir):
 @query("filtered_sentences_renumbered", rf"""WITH {SENTENCES}, f AS (SELECT doc_id, line, part, trim(regexp_replace(text, '[A-Z][a-z]+', '', 'g')) AS text FROM sent)
     SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY line, part) - 1 AS ord, text FROM f WHERE text <> ''""")
 def filtered_sentences_renumbered(spark, sf_dir):
-    from pyspark.sql import Window
-
     df = sentences(spark, sf_dir).withColumn("text", T.apply_filters(F.col("text"), [("[A-Z][a-z]+", "")])).filter("text <> ''")
-    return df.select("doc_id", (F.row_number().over(Window.partitionBy("doc_id").orderBy("line", "part")) - 1).cast("long").alias("ord"), "text")
+    return subtitles.numbered(df.withColumnRenamed("doc_id", "path"), ["line", "part"]).select(F.col("path").alias("doc_id"), F.col("ord").cast("long").alias("ord"), "text")
 
 
 @query("search_in_sentences", rf"""WITH {SENTENCES}, t AS (SELECT DISTINCT doc_id FROM sent WHERE contains(lower(text), 'erth')) SELECT d.doc_id, lang FROM documents d JOIN t ON d.doc_id = t.doc_id""")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from termflow.functions import naming as N
 from termflow.functions import text as T
 from termflow.operators import controls, corpus, frequency, mining, summary, terms, vocabulary
+from termflow.sources.staging import staged
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -64,7 +65,11 @@ def term_frequency_rank(spark, sf_dir):
 
 @query("term_counts_by_lang", f"""WITH {TOKENS} SELECT lang, token AS term, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM tok GROUP BY lang, token""")
 def term_counts_by_lang(spark, sf_dir):
-    return tokens(spark, sf_dir).groupBy("lang", F.col("token").alias("term")).agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("n_docs"))
+    t = tokens(spark, sf_dir)
+    words = t.select(F.col("token").alias("surface"), F.col("lang").alias("surface_reading"), F.col("token").alias("full_segment"), F.col("lang").alias("full_reading"), F.lit("Noun").alias("pos"))
+    counts = corpus.count_surfaces(words, any_script=True).select(F.col("reading").alias("lang"), F.col("surface").alias("term"), "n")
+    docs = t.groupBy("lang", F.col("token").alias("term")).agg(F.countDistinct("doc_id").alias("n_docs"))
+    return counts.join(docs, ["lang", "term"]).select("lang", "term", "n", "n_docs")
 
 
 @query("sentence_split_stats", f"""WITH {SENTENCES} SELECT doc_id, count(*) AS n_sentences, sum(length(text))::BIGINT AS n_chars FROM sent GROUP BY doc_id""")
@@ -251,28 +256,37 @@ def span_overlap_min(spark, sf_dir):
 
 @query("occurrences_per_term", f"""WITH {TOKENS} SELECT token AS lemma, count(DISTINCT doc_id * 1000000 + ord) AS n_refs, min(doc_id * 1000000 + ord) AS first_ref FROM tok GROUP BY token""")
 def occurrences_per_term(spark, sf_dir):
-    t = tokens(spark, sf_dir).select(F.col("token").alias("lemma"), (F.col("doc_id") * 1000000 + F.col("ord")).alias("place"))
-    return t.groupBy("lemma").agg(F.countDistinct("place").alias("n_refs"), F.min("place").alias("first_ref"))
-
-
-@query("phrase_bigram_promotion", f"""WITH {TOKENS}, u AS (SELECT token, count(*) AS n FROM tok GROUP BY token),
-    b AS (SELECT token AS a, lead(token) OVER (PARTITION BY doc_id ORDER BY ord) AS b FROM tok), c AS (SELECT a, b, count(*) AS n FROM b WHERE b IS NOT NULL GROUP BY a, b HAVING count(*) >= 3)
-    SELECT c.a || ' ' || c.b AS phrase, c.n AS n, least(x.n, y.n) AS n_rarer FROM c JOIN u x ON c.a = x.token JOIN u y ON c.b = y.token WHERE length(c.a) + length(c.b) >= 4 AND c.n * 3 >= least(x.n, y.n)""")
+    t = tokens(spark, sf_dir).select(F.col("token").alias("lemma"), F.lit("").alias("reading"), F.col("doc_id").alias("ord"), F.col("ord").alias("start"))
+    df = terms.occurrence_counts(terms.occurrences(t))
+    return df.select("lemma", "n_refs", (F.col("first_ref.ord") * 1000000 + F.col("first_ref.start")).alias("first_ref"))
+
+
+#: Words that begin with t stand for all words; pairs of them that occur three times or more are the dictionary.
+@query("phrase_bigram_promotion", f"""WITH RECURSIVE {TOKENS}, t AS (SELECT doc_id, ord, token FROM tok WHERE token BETWEEN 't' AND 'u'),
+    r AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY ord) - 1 AS start, token, count(*) OVER (PARTITION BY token) AS n FROM t),
+    b AS (SELECT token || lead(token) OVER (PARTITION BY doc_id ORDER BY start) AS term FROM r), e AS (SELECT term, count(*) // 3 + 1 AS frequency FROM b WHERE term IS NOT NULL GROUP BY term HAVING count(*) >= 3),
+    run AS (SELECT doc_id, start, 1 AS size, token AS form, n::DOUBLE AS product, n AS rarest FROM r
+            UNION ALL SELECT run.doc_id, run.start, size + 1, form || token, product * n, least(rarest, n) FROM run JOIN r ON run.doc_id = r.doc_id AND r.start = run.start + size WHERE length(form) < (SELECT max(length(term)) FROM e)),
+    g AS (SELECT doc_id, start, size, form, frequency FROM run JOIN e ON form = term WHERE size > 1 AND length(form) >= 4 AND (pow(frequency::DOUBLE, size) / product <= 10 OR frequency / rarest::DOUBLE >= 120) AND NOT (frequency > 10000 AND frequency / rarest::DOUBLE < 40))
+    SELECT doc_id, start, max(size)::BIGINT AS size, arg_max(form, size) AS form, arg_max(frequency, size) AS frequency FROM g GROUP BY doc_id, start""")
 def phrase_bigram_promotion(spark, sf_dir):
-    t = tokens(spark, sf_dir)
-    single = t.groupBy("token").agg(F.count("*").alias("n"))
-    follow = F.lead("token").over(Window.partitionBy("doc_id").orderBy("ord"))
-    pairs = t.select(F.col("token").alias("a"), follow.alias("b")).filter("b IS NOT NULL").groupBy("a", "b").agg(F.count("*").alias("n")).filter("n >= 3")
-    df = pairs.join(single.select(F.col("token").alias("a"), F.col("n").alias("na")), "a").join(single.select(F.col("token").alias("b"), F.col("n").alias("nb")), "b")
-    df = df.withColumn("n_rarer", F.least("na", "nb")).filter((F.length("a") + F.length("b") >= 4) & (F.col("n") * 3 >= F.col("n_rarer")))
-    return df.select(F.concat_ws(" ", "a", "b").alias("phrase"), "n", "n_rarer")
+    t = tokens(spark, sf_dir).filter("token BETWEEN 't' AND 'u'")
+    single = t.groupBy("token").agg(F.count("*").alias("freq"))
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("ord")) - 1
+    t = t.select("doc_id", place.alias("pos_in_sentence"), "token").join(single, "token")
+    word = F.struct(F.col("token").alias("full"), F.lit("").alias("reading"), F.col("token").alias("lemma"), F.lit("").alias("lemma_reading"), F.lit("Verb").alias("pos"), F.col("freq"))
+    words = t.select(F.col("doc_id").alias("sentence_id"), "pos_in_sentence", word.alias("word"))
+    follow = F.lead("token").over(Window.partitionBy("doc_id").orderBy("pos_in_sentence"))
+    pairs = t.select(F.concat("token", follow).alias("term")).filter("term IS NOT NULL").groupBy("term").agg(F.expr("count(*) div 3 + 1").alias("value"), F.count("*").alias("n")).filter("n >= 3")
+    entries = pairs.select(F.lit("d").alias("dict"), "term", F.lit("").alias("reading"), "value", F.lit(False).alias("kana_marker"), F.lit(0).cast("long").alias("entry_ord"))
+    df = terms.promote_phrases(words, staged(entries))
+    return df.select(F.col("sentence_id").alias("doc_id"), F.col("start").cast("long").alias("start"), F.col("size").cast("long").alias("size"), "form", "frequency")
 
 
 @query("conflict_groups", r"""SELECT key, count(*) AS n, min(id) AS first_item, max(id) AS last_item FROM (SELECT regexp_replace(regexp_extract(text, '^[^.!?]*'), '\s+', '', 'g') AS key, conv_id * 1000 + turn AS id FROM conversations) WHERE key <> '' GROUP BY key HAVING count(*) >= 2""")
 def conflict_groups(spark, sf_dir):
     items = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("item_id"), F.regexp_extract("text", "^[^.!?]*", 0).alias("sentence"))
-    df = mining.conflict_groups(items, T.sentence_key(F.col("sentence"), tags=False))
-    return df.select("key", "n", F.array_min("items").alias("first_item"), F.array_max("items").alias("last_item"))
+    return mining.conflict_groups(items, T.sentence_key(F.col("sentence"), tags=False))
 
 
 @query("table_controls", f"""WITH {TOKENS}, c AS (SELECT token, min(lang) AS pos, count(*) AS n FROM tok GROUP BY token)

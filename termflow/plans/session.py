@@ -43,8 +43,8 @@ class Engine:
         """Sentences of files, and what was skipped."""
         return subtitles.read_sentences(self.spark, path, self.filters())
 
-    def base_terms(self, sentences: DataFrame) -> DataFrame:
-        """Unique terms of sentences (sentence_id, text), with frequencies, level, phrases and the places they occur at."""
+    def base_terms(self, sentences: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Unique terms of sentences (sentence_id, text), with frequencies, level, phrases and their number of places; and the places (term_id, sentence_id, start)."""
         words = staged(segmentation.term_rows(segmentation.segment(sentences, self.tokenizer, self.entries)).withColumn("word_id", F.struct("sentence_id", "ord")))
         lemma = frequency.choose_lemma(segmentation.lemma_candidates(words), self.entries).withColumnsRenamed({"lemma": "_l", "lemma_reading": "_lr"})
         words = words.join(lemma, "word_id", "left").withColumns({"lemma": F.coalesce("_l", "lemma"), "lemma_reading": F.coalesce("_lr", "lemma_reading")}).drop("_l", "_lr")
@@ -60,10 +60,12 @@ class Engine:
             F.col("form").alias("full_segment"), F.col("reading").alias("full_reading"), "pos", F.col("_start").alias("start"), F.col("_start").alias("ref_start"), F.col("frequency").alias("harmonic"),
         )
         every = staged(kept.select(*extra.columns).unionByName(extra))
-        places = every.groupBy("lemma", F.col("lemma_reading").alias("_r")).agg(F.array_sort(F.collect_set(F.struct(F.col("sentence_id").alias("ord"), F.col("ref_start").alias("start")))).alias("refs"))
-        unique = terms.unique_terms(every).join(places.withColumnRenamed("lemma", "_l"), (F.col("lemma") == F.col("_l")) & (F.col("lemma_reading") == F.col("_r")), "left").drop("_l", "_r")
+        places = staged(terms.occurrences(every.select("lemma", F.col("lemma_reading").alias("reading"), F.col("sentence_id").alias("ord"), F.col("ref_start").alias("start"))))
+        counts = terms.occurrence_counts(places).withColumnsRenamed({"lemma": "_l", "reading": "_r"})
+        unique = terms.unique_terms(every).join(counts, (F.col("lemma") == F.col("_l")) & (F.col("lemma_reading") == F.col("_r")), "left").drop("_l", "_r")
         unique = unique.withColumn("term_id", F.concat_ws("\x1f", "lemma", "lemma_reading"))
-        return vocabulary.with_level(unique, self.jlpt) if self.jlpt is not None else unique.withColumn("level", F.lit(None).cast("string"))
+        places = places.select(F.concat_ws("\x1f", "lemma", "reading").alias("term_id"), F.col("ord").alias("sentence_id"), "start")
+        return (vocabulary.with_level(unique, self.jlpt) if self.jlpt is not None else unique.withColumn("level", F.lit(None).cast("string"))), places
 
     def partition(self, base: DataFrame) -> DataFrame:
         """`base_terms` with status (ignored, known, unknown), score and comprehension. Ignored terms count as known fully; without a vocabulary nothing is known and comprehension is 0."""
@@ -78,9 +80,13 @@ class Engine:
 
     def process(self, sentences: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Terms with status, and sentences (sentence_id, ...) with comprehension."""
-        table = staged(self.partition(staged(self.base_terms(sentences))))
-        occurs = table.select(F.explode("refs").alias("r"), "term_id", "comprehension").select(F.col("r.ord").alias("sentence_id"), "term_id", "comprehension")
-        return table, vocabulary.sentence_comprehension(sentences, occurs)
+        base, places = self.base_terms(sentences)
+        table = staged(self.partition(staged(base)))
+        return table, self.comprehension(sentences, table, places)
+
+    def comprehension(self, sentences: DataFrame, table: DataFrame, places: DataFrame) -> DataFrame:
+        """Sentences with the mean comprehension of their terms; after a new `partition` of the same terms only this is made again."""
+        return vocabulary.sentence_comprehension(sentences, places.join(table.select("term_id", "comprehension"), "term_id"))
 
     def analyze(self, sentences: DataFrame) -> DataFrame:
         """Corpus counts by lemma: lemma, reading, n. Phrases that a dictionary has count besides their words."""

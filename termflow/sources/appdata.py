@@ -76,6 +76,18 @@ def remove_ignored(ignore: DataFrame, term: str) -> DataFrame:
     return ignore.filter((F.col("origin") != "manual") | (F.col("term") != term))
 
 
+def set_ignored(ignore: DataFrame, terms: list[str]) -> DataFrame:
+    """With these manual terms, in order and each once, in place of the earlier ones; an empty list clears them."""
+    new = ignore.sparkSession.createDataFrame([(t, "manual", True) for t in dict.fromkeys(terms)], IGNORE)
+    return new.unionByName(ignore.filter("origin <> 'manual'"))
+
+
+def set_ignore_files(spark: SparkSession, ignore: DataFrame, files: list[tuple[str, bool]]) -> DataFrame:
+    """With the terms of these files (path, enabled), read anew, in place of the earlier files'."""
+    manual = ignore.filter("origin = 'manual'")
+    return reduce(DataFrame.unionByName, [term_file(spark, path).withColumn("enabled", F.lit(on)) for path, on in files], manual)
+
+
 def ignore_view(ignore: DataFrame) -> DataFrame:
     """origin, enabled, n_terms of each list."""
     return ignore.groupBy("origin", "enabled").agg(F.countDistinct("term").alias("n_terms"))

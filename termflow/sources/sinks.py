@@ -6,9 +6,10 @@ import datetime
 import json
 import zipfile
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from termflow.functions import naming as N
 from termflow.functions import text as T
 from termflow.operators.corpus import ranked
 
@@ -61,10 +62,34 @@ def write_srt(cues: DataFrame, path: str) -> None:
     srt_blocks(cues).orderBy("path", "ord").select("block").coalesce(1).write.mode("overwrite").text(path)
 
 
+def save_srt(cues: DataFrame, folder: str, title: str) -> str:
+    """A video's cues under a name made of its title; written over what an earlier load of it left. Returns the path."""
+    stem = cues.sparkSession.range(1).select(N.safe_stem(F.lit(title)).alias("s")).first()["s"]
+    write_srt(cues, path := f"{folder}/{stem}.srt")
+    return path
+
+
 def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def _files(spark: SparkSession, path: str):
+    """Hadoop's file system of a path, and the path."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, where = _files(spark, path)
+    return fs.exists(where)
+
+
+def delete(spark: SparkSession, path: str) -> bool:
+    """Remove a saved table; whether there was one."""
+    fs, where = _files(spark, path)
+    return fs.exists(where) and fs.delete(where, True)
+
+
 def write_lines(df: DataFrame, column: str, path: str) -> None:
     """A sorted list, one value a line."""
     df.select(column).distinct().orderBy(column).coalesce(1).write.mode("overwrite").text(path)

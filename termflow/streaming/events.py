@@ -72,6 +72,27 @@ def stream_correlate(requests: DataFrame, replies: DataFrame, timeout: str = "5
     return a.join(b, cond, "leftOuter").select("message_id", "sent", F.when(F.col("acked").isNotNull(), "confirmed").otherwise("expired").alias("status"))
 
 
+def confirmed_timestamps(websocket: DataFrame, player: DataFrame) -> DataFrame:
+    """timestamp, source of all confirmed jumps, the websocket's and the player's; one that both confirmed is there twice."""
+    return websocket.select("timestamp", F.lit("websocket").alias("source")).unionByName(player.select("timestamp", F.lit("mpv").alias("source")))
+
+
+def throttled(polls: DataFrame, key: str, at: str, every: int = 1000) -> DataFrame:
+    """`polls` without those that come less than `every` after the last one of their key that was let through."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        keep, last = [], None
+        for t in rows[at]:
+            ok = last is None or t - last >= every
+            keep.append(ok)
+            last = t if ok else last
+        return rows[keep]
+
+    ship(polls.sparkSession)
+    # a key is one player session: its polls, one a second at most, are a small group
+    return polls.groupBy(key).applyInPandas(lambda rows: run(rows.sort_values(at)), polls.schema)
+
+
 def trimmed_log(confirmed: DataFrame) -> DataFrame:
     """Confirmed entries (message_id, acked): the newest LOG_KEPT once there are more than LOG_LIMIT."""
     newest = confirmed.orderBy(F.desc("acked"), "message_id").limit(LOG_LIMIT + 1)

@@ -126,6 +126,73 @@ def test_phrase_promotion(spark):
     assert terms.drop_suppressed(words, terms.promote_phrases(words, e)).count() == 0
 
 
+def test_long_phrases(spark):
+    """Phrases of any number of words, as far as the dictionary's longest term goes; corpus counts need no gates."""
+    part = "struct<full:string,reading:string,lemma:string,lemma_reading:string,pos:string,freq:bigint>"
+    row = lambda s, k, x, pos="Noun": (s, k, (x, x, x, x, pos, 5000))
+    words = spark.createDataFrame([row(0, k, x) for k, x in enumerate("いろはにほへとちり")] + [row(1, 0, "気"), row(1, 1, "に", "Postposition"), (1, 2, ("なった", "なった", "なる", "なる", "Verb", 5))], f"sentence_id long, pos_in_sentence int, word {part}")
+    e = spark.createDataFrame([("d", "いろはにほへとち", "いろはにほへとち", 900, None, True, 0), ("d", "気になる", "気になる", 9000, None, False, 1)], FREQ)
+    got = {(r["sentence_id"], r["start"], r["size"], r["form"], r["lemma"]) for r in terms.promote_phrases(words, e).collect()}
+    assert got == {(0, 0, 8, "いろはにほへとち", "いろはにほへとち"), (1, 0, 3, "気になった", "気になる")}
+    counted = terms.promote_phrases(words, e, corpus=True)
+    assert {(r["form"], r["lemma"]) for r in counted.collect()} == {("いろはにほへとち", "いろはにほへとち"), ("気になった", "気になる")}
+    assert terms.promote_phrases(words, e.limit(0)).count() == 0
+
+
+def test_corpus_counts_phrases(spark):
+    freq = spark.createDataFrame([("d", "犬猫鳥", "犬猫鳥", 120, None, False, 0)], FREQ)
+    noun = lambda x, at: token(x, at, pos1="名詞", pos2="普通名詞")
+    script = {"犬猫鳥": [[noun("犬", 0), noun("猫", 3), noun("鳥", 6)]]}
+    sent = spark.createDataFrame([(0, "犬猫鳥"), (1, "犬猫鳥")], "sentence_id long, text string")
+    got = {r["lemma"]: r["n"] for r in Engine(spark, tokenizer=segmentation.ScriptedTokenizer(script), freq=freq).analyze(sent).collect()}
+    assert got == {"犬": 2, "猫": 2, "鳥": 2, "犬猫鳥": 2}
+
+
+def test_span_retries():
+    """A span that the sentence's paths agree on is read again by itself, then with the word before it."""
+    verb = lambda s, at, **kw: token(s, at, pos1="動詞", **kw)
+    path = [verb("つけ", 0), token("た", 6, pos1="助動詞", c_type="助動詞-タ"), verb("けれ", 9, c_form="仮定形-一般"), token("ば", 15, pos1="助詞", pos2="接続助詞")]
+    joined = [verb("つけ", 0), token("たけれ", 6, pos1="助動詞", c_type="助動詞-タイ", c_form="仮定形-一般"), token("ば", 15, pos1="助詞", pos2="接続助詞")]
+    words = segmentation.build_words(path)
+    asked = []
+    again = lambda s, e: asked.append((s, e)) or ([joined] if s == 0 else [path[2:]])
+    done = segmentation.rescue(words, [path], {("つける", "つける"), ("つけたければ", "つけたければ"), ("ける", "ける")} | {p for w in segmentation.build_words(joined) for p in segmentation.candidate_pairs(w)}, again)
+    assert [w.surface for w in done] == ["つけたければ"] and asked[0] == words[1].span and asked[1][0] == 0
+
+
+def test_display_text(spark):
+    seg = spark.createDataFrame([(0, 0, 3, "気"), (0, 3, 6, "に"), (0, 6, 15, "なった"), (1, 0, 3, "犬")], "sentence_id long, seg_start int, seg_end int, surface string")
+    occ = spark.createDataFrame([(1, 0, 0, 15), (2, 0, 7, 8), (3, 1, 3, 9)], "occ_id long, sentence_id long, start int, end int")
+    assert {r["occ_id"]: r["text"] for r in terms.display_text(occ, seg).collect()} == {1: "気になった", 2: "なった", 3: ""}
+
+
+def test_best_match_ties(spark):
+    """Of equal scores the earlier key, then the earlier entry; repeated forms each get the result, equal entries count once, the first."""
+    forms = spark.createDataFrame([(i, "犬", "いぬ", "Noun") for i in range(4)] + [(9, "猫", None, "Noun")], "form_id long, word string, reading string, pos string")
+    vocab = spark.createDataFrame([(0, "いぬ", "いぬ", 1.0), (1, "犬", "いぬ", 2.0), (2, "犬", "いぬ", 3.0), (3, "犬", "けん", 4.0)], VOCAB)
+    assert {(r["form_id"], r["score"], r["vocab_idx"], r["interval"]) for r in vocabulary.best_match(forms, vocab).collect()} == {(i, 1.0, 1, 2.0) for i in range(4)}
+
+
+def test_field_guesses(spark):
+    none = F.create_map().cast("map<string,string>")
+    names = lambda *x: F.array(*map(F.lit, x))
+    note = F.create_map(F.lit("Front"), F.lit("食べる"), F.lit("Kana"), F.lit("たべる"), F.lit("Back"), F.lit("毎日パンを<b>食べる</b>。"))
+    row = spark.range(1).select(
+        mining.guess_sentence_field(names("Word", "Sentence Meaning", "Sentence", "Notes"), none).alias("a"), mining.guess_sentence_field(names("Expression", "SentenceFurigana", "SentenceAudio", "ExampleSentence"), none).alias("b"),
+        mining.guess_sentence_field(names("Expression", "SentenceFurigana", "IsSentenceCard"), none).alias("c"), mining.guess_sentence_field(names("Front", "Back"), note).alias("d"), mining.guess_sentence_field(names("Front", "例文"), none).alias("e"),
+        mining.guess_term_fields(names("Front", "Kana", "Back"), note).alias("f"), mining.guess_term_fields(names("Kana", "Front"), note).alias("g"), mining.guess_term_fields(names("Back"), note).alias("h"),
+    ).first()
+    assert row[:5] == ("Sentence", "ExampleSentence", None, "Back", "例文")
+    assert tuple(row["f"]) == ("Front", "Kana") and tuple(row["g"]) == ("Front", "Kana") and tuple(row["h"]) == (None, None)
+
+
+def test_recently_added(spark):
+    notes = spark.createDataFrame([(1, "m", {"w": "<b>犬</b>", "s": "犬 だ"}, "2024-01-02 10:00:00"), (2, "m", {"w": "猫", "s": ""}, "2024-01-01 09:00:00"), (3, "m", {"w": " ", "s": ""}, "2024-01-02 11:00:00"), (4, "x", {"w": "鳥"}, "2024-01-02 11:00:00")], "note_id long, model string, fields map<string,string>, added string").withColumn("added", F.col("added").cast("timestamp"))
+    mapping = spark.createDataFrame([("m", "w", "r", "s")], "model string, term_field string, reading_field string, sentence_field string")
+    got = mining.recently_added(notes, mapping, F.lit("2024-01-02 12:00:00").cast("timestamp")).collect()
+    assert [tuple(r) for r in got] == [(1, "犬", "犬だ")]
+
+
 def test_lemma_choice(spark):
     t = spark.createDataFrame([(1, "行った", "いった", "行く", "いく", "Verb")], "word_id long, surface string, surface_reading string, lemma string, lemma_reading string, pos string")
     e = spark.createDataFrame([("d", "行う", "いう", 5, None, False, 0), ("d", "行く", "いく", 50, None, False, 1)], FREQ)
@@ -168,7 +235,8 @@ def test_bands(spark):
 
 def test_conflicts(spark):
     items = spark.createDataFrame([(1, "a b", 5, None), (2, "ab", 3, None), (3, "", 1, None), (4, "c", 1, None)], "item_id long, sentence string, ts long, picked boolean")
-    assert [tuple(r) for r in mining.conflict_groups(items).select("key", "items").collect()] == [("ab", [1, 2])]
+    assert [tuple(r) for r in mining.conflict_groups(items).collect()] == [("ab", 2, 1, 2)]
+    assert sorted(tuple(r) for r in mining.conflict_items(items).collect()) == [("ab", 1), ("ab", 2)]
     assert {r["key"]: r["item_id"] for r in mining.keepers(items).collect()} == {"ab": 2, "c": 4}
 
 

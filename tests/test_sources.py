@@ -5,6 +5,7 @@ import zipfile
 
 from pyspark.sql import functions as F
 
+from termflow.functions import naming
 from termflow.sources import appdata, books, dictionaries, sinks, subtitles
 
 SRT = "﻿1\n00:00:01,000 --> 00:00:02,500\n<i>今日は</i>良い天気\n\n2\n00:00:03,000 --> 00:00:04,000\n（いい）\n\n3\n00:00:05,000 --> 00:00:06,000\n散歩に行く\n"
@@ -95,3 +96,41 @@ def test_catalog(spark):
     c = spark.createDataFrame([("a", "1"), ("b", "2"), ("c", None), ("d", "1")], "title string, revision string")
     i = spark.createDataFrame([("a", "1"), ("b", "1"), ("c", "1")], "title string, revision string")
     assert {r[0]: r[1] for r in appdata.catalog_status(c, i).collect()} == {"a": "installed", "b": "outdated", "c": "unknown", "d": "missing"}
+
+
+def test_ignore_list_changes(spark, tmp_path):
+    (tmp_path / "t.txt").write_text("猫\n犬\n")
+    df = spark.createDataFrame([("の", "manual", True), ("x", "old.txt", True)], appdata.IGNORE)
+    assert {r["term"] for r in appdata.set_ignored(df, ["は", "は", "が"]).collect()} == {"は", "が", "x"}
+    assert {r["term"] for r in appdata.set_ignored(df, []).collect()} == {"x"}
+    got = appdata.set_ignore_files(spark, df, [(str(tmp_path / "t.txt"), False)])
+    assert {(r["term"], r["enabled"]) for r in got.collect()} == {("の", True), ("猫", False), ("犬", False)}
+
+
+def test_saved_tables(spark, tmp_path):
+    path = str(tmp_path / "out.json")
+    assert not sinks.exists(spark, path) and not sinks.delete(spark, path)
+    sinks.write_json(spark.range(2), path)
+    assert sinks.exists(spark, path) and sinks.delete(spark, path) and not sinks.exists(spark, path)
+    cues = spark.createDataFrame([("v", 0, "一", 0, 1500)], "path string, ord int, text string, start_ms long, end_ms long")
+    saved = sinks.save_srt(cues, str(tmp_path), 'a/b: "c"?' + "x" * 100)
+    assert saved.endswith("/a_b_ _c__" + "x" * 71 + ".srt") and "00:00:00,000 --> 00:00:01,500" in spark.read.text(saved, wholetext=True).first()[0]
+    assert sinks.save_srt(cues, str(tmp_path), " ").endswith("/video.srt")
+
+
+def test_source_file_and_labels(one):
+    p = lambda x: F.lit(x)
+    r = one(naming.source_file(p("/x/Show S01E02 Netflix.srt"), p("Book"), p(" part 1 ")), naming.source_file(p("/x/b.epub"), p("Book"), p(" part 1 ")), naming.source_file(p("/x/b.epub"), p(""), p(" ")))
+    assert tuple(r[0]) == ("SRT", "Show - S01E02", "Netflix", "/x/Show S01E02 Netflix.srt", None)
+    assert tuple(r[1]) == ("EPUB", "Book", None, "/x/b.epub", "part 1") and tuple(r[2]) == ("EPUB", "B", None, "/x/b.epub", None)
+    n = lambda x: F.lit(x).cast("long")
+    assert one(naming.size_label(n(None)), naming.size_label(n(1536)), naming.terms_label(n(None)), naming.terms_label(n(1)), naming.terms_label(n(3)))[:] == ("Unknown", "1.5 KB", "Unknown terms", "1 term", "3 terms")
+    assert one(naming.opened_label(F.lit("2024-03-04 05:06:07").cast("timestamp")))[0] == "2024-03-04 05:06"
+
+
+def test_file_tree(spark):
+    df = spark.createDataFrame([("/home/a/x/1.srt",), ("/home/a/x/2.srt",), ("/home/a/y/z/3.srt",), ("/home/a/4.srt",)], "path string")
+    got = {(r["depth"], r["parent"], r["name"], r["path"], r["n_files"]) for r in naming.file_tree(df).collect()}
+    assert got == {(1, "", "x", None, 2), (1, "", "y", None, 1), (1, "", "4.srt", "/home/a/4.srt", 1), (2, "x", "1.srt", "/home/a/x/1.srt", 1), (2, "x", "2.srt", "/home/a/x/2.srt", 1), (2, "y", "z", None, 1), (3, "y/z", "3.srt", "/home/a/y/z/3.srt", 1)}
+    assert [(r["depth"], r["name"]) for r in naming.file_tree(spark.createDataFrame([("/home/a/x/1.srt",)], "path string")).collect()] == [(1, "1.srt")]
+    assert naming.file_tree(df.limit(0)).count() == 0

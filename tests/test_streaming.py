@@ -60,3 +60,10 @@ def test_follow_stream(spark, tmp_path):
     log = [("s", 1, "arm", json.dumps([medium("a", False)])), ("s", 2, "tick", json.dumps([medium("b", True, "g")])), ("t", 1, "tick", json.dumps([medium("b", True, "g")]))]
     df = spark.createDataFrame(log, "session string, tick long, command string, snapshot string")
     assert [tuple(r) for r in replay(spark, df, tmp_path / "f", E.stream_follow).collect()] == [("s", 2, "load", "b")]
+
+
+def test_throttle_and_confirmed(spark):
+    polls = spark.createDataFrame([("p", t) for t in (0, 400, 999, 1000, 1500, 2600, 2700)] + [("q", 100)], "player string, at long")
+    assert sorted(tuple(r) for r in E.throttled(polls, "player", "at").collect()) == [("p", 0), ("p", 1000), ("p", 2600), ("q", 100)]
+    t = lambda *x: spark.createDataFrame([(v,) for v in x], "timestamp double")
+    assert sorted(tuple(r) for r in E.confirmed_timestamps(t(1.0, 2.0), t(2.0)).collect()) == [(1.0, "websocket"), (2.0, "mpv"), (2.0, "websocket")]

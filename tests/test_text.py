@@ -97,3 +97,20 @@ def test_templates(one):
 
 def test_clock(one):
     assert one(T.clock(F.lit(3_723_004)), T.milliseconds(lit("01:02:03,004")))[:] == ("01:02:03,004", 3_723_004)
+
+
+def test_long_marks_and_romaji(one):
+    from termflow.functions import japanese as J
+
+    words = ["キノー", "ラーメン", "らーめん", "エーー", "ー", "スーパー"]
+    want = ["きのう", "らあめん", "らーめん", "えええ", "ー", "すうぱあ"]
+    assert list(one(*[T.to_hiragana(F.lit(w)) for w in words])) == [J.to_hiragana(w) for w in words] == want
+    assert one(T.comparison_key(F.lit("ケーキ")))[0] == "けいき"
+    assert [J.romaji_to_hiragana(w) for w in ("taberu", "gakkou", "shashin", "kon'ya", "onna", "chotto", "xyz1")] == ["たべる", "がっこう", "しゃしん", "こんや", "おんな", "ちょっと", "xyz1"]
+    assert one(T.search(F.lit("毎日たべる"), "taberu"), T.search(F.lit("I eat"), "EAT"), T.search(F.lit("毎日"), "taberu"), T.search(F.lit("x"), ""))[:] == (True, True, False, True)
+
+
+def test_filter_dry_run(spark):
+    assert T.try_filters(spark, ["parentheses"], [("[0-9]+", "#", True), ("[unclosed", "", False)], "a(b) 12 ") == "a #"
+    with pytest.raises(ValueError, match="unclosed"):
+        T.try_filters(spark, [], [("[unclosed", "", True)], "x")
