@@ -25,6 +25,8 @@ from termflow.sources.staging import ship
 SPACES = " \t-\r"
 #: Bytes that a side may have at most, as its values and ROW_BYTES for each row, to be broadcast; beyond it the join shuffles.
 BROADCAST_BYTES, ROW_BYTES = 32 << 20, 32
+#: Bytes of an Arrow batch.
+BATCH_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -109,7 +111,9 @@ def mapped(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None],
             for at in range(0, batch.num_rows, rows):
                 if (out := fn(batch.slice(at, rows))) is not None:
                     yield out
+        trim()
 
+    small_batches(df.sparkSession)
     ship(df.sparkSession)
     return df.mapInArrow(run, schema)
 
@@ -137,6 +141,7 @@ def grouped(df: DataFrame, key: str, fn: Callable[[pa.Table, np.ndarray], pa.Rec
             rest, last = [batch.slice(cut_at)], keys[-1]
         if rest:
             yield from whole(rest, at)
+        trim()
 
     def whole(parts: list[pa.RecordBatch], at: int) -> Iterator[pa.RecordBatch]:
         parts = [p for p in parts if p.num_rows]
@@ -147,6 +152,7 @@ def grouped(df: DataFrame, key: str, fn: Callable[[pa.Table, np.ndarray], pa.Rec
             if (out := fn(got, bounds)) is not None:
                 yield out
 
+    small_batches(df.sparkSession)
     ship(df.sparkSession)
     return df.repartition(key).sortWithinPartitions(key).mapInArrow(run, schema)
 
@@ -193,9 +199,21 @@ def release(module: str) -> None:
     if _held and _held.get("module") != module:
         _held.clear()
         gc.collect()
-        pa.default_memory_pool().release_unused()
-        with contextlib.suppress(OSError, AttributeError):  # a C library without it keeps its free lists
-            ctypes.CDLL(None).malloc_trim(0)
+        trim()
+
+
+def trim() -> None:
+    """Give unused memory back to the system, as an idle worker would keep it."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # a C library without it keeps its free lists
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let the session send texts to Python in batches of BATCH_BYTES, unless it was told another size than Spark's own; both sides hold a few of them."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, "67108864b") == "67108864b":
+        spark.conf.set(key, str(BATCH_BYTES))
 
 
 def text_of(name: str = "text") -> Column:
