@@ -21,11 +21,11 @@ LONG_O, LONG_E = re.compile("([おこそとのほもよろごぞどぼぽ])お")
 #: Godan rows: dictionary ending, its a, i, e and o forms, and what its te-form ends with.
 GODAN = [("う", "わ", "い", "え", "お", "って"), ("く", "か", "き", "け", "こ", "いて"), ("ぐ", "が", "ぎ", "げ", "ご", "いで"), ("す", "さ", "し", "せ", "そ", "して"), ("つ", "た", "ち", "て", "と", "って"), ("ぬ", "な", "に", "ね", "の", "んで"), ("ぶ", "ば", "び", "べ", "ぼ", "んで"), ("む", "ま", "み", "め", "も", "んで"), ("る", "ら", "り", "れ", "ろ", "って")]
 #: What follows the forms of a verb.
-AFTER_A = ["ない", "なかった", "なくて", "なければ", "ず", "ずに", "れる", "れた", "れて", "せる", "せた", "せて"]
-AFTER_I = ["", "ます", "ました", "ません", "たい", "たかった", "たくて", "ながら", "そう", "すぎる", "なさい"]
+AFTER_A = ["ない", "なかった", "なくて", "なければ", "なきゃ", "ず", "ずに", "れる", "れた", "れて", "せる", "せた", "せて"]
+AFTER_I = ["", "ます", "ました", "ましょう", "ません", "たい", "たかった", "たくて", "ながら", "そう", "すぎる", "なさい"]
 AFTER_E = ["", "ば", "る", "た", "て", "ない", "ます", "ました"]
-AFTER_ICHIDAN = ["ない", "なかった", "なくて", "なければ", "ず", "ずに", "た", "て", "たり", "たら", "ます", "ました", "ません", "たい", "たかった", "ながら", "そう", "すぎる", "られる", "られた", "られて", "させる", "させた", "させて", "れば", "よう", "ろ", "よ"]
-AFTER_ADJECTIVE = ["く", "くて", "くない", "くなかった", "かった", "ければ", "さ", "そう", "すぎる", "くなる"]
+AFTER_ICHIDAN = ["ない", "なかった", "なくて", "なければ", "なきゃ", "ず", "ずに", "た", "て", "たり", "たら", "ます", "ました", "ましょう", "ません", "たい", "たかった", "ながら", "そう", "すぎる", "られる", "られた", "られて", "させる", "させた", "させて", "れば", "よう", "ろ", "よ"]
+AFTER_ADJECTIVE = ["げ", "く", "くて", "くない", "くなかった", "かった", "ければ", "さ", "そう", "すぎる", "くなる"]
 
 
 #: Hiragana of each consonant's syllables, in the order of the vowels.

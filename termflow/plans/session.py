@@ -43,9 +43,14 @@ class Engine:
         """Sentences of files, and what was skipped."""
         return subtitles.read_sentences(self.spark, path, self.filters())
 
-    def base_terms(self, sentences: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Unique terms of sentences (sentence_id, text), with frequencies, level, phrases and their number of places; and the places (term_id, sentence_id, start)."""
-        words = staged(segmentation.term_rows(segmentation.segment(sentences, self.tokenizer, self.entries)).withColumn("word_id", F.struct("sentence_id", "ord")))
+    def segmented(self, sentences: DataFrame) -> DataFrame:
+        """Words of sentences (sentence_id, text), one row each; without an enabled dictionary nothing is repaired or taken apart."""
+        entries = self.entries
+        return staged(segmentation.term_rows(segmentation.segment(sentences, self.tokenizer, None if entries.isEmpty() else entries)))
+
+    def sentence_terms(self, sentences: DataFrame) -> DataFrame:
+        """Words and phrases of sentences (sentence_id, text) with lemma and frequency, one row for each place; words inside a phrase of content words are left out."""
+        words = self.segmented(sentences).withColumn("word_id", F.struct("sentence_id", "ord"))
         lemma = frequency.choose_lemma(segmentation.lemma_candidates(words), self.entries).withColumnsRenamed({"lemma": "_l", "lemma_reading": "_lr"})
         words = words.join(lemma, "word_id", "left").withColumns({"lemma": F.coalesce("_l", "lemma"), "lemma_reading": F.coalesce("_lr", "lemma_reading")}).drop("_l", "_lr")
         one = words.select(F.col("lemma").alias("word"), F.col("lemma_reading").alias("reading")).distinct().withColumn("word_id", F.concat_ws("\x1f", "word", "reading")).withColumn("is_kana", T.is_kana(F.col("word")))
@@ -59,7 +64,11 @@ class Engine:
             phrases["sentence_id"], F.col("_o").alias("ord"), F.col("form").alias("surface"), F.col("reading").alias("surface_reading"), "lemma", "lemma_reading",
             F.col("form").alias("full_segment"), F.col("reading").alias("full_reading"), "pos", F.col("_start").alias("start"), F.col("_start").alias("ref_start"), F.col("frequency").alias("harmonic"),
         )
-        every = staged(kept.select(*extra.columns).unionByName(extra))
+        return staged(kept.select(*extra.columns).unionByName(extra))
+
+    def base_terms(self, sentences: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Unique terms of sentences (sentence_id, text), with frequencies, level, phrases and their number of places; and the places (term_id, sentence_id, start)."""
+        every = self.sentence_terms(sentences)
         places = staged(terms.occurrences(every.select("lemma", F.col("lemma_reading").alias("reading"), F.col("sentence_id").alias("ord"), F.col("ref_start").alias("start"))))
         counts = terms.occurrence_counts(places).withColumnsRenamed({"lemma": "_l", "reading": "_r"})
         unique = terms.unique_terms(every).join(counts, (F.col("lemma") == F.col("_l")) & (F.col("lemma_reading") == F.col("_r")), "left").drop("_l", "_r")
@@ -90,7 +99,7 @@ class Engine:
 
     def analyze(self, sentences: DataFrame) -> DataFrame:
         """Corpus counts by lemma: lemma, reading, n. Phrases that a dictionary has count besides their words."""
-        words = staged(segmentation.term_rows(segmentation.segment(sentences, self.tokenizer, self.entries)).filter(T.trim(F.col("surface")) != ""))
+        words = self.segmented(sentences).filter(T.trim(F.col("surface")) != "")
         part = F.struct(F.col("full_segment").alias("full"), F.col("full_reading").alias("reading"), F.col("surface").alias("lemma"), F.col("surface_reading").alias("lemma_reading"), "pos", F.lit(frequency.NO_DATA).alias("freq"))
         phrases = terms.promote_phrases(words.select("sentence_id", F.col("ord").alias("pos_in_sentence"), part.alias("word")), self.entries, corpus=True)
         form, reading = F.col("form"), F.col("reading")
