@@ -60,13 +60,12 @@ def searched(terms: DataFrame, query: str, sentences: DataFrame | None = None) -
     query = query.strip()
     if not query:
         return terms
-    q = F.lit(query)
     hit = F.lit(False)
     for c in ("lemma", "lemma_reading", "surface", "surface_reading", "full_segment", "pos"):
-        hit = hit | F.coalesce(T.text_matches(F.col(c), q), F.lit(False))
+        hit = hit | F.coalesce(T.search(F.col(c), query), F.lit(False))
     if sentences is None:
         return terms.filter(hit)
-    there = sentences.filter(T.text_matches(F.col("text"), q)).select(F.col("term_id").alias("_id")).distinct()
+    there = sentences.filter(T.search(F.col("text"), query)).select(F.col("term_id").alias("_id")).distinct()
     return terms.join(there, F.col("term_id") == F.col("_id"), "left").filter(hit | F.col("_id").isNotNull()).drop("_id")
 
 

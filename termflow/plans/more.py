@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from termflow.functions import japanese as J
 from termflow.functions import naming as N
 from termflow.functions import text as T
-from termflow.operators import corpus, frequency, mining, terms, vocabulary
+from termflow.operators import corpus, frequency, mining, summary, terms, vocabulary
 from termflow.plans.registry import EVENT_SECONDS, SENTENCES, TOKENS, query, sentences, table, tokens
 from termflow.sources import appdata, books, subtitles
 from termflow.streaming import events as E
@@ -174,3 +175,123 @@ def template_fields(spark, sf_dir):
 def version_order(spark, sf_dir):
     v = F.concat_ws(".", F.lit("1"), F.col("p_size").cast("string"), (F.col("p_partkey") % 10).cast("string"))
     return table(spark, sf_dir, "part").select("p_partkey", N.is_newer(v, F.lit("1.25.4")).alias("newer"))
+
+
+@query("excluded_signs", "SELECT token, " + "trim(token) = '' OR NOT regexp_full_match(token, '[぀-ヿ㐀-䶿一-鿿々ｦ-ﾟ０-９Ａ-Ｚａ-ｚ！-／：-＠［-｀｛-･　-〿]+') OR token IN (SELECT sign FROM (VALUES " + ", ".join(f"('{s.replace(chr(39), chr(39) * 2)}')" for s in corpus.PUNCTUATION) + ") x(sign)) AS excluded FROM (VALUES " + ", ".join(f"('{s.replace(chr(39), chr(39) * 2)}')" for s in [*corpus.PUNCTUATION, "", " ", "abc", "犬", "いぬ", "イヌー", "ＡＢ", "犬x", "々"]) + ") y(token)")
+def excluded_signs(spark, sf_dir):
+    words = [*corpus.PUNCTUATION, "", " ", "abc", "犬", "いぬ", "イヌー", "ＡＢ", "犬x", "々"]
+    return spark.createDataFrame([(w,) for w in words], "token string").select("token", corpus.excluded_token(F.col("token")).alias("excluded"))
+
+
+@query("default_ignored", "SELECT term, 'manual' AS origin, true AS enabled, c_mktsegment AS segment FROM (VALUES ('の'), ('は'), ('に'), ('へ'), ('を'), ('て'), ('が'), ('だ'), ('た'), ('と'), ('から'), ('も'), ('で'), ('か'), ('です'), ('ね'), ('な'), ('ん'), ('し'), ('お')) t(term), (SELECT DISTINCT c_mktsegment FROM customer) c")
+def default_ignored(spark, sf_dir):
+    segments = table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("segment")).distinct()
+    ignored = appdata.ignore_list(spark, f"{sf_dir}/no_such_list.json")
+    return segments.select("segment", F.explode(F.array(*[F.lit(r["term"]) for r in ignored.collect()])).alias("term")).join(ignored, "term").select("term", "origin", "enabled", "segment")  # the list has twenty
+
+
+def _number_sql(digits: str) -> str:
+    """Reading of a column of digits without leading zeros."""
+    pick = lambda values, at: f"[{', '.join(repr(v) for v in values)}][1 + {at}]"
+    irregular = lambda own, unit: [own.get(d, J.DIGITS[d] + unit) if d else "" for d in range(10)]
+    places = [J.DIGITS, ["", "ジュウ", *[d + "ジュウ" for d in J.DIGITS[2:]]], irregular(J.HUNDREDS, "ヒャク"), irregular(J.THOUSANDS, "セン")]
+    digit = lambda i: f"substr(lpad({digits}, 16, '0'), {16 - i}, 1)::INT"
+    groups = [" || ".join(pick(places[p], digit(4 * k + p)) for p in (3, 2, 1, 0)) for k in reversed(range(4))]
+    return " || ".join(f"CASE WHEN {g} <> '' THEN {g} || '{J.MYRIADS[k]}' ELSE '' END" for g, k in zip(groups, reversed(range(4)), strict=True))
+
+
+@query("number_readings", f"SELECT o_orderkey, n, {_number_sql('n')} AS reading FROM (SELECT o_orderkey, (o_orderkey * 10007 % 999999999989 + 1)::VARCHAR AS n FROM orders)")
+def number_readings(spark, sf_dir):
+    n = ((F.col("o_orderkey") * 10007) % 999999999989 + 1).cast("string")
+    return table(spark, sf_dir, "orders").select("o_orderkey", n.alias("n")).select("o_orderkey", "n", J.number_reading(F.col("n")).alias("reading"))
+
+
+#: Digits of a key as kana, so that keys are words with long marks and rows of every vowel.
+KANA_OF_DIGITS = "アーコおケえオいメか"
+
+
+def _hiragana_sql(text: str) -> str:
+    """Katakana as hiragana; marks after them as vowels, one of a run at a time."""
+    for rows, vowel in (("ア", "あ"), ("コオ", "う"), ("ケメ", "え")):
+        for _ in range(7):
+            text = f"regexp_replace({text}, '([{rows}]{vowel}*)ー', '\\1{vowel}', 'g')"
+    return f"translate({text}, 'アコケオメ', 'あこけおめ')"
+
+
+@query("kana_keys", f"""WITH w AS (SELECT c_custkey, translate(c_custkey::VARCHAR, '0123456789', '{KANA_OF_DIGITS}') AS word FROM customer),
+    m AS (SELECT *, regexp_full_match(word, '[ぁ-ゖー]+') AS hiragana, regexp_full_match(word, '[ァ-ヺー・]+') AS katakana FROM w),
+    h AS (SELECT *, CASE WHEN strpos(word, 'ー') > 0 THEN {_hiragana_sql("replace(replace(replace(word, 'あ', 'A'), 'う', 'U'), 'え', 'E')")} ELSE translate(word, 'アコケオメ', 'あこけおめ') END AS marked FROM m),
+    f AS (SELECT *, replace(replace(replace(marked, 'A', 'あ'), 'U', 'う'), 'E', 'え') AS folded FROM h)
+    SELECT c_custkey, word, hiragana AS is_hiragana, katakana AS is_katakana, folded AS hiragana, translate(word, 'アコケオメ', 'あこけおめ') AS fold, translate(word, 'おえいか', 'オエイカ') AS katakana,
+        CASE WHEN regexp_full_match(folded, '[ぁ-ゖー]+') THEN regexp_replace(regexp_replace(folded, '([おこ])お', '\\1う', 'g'), '([けめ])え', '\\1い', 'g') ELSE folded END AS key FROM f""")
+def kana_keys(spark, sf_dir):
+    w = F.col("word")
+    df = table(spark, sf_dir, "customer").select("c_custkey", F.translate(F.col("c_custkey").cast("string"), "0123456789", KANA_OF_DIGITS).alias("word"))
+    return df.select("c_custkey", "word", T.is_hiragana(w).alias("is_hiragana"), T.is_katakana(w).alias("is_katakana"), T.to_hiragana(w).alias("hiragana"), T.fold_katakana(w).alias("fold"), T.to_katakana(w).alias("katakana"), T.comparison_key(w).alias("key"))
+
+
+@query("lemma_choice", """WITH p AS (SELECT p_partkey, p_type, p_brand, split_part(p_name, ' ', 1) AS form, split_part(p_name, ' ', 2) AS reading, p_size FROM part),
+    d AS (SELECT form, reading, p_type, min(p_size) AS v FROM p GROUP BY ALL), f AS (SELECT form, reading, round(count(*) / sum(1.0::DOUBLE / v))::BIGINT AS frequency FROM d GROUP BY form, reading)
+    SELECT p_brand AS word_id, arg_min(p.form, (CASE WHEN p_size = 1 THEN 0 ELSE 1 END, frequency, p_partkey)) AS lemma, arg_min(p.reading, (CASE WHEN p_size = 1 THEN 0 ELSE 1 END, frequency, p_partkey)) AS lemma_reading
+    FROM p JOIN f ON p.form = f.form AND p.reading = f.reading GROUP BY p_brand""")
+def lemma_choice(spark, sf_dir):
+    word = lambda k: F.split_part("p_name", F.lit(" "), F.lit(k))
+    part = table(spark, sf_dir, "part")
+    candidates = part.select(F.col("p_brand").alias("word_id"), F.col("p_partkey").alias("cand_ord"), word(1).alias("form"), word(2).alias("reading"), word(1).alias("surface"), F.lit("Noun").alias("pos"), (F.col("p_size") == 1).alias("own"))
+    entries = part.select(F.col("p_type").alias("dict"), word(1).alias("term"), word(2).alias("reading"), F.col("p_size").cast("long").alias("value"), F.lit(False).alias("kana_marker"), F.col("p_partkey").alias("entry_ord"))
+    return frequency.choose_lemma(candidates, entries)
+
+
+#: A vocabulary of customers and the best card of forms f(id, word, reading) in it, as SQL.
+CARDS = "v AS (SELECT c_custkey AS idx, 'w' || c_custkey % 60 AS card, 'r' || c_custkey % 40 AS card_reading, CASE WHEN c_custkey % 45 > 0 THEN (c_custkey % 45)::DOUBLE END AS ivl FROM customer)"
+BEST = """k AS (SELECT id, idx, ivl, CASE WHEN word = card AND reading = card_reading THEN 1.0 WHEN word = card THEN 0.85 ELSE 0.55 END AS score, CASE WHEN reading = card_reading THEN 0 ELSE 1 END AS rank FROM f JOIN v ON word = card OR reading = card_reading),
+    best AS (SELECT id, max(score) AS score, coalesce(arg_min(coalesce(ivl, 1.0), (-score, rank, idx)), 1.0) AS days FROM k GROUP BY id)"""
+DAYS_SHARE = "CASE WHEN days + 1 >= 31 THEN 1.0::DOUBLE ELSE ln(days + 1) / ln(31.0::DOUBLE) END"
+
+
+def _cards(spark, sf_dir):
+    k = F.col("c_custkey")
+    return table(spark, sf_dir, "customer").select(k.alias("vocab_idx"), F.concat(F.lit("w"), (k % 60).cast("string")).alias("term"), F.concat(F.lit("r"), (k % 40).cast("string")).alias("reading"), F.when(k % 45 > 0, (k % 45).cast("double")).alias("interval"))
+
+
+@query("matched_terms", f"""WITH {CARDS}, t AS (SELECT p_partkey AS term_id, 'w' || p_partkey % 70 AS lemma, 'r' || p_partkey % 55 AS reading, 'w' || p_partkey % 90 AS surface FROM part),
+    f AS (SELECT term_id * 2 AS id, lemma AS word, reading FROM t UNION ALL SELECT term_id * 2 + 1, surface, reading FROM t), {BEST},
+    one AS (SELECT id // 2 AS term_id, max(score) AS score, arg_max(days, (score, -(id % 2))) AS days FROM best GROUP BY id // 2)
+    SELECT t.term_id, coalesce(score, 0)::DOUBLE AS score, coalesce(score, 0) >= 0.6 AS known, floor(coalesce({DAYS_SHARE}, ln(2.0::DOUBLE) / ln(31.0::DOUBLE)) * 1000 + 0.5)::BIGINT AS mille FROM t LEFT JOIN one ON t.term_id = one.term_id""")
+def matched_terms(spark, sf_dir):
+    k = F.col("p_partkey")
+    word = lambda name, n: F.concat(F.lit(name), (k % n).cast("string"))
+    t = table(spark, sf_dir, "part").select(k.alias("term_id"), word("w", 70).alias("lemma"), word("r", 55).alias("lemma_reading"), word("w", 90).alias("surface"), word("r", 55).alias("surface_reading"), F.lit("Noun").alias("pos"))
+    df = vocabulary.match_terms(t, _cards(spark, sf_dir))
+    return df.select("term_id", "score", "known", F.floor(F.col("comprehension") * 1000 + 0.5).alias("mille"))
+
+
+@query("level_coverage", f"""WITH {CARDS}, j AS (SELECT p_partkey AS id, 'w' || p_partkey % 75 AS word, 'r' || p_partkey % 50 AS reading, 'N' || (1 + p_size % 5) AS band FROM part), f AS (SELECT id, word, reading FROM j), {BEST},
+    c AS (SELECT id, {DAYS_SHARE} AS c FROM best WHERE score >= 0.6)
+    SELECT band, floor(avg(CASE WHEN c IS NULL THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END) * 1000000 + 0.5)::BIGINT AS coverage_millionths, floor(avg(coalesce(c, 0.0::DOUBLE)) * 1000000 + 0.5)::BIGINT AS comprehension_millionths, count(*) AS total FROM j LEFT JOIN c ON j.id = c.id GROUP BY band""")
+def level_coverage(spark, sf_dir):
+    k = F.col("p_partkey")
+    jlpt = table(spark, sf_dir, "part").select(F.concat(F.lit("N"), (1 + F.col("p_size") % 5).cast("string")).alias("level"), F.concat(F.lit("w"), (k % 75).cast("string")).alias("kanji"), F.concat(F.lit("r"), (k % 50).cast("string")).alias("kana"), F.lit("Noun").alias("pos"))
+    df = summary.level_summary(jlpt, _cards(spark, sf_dir))
+    part = lambda c: F.floor(F.col(c) * 1000000 + 0.5).alias(f"{c}_millionths")
+    return df.select("band", part("coverage"), part("comprehension"), "total")
+
+
+@query("part_split", f"""WITH RECURSIVE l AS (SELECT doc_id AS chapter, unnest(range(len(ls))) AS ord, unnest(ls) AS line FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents)),
+    t AS (SELECT chapter, sum(length(line)) AS total, greatest(1, (sum(length(line)) + {books.PART_CHARS // 2}) // {books.PART_CHARS}) AS parts FROM l GROUP BY chapter),
+    s AS (SELECT chapter, 0::BIGINT AS ord, 0::HUGEINT AS done, 0::HUGEINT AS part, 0::HUGEINT AS of, 0::BIGINT AS n FROM t
+          UNION ALL SELECT s.chapter, s.ord + 1, done + length(line), part + CASE WHEN part + 1 < parts AND (done + length(line)) * parts >= total * (part + 1) THEN 1 ELSE 0 END, part, length(line)
+          FROM s JOIN l ON s.chapter = l.chapter AND s.ord = l.ord JOIN t ON s.chapter = t.chapter)
+    SELECT chapter, of::INT AS part, count(*) AS n_lines, sum(n)::BIGINT AS n_chars FROM s WHERE ord > 0 GROUP BY chapter, of""")
+def part_split(spark, sf_dir):
+    lines = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chapter"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("ord", "line"))
+    return books.split_chapters(lines).groupBy("chapter", "part").agg(F.count("*").alias("n_lines"), F.sum(F.length("line")).cast("long").alias("n_chars"))
+
+
+@query("page_lines", r"""WITH a AS (SELECT page_id, regexp_replace(html, '(?is)<!--.*?-->|<!doctype[^>]*>|<rt\b[^>]*>.*?</rt\s*>|<rp\b[^>]*>.*?</rp\s*>|<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>|<head\b[^>]*>.*?</head\s*>|<title\b[^>]*>.*?</title\s*>', '', 'g') AS t FROM pages),
+    b AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(t, '\s+', ' ', 'g'), '(?i)</?(?:p|div|h[1-6]|li|ul|ol|tr|table|section|article|header|footer|nav|aside|blockquote|body|br|hr|dd|dt|dl|figure|figcaption|pre)\b[^>]*>', chr(10), 'g'), '<[^<>]*>', '', 'g') AS t FROM a),
+    c AS (SELECT page_id, replace(replace(replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&apos;', ''''), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&') AS t FROM b),
+    d AS (SELECT page_id, list_filter(list_transform(string_split(t, chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(13))), lambda x: x <> '') AS ls FROM c)
+    SELECT page_id, unnest(range(len(ls)))::INT AS ord, unnest(ls) AS line FROM d""")
+def page_lines(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", F.posexplode(T.html_lines(F.col("html"))).alias("ord", "line"))

@@ -340,19 +340,6 @@ def recents_upsert(spark, sf_dir):
     return appdata.recents(events).select("path", F.col("last_opened").alias("last_opened_us"))
 
 
-@query("part_split", None)
-def part_split(spark, sf_dir):
-    from termflow.sources import books
-
-    lines = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chapter"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("ord", "line"))
-    return books.split_chapters(lines).groupBy("chapter", "part").agg(F.count("*").alias("n_lines"), F.sum(F.length("line")).cast("long").alias("n_chars"))
-
-
-@query("page_lines", None)
-def page_lines(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", F.posexplode(T.html_lines(F.col("html"))).alias("ord", "line"))
-
-
 @query("filename_media", """SELECT page_id, 'movie' AS kind, regexp_extract(url, '([0-9]+)', 1) AS title, 1990 + page_id % 30 AS year FROM pages WHERE regexp_matches(url, '[0-9]')""")
 def filename_media(spark, sf_dir):
     name = F.concat(F.regexp_extract("url", "([0-9]+)", 1), F.lit(" ("), (1990 + F.col("page_id") % 30).cast("string"), F.lit(") [1080p].mkv"))
