@@ -55,12 +55,25 @@ def cut(df: DataFrame) -> DataFrame:
         atexit.register(_remove, spark, folder)
     path = f"{folder}/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _made.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._cut_path = path
     return out
 
 
 _folders: set[str] = set()
+_made: list[str] = []
+
+
+def written(make: Callable[[], DataFrame]) -> DataFrame:
+    """The result of `make` by `cut`; tables that were cut on the way there are removed."""
+    before = len(_made)
+    out = cut(make())
+    for path in _made[before:]:
+        if path != out._cut_path:
+            _remove(out.sparkSession, path)
+    _made[before:] = [out._cut_path]
+    return out
 
 
 def drop_cut(df: DataFrame) -> None:

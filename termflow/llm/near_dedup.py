@@ -13,8 +13,10 @@
    at 85 % (3e-7 at 80 %) and just one with 7e-8 (6e-6): what a pair whose lists are all long can be
    missed by, besides MISS.
 4. Links so far only say who is to be compared. Components of them are dealt into blocks of bounded
-   size, each pair of blocks is one task, and there all sets are intersected exactly (64-bit shingle
-   hashes). Links that hold give the components that are returned. No step emits all pairs.
+   size, and in each task the sets of a block are intersected exactly (64-bit shingle hashes). Blocks of a
+   large component are compared with themselves and some anchors; then only members that aren't joined to
+   its largest part yet are compared with all others (`exact_links`). Links that hold give the components
+   that are returned. No step emits all pairs.
 
 Defined results: documents without words have no shingles, are linked with nothing and are kept; so is a
 row without doc_id, with a null component; a text
@@ -32,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from termflow.llm.common import cut, drop_cut, fresh, grouped, mapped, small_side, table, text_of, without
+from termflow.llm.common import cut, fresh, grouped, mapped, small_side, table, text_of, without, written
 from termflow.llm.components import components
 
 #: Words of a shingle; the query's similarity in percent, which its contract fixes (100 * intersection >= percent * union), and that of pipeline stages.
@@ -43,8 +45,8 @@ COORDS, MISS = 64, 3e-6
 BANDS, WIDTH = 21, 3
 #: Entries of a list within which all members are compared by signature.
 LONG = 256
-#: Members and shingles of a block of a component.
-BLOCK, BLOCK_SHINGLES = 512, 1_000_000
+#: Members and shingles of a block of a component, and members that all its blocks are compared with.
+BLOCK, BLOCK_SHINGLES, ANCHORS = 512, 1_000_000, 16
 #: Bytes of text that are hashed at a time.
 CHUNK = 1 << 20
 
@@ -273,23 +275,52 @@ def candidate_links(classes: DataFrame, percent: int) -> DataFrame:
 
 
 def exact_links(documents: DataFrame, classes: DataFrame, candidates: DataFrame, percent: int) -> DataFrame:
-    """a, b: links over the threshold, as stars inside each pair of blocks of each component of the candidates."""
+    """a, b: links over the threshold that join each component of the candidates as all its links do, as stars.
+
+    A component of one block is compared in one task. In a larger one each block is compared with itself and
+    with ANCHORS members of its component; of what these links join, the largest part needs no comparison
+    inside, so only the other members are compared with all blocks.
+    """
     members = components(candidates).join(classes.select(F.col("rep").alias("node"), "n_shingles"), "node")
     sizes = members.groupBy("component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("weight"))
     blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("weight") / BLOCK_SHINGLES)).cast("int")
-    members = cut(members.join(sizes, "component").select(F.col("node").alias("_node"), "component", blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block")))
-    texts = documents.select("doc_id", text_of().alias("text")).join(small_side(members), F.col("doc_id") == F.col("_node"))
-    texts = texts.select("component", "blocks", "block", "doc_id", "text")
+    members = cut(members.join(sizes, "component").select("node", "component", blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block")))
+    anchors = members.filter("blocks > 1").withColumn("nth", F.row_number().over(Window.partitionBy("component").orderBy(F.xxhash64(F.col("node") + 1), "node"))).filter(f"nth <= {ANCHORS}")
+    everywhere = anchors.select("node", "component", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    key = lambda *parts: F.concat_ws(":", *parts).alias("key")
+    first = members.select("node", "component", "block").unionByName(everywhere).select("node", key("component", "block")).distinct()
+    links = cut(compared(documents, first, percent))
+    large = members.filter("blocks > 1")
+    if large.isEmpty():
+        return links
+    parts = components(links).withColumnsRenamed({"node": "_node", "component": "part"})
+    large = large.join(parts, F.col("node") == F.col("_node"), "left").select("node", "component", "blocks", "block", F.coalesce("part", "node").alias("part"))
+    most = large.groupBy("component", "part").agg(F.count("*").alias("n")).groupBy("component").agg(F.max(F.struct("n", "part"))["part"].alias("_most"))
+    large = cut(large.join(most, "component"))
+    rest = large.filter("part <> _most").groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("others"))
+    large = cut(large.join(rest, "component"))
+    if large.isEmpty():
+        return links
+    other = F.pmod(F.xxhash64("node"), F.col("others")).cast("int")
+    asked = large.filter("part <> _most").select("node", "component", other.alias("other"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    against = large.select("node", "component", F.explode(F.sequence(F.lit(0), F.col("others") - 1)).alias("other"), "block")
+    second = asked.unionByName(against).select("node", key("component", "other", "block")).distinct()
+    return links.unionByName(cut(compared(documents, second, percent)))
+
+
+def compared(documents: DataFrame, dealt: DataFrame, percent: int) -> DataFrame:
+    """a, b: links over the threshold, as stars, among the documents of each key of `dealt` (node, key)."""
+    dealt = cut(dealt.select(F.col("node").alias("_node"), "key"))
+    nodes = cut(dealt.select("_node").distinct())
+    texts = documents.select("doc_id", text_of().alias("text")).join(small_side(nodes), F.col("doc_id") == F.col("_node"), "left_semi")
 
     def sets(batch: pa.RecordBatch) -> pa.RecordBatch:
-        blobs = [s.tobytes() for s in shingle_sets([t.encode() for t in batch.column(4).to_pylist()])]
-        return pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(blobs, pa.binary())], ["component", "blocks", "block", "doc_id", "shingles"])
+        blobs = [s.tobytes() for s in shingle_sets([t.encode() for t in batch.column(1).to_pylist()])]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(blobs, pa.binary())], ["doc_id", "shingles"])
 
-    with_sets = mapped(texts, sets, "component long, blocks int, block int, doc_id long, shingles binary", 256)
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = with_sets.select("component", "block", "doc_id", "shingles", other.alias("_o"))
-    key = F.concat_ws(":", "component", F.least("block", "_o"), F.greatest("block", "_o"))
-    return grouped(dealt.select(key.alias("key"), "doc_id", "shingles"), "key", lambda got, bounds: verified(got, bounds, percent), "a long, b long")
+    with_sets = mapped(texts, sets, "doc_id long, shingles binary", 256)
+    both = with_sets.join(small_side(dealt), F.col("doc_id") == F.col("_node")).select("key", "doc_id", "shingles")
+    return grouped(both, "key", lambda got, bounds: verified(got, bounds, percent), "a long, b long")
 
 
 def verified(got: pa.Table, bounds: np.ndarray, percent: int) -> pa.RecordBatch | None:
@@ -340,9 +371,7 @@ def near_duplicates(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
     classes = marks.filter("set_key IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.max("signature").alias("signature"), F.max("n_shingles").alias("n_shingles"))
     short = F.unhex(F.concat(*[F.substring(F.hex("signature"), 8 * c + 1, 2) for c in range(COORDS)]))
     classes = cut(classes.select("set_key", "rep", "signature", "n_shingles", short.alias("short")))
-    candidates = cut(candidate_links(classes, percent))
-    links = cut(exact_links(documents, classes, candidates, percent))
-    drop_cut(candidates)
+    links = written(lambda: exact_links(documents, classes, cut(candidate_links(classes, percent)), percent))
     parts = components(links).withColumnsRenamed({"node": "_node"})
     of = classes.select(F.col("set_key").alias("_key"), "rep").join(parts, F.col("rep") == F.col("_node"), "left").select("_key", F.coalesce("component", "rep").alias("component"))
     df = marks.select("doc_id", "n_shingles", "set_key").join(of, F.col("set_key") == F.col("_key"), "left")

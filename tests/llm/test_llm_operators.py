@@ -478,6 +478,17 @@ def test_long_lists_and_blocks(spark, texts, monkeypatch):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.near_duplicates(df).collect()} == brute_components(every)
 
 
+def test_chains_over_many_blocks(spark, monkeypatch):
+    """A component whose members are similar to their neighbours only: anchors join little of it, the rest is compared block by block."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 8)
+    monkeypatch.setattr(near_dedup, "ANCHORS", 2)
+    rng = random.Random(14)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(900)]
+    every = {7 * k % 101 + 1000: " ".join(words[5 * k : 5 * k + 100]) for k in range(100)} | {3000 + k: " ".join(words[:60] + [f"x{k}"] + words[61:100]) for k in range(30)}
+    df = spark.createDataFrame(list(every.items()), "doc_id long, text string")
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.near_duplicates(df).collect()} == brute_components(every)
+
+
 @pytest.mark.parametrize("percent", [80, 85])
 def test_near_duplicate_threshold_is_a_parameter(spark, percent):
     """Pairs of 185 shingles each: similarity 0.85 with 170 in common, 0.80 to 0.85 with 165 (0.805), under 0.8 with 160."""
