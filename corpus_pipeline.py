@@ -13,12 +13,13 @@ last stage makes.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from termflow.llm import bpe, decontam, near_dedup, secrets, toxicity
-from termflow.llm.common import cut, table
+from termflow.llm.common import drop_cut, table, written
 
 #: Similarity of near duplicates in percent: that of stages on word shingles; the 85 of `op3_near_dedup` is its query's contract.
 NEAR_PERCENT = near_dedup.SIMILAR
@@ -64,6 +65,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the whole table."""
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir))
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        before, docs = docs, written(functools.partial(stage, spark, docs, sf_dir))
+        if k:
+            drop_cut(before)
     return STAGES[-1][1](spark, docs, sf_dir)
