@@ -33,6 +33,8 @@ PUNCTUATION = [
     "〒", "§",
 ]
 TRIM_TENTHS, PREVIEW = 1, 250
+#: Hexadecimal digits of a file's hash that make its range: 4096 ranges.
+RANGE_DIGITS = 3
 HAPAX = 1
 
 
@@ -104,13 +106,20 @@ def trimmed_mean(sizes: DataFrame) -> DataFrame:
 def balance(files: DataFrame, salt: str = "") -> DataFrame:
     """Files (file_id, source, size) of a balanced corpus: all of a source within the target, else files in shuffled order while what came before is under the target.
 
-    The order is a hash of the id, so a run can be repeated; with one source nothing is dropped.
+    The order is a hash of the id, so a run can be repeated; with one source nothing is dropped. What came before
+    is the sum of the earlier hash ranges and of the own range so far, so no task sorts all files of a source.
     """
     sizes = source_sizes(files)
     target = trimmed_mean(sizes).crossJoin(F.broadcast(sizes.agg(F.count("*").alias("n_sources"))))  # one row each
     df = files.join(sizes.select("source", F.col("size").alias("total")), "source").crossJoin(F.broadcast(target))
-    order = Window.partitionBy("source").orderBy(F.md5(F.concat(F.lit(salt), F.col("file_id").cast("string"))), "file_id").rowsBetween(Window.unboundedPreceding, -1)
-    df = df.withColumn("before", F.coalesce(F.sum("size").over(order), F.lit(0)))
+    digest = F.md5(F.concat(F.lit(salt), F.col("file_id").cast("string")))
+    df = df.withColumns({"_digest": digest, "_range": F.substring(digest, 1, RANGE_DIGITS)})
+    earlier = Window.partitionBy("_source").orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)  # over the ranges of a source
+    ranges = df.groupBy(F.col("source").alias("_source"), F.col("_range").alias("_r")).agg(F.sum("size").alias("_sum"))
+    ranges = ranges.select("_source", "_r", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_earlier"))
+    own = Window.partitionBy("source", "_range").orderBy("_digest", "file_id").rowsBetween(Window.unboundedPreceding, -1)
+    df = df.join(ranges, (F.col("source") == F.col("_source")) & (F.col("_range") == F.col("_r")))
+    df = df.withColumn("before", F.col("_earlier") + F.coalesce(F.sum("size").over(own), F.lit(0)))
     keep = (F.col("n_sources") <= 1) | (F.col("total") <= F.col("target")) | (F.col("before") < F.col("target"))
     return df.filter(keep).select("file_id", "source", "size", "target")
 

@@ -5,12 +5,14 @@ Between its steps tables are staged, so a plan holds one step and a later refres
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termflow.functions import text as T
-from termflow.operators import controls, corpus, frequency, segmentation, summary, terms, vocabulary
-from termflow.sources import appdata, subtitles
+from termflow.operators import controls, corpus, frequency, mining, segmentation, summary, terms, vocabulary
+from termflow.sources import appdata, sinks, subtitles
 from termflow.sources.staging import staged
 
 EMPTY_FREQ = "dict string, term string, reading string, value bigint, display string, kana_marker boolean, entry_ord bigint"
@@ -123,5 +125,42 @@ class Engine:
             rows = summary.level_summary(self.jlpt, self.vocab, vocabulary.pair_confidence(self.freq), self.config.known_interval).select(F.lit("jlpt").alias("kind"), "*").unionByName(rows)
         return rows
 
+    def refresh(self, base: DataFrame, sentences: DataFrame, places: DataFrame, vocab: DataFrame | None = None, ignore: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+        """The same terms under a new vocabulary or ignore list: partition and comprehension are made again, nothing is segmented."""
+        self.vocab, self.ignore = vocab if vocab is not None else self.vocab, ignore if ignore is not None else self.ignore
+        table = staged(self.partition(base))
+        return table, self.comprehension(sentences, table, places)
+
+    def set_dictionaries(self, freq: DataFrame | None = None, settings: dict[str, tuple[float, bool]] | None = None) -> None:
+        """Take other dictionaries, or weights and switches of some of them (weight, enabled); terms made before keep their frequencies until they are made again."""
+        if freq is not None:
+            self.freq = staged(freq)
+        if settings:
+            weights = self.config.weights | {d: max(w, frequency.LEAST_WEIGHT) for d, (w, _) in settings.items()}
+            off = {d for d in self.config.disabled if settings.get(d, (0, False))[1] is False} | {d for d, (_, on) in settings.items() if not on}
+            self.config = replace(self.config, weights=weights, disabled=tuple(sorted(off)))
+
+    def dictionaries(self) -> DataFrame:
+        """dict, weight, enabled, n_entries of the loaded dictionaries, by name."""
+        n = self.freq.groupBy("dict").agg(F.count("*").alias("n_entries"))
+        state = self.dict_state.withColumnRenamed("dict", "_d")
+        return n.join(state, F.col("dict") == F.col("_d"), "left").select("dict", F.coalesce("weight", F.lit(1.0)).alias("weight"), F.coalesce("enabled", F.lit(True)).alias("enabled"), "n_entries").orderBy("dict")
+
+    def export(self, counts: DataFrame, path: str, kind: str = "csv", title: str = "corpus", drop_hapax: bool = False) -> None:
+        """Corpus counts as a CSV rank list or a dictionary archive."""
+        if kind == "csv":
+            sinks.write_frequency_csv(counts, path, drop_hapax)
+        else:
+            sinks.write_dictionary_zip(counts, path, title, drop_hapax=drop_hapax)
+
+    def mined_state(self, table: DataFrame, recorded: DataFrame, harvested: DataFrame, recent: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Terms with mined (lemma or surface among the recently added terms), and all sentences that notes have."""
+        sentences = mining.mined_sentences(recorded.select("sentence").unionByName(recent.select("sentence").filter("sentence IS NOT NULL")), harvested)
+        return mining.with_mined(table, recent.select("term").filter("term IS NOT NULL")), sentences
+
+    def cards(self, notes: DataFrame, formats: DataFrame) -> DataFrame:
+        """Cards to create: the formats' templates filled from notes (note_id, model, values)."""
+        return mining.assemble(notes, formats)
+
     def view(self, table: DataFrame, state: controls.Controls) -> DataFrame:
         return controls.apply(table, state)

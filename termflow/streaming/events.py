@@ -7,12 +7,12 @@ a replayed log. Keyed state lives in the state store; watermarks and expiry are
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from termflow.sources.staging import ship
@@ -72,6 +72,25 @@ def stream_correlate(requests: DataFrame, replies: DataFrame, timeout: str = "5
     return a.join(b, cond, "leftOuter").select("message_id", "sent", F.when(F.col("acked").isNotNull(), "confirmed").otherwise("expired").alias("status"))
 
 
+def confirmed_seeks(seeks: DataFrame, positions: DataFrame, tolerance: float = 0.01, wait: int = 3000) -> DataFrame:
+    """`seeks` (session, at, target) with status: confirmed if the session's position came within the tolerance of the target before the wait was over, else timeout. Times are in milliseconds, positions in seconds."""
+    p = positions.select(F.col("session").alias("_session"), F.col("at").alias("_at"), "position")
+    near = (F.col("session") == F.col("_session")) & F.col("_at").between(F.col("at"), F.col("at") + wait) & (F.abs(F.col("position") - F.col("target")) <= tolerance)
+    found = F.max(F.col("_at").isNotNull())
+    return seeks.join(p, near, "left").groupBy(*seeks.columns).agg(F.when(found, "confirmed").otherwise("timeout").alias("status"))
+
+
+def refresh_loop(changed: DataFrame, refresh: Callable[[], None], every: str = "1 second", checkpoint: str | None = None) -> StreamingQuery:
+    """Run `refresh` once for each trigger in which a stream of change marks had any row; the marks of one interval make one refresh."""
+
+    def once(batch: DataFrame, _: int) -> None:
+        if not batch.isEmpty():
+            refresh()
+
+    writer = changed.writeStream.foreachBatch(once).outputMode("append").trigger(processingTime=every)
+    return (writer.option("checkpointLocation", checkpoint) if checkpoint else writer).start()
+
+
 def confirmed_timestamps(websocket: DataFrame, player: DataFrame) -> DataFrame:
     """timestamp, source of all confirmed jumps, the websocket's and the player's; one that both confirmed is there twice."""
     return websocket.select("timestamp", F.lit("websocket").alias("source")).unionByName(player.select("timestamp", F.lit("mpv").alias("source")))

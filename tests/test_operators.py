@@ -1,6 +1,8 @@
 """Frequencies, vocabulary, terms, controls and corpus operators on small tables."""
 
+import hashlib
 import math
+import random
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -213,6 +215,30 @@ def test_engine(spark):
     assert {r["band"] for r in Engine(spark, freq=freq, vocab=vocab).knowledge().collect()} == {"<1.5k"}
 
 
+def test_engine_commands(spark, tmp_path):
+    freq = spark.createDataFrame([("b", "犬", "犬", 120, None, False, 0), ("a", "猫", "猫", 50, None, False, 0)], FREQ)
+    engine = Engine(spark, freq=freq)
+    sent = spark.createDataFrame([(0, "犬と猫"), (1, "猫")], "sentence_id long, text string")
+    base, places = engine.base_terms(sent)
+    assert {(r["lemma"], r["n_refs"]) for r in base.collect()} == {("犬", 1), ("と", 1), ("猫", 2)} and places.count() == 4
+    vocab = spark.createDataFrame([(0, "猫", "猫", 30.0)], VOCAB)
+    table, comp = engine.refresh(base, sent, places, vocab=vocab)
+    assert {r["lemma"]: r["status"] for r in table.collect()} == {"犬": "unknown", "と": "ignored", "猫": "known"}
+    assert comp.filter("sentence_id = 1").first()["comprehension"] == 1.0
+    engine.set_dictionaries(settings={"a": (0.01, True), "b": (2.0, False)})
+    assert [tuple(r) for r in engine.dictionaries().collect()] == [("a", 0.1, True, 1), ("b", 2.0, False, 1)]
+    assert {r["dict"] for r in engine.entries.collect()} == {"a"}
+    engine.set_dictionaries(settings={"b": (1.0, True)})
+    assert {r["dict"] for r in engine.entries.collect()} == {"a", "b"}
+    engine.export(engine.analyze(sent), str(tmp_path / "out.csv"))
+    lines = [r["value"] for r in spark.read.text(str(tmp_path / "out.csv")).collect()]
+    assert lines[0] == "Rank,Term,Reading,Frequency" and '1,"猫","猫",2' in lines
+    recent = spark.createDataFrame([("犬", "犬と猫"), (None, "x")], "term string, sentence string")
+    none = spark.createDataFrame([("y",)], "sentence string")
+    flagged, sentences = engine.mined_state(table, none, none, recent)
+    assert {r["lemma"] for r in flagged.filter("mined").collect()} == {"犬"} and {r[0] for r in sentences.collect()} == {"犬と猫", "x", "y"}
+
+
 @settings(max_examples=15, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.integers(0, 10_000), min_size=1, max_size=45))
 def test_trimmed_mean(spark, sizes):
@@ -222,6 +248,22 @@ def test_trimmed_mean(spark, sizes):
     assert corpus.trimmed_mean(df).first()["target"] == sum(kept) // len(kept)
 
 
+def test_balance_by_ranges(spark):
+    """Running sums by hash ranges are those over a whole source."""
+    rng = random.Random(3)
+    rows = [(i, f"s{min(i % 7, 3)}", rng.randrange(1, 90)) for i in range(600)]
+    df = spark.createDataFrame(rows, "file_id long, source string, size long")
+    got = {r["file_id"] for r in corpus.balance(df).collect()}
+    total = {s: sum(r[2] for r in rows if r[1] == s) for s in {r[1] for r in rows}}
+    target, want = sum(total.values()) // len(total), set()
+    for s in total:
+        before = 0
+        for i, _, size in sorted((r for r in rows if r[1] == s), key=lambda r: (hashlib.md5(str(r[0]).encode()).hexdigest(), r[0])):
+            want |= {i} if total[s] <= target or before < target else set()
+            before += size
+    assert got == want
+
+
 def test_rank_is_competition(spark):
     df = spark.createDataFrame([("a", 5), ("b", 5), ("c", 2)], "t string, n long")
     assert {r["t"]: r["rank"] for r in corpus.ranked(df).collect()} == {"a": 1, "b": 1, "c": 3}

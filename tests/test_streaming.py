@@ -67,3 +67,34 @@ def test_throttle_and_confirmed(spark):
     assert sorted(tuple(r) for r in E.throttled(polls, "player", "at").collect()) == [("p", 0), ("p", 1000), ("p", 2600), ("q", 100)]
     t = lambda *x: spark.createDataFrame([(v,) for v in x], "timestamp double")
     assert sorted(tuple(r) for r in E.confirmed_timestamps(t(1.0, 2.0), t(2.0)).collect()) == [(1.0, "websocket"), (2.0, "mpv"), (2.0, "websocket")]
+
+
+def test_confirmed_seeks(spark):
+    seeks = spark.createDataFrame([("a", 0, 10.0), ("a", 5000, 20.0), ("b", 0, 10.0)], "session string, at long, target double")
+    positions = spark.createDataFrame([("a", 100, 9.995), ("a", 9000, 20.0), ("b", 50, 10.5)], "session string, at long, position double")
+    assert {(r["session"], r["at"]): r["status"] for r in E.confirmed_seeks(seeks, positions).collect()} == {("a", 0): "confirmed", ("a", 5000): "timeout", ("b", 0): "timeout"}
+
+
+def test_refresh_loop(spark, tmp_path):
+    spark.range(3).coalesce(1).write.parquet(str(tmp_path / "in"))
+    calls = []
+    q = E.refresh_loop(spark.readStream.schema("id long").parquet(str(tmp_path / "in")), lambda: calls.append(1), "1 second", str(tmp_path / "c"))
+    q.processAllAvailable()
+    q.stop()
+    assert calls == [1]
+
+
+def test_replayed_logs(spark, tmp_path):
+    from termflow.sources import replay
+
+    (tmp_path / "m.json").write_text("\n".join(json.dumps(x) for x in [{"model": "A", "fields": ["w"], "n_notes": 2}, {"model": 'B "x"', "fields": [], "n_notes": 1}, {"model": "C", "n_notes": 0}]) + "\nnot json\n")
+    rows = replay.log(spark, str(tmp_path / "m.json"), "models")
+    assert rows.count() == 3
+    assert [(r["model"], r["query"]) for r in replay.used_models(rows).collect()] == [("A", "note:A"), ('B "x"', '"note:B \\"x\\""')]
+    notes = spark.createDataFrame([(i, "m", {"w": str(i)}) for i in range(5)], "note_id long, model string, fields map<string,string>")
+    assert [r["note_id"] for r in replay.sample_note(notes).collect()] == [2]
+    (tmp_path / "log").mkdir()
+    (tmp_path / "log" / "1.json").write_text(json.dumps({"session": "s", "at": 5, "position": 1.5}) + "\n")
+    q = replay.log(spark, str(tmp_path / "log"), "positions", stream=True).writeStream.format("memory").queryName("positions_log").trigger(availableNow=True).start()
+    q.awaitTermination(60)
+    assert [tuple(r) for r in spark.table("positions_log").collect()] == [("s", 5, 1.5)]
