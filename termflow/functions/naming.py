@@ -110,7 +110,7 @@ def terms_label(n: Column) -> Column:
 
 def size_label(n: Column) -> Column:
     """Bytes as B, KB or MB; `Unknown` for null."""
-    return F.when(n.isNull(), "Unknown").when(n < 1024, F.format_string("%d B", n)).when(n < 1 << 20, F.format_string("%.1f KB", n / 1024.0)).otherwise(F.format_string("%.1f MB", n / float(1 << 20)))
+    return F.when(n.isNull(), "Unknown").when(n < 1024, F.format_string("%d B", n)).when(n < 1 << 20, F.format_string("%.1f KB", F.bround(n / 1024.0, 1))).otherwise(F.format_string("%.1f MB", F.bround(n / float(1 << 20), 1)))
 
 
 def is_newer(version: Column, current: Column) -> Column:

@@ -361,5 +361,6 @@ def oracle_sql() -> dict[str, str]:
     return dict(SQL)
 
 
-# registers its queries on import
+# these register their queries on import
+from termflow.plans import extra as _extra  # noqa: E402, F401
 from termflow.plans import more as _more  # noqa: E402, F401
