@@ -22,10 +22,8 @@ def components(edges: DataFrame) -> DataFrame:
     now = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct())
     seen = _state(now)
     while seen[0]:
-        half = cut(_star(now, True, seen[0]))
-        before, now = now, cut(_star(half, False, seen[0]))
+        before, now = now, cut(_smaller(_larger(now, seen[0])))
         drop_cut(before)
-        drop_cut(half)
         if (state := _state(now)) == seen:
             break
         seen = state
@@ -37,17 +35,20 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
 
-def _star(edges: DataFrame, large: bool, size: int) -> DataFrame:
-    """One star step over edges (a > b), of which there are about `size`. A hub's edges are dealt over several keys, and so is its least neighbour."""
-    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges
+def _larger(edges: DataFrame, size: int) -> DataFrame:
+    """Larger neighbours of each node go to the least node it knows, over edges (a > b), of which there are `size`. A hub's edges are dealt over several keys, and so is its least neighbour."""
+    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     most = max(HUB, size // HUB_SHARE)
     least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"), F.ceil(F.col("n") / most).alias("parts"))
     hubs = least.filter("parts > 1").select(F.col("u").alias("h"), "parts")  # 2 * HUB_SHARE rows at most
     dealt = both.join(F.broadcast(hubs), F.col("a") == F.col("h"), "left").select("a", "b", F.coalesce(F.pmod(F.xxhash64("b"), "parts"), F.lit(0)).alias("part"))
     every = least.select("u", "m", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("p"))
     df = dealt.join(every, (F.col("a") == F.col("u")) & (F.col("part") == F.col("p")))
-    if large:  # larger neighbours of u go to the least node u knows
-        out = df.filter(F.col("b") > F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-    else:  # u and its smaller neighbours go to the least of them
-        out = df.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
-    return out.filter("a <> b").distinct()
+    return df.filter(F.col("b") > F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+
+
+def _smaller(edges: DataFrame) -> DataFrame:
+    """Each node and its smaller neighbours go to the least of them, over edges (a > b); after `_larger` a node has few of these."""
+    least = edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), "m")
+    df = edges.join(least, F.col("a") == F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return df.unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b"))).filter("a <> b").distinct()

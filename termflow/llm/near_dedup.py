@@ -278,40 +278,37 @@ def exact_links(documents: DataFrame, classes: DataFrame, candidates: DataFrame,
     """a, b: links over the threshold that join each component of the candidates as all its links do, as stars.
 
     A component of one block is compared in one task. In a larger one each block is compared with itself and
-    with ANCHORS members of its component; of what these links join, the largest part needs no comparison
-    inside, so only the other members are compared with all blocks.
+    with ANCHORS members of its component. All members that a block's links join to the main anchor are
+    connected, whatever their blocks, and need no comparison with each other; the others are compared with
+    all blocks.
     """
     members = components(candidates).join(classes.select(F.col("rep").alias("node"), "n_shingles"), "node")
     sizes = members.groupBy("component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("weight"))
     blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("weight") / BLOCK_SHINGLES)).cast("int")
-    members = cut(members.join(sizes, "component").select("node", "component", blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block")))
-    anchors = members.filter("blocks > 1").withColumn("nth", F.row_number().over(Window.partitionBy("component").orderBy(F.xxhash64(F.col("node") + 1), "node"))).filter(f"nth <= {ANCHORS}")
-    everywhere = anchors.select("node", "component", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    members = cut(members.join(sizes, "component").select("node", "component", "n_shingles", blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block")))
+    order = Window.partitionBy("component").orderBy(F.xxhash64(F.col("node") + 1), "node")
+    anchors = members.filter("blocks > 1").withColumns({"nth": F.row_number().over(order), "upto": F.sum("n_shingles").over(order)}).filter(f"nth = 1 OR nth <= {ANCHORS} AND upto <= {BLOCK_SHINGLES}")
     key = lambda *parts: F.concat_ws(":", *parts).alias("key")
-    first = members.select("node", "component", "block").unionByName(everywhere).select("node", key("component", "block")).distinct()
-    links = cut(compared(documents, first, percent))
-    large = members.filter("blocks > 1")
-    if large.isEmpty():
+    everywhere = anchors.select("node", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.concat_ws(":", "component", b))).alias("key"))
+    first = members.select("node", key("component", "block")).unionByName(everywhere).distinct()
+    first = first.join(small_side(anchors.select(F.col("node").alias("_a"))), F.col("node") == F.col("_a"), "left").select("node", "key", F.col("_a").isNotNull().alias("anchor"))
+    found = cut(compared(documents, first, percent))
+    links, rest = found.filter("NOT rest").select("a", "b"), found.filter("rest").select(F.col("a").alias("_rest")).distinct()
+    if rest.isEmpty():
         return links
-    parts = components(links).withColumnsRenamed({"node": "_node", "component": "part"})
-    large = large.join(parts, F.col("node") == F.col("_node"), "left").select("node", "component", "blocks", "block", F.coalesce("part", "node").alias("part"))
-    most = large.groupBy("component", "part").agg(F.count("*").alias("n")).groupBy("component").agg(F.max(F.struct("n", "part"))["part"].alias("_most"))
-    large = cut(large.join(most, "component"))
-    rest = large.filter("part <> _most").groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("others"))
-    large = cut(large.join(rest, "component"))
-    if large.isEmpty():
-        return links
-    other = F.pmod(F.xxhash64("node"), F.col("others")).cast("int")
-    asked = large.filter("part <> _most").select("node", "component", other.alias("other"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    against = large.select("node", "component", F.explode(F.sequence(F.lit(0), F.col("others") - 1)).alias("other"), "block")
-    second = asked.unionByName(against).select("node", key("component", "other", "block")).distinct()
-    return links.unionByName(cut(compared(documents, second, percent)))
+    rest = cut(rest.join(members, F.col("node") == F.col("_rest")).select("node", "component", "blocks"))
+    others = rest.groupBy(F.col("component").alias("_c")).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("others"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    asked = rest.join(others, F.col("component") == F.col("_c")).select("node", "component", F.pmod(F.xxhash64("node"), F.col("others")).cast("int").alias("other"), every("blocks").alias("block"))
+    against = members.join(others, F.col("component") == F.col("_c")).select("node", "component", every("others").alias("other"), "block")
+    second = asked.unionByName(against).select("node", key("component", "other", "block"), F.lit(False).alias("anchor")).distinct()
+    return links.unionByName(cut(compared(documents, second, percent)).filter("NOT rest").select("a", "b"))
 
 
 def compared(documents: DataFrame, dealt: DataFrame, percent: int) -> DataFrame:
-    """a, b: links over the threshold, as stars, among the documents of each key of `dealt` (node, key)."""
-    dealt = cut(dealt.select(F.col("node").alias("_node"), "key"))
-    nodes = cut(dealt.select("_node").distinct())
+    """a, b, rest: links over the threshold, as stars, among the documents of each key of `dealt` (node, key, anchor); with rest, a document that they don't join to its key's main anchor."""
+    dealt = cut(dealt.select(F.col("node").alias("_node"), "key", "anchor"))
+    nodes = dealt.select("_node").distinct()
     texts = documents.select("doc_id", text_of().alias("text")).join(small_side(nodes), F.col("doc_id") == F.col("_node"), "left_semi")
 
     def sets(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -319,25 +316,36 @@ def compared(documents: DataFrame, dealt: DataFrame, percent: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(blobs, pa.binary())], ["doc_id", "shingles"])
 
     with_sets = mapped(texts, sets, "doc_id long, shingles binary", 256)
-    both = with_sets.join(small_side(dealt), F.col("doc_id") == F.col("_node")).select("key", "doc_id", "shingles")
-    return grouped(both, "key", lambda got, bounds: verified(got, bounds, percent), "a long, b long")
+    both = with_sets.join(small_side(dealt), F.col("doc_id") == F.col("_node")).select("key", "doc_id", "shingles", "anchor")
+    return grouped(both, "key", lambda got, bounds: verified(got, bounds, percent), "a long, b long, rest boolean")
 
 
 def verified(got: pa.Table, bounds: np.ndarray, percent: int) -> pa.RecordBatch | None:
-    """Stars of the links over the threshold in each group (key, doc_id, shingles)."""
-    ids, blobs, a, b = got.column(1).to_numpy(), got.column(2), [], []
+    """Stars of the links over the threshold in each group (key, doc_id, shingles, anchor), and the documents that aren't joined to the main anchor, if there are anchors."""
+    ids, blobs, anchor = got.column(1).to_numpy(), got.column(2), got.column(3).to_numpy(zero_copy_only=False)
+    a, b, rest = [], [], []
     for x, y in zip(bounds[:-1], bounds[1:], strict=True):
         own, first = np.unique(ids[x:y], return_index=True)
         if len(own) < 2:
             continue
-        sets = [np.frombuffer(blobs[x + int(i)].as_buffer(), np.uint64) for i in first]
-        least = stars(similar(sets, percent))
+        agree = similar([np.frombuffer(blobs[x + int(i)].as_buffer(), np.uint64) for i in first], percent)
+        least = stars(agree)
         far = least != np.arange(len(own))
         a.append(own[far])
         b.append(own[least[far]])
+        rest.append(np.zeros(far.sum(), bool))
+        marks = np.flatnonzero(anchor[x:y][first])
+        if len(marks):
+            # the anchors alone are the same in every block, and so is the main one: the first of their largest part
+            parts = stars(agree[np.ix_(marks, marks)])
+            main = marks[np.bincount(parts).argmax()]
+            apart = own[least != least[main]]
+            a.append(apart)
+            b.append(apart)
+            rest.append(np.ones(len(apart), bool))
     if not a or not sum(map(len, a)):
         return None
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b)), pa.array(np.concatenate(rest))], ["a", "b", "rest"])
 
 
 def similar(sets: list[np.ndarray], percent: int) -> np.ndarray:
