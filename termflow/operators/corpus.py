@@ -124,6 +124,12 @@ def balance(files: DataFrame, salt: str = "") -> DataFrame:
     return df.filter(keep).select("file_id", "source", "size", "target")
 
 
+def append_new(corpus: DataFrame, fetched: DataFrame, text: str = "text") -> DataFrame:
+    """`corpus` with the fetched sentences that it doesn't have, each once; blank ones are left out. Rows of `corpus` stay as they are."""
+    new = fetched.select(text).filter(T.trim(F.col(text)) != "").distinct().join(corpus.select(F.col(text).alias("_have")), F.col(text) == F.col("_have"), "left_anti")
+    return corpus.select(text).unionByName(new)
+
+
 def sampled(files: DataFrame, share: int, of: int, key: str = "file_id") -> DataFrame:
     """A repeatable sample: ids whose hash falls into `share` of `of` parts."""
     return files.filter(F.pmod(F.xxhash64(key), F.lit(of)) < share)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from termflow.functions import naming as N
 from termflow.functions import text as T
-from termflow.operators import controls, frequency, mining, terms
+from termflow.operators import controls, corpus, frequency, mining, terms
 from termflow.plans.registry import TOKENS, query, table, tokens
 from termflow.sources import appdata, books, sinks
 from termflow.streaming import events as E
@@ -232,3 +232,11 @@ def seek_status(spark, sf_dir):
     seeks = e.filter(k % 7 == 0).select("event_id", "session", (k * 100).alias("at"), (k % 50).cast("double").alias("target"))
     positions = e.select("session", (k * 100 + 40).alias("at"), ((k % 50).cast("double") + F.when(k % 2 == 0, 0.005).otherwise(0.5)).alias("position"))
     return E.confirmed_seeks(seeks, positions).select("event_id", "status")
+
+
+@query("appended_sentences", """SELECT c_mktsegment AS text FROM customer UNION ALL SELECT DISTINCT p_type FROM part WHERE p_type NOT IN (SELECT c_mktsegment FROM customer)""")
+def appended_sentences(spark, sf_dir):
+    have = table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("text"))
+    part = table(spark, sf_dir, "part")
+    fetched = part.select(F.col("p_type").alias("text")).unionByName(have.limit(3)).unionByName(part.select(F.lit(" ").alias("text")).limit(1))
+    return corpus.append_new(have, fetched)
