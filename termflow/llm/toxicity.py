@@ -46,7 +46,7 @@ MASKS, SEPARATORS = "*#?%", ".-_~'`^/\\,:;"
 SWAP, MASK, DROP, AGAIN, TWICE, LOST = 0.4, 2.5, 0.3, 0.1, 3.0, 12.0
 #: Log-odds at most of a text without toxic terms: it is never predicted toxic.
 NO_TERMS = -0.05
-CACHE_WORDS, ROWS = 120_000, 128
+CACHE_WORDS, ROWS = 60_000, 128
 EDGE = ".,;:!?\"'()[]{}<>|*%&#$«»„“”‘’¿¡…-–—_/\\=+~`^"
 DISGUISED = re.compile(r"[^\W\d_][^\w\s]+[^\W\d_]|[^\W\d_][\d_@$!|+€£]|[\d_@$!|+€£][^\W\d_]|([^\W\d_])\1\1")
 #: What of DISGUISED a word of letters only can have.
