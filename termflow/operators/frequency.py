@@ -18,17 +18,23 @@ NO_DATA = 4294967295
 LEAST_WEIGHT = 0.1
 
 
+def ordered_sum(value: Column) -> Column:
+    """Aggregate: sum of positive doubles, null without any. They are added in ascending order, as a mean of exactly
+    a half would else be rounded by the order in which the rows come. A group's values are held at a time."""
+    return F.nullif(F.aggregate(F.array_sort(F.collect_list(value)), F.lit(0.0), lambda total, x: total + x), F.lit(0.0))
+
+
 def harmonic(value: Column) -> Column:
     """Aggregate: rounded harmonic mean of the positive values, null without any."""
     good = F.when(value > 0, value)
-    return F.round(F.count(good) / F.sum(F.lit(1.0) / good)).cast("long")
+    return F.round(F.count(good) / ordered_sum(F.lit(1.0) / good)).cast("long")
 
 
 def weighted_harmonic(value: Column, weight: Column) -> Column:
     """Aggregate: rounded weighted harmonic mean over positive values and weights, NO_DATA without any."""
     good = (value > 0) & (weight > 0)
     w = F.when(good, weight.cast("double"))
-    return F.coalesce(F.round(F.sum(w) / F.sum(w / F.when(good, value))).cast("long"), F.lit(NO_DATA))
+    return F.coalesce(F.round(ordered_sum(w) / ordered_sum(w / F.when(good, value))).cast("long"), F.lit(NO_DATA))
 
 
 def enabled(freq: DataFrame, dict_state: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """Frequencies, vocabulary, terms, controls and corpus operators on small tables."""
 
 import hashlib
+import itertools
 import math
 import random
 
@@ -54,6 +55,13 @@ def test_means(spark):
     assert tuple(empty.first()) == (None, frequency.NO_DATA)
 
 
+def test_means_of_a_half_in_any_order(spark):
+    for values in [(6, 9, 18, 21), (14, 15, 35, 26), (60, 40, 25, 40)]:
+        df = spark.createDataFrame([(k, v) for k, order in enumerate(itertools.permutations(values)) for v in order], "k long, v long").coalesce(1)
+        for mean in (frequency.harmonic(F.col("v")), frequency.weighted_harmonic(F.col("v"), F.lit(0.5))):
+            assert len({r["m"] for r in df.groupBy("k").agg(mean.alias("m")).collect()}) == 1
+
+
 def test_pair_frequency(spark):
     e = spark.createDataFrame([("a", "行く", "いく", 10, None, False, 0), ("b", "行く", "いく", 30, None, False, 1), ("a", "上", None, 4, None, False, 2), ("a", "下", "した", 4, None, False, 3), ("a", "する", "する", 1, None, False, 4)], FREQ)
     p = spark.createDataFrame([("1", "行く", "いく"), ("2", "上", "うえ"), ("3", "下", "しも"), ("4", "する", "する")], "pair_id string, word string, reading string")
