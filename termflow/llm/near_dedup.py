@@ -14,9 +14,9 @@
    missed by, besides MISS.
 4. Links so far only say who is to be compared. Components of them are dealt into blocks of bounded
    size, and in each task the sets of a block are intersected exactly (64-bit shingle hashes). Blocks of a
-   large component are compared with themselves and some anchors; then only members that aren't joined to
-   its largest part yet are compared with all others (`exact_links`). Links that hold give the components
-   that are returned. No step emits all pairs.
+   large component are compared with themselves and some anchors (those of least hash); then only members
+   that aren't joined to its largest part yet are compared with all others (`exact_links`). Links that hold
+   give the components that are returned. No step emits all pairs.
 
 Defined results: documents without words have no shingles, are linked with nothing and are kept; so is a
 row without doc_id, with a null component; a text
@@ -194,22 +194,20 @@ def postings(classes: DataFrame, percent: int) -> DataFrame:
 
 
 def paired_postings(members: DataFrame) -> DataFrame:
-    """From members of long lists (band, rep, signature): key, rep under each pair of that band's key and another's."""
+    """From members of long lists (bands: a bit for each whose list is long, rep, signature): key, rep under each pair of such a band's key and another's."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         own, rep, sign = batch.column(0).to_numpy(), batch.column(1).to_numpy(), matrix(batch.column(2), np.uint32)
         of = np.stack([key_of(sign[:, b], COORDS + k).view(np.uint64) for k, b in enumerate(BAND)], 1)
         keys, reps = [], []
-        for k in range(BANDS):
-            use = own != k
-            low, high = np.minimum(own, k)[use], np.maximum(own, k)[use]
-            rows = np.flatnonzero(use)
-            # both bands of a pair make the same key
-            keys.append(mixed(mixed(of[rows, low]) ^ of[rows, high]).view(np.int64))
-            reps.append(rep[rows])
+        for low in range(BANDS):
+            for high in range(low + 1, BANDS):
+                rows = np.flatnonzero(own & (1 << low | 1 << high))
+                keys.append(mixed(mixed(of[rows, low]) ^ of[rows, high]).view(np.int64))
+                reps.append(rep[rows])
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(reps))], ["key", "rep"])
 
-    return mapped(members.select("band", "rep", "signature"), run, "key long, rep long", 4096)
+    return mapped(members.select("bands", "rep", "signature"), run, "key long, rep long", 4096)
 
 
 def stars(agree: np.ndarray) -> np.ndarray:
@@ -265,11 +263,12 @@ def candidate_links(classes: DataFrame, percent: int) -> DataFrame:
     lists = cut(listed(postings(classes, percent)))
     few = lists.filter(f"n <= {LONG}").join(short, F.col("rep") == F.col("_rep")).select("key", "rep", F.col("short").alias("signature"))
     out = counted_links(few, matches_of(percent))
-    long = lists.filter(f"n > {LONG} AND band >= 0").select("band", "rep")
+    long = lists.filter(f"n > {LONG} AND band >= 0").select("rep", F.expr("shiftleft(1, int(band))").alias("bit"))
     if long.isEmpty():
         return out
+    long = long.groupBy("rep").agg(F.bit_or("bit").alias("bands"))
     pairs = paired_postings(long.join(classes.select(F.col("rep").alias("_rep"), "signature"), F.col("rep") == F.col("_rep")))
-    pairs = cut(listed(pairs.distinct()))
+    pairs = cut(listed(pairs))
     few = pairs.filter(f"n <= {LONG}").join(short, F.col("rep") == F.col("_rep")).select("key", "rep", F.col("short").alias("signature"))
     return out.unionByName(counted_links(few, matches_of(percent))).unionByName(pairs.filter(f"n > {LONG} AND rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")))
 
@@ -283,25 +282,31 @@ def exact_links(documents: DataFrame, classes: DataFrame, candidates: DataFrame,
     all blocks.
     """
     members = components(candidates).join(classes.select(F.col("rep").alias("node"), "n_shingles"), "node")
-    sizes = members.groupBy("component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("weight"))
+    at = F.xxhash64(F.col("node") + 1)
+    sizes = members.groupBy("component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("weight"), F.min(at).alias("least"))
     blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("weight") / BLOCK_SHINGLES)).cast("int")
-    members = cut(members.join(sizes, "component").select("node", "component", "n_shingles", blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block")))
-    order = Window.partitionBy("component").orderBy(F.xxhash64(F.col("node") + 1), "node")
-    anchors = members.filter("blocks > 1").withColumns({"nth": F.row_number().over(order), "upto": F.sum("n_shingles").over(order)}).filter(f"nth = 1 OR nth <= {ANCHORS} AND upto <= {BLOCK_SHINGLES}")
+    # anchors are those of least hash: some 8 * ANCHORS members of a component are asked, the least one among them
+    low = (at == F.col("least")) | (at.cast("double") / 2.0**64 + 0.5 <= 8.0 * ANCHORS / F.col("n"))
+    members = cut(members.join(sizes, "component").select("node", "component", "n_shingles", blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"), low.alias("low")))
+    order = Window.partitionBy("component").orderBy(at, "node")
+    anchors = members.filter("blocks > 1 AND low").withColumns({"nth": F.row_number().over(order), "upto": F.sum("n_shingles").over(order)})
+    anchors = cut(anchors.filter(f"nth = 1 OR nth <= {ANCHORS} AND upto <= {BLOCK_SHINGLES}").select("node", "component", "blocks", "block"))
     key = lambda *parts: F.concat_ws(":", *parts).alias("key")
-    everywhere = anchors.select("node", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.concat_ws(":", "component", b))).alias("key"))
-    first = members.select("node", key("component", "block")).unionByName(everywhere).distinct()
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    elsewhere = anchors.select("node", "component", "block", every("blocks").alias("other")).filter("other <> block")
+    first = members.select("node", key("component", "block")).unionByName(elsewhere.select("node", key("component", "other")))
     first = first.join(small_side(anchors.select(F.col("node").alias("_a"))), F.col("node") == F.col("_a"), "left").select("node", "key", F.col("_a").isNotNull().alias("anchor"))
     found = cut(compared(documents, first, percent))
-    links, rest = found.filter("NOT rest").select("a", "b"), found.filter("rest").select(F.col("a").alias("_rest")).distinct()
+    links, rest = found.filter("NOT rest").select("a", "b"), found.filter("rest").select(F.col("a").alias("_rest"))
     if rest.isEmpty():
         return links
-    rest = cut(rest.join(members, F.col("node") == F.col("_rest")).select("node", "component", "blocks"))
+    rest = cut(rest.distinct().join(members, F.col("node") == F.col("_rest")).select("node", "component", "blocks", "block"))
     others = rest.groupBy(F.col("component").alias("_c")).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("others"))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    asked = rest.join(others, F.col("component") == F.col("_c")).select("node", "component", F.pmod(F.xxhash64("node"), F.col("others")).cast("int").alias("other"), every("blocks").alias("block"))
+    asked = rest.join(others, F.col("component") == F.col("_c")).select("node", "component", F.pmod(F.xxhash64("node"), F.col("others")).cast("int").alias("other"), F.col("block").alias("own"), every("blocks").alias("block"))
+    # a member's own block has it among the others already
+    asked = asked.filter("block <> own").drop("own")
     against = members.join(others, F.col("component") == F.col("_c")).select("node", "component", every("others").alias("other"), "block")
-    second = asked.unionByName(against).select("node", key("component", "other", "block"), F.lit(False).alias("anchor")).distinct()
+    second = asked.unionByName(against).select("node", key("component", "other", "block"), F.lit(False).alias("anchor"))
     return links.unionByName(cut(compared(documents, second, percent)).filter("NOT rest").select("a", "b"))
 
 

@@ -528,6 +528,32 @@ def test_components(spark, monkeypatch, hub):
     assert got == best
 
 
+@pytest.mark.parametrize("hub, few", [(2, 0), (components.HUB, 0), (2, 150), (2, 1000)])
+def test_components_in_rounds(spark, monkeypatch, hub, few):
+    """Rounds to the end, rounds until few edges are left, and the driver alone."""
+    monkeypatch.setattr(components, "HUB", hub)
+    rounds, larger = [], components._larger
+    monkeypatch.setattr(components, "_larger", lambda *a: rounds.append(a) or larger(*a))
+    rng = random.Random(3)
+    edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)] + [(i, i + 1) for i in range(400, 430)] + [(600, i) for i in range(601, 640)] + [(None, 5), (7, 7)]
+    best = {x: x for e in edges if None not in e and e[0] != e[1] for x in e}
+    for _ in range(60):
+        for a, b in edges:
+            if a in best and b in best:
+                best[a] = best[b] = min(best[a], best[b])
+    got = [tuple(r) for r in components.components(spark.createDataFrame(edges, "a long, b long"), few).collect()]
+    assert sorted(got) == sorted(best.items())
+    assert (len(rounds) > 0) == (few < 1000)
+
+
+def test_few_links_take_no_rounds(spark, monkeypatch, texts):
+    """Each round is some ten stages, whose tasks take longer than so few links."""
+    monkeypatch.setattr(components, "_larger", lambda *a: pytest.fail("a round for few links"))
+    every = variants(texts, 60)
+    df = spark.createDataFrame(list(every.items()), "doc_id long, text string")
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.near_duplicates(df).collect()} == brute_components(every)
+
+
 def test_rows_of_one_document(spark):
     """Of several rows with a doc_id one stays, and columns of any name are kept as they are."""
     text = " ".join(f"w{i}" for i in range(30))
